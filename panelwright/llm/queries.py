@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import bpe, line_dedup, quality_rules, simhash
+from panelwright.llm import bpe, line_dedup, quality_rules, simhash, token_files, warc
 from panelwright.llm.common import table
 
 
@@ -20,10 +20,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.store_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -69,6 +77,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+OP7_SQL = r"""
+WITH bodies AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), marked AS (
+  SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS newest FROM bodies
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM newest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM newest THEN newest END AS refers_to
+FROM marked
+"""
+
 OP10_SQL = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
@@ -91,8 +113,10 @@ SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM summed JOIN
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
+    "op7_warc": op7_warc,
     "op8_simhash": op8_simhash,
+    "op9_huffman_ids": op9_huffman_ids,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL = {"op5_quality_rules": OP5_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL = {"op5_quality_rules": OP5_SQL, "op7_warc": OP7_SQL, "op10_line_dedup": OP10_SQL}
