@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelwright.llm import bpe, line_dedup, quality_rules, simhash, token_files, warc
+from panelwright.llm import bpe, line_dedup, mixing, quality_rules, simhash, token_files, warc
 from panelwright.llm.common import table
 
 
@@ -15,6 +16,20 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+#: Targets of the registered mixture: 60 % of all tokens, no leaf more than twice.
+MIXTURE = mixing.Mixture(
+    weights={"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 6, "de": 2, "fr": 2}},
+    budget_parts=3,
+    budget_whole=5,
+    max_epochs=2,
+    seed="mix",
+)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_rows(table(spark, sf_dir, "documents"), MIXTURE, mixing.domain_of_source(F.col("source")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -33,12 +48,68 @@ def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     found = line_dedup.drop_frequent_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def _split_sql(name: str, nodes: str, parents: str, label: str) -> str:
+    """CTEs that split `budget` over `nodes` (parents, label, weight, cap, budget) into `given`."""
+    over = f"PARTITION BY {parents}" if parents else ""
+    return f"""
+{name}_a AS (
+  SELECT *, (budget - coalesce(sum(cap) OVER ({over} ORDER BY cap / weight, {label} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight
+    >= cap * sum(weight) OVER ({over} ORDER BY cap / weight, {label} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS is_full
+  FROM ({nodes})
+), {name}_b AS (
+  SELECT *, budget - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ({over}) AS remaining,
+    greatest(sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({over}), 1) AS open_weight FROM {name}_a
+), {name}_c AS (
+  SELECT *, CASE WHEN is_full THEN 0 ELSE weight * remaining // open_weight END AS share,
+    CASE WHEN is_full THEN -1 ELSE weight * remaining % open_weight END AS rest FROM {name}_b
+), {name}_d AS (
+  SELECT *, remaining - sum(share) OVER ({over}) AS spare, row_number() OVER ({over} ORDER BY rest DESC, {label}) AS place FROM {name}_c
+), {name} AS (
+  SELECT *, CASE WHEN is_full THEN cap WHEN place <= spare THEN share + 1 ELSE share END AS given FROM {name}_d
+)"""
+
+
+def mixture_sql(mixture: mixing.Mixture, documents: str = "documents") -> str:
+    """The rows of mixture_rows, for DuckDB; documents is a table or query in brackets."""
+
+    def weight(level: str) -> str:
+        cases = "".join(f"WHEN {level} = '{k}' THEN {v} " for k, v in mixture.weights.get(level, {}).items())
+        return f"CASE {cases}ELSE 1 END" if cases else "1"
+
+    nodes = [
+        f"SELECT domain, {weight('domain')} AS weight, sum(cap) AS cap, (SELECT least(sum(cap), sum(tokens) * {mixture.budget_parts} // {mixture.budget_whole}) FROM leaves) AS budget FROM leaves GROUP BY domain",
+        f"SELECT domain, lang, {weight('lang')} AS weight, sum(leaves.cap) AS cap, any_value(given) AS budget FROM leaves JOIN by_domain USING (domain) GROUP BY domain, lang",
+        f"SELECT domain, lang, source, {weight('source')} AS weight, sum(leaves.cap) AS cap, any_value(given) AS budget FROM leaves JOIN by_lang USING (domain, lang) GROUP BY domain, lang, source",
+    ]
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, text, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    CASE TRY_CAST(regexp_extract(source, '(\d{{1,9}})$', 1) AS INT) % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'code' ELSE 'other' END AS domain,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens
+  FROM {documents}
+), leaves AS (
+  SELECT domain, lang, source, sum(tokens) AS tokens, sum(tokens) * {mixture.max_epochs} AS cap FROM docs GROUP BY domain, lang, source
+), {_split_sql("by_domain", nodes[0], "", "domain")}, {_split_sql("by_lang", nodes[1], "domain", "lang")}, {_split_sql("by_source", nodes[2], "domain, lang", "source")}, plan AS (
+  SELECT domain, lang, source, CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END AS epochs, CASE WHEN tokens > 0 THEN given % tokens ELSE 0 END AS rest
+  FROM leaves JOIN by_source USING (domain, lang, source)
+), placed AS (
+  SELECT docs.*, epochs, rest, coalesce(sum(tokens) OVER (
+      PARTITION BY domain, lang, source ORDER BY md5('{mixture.seed}:' || (epochs + 1)::BIGINT || ':' || coalesce(doc_id::VARCHAR, '')), doc_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM docs JOIN plan USING (domain, lang, source)
+)
+SELECT doc_id, domain, lang, source, epoch::INT AS epoch, tokens AS n_tokens, tokens AS n_taken FROM placed, LATERAL (SELECT unnest(range(1, epochs::BIGINT + 1)) AS epoch)
+UNION ALL
+SELECT doc_id, domain, lang, source, (epochs + 1)::INT, tokens, least(tokens, rest - before)::BIGINT FROM placed WHERE before < rest
+"""
+
+
+OP2_SQL = mixture_sql(MIXTURE)
+
 OP5_SQL = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
@@ -112,6 +183,7 @@ SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM summed JOIN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_mixing": op2_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op7_warc": op7_warc,
     "op8_simhash": op8_simhash,
@@ -119,4 +191,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL = {"op5_quality_rules": OP5_SQL, "op7_warc": OP7_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL = {"op2_mixing": OP2_SQL, "op5_quality_rules": OP5_SQL, "op7_warc": OP7_SQL, "op10_line_dedup": OP10_SQL}
