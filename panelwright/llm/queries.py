@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import bpe, line_dedup, mixing, quality_rules, simhash, token_files, warc
+from panelwright.llm import bpe, chat_format, line_dedup, media, mixing, quality_rules, simhash, token_files, toxicity, warc
 from panelwright.llm.common import table
 
 
@@ -30,11 +30,26 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_rows(table(spark, sf_dir, "documents"), MIXTURE, mixing.domain_of_source(F.col("source")))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip_digests(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    first = F.get("offending", 0)
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"), first.start.alias("first_start"), first.end.alias("first_end"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.rotation_digests(table(spark, sf_dir, "conversations"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
@@ -148,6 +163,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+OP6_SQL = r"""
+WITH distinct_messages AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text FROM conversations
+), speakers AS (
+  SELECT DISTINCT conv_id AS who, role AS perspective FROM distinct_messages WHERE role <> 'system'
+), pieces AS (
+  SELECT conv_id, floor(turn / 64)::BIGINT AS part, turn, role, text, perspective, role = perspective AS mine,
+    '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant'
+      ELSE 'user name=' || regexp_replace(role, '[^A-Za-z0-9_-]', '_', 'g') END || chr(10) || text || '<|im_end|>' || chr(10) AS piece
+  FROM distinct_messages JOIN speakers ON conv_id IS NOT DISTINCT FROM who
+), placed AS (
+  SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, part, perspective ORDER BY turn NULLS LAST, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM pieces
+), spans AS (
+  SELECT *, upto - length(piece) + 22 AS a, upto - 1 AS b FROM placed
+)
+SELECT conv_id, part, perspective, count(*)::BIGINT AS n_messages, sum(length(piece))::BIGINT AS n_chars,
+  coalesce(sum(b - a) FILTER (WHERE mine), 0)::BIGINT AS masked_chars,
+  sha256(string_agg(piece, '' ORDER BY turn NULLS LAST, role, text)) AS rendered_sha256,
+  coalesce(string_agg(a::BIGINT || '-' || b::BIGINT, ',' ORDER BY turn NULLS LAST, role, text) FILTER (WHERE mine), '') AS mask
+FROM spans GROUP BY conv_id, part, perspective
+"""
+
 OP7_SQL = r"""
 WITH bodies AS (
   SELECT page_id, coalesce(html, '') AS body FROM pages
@@ -184,11 +221,14 @@ SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM summed JOIN
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_mixing": op2_mixing,
+    "op3_media": op3_media,
+    "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
+    "op6_chat_format": op6_chat_format,
     "op7_warc": op7_warc,
     "op8_simhash": op8_simhash,
     "op9_huffman_ids": op9_huffman_ids,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL = {"op2_mixing": OP2_SQL, "op5_quality_rules": OP5_SQL, "op7_warc": OP7_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL = {"op2_mixing": OP2_SQL, "op5_quality_rules": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_warc": OP7_SQL, "op10_line_dedup": OP10_SQL}

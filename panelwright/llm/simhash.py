@@ -11,7 +11,7 @@ what two of them have in common), which is exact and grows with the number of fi
 
 Defined results: words are runs of non-white-space after lower-casing A-Z; a text with fewer than
 `width` words is one shingle, one without words (or null) has fingerprint zero and links like any
-other. Null ids count as larger than all others. Repeated rows give repeated result rows. Only key and
+other. Null keys come after all others. Repeated rows give repeated result rows. Only key and
 text are read.
 """
 
@@ -53,15 +53,16 @@ def fingerprint(text: str, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """(key, fp bigint): the signed 64-bit form of each document's fingerprint."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, others: tuple[str, ...] = ()) -> DataFrame:
+    """(key, others, fp bigint): the signed 64-bit form of each document's fingerprint."""
 
     def rows(batch):
         found = np.array([fingerprint(t, width) for t in texts_of(batch, text)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.int64())], names=[key, "fp"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (key, *others)], pa.array(found, pa.int64())], names=[key, *others, "fp"])
 
-    docs = docs.select(key, text)
-    return map_arrow(docs, rows, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp bigint")
+    docs = docs.select(key, text, *others)
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in (key, *others))
+    return map_arrow(docs, rows, f"{kinds}fp bigint")
 
 
 def _masks() -> list[int]:
@@ -120,12 +121,28 @@ def _stars(busy: DataFrame) -> DataFrame:
     return spokes.join(busy.select(F.col("fp").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
+def _grouped(marked: DataFrame, hot: int) -> DataFrame:
+    """(fp, first): for each fingerprint the smallest `order` of its component. marked: (fp, order)."""
+    nodes = stored(marked.groupBy("fp").agg(F.min("order").alias("least")), "simhash-nodes")
+    labels = connected_components(links(nodes.select("fp"), hot))
+    merged = labels.join(nodes, labels.node == nodes.fp).groupBy("component").agg(F.min("least").alias("first"))
+    moved = labels.join(merged, "component").select(F.col("node").alias("fp"), "first")
+    return nodes.join(moved, "fp", "left").select("fp", F.coalesce("first", "least").alias("first"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, hot: int = HOT) -> DataFrame:
     """(key, fingerprint, component_id): the smallest key that links lead to, itself included."""
     marked = stored(fingerprints(docs, key, text, width), "simhash-documents")
-    nodes = stored(marked.groupBy("fp").agg(F.min(key).alias("least")), "simhash-nodes")
-    labels = connected_components(links(nodes.select("fp"), hot))
-    merged = labels.join(nodes, labels.node == nodes.fp).groupBy("component").agg(F.min("least").alias("component_id"))
-    moved = labels.join(merged, "component").select(F.col("node").alias("fp"), "component_id")
-    by_print = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(by_print, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"))
+    by_print = _grouped(marked.select("fp", order.alias("order")), hot)
+    return marked.join(by_print, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.key").alias("component_id"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, hot: int = HOT) -> DataFrame:
+    """The rows of docs, all columns, of which one stays for each component: that of the smallest key, then text hash."""
+    marked = stored(fingerprints(docs.select(key, text, F.xxhash64(text).alias("hash")), key, text, width, ("hash",)), "simhash-documents")
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "hash")
+    winners = _grouped(marked.select("fp", order.alias("order")), hot).select(F.col("first.key").alias("__key"), F.col("first.hash").alias("__own")).distinct()
+    own = docs.withColumn("__hash", F.xxhash64(text))
+    kept = own.join(winners, (own["__hash"] == winners["__own"]) & own[key].eqNullSafe(winners["__key"]), "left_semi")
+    return kept.dropDuplicates([key, "__hash"]).drop("__hash")
