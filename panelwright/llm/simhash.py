@@ -98,7 +98,9 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     nodes: (fp), each once. Pairs come from the join of ordinary variants; for hot variants a star to the
     smallest fingerprint of each shared two-bit deletion, which keeps the components.
     """
-    index = nodes.select("fp", F.inline(_variants(F.col("fp"))))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = nodes.repartition(parts, "fp")  # 64 rows come of each: a few input files would be too few tasks
+    index = spread.select("fp", F.inline(_variants(F.col("fp"))))
     sizes = stored(index.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-sizes")
     shared = stored(index.join(sizes.filter(F.col("n") <= hot).select("mask", "value"), ["mask", "value"], "left_semi"), "simhash-index")
     left, right = shared.withColumnRenamed("fp", "src"), shared.withColumnRenamed("fp", "dst")
