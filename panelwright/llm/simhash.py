@@ -102,11 +102,13 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     spread = nodes.repartition(parts, "fp")  # 64 rows come of each: a few input files would be too few tasks
     index = spread.select("fp", F.inline(_variants(F.col("fp"))))
     sizes = stored(index.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-sizes")
-    shared = stored(index.join(sizes.filter(F.col("n") <= hot).select("mask", "value"), ["mask", "value"], "left_semi"), "simhash-index")
+    # Merged at every size: the shared variants grow with the documents, a broadcast of them isn't bounded.
+    within = lambda some: index.join(some.select("mask", "value").hint("merge"), ["mask", "value"], "left_semi")
+    shared = stored(within(sizes.filter(F.col("n") <= hot)), "simhash-index")
     left, right = shared.withColumnRenamed("fp", "src"), shared.withColumnRenamed("fp", "dst")
     on = (left.mask == right.mask) & (left.value == right.value) & _linked(F.col("src"), F.col("dst"), left.mask)
     pairs = left.join(right, on).select("src", "dst")
-    busy = index.join(sizes.filter(F.col("n") > hot).select("mask", "value"), ["mask", "value"], "left_semi").select("fp").distinct()
+    busy = within(sizes.filter(F.col("n") > hot)).select("fp").distinct()
     return pairs.unionByName(_stars(busy)).distinct()
 
 
