@@ -128,18 +128,22 @@ def derive_missing_total(df: DataFrame, keys: Sequence[str], category: str, valu
     return own.unionByName(sums.select(*keys, F.lit(label).alias(category), value, F.lit(True).alias("is_derived")))
 
 
+def pearson(x: str, y: str) -> Column:
+    """Correlation; null where either column is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def error_metrics(df: DataFrame, levels: Sequence[Sequence[str]], actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """MAE, RMSE, bias, Pearson r and n at several grains at once (grouping sets); columns of other grains are null."""
     columns = list(dict.fromkeys(c for level in levels for c in level))
     rows = df.withColumn("_e", F.col(predicted) - F.col(actual))
     grouped = rows.groupingSets([[F.col(c) for c in level] for level in levels], *[F.col(c) for c in columns])
-    spread = (F.stddev_pop(actual) > 0) & (F.stddev_pop(predicted) > 0)
     return grouped.agg(
         F.grouping_id(*columns).alias("level"),
         F.avg(F.abs("_e")).alias("mae"),
         F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),
         F.avg("_e").alias("bias"),
-        F.when(spread, F.corr(actual, predicted)).alias("r"),
+        pearson(actual, predicted).alias("r"),
         F.count(F.lit(1)).alias("n"),
     )
 
@@ -173,12 +177,11 @@ def concentration(df: DataFrame, groups: Sequence[str], entity: str, actual: str
         return F.rank().over(whole.orderBy(c)) + (ties - 1) / 2
 
     rows = df.withColumns({"_sa": share(actual), "_sp": share(predicted), "_ra": average_rank(actual), "_rp": average_rank(predicted)})
-    spread = (F.stddev_pop("_ra") > 0) & (F.stddev_pop("_rp") > 0)
     found = rows.groupBy(*groups).agg(
         F.sum(F.col("_sa") ** 2).alias("hhi_actual"),
         F.sum(F.col("_sp") ** 2).alias("hhi_predicted"),
         F.avg(F.abs(F.col("_sa") - F.col("_sp"))).alias("share_error"),
-        F.when(spread, F.corr("_ra", "_rp")).alias("spearman"),
+        pearson("_ra", "_rp").alias("spearman"),
         F.count(F.lit(1)).alias("n"),
     )
     return found.join(top_k_overlap(df, groups, actual, predicted, entity, [3, 5]), list(groups))
@@ -221,10 +224,11 @@ def persistence(df: DataFrame, entity: str, period: str, in_set: Column) -> Data
 def project_trend(df: DataFrame, entity: str, period: str, value: str, last: int, fit: int, through: int) -> DataFrame:
     """A least-squares line over each entity's last fit periods up to last, carried on to through; only entities observed in last."""
     recent = df.filter(F.col(period).between(last - fit + 1, last)).groupBy(entity)
-    lines = recent.agg(F.regr_slope(value, period).alias("slope"), F.regr_intercept(value, period).alias("intercept"), F.max(period).alias("latest"), F.count(F.lit(1)).alias("n"))
+    back = F.col(period) - last  # counted from the last period: no large intercept to cancel
+    lines = recent.agg(F.regr_slope(F.col(value), back).alias("slope"), F.regr_intercept(F.col(value), back).alias("intercept"), F.max(period).alias("latest"), F.count(F.lit(1)).alias("n"))
     lines = lines.filter((F.col("latest") == last) & (F.col("n") >= 2))
     future = lines.select(entity, "slope", "intercept", F.explode(F.sequence(F.lit(last + 1), F.lit(through))).alias(period))
-    return future.select(entity, period, F.greatest(F.lit(1), F.bround(F.col("intercept") + F.col("slope") * F.col(period), 0).cast("bigint")).alias(value))
+    return future.select(entity, period, F.greatest(F.lit(1), F.bround(F.round(F.col("intercept") + F.col("slope") * (F.col(period) - last), 6), 0).cast("bigint")).alias(value))
 
 
 def interval_rollup(df: DataFrame, groups: Sequence[str], rate_bounds: Mapping[str, str], population: str, actual: str) -> DataFrame:
