@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelwright.operators.storage import settled
+
 
 def mirror(pairs: DataFrame) -> DataFrame:
     """(src, dst, shared) in both directions from unordered pairs (a, b, shared)."""
@@ -35,16 +37,15 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], most_rou
     """(keys, node, component): the smallest node reachable over edges, within each of keys; single nodes are their own.
 
     Each round takes the least label of a node's neighbours and then the label of its label. Rounds are written to the
-    checkpoint folder. Nothing comes to the driver but the number of labels that changed.
+    shared folder. Nothing comes to the driver but the number of labels that changed.
     """
-    ensure_checkpoints(nodes.sparkSession)
-    both = edges.select(*keys, "src", "dst").unionByName(edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
-    now = nodes.select(*keys, "node", F.col("node").alias("component")).distinct().checkpoint()
+    both = settled(edges.select(*keys, "src", "dst").unionByName(edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    now = settled(nodes.select(*keys, "node", F.col("node").alias("component")).distinct())
     for _ in range(most_rounds):
         seen = both.join(now.select(*keys, F.col("node").alias("src"), "component"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.min("component").alias("least"))
         step = now.join(seen, [*keys, "node"], "left").select(*keys, "node", F.col("component").alias("old"), F.least("component", "least").alias("component"))
         jump = step.select(*keys, F.col("node").alias("component"), F.col("component").alias("further"))
-        nxt = step.join(jump, [*keys, "component"], "left").select(*keys, "node", "old", F.least("component", "further").alias("component")).checkpoint()
+        nxt = settled(step.join(jump, [*keys, "component"], "left").select(*keys, "node", "old", F.least("component", "further").alias("component")))
         changed = nxt.filter("old <> component").limit(1).count()
         now = nxt.drop("old")
         if not changed:
@@ -52,14 +53,6 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], most_rou
     raise RuntimeError(f"components haven't settled after {most_rounds} rounds")
 
 
-def ensure_checkpoints(spark) -> None:
-    """Uses the session's checkpoint folder; makes one only where none is set."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="panelwright-"))
-
-
 def numbered_components(found: DataFrame, nodes: DataFrame, keys: Sequence[str], attribute: str) -> DataFrame:
     """Components numbered from 1 within keys by (mean attribute, smallest node), with their sizes."""
     rows = found.join(nodes.select(*keys, "node", attribute), [*keys, "node"])
@@ -75,18 +68,17 @@ def kmeans_1d(df: DataFrame, group: str, value: str, k: int, most_steps: int = 1
     Starts from evenly spaced order statistics; ties go to the lower cluster; an empty one keeps its centroid. Steps work on the
     distinct values with their counts; the k centroids of a group travel as one array.
     """
-    ensure_checkpoints(df.sparkSession)
-    points = df.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    points = settled(df.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")))
     upto = F.sum("n").over(Window.partitionBy(group).orderBy("v"))
     placed = points.withColumns({"upto": upto, "total": F.sum("n").over(Window.partitionBy(group))})
     at = [F.bround(F.lit(float(i)) * (F.col("total") - 1) / max(k - 1, 1), 0) for i in range(k)]
-    state = placed.groupBy(group).agg(F.array(*[F.min(F.when(F.col("upto") > a, F.col("v"))) for a in at]).alias("centroids")).checkpoint()
+    state = settled(placed.groupBy(group).agg(F.array(*[F.min(F.when(F.col("upto") > a, F.col("v"))) for a in at]).alias("centroids")))
     for _ in range(most_steps):
         dealt = points.join(state, group).withColumn("cluster", _nearest(F.col("v"), F.col("centroids")))
         means = dealt.groupBy(group, "cluster").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("m"))
         moved = means.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "m"))).alias("ms"))
         centroids = F.transform("centroids", lambda c, i: F.coalesce(F.try_element_at(F.col("ms"), i), c))
-        nxt = state.join(moved, group).select(group, F.col("centroids").alias("old"), centroids.alias("centroids")).checkpoint()
+        nxt = settled(state.join(moved, group).select(group, F.col("centroids").alias("old"), centroids.alias("centroids")))
         still = nxt.filter(F.exists(F.zip_with("old", "centroids", lambda a, b: F.abs(a - b) > 1e-12), lambda x: x)).limit(1).count()
         state = nxt.drop("old")
         if not still:

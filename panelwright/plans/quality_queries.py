@@ -9,6 +9,7 @@ from panelwright.operators import graph as G
 from panelwright.operators import joins as J
 from panelwright.operators import quality as Q
 from panelwright.operators import windows as W
+from panelwright.operators.storage import settled
 from panelwright.plans.base import query
 from panelwright.plans.join_queries import _EDGES, edges
 from panelwright.plans.views import Tables
@@ -89,8 +90,7 @@ _SIMILAR = f"""{_EDGES}, {_NODES}, near AS (SELECT src, dst, a.period FROM edges
 
 def _similar(t: Tables):
     nodes = t.panel_supplier().select(F.col("entity").alias("node"), "period", F.col("cases").cast("double").alias("v"))
-    G.ensure_checkpoints(t.spark)
-    return nodes, G.similar_edges(edges(t), nodes, ["period"], {"v": 2}).checkpoint()  # read by every round
+    return nodes, settled(G.similar_edges(edges(t), nodes, ["period"], {"v": 2}))  # read by every round
 
 
 @query(f"WITH {_EDGES} SELECT src, dst FROM edges")
