@@ -247,16 +247,20 @@ def surveillance_regime(flags: Column, period: Column, change: int) -> Column:
     return first_match([(flags.contains("source_conflict"), "conflicting"), (period < change, "old_definition")], "current")
 
 
-def update_audit(forecasts: DataFrame, observed: DataFrame, keys: Sequence[str], as_of: Column, cutoff: Column, near: float) -> DataFrame:
-    """Forecasts with lower_95 and upper_95 against observations that have arrived: residual, direction, coverage and its reading (first match)."""
-    both = forecasts.join(observed, list(keys), "left").withColumn("residual", F.col("actual") - F.col("predicted"))
-    covered = F.col("actual").between(F.col("lower_95"), F.col("upper_95"))
+def classified(both: DataFrame, as_of: Column, cutoff: Column, near: float) -> DataFrame:
+    """Rows with actual, predicted, lower_95 and upper_95: residual, direction, coverage and its reading (first match)."""
+    out = both.withColumn("residual", F.col("actual") - F.col("predicted"))
     direction = F.when(F.col("residual") > near, "above").when(F.col("residual") < -near, "below").when(F.col("residual").isNotNull(), "near")
-    out = both.withColumns({"covered_95": covered, "direction": direction})
+    out = out.withColumns({"covered_95": F.col("actual").between(F.col("lower_95"), F.col("upper_95")), "direction": direction})
     reading = first_match([(F.col("actual").isNull(), "pending"), (as_of > cutoff, "late_data"), (F.col("covered_95"), "expected"), (F.col("direction") == "above", "higher_than_expected")], "lower_than_expected")
     return out.withColumn("interpretation", reading)
 
 
+def update_audit(forecasts: DataFrame, observed: DataFrame, keys: Sequence[str], as_of: Column, cutoff: Column, near: float) -> DataFrame:
+    """Forecasts against the observations that have arrived."""
+    return classified(forecasts.join(observed, list(keys), "left"), as_of, cutoff, near)
+
+
 SEVERITY = [(10.0, "very low"), (25.0, "low"), (75.0, "typical"), (90.0, "high")]
 
 
