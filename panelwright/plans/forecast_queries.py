@@ -72,6 +72,8 @@ SELECT entity, o.period, rate AS target_rate, coalesce(p, 0) AS feature_prior_ra
 FROM o LEFT JOIN g ON g.grp = o.grp AND g.period + 1 = o.period WHERE n > 0""", "rates")
 def q135_build_design_matrix(t: Tables):
     found = _rounded(_matrix(t)[0], "feature_trailing_mean").withColumn("feature_prior_group_rate", F.round("feature_prior_group_rate", 8))
+    if "feature_grp_7" not in found.columns:  # columns follow the observed categories
+        found = found.withColumn("feature_grp_7", F.lit(0.0))
     return found.select("entity", "period", "target_rate", "feature_prior_rate", "feature_missing_prior_rate", "feature_trailing_mean", "feature_prior_group_rate", "feature_cases", "feature_grp_7")
 
 
