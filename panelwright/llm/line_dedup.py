@@ -116,7 +116,8 @@ def drop_frequent_lines(docs: DataFrame, text: str = "text", min_documents: int
     listed, frequent = frequent_line_hashes(docs, text, min_documents, min_chars, batches)
     lines = listed.select(_ROW, _CHECK, F.posexplode("keys").alias("pos", "key")).select(_ROW, _CHECK, "pos", F.col("key.a").alias("a"), F.col("key.b").alias("b"))
     hits = lines.filter(F.col("a").isNotNull()).join(frequent, ["a", "b"], "left_semi")
-    drops = hits.groupBy(_ROW, _CHECK).agg(F.collect_set("pos").alias(_DROP))
+    # Stored, so that the join below has a plain exchange on each side and a text with very many copies can be split.
+    drops = stored(hits.groupBy(_ROW, _CHECK).agg(F.collect_set("pos").alias(_DROP)), "line-drops")
     source = F.col(f"`{text}`")
     kept = [c for c in docs.columns if c not in (n_lines, n_dropped)]
     joined = docs.select(*[F.col(f"`{c}`") for c in kept], *_identity(source)).join(drops, [_ROW, _CHECK], "left")
