@@ -131,7 +131,8 @@ def _grouped(marked: DataFrame, hot: int) -> DataFrame:
     labels = connected_components(links(nodes.select("fp"), hot))
     merged = labels.join(nodes, labels.node == nodes.fp).groupBy("component").agg(F.min("least").alias("first"))
     moved = labels.join(merged, "component").select(F.col("node").alias("fp"), "first")
-    return nodes.join(moved, "fp", "left").select("fp", F.coalesce("first", "least").alias("first"))
+    # Stored, so that the join with the documents has a plain exchange on each side and one print's copies can be split.
+    return stored(nodes.join(moved, "fp", "left").select("fp", F.coalesce("first", "least").alias("first")), "simhash-groups")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, hot: int = HOT) -> DataFrame:
