@@ -6,9 +6,12 @@ columns with clashing names never meet them.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -57,9 +60,21 @@ def open_shared(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once, unless their PYTHONPATH or working folder has it already."""
+    root = str(Path(__file__).parents[2])
+    if root in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) or getattr(spark.sparkContext, "_panelwright_sent", False):
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='panelwright-')}/panelwright", "zip", root, "panelwright")
+    spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._panelwright_sent = True
+
+
 def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
+    ship(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from panelwright.llm.common import map_arrow, open_shared, shared_path
+from panelwright.llm.common import map_arrow, open_shared, shared_path, ship
 
 VERSION = "WARC/1.0"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -204,6 +204,7 @@ class WarcSource(DataSource):
 
 def read(spark: SparkSession, folder: str, **options) -> DataFrame:
     """The records of a folder of WARC files. Filters on header columns reach the reader."""
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").options(**options).load(folder)
