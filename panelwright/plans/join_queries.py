@@ -66,7 +66,7 @@ def q037_cross_allocate(t: Tables):
     return found.select("entity", "period", "month", R6("allocated").alias("allocated"))
 
 
-@query("SELECT entity, period, grp, cases, round(cases * 0.8, 6) AS lower, round(cases * 1.2, 6) AS upper FROM panel_supplier", "panel_supplier")
+@query("SELECT entity, period, grp, cases, round(cases * 0.8::DOUBLE, 6) AS lower, round(cases * 1.2::DOUBLE, 6) AS upper FROM panel_supplier", "panel_supplier")
 def q038_attach_interval_strict(t: Tables):
     rows = t.panel_supplier().select("entity", "period", "grp", "cases")
     bounds = rows.select("entity", "period", "grp", R6(F.col("cases") * 0.8).alias("lower"), R6(F.col("cases") * 1.2).alias("upper"))

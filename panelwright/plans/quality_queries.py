@@ -105,7 +105,7 @@ def q174_filter_similar_edges(t: Tables):
 
 
 @query(f"""WITH RECURSIVE {_SIMILAR}, reach AS (SELECT period, node, node AS other FROM nodes UNION SELECT r.period, r.node, n.dst FROM reach r JOIN near n ON n.period = r.period AND n.src = r.other)
-SELECT period, node, min(other) AS component FROM reach GROUP BY 1, 2""".replace("WITH RECURSIVE", "WITH RECURSIVE panel_supplier AS (SELECT s_nationkey AS grp, l_suppkey AS entity, year(l_shipdate) AS period, count(*) AS cases, sum(l_quantity) AS denom FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3),"))
+SELECT period, node, min(other) AS component FROM reach GROUP BY 1, 2""".replace("WITH RECURSIVE", "WITH RECURSIVE panel_supplier AS (SELECT s_nationkey AS grp, l_suppkey AS entity, year(l_shipdate)::INT AS period, count(*) AS cases, sum(l_quantity) AS denom FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3),"))
 def q175_connected_components(t: Tables):
     nodes, near = _similar(t)
     return G.components(nodes, near, ["period"])

@@ -51,16 +51,16 @@ class Tables:
 
 #: The same views for DuckDB, put before a query's own text.
 SQL = {
-    "panel_nation": """SELECT n_regionkey AS grp, c_nationkey AS entity, year(o_orderdate) AS period, count(*) AS cases, count(DISTINCT o_custkey) AS denom
+    "panel_nation": """SELECT n_regionkey AS grp, c_nationkey AS entity, year(o_orderdate)::INT AS period, count(*) AS cases, count(DISTINCT o_custkey) AS denom
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3""",
-    "panel_supplier": """SELECT s_nationkey AS grp, l_suppkey AS entity, year(l_shipdate) AS period, count(*) AS cases, sum(l_quantity) AS denom
+    "panel_supplier": """SELECT s_nationkey AS grp, l_suppkey AS entity, year(l_shipdate)::INT AS period, count(*) AS cases, sum(l_quantity) AS denom
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3""",
     "panel_gappy": "SELECT * FROM panel_supplier WHERE (entity + period) % 4 <> 0",
     "rates": "SELECT *, round(cases / denom * 1000, 6) AS rate FROM panel_gappy",
     "daily_supplier": "SELECT l_suppkey AS entity, l_shipdate::DATE AS d, sum(l_quantity) AS qty, count(*) AS n FROM lineitem GROUP BY 1, 2",
     "obs_eav": "SELECT user_id AS entity, ts::DATE AS d, event_type AS datatype, round(sum(value), 4) AS value FROM events GROUP BY 1, 2, 3",
-    "season": "SELECT year(o_orderdate) AS year, month(o_orderdate) AS period, count(*) AS cases FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2000 GROUP BY 1, 2",
-    "multi_source": """SELECT c_nationkey AS entity, year(o_orderdate) AS period, o_orderpriority AS source, count(*) AS total
+    "season": "SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS period, count(*) AS cases FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2000 GROUP BY 1, 2",
+    "multi_source": """SELECT c_nationkey AS entity, year(o_orderdate)::INT AS period, o_orderpriority AS source, count(*) AS total
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3""",
     "points": "SELECT n_nationkey AS entity, 35.0::DOUBLE + n_nationkey % 5 AS lat, -80.0::DOUBLE + n_nationkey // 5 AS lon FROM nation",
 }
