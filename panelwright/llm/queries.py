@@ -51,7 +51,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+    return warc.archive_and_read(table(spark, sf_dir, "pages"), compression="gzip")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ archives are plain WARC files that any store of Spark's can hold.
 
 The reader plans one partition per file, takes equality and membership filters on `record_type`,
 `target_uri`, `payload_digest`, `record_id` and `refers_to` while it has read only a record's headers, and
-steps over the payload of records that it doesn't return. Payload bytes are read only if they are asked for.
+steps over the payload of records that it doesn't return: by a seek in plain files, by inflating and dropping in
+gzip files. Payload bytes are handed on only if they are asked for.
 
 Defined results: a null html is the empty payload, a null url leaves out the target header. Of equal
 payloads the largest page_id is the response (all rows with it, if it repeats); null ids come last and
@@ -16,6 +17,7 @@ are responses only among themselves. Payloads below min_bytes are all responses.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 from collections.abc import Iterator
@@ -71,8 +73,8 @@ def _header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), r"[\x00-\x1F\x7F]", "%20"), F.lit("\r\n")), F.lit(""))
 
 
-def write(records: DataFrame, folder: str, key: str = "page_id", html: str = "html", url: str = "url", date: str = "2000-01-01T00:00:00Z", records_per_file: int = 100_000) -> None:
-    """Writes the rows of record_types as WARC files."""
+def write(records: DataFrame, folder: str, key: str = "page_id", html: str = "html", url: str = "url", date: str = "2000-01-01T00:00:00Z", records_per_file: int = 100_000, compression: str = "none") -> None:
+    """Writes the rows of record_types as WARC files, plain or as one gzip stream a file."""
     revisit = F.col("response").isNotNull()
     body = F.when(revisit, F.lit("")).otherwise(F.coalesce(F.col(html), F.lit("")))
     length = F.when(revisit, F.lit(0)).otherwise(F.col("size")) + len(HTTP_HEAD)
@@ -90,7 +92,7 @@ def write(records: DataFrame, folder: str, key: str = "page_id", html: str = "ht
         F.lit("\r\n"),
     )
     rows = records.select(F.concat(head, F.lit(HTTP_HEAD), body).alias("value"))
-    rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(folder)
+    rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", compression).text(folder)
 
 
 class _FilePartition(InputPartition):
@@ -102,7 +104,7 @@ def read_file(uri: str, wanted: dict[str, set], payload: str) -> Iterator[tuple]
     """Rows of SCHEMA for the records whose headers are in wanted; payload is none, digest or full."""
     store, path = open_shared(uri)
     with store.open_input_file(path) as source:
-        lines = io.BufferedReader(source, 1 << 18)
+        lines = io.BufferedReader(gzip.GzipFile(fileobj=source) if path.endswith(".gz") else source, 1 << 18)
         while True:
             first = _line(lines)
             if first is None:
@@ -210,14 +212,14 @@ def read(spark: SparkSession, folder: str, **options) -> DataFrame:
     return spark.read.format("warc").options(**options).load(folder)
 
 
-def archive_and_read(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url", min_bytes: int = 0) -> DataFrame:
+def archive_and_read(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url", min_bytes: int = 0, compression: str = "none") -> DataFrame:
     """pages written as archives in the shared folder and read back: (key, payload_bytes, payload_digest, record_type, refers_to).
 
     A response's digest is computed from the payload read back and must be the one in its header.
     """
     spark = pages.sparkSession
     folder = shared_path(spark, "warc")
-    write(record_types(pages, key, html, (url,), min_bytes), folder, key, html, url)
+    write(record_types(pages, key, html, (url,), min_bytes), folder, key, html, url, compression=compression)
     records = read(spark, folder)
     page = lambda c: F.nullif(F.substring(c, len(URN) + 1, 100), F.lit("")).cast("bigint")
     intact = (F.col("record_type") == "revisit") | (F.col("computed_digest") == F.col("payload_digest"))

@@ -76,9 +76,10 @@ def pages():
     return [(*r, "extra") for r in rows]
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_warc_round_trip(spark, compression):
     frame = spark.createDataFrame(pages(), "page_id long, url string, html string, size string")
-    got = {(r.page_id, r.payload_digest): r for r in warc.archive_and_read(frame).collect()}
+    got = {(r.page_id, r.payload_digest): r for r in warc.archive_and_read(frame, compression=compression).collect()}
     assert len(got) == len(pages())
     for key, _, html, _ in pages():
         body = (html or "").encode()
