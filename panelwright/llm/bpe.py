@@ -28,7 +28,7 @@ from panelwright.llm.pretokenize import pretokens
 #: Slices of at least so many bytes are merged with a heap.
 LONG_SLICE = 96
 #: Distinct slices that a worker keeps in each of two generations.
-CACHE_SIZE = 400_000
+CACHE_SIZE = 200_000
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
