@@ -59,7 +59,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.store_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.store_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), match_added=True)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

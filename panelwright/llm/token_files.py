@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import io
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -51,28 +52,49 @@ def _byte_letters() -> dict[int, str]:
 
 
 class TextEncoder:
-    """The library's byte-level BPE model behind a cache of pre-tokens."""
+    """The library's byte-level BPE model behind a cache of pre-tokens.
 
-    def __init__(self, tokenizer_file: str):
+    With match_added, a text that holds one of the tokenizer's added tokens is cut at them first, as the library
+    does by default; without it they are ordinary text, as with the library's encode_special_tokens.
+    """
+
+    def __init__(self, tokenizer_file: str, match_added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.cache = TwoGenerations(self._make, CACHE_SIZE)
+        tokens = self.tokenizer.get_added_tokens_decoder() if match_added else {}
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in tokens.items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cuts = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
+        #: Tokens that take white space in or ask for a word's bounds: texts that hold one are left to the library.
+        self.whole = any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tokens.values())
 
     def _make(self, slices: list[str]) -> list[bytes]:
         letters, model = self.letters, self.model
         return [np.array([t.id for t in model.tokenize("".join([letters[b] for b in s.encode()]))], "<u4").tobytes() for s in slices]
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def _plain(self, texts: list[str]) -> Iterator[bytes]:
         for pieces in pretokens(texts):
-            yield np.frombuffer(b"".join(map(self.cache.view(pieces).__getitem__, pieces)), "<u4")
+            yield b"".join(map(self.cache.view(pieces).__getitem__, pieces))
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        cut = [self.cuts.split(t) if self.cuts else [t] for t in texts]  # text, token, text, ..., text
+        if self.whole:
+            cut = [parts if len(parts) == 1 else [] for parts in cut]
+        coded = self._plain([part for parts in cut for part in parts[::2]])
+        for text, parts in zip(texts, cut):
+            if parts:
+                yield np.frombuffer(b"".join([self.added[part] if i % 2 else next(coded) for i, part in enumerate(parts)]), "<u4")
+            else:
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 @functools.cache
-def text_encoder(tokenizer_file: str) -> TextEncoder:
-    return TextEncoder(tokenizer_file)
+def text_encoder(tokenizer_file: str, match_added: bool = False) -> TextEncoder:
+    return TextEncoder(tokenizer_file, match_added)
 
 
 def _pack_ids(ids: np.ndarray) -> bytes:
@@ -84,11 +106,11 @@ def _unpack_ids(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.uint32)
 
 
-def encoded(docs: DataFrame, tokenizer_file: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, tokenizer_file: str, end_id: int, key: str = "doc_id", text: str = "text", match_added: bool = False) -> DataFrame:
     """(key, n, packed, tie): each text's ids and end_id, compressed; tie orders documents of equal keys."""
 
     def rows(batch):
-        coder = text_encoder(tokenizer_file)
+        coder = text_encoder(tokenizer_file, match_added)
         found = [np.append(x, np.uint32(end_id)) for x in coder.encode(texts_of(batch, text))]
         yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([len(x) for x in found], pa.int64()), pa.array([_pack_ids(x) for x in found], pa.binary())], names=[key, "n", "packed"])
 
@@ -212,10 +234,10 @@ def read_documents(spark, folder: str, manifest: list[tuple[int, str, int, int]]
     return map_arrow(listed, one, f"`{key}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def store_and_read(docs: DataFrame, tokenizer_file: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs written as token-id files in the shared folder and read back."""
+def store_and_read(docs: DataFrame, tokenizer_file: str, end_id: int = 2, key: str = "doc_id", text: str = "text", match_added: bool = False) -> DataFrame:
+    """docs written as token-id files in the shared folder and read back; match_added as in TextEncoder."""
     spark = docs.sparkSession
     folder = shared_path(spark, "token-files")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    manifest = write(encoded(docs, tokenizer_file, end_id, key, text), folder, parts, key)
+    manifest = write(encoded(docs, tokenizer_file, end_id, key, text, match_added), folder, parts, key)
     return read_documents(spark, folder, manifest, key)

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from panelwright.llm import huffman, token_files, warc
+from panelwright.llm import huffman, queries, token_files, warc
 from panelwright.llm.common import shared_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,6 +71,31 @@ def test_token_files_match_the_library(spark, monkeypatch):
     assert token_files.store_and_read(docs.limit(0), TOKENIZER).count() == 0
 
 
+def test_op9_matches_added_tokens_as_the_library_does(spark, tmp_path):
+    own = Tokenizer.from_file(TOKENIZER)
+    random_ = random.Random(5)
+    bits = ["<|endoftext|>", "<|endoftext|", "|>", " ", "\n", "it's", "a", "é", "12"]
+    texts = ["a<|endoftext|> x", "<|endoftext|>", "<|endoftext|><|endoftext|>", "a  <|endoftext|>  b", None] + ["".join(random_.choices(bits, k=random_.randint(0, 30))) for _ in range(200)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start = 0
+    for r in sorted(queries.op9_huffman_ids(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id):
+        ids = [*own.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), texts[r.doc_id]
+        start += len(ids)
+    assert 50256 in own.encode(texts[0], add_special_tokens=False).ids
+
+
+def test_added_tokens_with_options_are_left_to_the_library(tmp_path):
+    from tokenizers import AddedToken
+
+    own = Tokenizer.from_file(TOKENIZER)
+    own.add_tokens([AddedToken("<x>", lstrip=True, rstrip=True), AddedToken("<xy>x", single_word=True)])
+    own.save(str(tmp_path / "own.json"))
+    texts = ["a <x> b", "a<xy>x b", "<xy>xb", "plain  text", "", "<|endoftext|> c"]
+    coder = token_files.TextEncoder(str(tmp_path / "own.json"), match_added=True)
+    assert [x.tolist() for x in coder.encode(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def pages():
     rows = [(1, "http://a/\r\nX: 1", "<p>é</p>"), (2, None, "<p>é</p>"), (9, "http://b", "<p>é</p>"), (4, "u", None), (5, "u", ""), (6, "u", "WARC/1.0\r\n\r\nHTTP\n" * 50), (7, "u", "x\r\n\r\n"), (None, "n", "<p>é</p>"), (None, "n", "alone")]
     return [(*r, "extra") for r in rows]
