@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from panelwright.llm import toxicity
 from panelwright.llm.common import DOC_COLUMNS, table
@@ -39,3 +41,43 @@ def test_stages_take_odd_rows_and_empty_tables(spark):
             now.count()
     kept = simhash.representatives(docs).collect()
     assert sorted((r.doc_id is None, r.doc_id, r.text) for r in kept) == [(False, 1, ""), (False, 2, "a b c d"), (False, 4, "x " * 3000)]
+
+
+def test_near_duplicates_are_those_of_brute_force(spark):
+    random_ = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [None, "", " ", "a b c", "A  b c", "a b c d"]
+    for _ in range(60):
+        base = random_.choices(words, k=random_.choice([8, 40, 120, 300]))
+        for _ in range(random_.randint(1, 8)):
+            copy = base[:]
+            for _ in range(random_.choice([0, 1, 1, 2, 3, 6])):
+                copy[random_.randrange(len(copy))] = random_.choice(words)
+            texts.append(" ".join(copy[: random_.choice([len(copy), len(copy) * 9 // 10])]))
+    texts += [" ".join([*words[:150], *random_.choices(words, k=random_.choice([5, 10, 15, 20]))]) for _ in range(120)]  # one crowded group
+    random_.shuffle(texts)
+
+    def sets(text):
+        found = (text or "").lower().split()
+        return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))}
+
+    all_sets = [sets(t) for t in texts]
+    group = list(range(len(texts)))
+
+    def first(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    linked = 0
+    for i, a in enumerate(all_sets):
+        for j in range(i):
+            if 5 * len(a & all_sets[j]) >= 4 * len(a | all_sets[j]):
+                x, y = sorted((first(i), first(j)))
+                group[y] = x
+                linked += 1
+    want = [i for i in range(len(texts)) if first(i) == i]
+    assert linked > 1000 and len(want) < len(texts) - 100
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == want
