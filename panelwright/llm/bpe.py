@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
 Texts are cut into pre-tokens by `pretokenize` (class arrays and a transition-function scan, no
-regex). Each distinct slice is merged once per worker and cached; a text's ids are its slices' cached
-ids joined. Byte offsets of the tokens are kept, so any token range decodes to its bytes alone.
+regex). New slices of a run of texts are merged together, a pair of each slice a round, and cached; a
+text's ids are its slices' cached ids joined. Byte offsets of the tokens are kept, so any token range decodes to its bytes alone.
 
 Defined results: a null text encodes as the empty text (no ids, no bytes). Repeated rows give repeated
 rows. Very long slices are merged with a heap in n log n. Only the named columns are read; other input
@@ -22,41 +22,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import TwoGenerations, map_arrow, texts_of
-from panelwright.llm.pretokenize import pretokens
+from panelwright.llm.common import map_arrow, texts_of
+from panelwright.llm.pretokenize import coded, unicode_classes
+from panelwright.llm.slices import Pool, SliceCodes
 
 #: Slices of at least so many bytes are merged with a heap.
 LONG_SLICE = 96
-#: Distinct slices that a worker keeps in each of two generations.
-CACHE_SIZE = 200_000
-
-
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one slice: the pair of lowest rank merges first, the leftmost of equals."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    if len(piece) >= LONG_SLICE:
-        return _merged_long(piece, ranks)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    pair_ranks = [ranks.get(a + b, -1) for a, b in zip(parts, parts[1:])]
-    while True:
-        best = -1
-        for i, r in enumerate(pair_ranks):
-            if r >= 0 and (best < 0 or r < pair_ranks[best]):
-                best = i
-        if best < 0:
-            return [ranks[p] for p in parts]
-        parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        del pair_ranks[best]
-        if best < len(pair_ranks):
-            pair_ranks[best] = ranks.get(parts[best] + parts[best + 1], -1)
-        if best:
-            pair_ranks[best - 1] = ranks.get(parts[best - 1] + parts[best], -1)
-
-
-def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same with a heap over a linked list of spans [start, end)."""
+NO_PAIR = np.int64(1 << 30)
+
+
+class PairTable:
+    """The rank of every pair of tokens whose bytes together are a token, looked up for arrays of pairs."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        keys, values = [], []
+        for piece, rank in ranks.items():
+            for cut in range(1, len(piece)):
+                left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+                if left is not None and right is not None:
+                    keys.append(left << 32 | right)
+                    values.append(rank)
+        order = np.argsort(np.array(keys, np.int64)) if keys else np.zeros(0, np.int64)
+        self.keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
+        self.values = np.append(np.array(values, np.int64)[order], NO_PAIR)
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.values[at], NO_PAIR)
+
+
+def merged_together(pieces: list[bytes], table: PairTable) -> list[np.ndarray]:
+    """Ids of each slice: in every round each slice merges its pair of lowest rank, the leftmost of equals."""
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)
+    ids = table.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
+    owner = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+    pair = np.full(len(ids), NO_PAIR)
+    pair[:-1] = np.where(owner[:-1] == owner[1:], table.find(ids[:-1], ids[1:]), NO_PAIR)
+    while len(ids):
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        best = np.minimum.reduceat(pair << 32 | np.arange(len(ids)), first)
+        done = best >> 32 == NO_PAIR
+        if done.any():
+            size = np.diff(np.append(first, len(ids)))
+            for slice_, a, n in zip(owner[first[done]].tolist(), first[done].tolist(), size[done].tolist()):
+                out[slice_] = ids[a : a + n]
+            stay = np.repeat(~done, size)
+            ids, owner, pair = ids[stay], owner[stay], pair[stay]
+            moved = np.cumsum(stay) - 1
+            at = moved[best[~done] & 0xFFFFFFFF]
+        else:
+            at = best & 0xFFFFFFFF
+        ids[at] = pair[at]
+        keep = np.ones(len(ids), bool)
+        keep[at + 1] = False
+        at = (np.cumsum(keep) - 1)[at]
+        ids, owner, pair = ids[keep], owner[keep], pair[keep]
+        for left in (at[at > 0] - 1, at[at + 1 < len(ids)]):
+            pair[left] = np.where(owner[left] == owner[left + 1], table.find(ids[left], ids[left + 1]), NO_PAIR)
+        pair[-1:] = NO_PAIR
+    return out
+
+
+def merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same for one slice, with a heap over a linked list of spans [start, end)."""
     n = len(piece)
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
     alive = bytearray(b"\x01") * n
@@ -99,27 +129,32 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         size = max(ranks.values()) + 1
-        self.pieces = [b""] * size
+        pieces = [b""] * size
         for piece, rank in ranks.items():
-            self.pieces[rank] = piece
-        self.lengths = np.fromiter(map(len, self.pieces), np.int64, size)
-        self.decimals = [str(i) for i in range(size)]
-        self.cache = TwoGenerations(self._make, CACHE_SIZE)
-
-    def _make(self, slices: list[str]) -> list[bytes]:
-        return [np.array(merged(s.encode(), self.ranks), np.uint32).tobytes() for s in slices]
-
-    def encode(self, texts: list[str]) -> Iterable[np.ndarray]:
+            pieces[rank] = piece
+        self.pieces = Pool(pieces)
+        self.decimals = Pool([b"%d " % i for i in range(size)])
+        self.table = PairTable(ranks)
+        self.slices = SliceCodes(self._make)
+
+    def _make(self, slices: list[bytes]) -> list[np.ndarray]:
+        whole = list(map(self.ranks.get, slices))
+        out = [None if rank is None else np.array([rank], np.uint32) for rank in whole]
+        apart = [i for i, rank in enumerate(whole) if rank is None and len(slices[i]) < LONG_SLICE]
+        for i, ids in zip(apart, merged_together([slices[i] for i in apart], self.table)):
+            out[i] = ids
+        return [np.array(merged_long(slices[i], self.ranks), np.uint32) if ids is None else ids for i, ids in enumerate(out)]
+
+    def encode(self, texts: list[str], classes: bytes | None = None) -> Iterable[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers."""
-        for pieces in pretokens(texts):
-            yield np.frombuffer(b"".join(map(self.cache.view(pieces).__getitem__, pieces)), np.uint32)
+        return coded(texts, classes or unicode_classes(), self.slices)
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Byte offset of each token, and the length of all."""
-        return np.concatenate([[0], np.cumsum(self.lengths[ids])])
+        return np.concatenate([[0], np.cumsum(self.pieces.count[ids])])
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
+        return self.pieces.joined(ids)
 
     def decode_span(self, ids: np.ndarray, offsets: np.ndarray, start: int, stop: int) -> bytes:
         """Bytes start to stop of the decoded text, from the tokens that cover them alone."""
@@ -139,10 +174,11 @@ def encode(docs: DataFrame, rank_file: str, text: str = "text", ids: str = "ids"
     """docs with the ids array<int> of each text and the byte offsets array<long> of its tokens (one more than ids)."""
     kept = [c for c in docs.columns if c not in (ids, offsets)]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
+    classes = unicode_classes()
 
     def rows(batch):
         coder = codec(rank_file)
-        found = list(coder.encode(texts_of(batch, text)))
+        found = list(coder.encode(texts_of(batch, text), classes))
         columns = [batch.column(c) for c in kept]
         columns += [pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array([coder.offsets(x) for x in found], pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids, offsets])
@@ -167,16 +203,17 @@ def decode(tokens: DataFrame, rank_file: str, ids: str = "ids", text: str = "dec
 
 def round_trip_digests(docs: DataFrame, rank_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text encoded and its ids decoded again: counts and digests of both, for checks of whole corpora."""
+    classes = unicode_classes()
 
     def rows(batch):
         coder = codec(rank_file)
         counts, id_digests, byte_digests, sizes = [], [], [], []
-        for ids in coder.encode(texts_of(batch, text)):
+        for ids in coder.encode(texts_of(batch, text), classes):
             data = coder.decode(ids)
             assert len(data) == int(coder.offsets(ids)[-1])
             counts.append(len(ids))
             sizes.append(len(data))
-            id_digests.append(hashlib.sha256(" ".join(map(coder.decimals.__getitem__, ids.tolist())).encode()).hexdigest())
+            id_digests.append(hashlib.sha256(coder.decimals.joined(ids)[:-1]).hexdigest())
             byte_digests.append(hashlib.sha256(data).hexdigest())
         names = [key, "n_tokens", "ids_sha256", "decoded_sha256", "decoded_bytes"]
         yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(counts, pa.int64()), pa.array(id_digests), pa.array(byte_digests), pa.array(sizes, pa.int64())], names=names)

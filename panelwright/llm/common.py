@@ -98,36 +98,3 @@ def chunks(texts: list[str], most_chars: int) -> Iterator[tuple[int, int]]:
         total += len(text)
     if start < len(texts):
         yield start, len(texts)
-
-
-class TwoGenerations:
-    """A bounded cache: when the young generation is full it becomes the old one, whose hits are renewed."""
-
-    def __init__(self, make: Callable[[list[str]], list], size: int, longest: int = 64):
-        self.make, self.size, self.longest = make, size, longest
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def view(self, keys: list[str]) -> dict:
-        """A mapping that holds every key of keys; values longer keys need are not kept afterwards."""
-        need = set(keys).difference(self.young)
-        extra = {}
-        if need:
-            old, young = self.old, self.young
-            missing = []
-            for k in need:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    missing.append(k)
-            for k, v in zip(missing, self.make(missing)):
-                if len(k) <= self.longest:
-                    young[k] = v
-                else:
-                    extra[k] = v
-        found = self.young
-        if extra:
-            found = {k: extra[k] if k in extra else self.young[k] for k in set(keys)}
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
-        return found

@@ -6,18 +6,21 @@ Each class is a function from state to state, functions compose associatively, a
 functions that can arise are numbered with a composition table. So the state before every character
 comes from a blocked parallel scan over small integers, and a boundary is a lookup by (state, class).
 
-The boundaries are those of the pattern of public_tokenizers.PATTERN.
+The boundaries are those of the pattern of public_tokenizers.PATTERN. Which code points are letters and numbers
+depends on a Unicode version, so the class table is asked of the tokenizer library itself, once on the driver
+(`unicode_classes`), and sent to the workers: neither the worker's Python nor its Unicode data enters a result.
 """
 
 from __future__ import annotations
 
 import functools
-import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 
 from panelwright.llm.common import chunks
+from panelwright.llm.slices import PADDING, SliceCodes
 
 LETTER, NUMBER, OTHER, SPACE_RUN, SPACE_LAST, WHITE_LAST, SHORT_FORM, LONG_FORM, END = range(9)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, GLUE, IN_SPACES, ONE_MORE, TWO_MORE = range(8)
@@ -55,16 +58,29 @@ def _step(state: int, kind: int) -> tuple[int, bool]:
 
 
 @functools.cache
-def _tables():
-    """Classes by code point; the functions' composition, action and the boundary tables."""
+def unicode_classes() -> bytes:
+    """The class of every code point by the tokenizer library's Unicode version, compressed to some kilobytes."""
+    import tiktoken
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    single_bytes = {bytes([b]): b for b in range(256)}
     kinds = np.full(0x110000, OTHER, np.uint8)
-    for code in range(0x110000):
-        c = unicodedata.category(chr(code))[0]
-        if c == "L":
-            kinds[code] = LETTER
-        elif c == "N":
-            kinds[code] = NUMBER
+    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER)):
+        probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=single_bytes, special_tokens={})
+        found = probe.decode_bytes(probe.encode_ordinary(every)).decode()  # what doesn't match is left out
+        kinds[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
     kinds[WHITE_SPACE] = SPACE_RUN
+    return zlib.compress(kinds.tobytes(), 9)
+
+
+@functools.cache
+def _classes(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8)
+
+
+@functools.cache
+def _tables():
+    """The functions of the classes, their composition, action and the boundary tables."""
     identity = tuple(range(8))
     generators = [tuple(_step(s, k)[0] for s in range(8)) for k in range(9)]
     numbers = {identity: 0}
@@ -82,7 +98,7 @@ def _tables():
     by_kind = bytes(numbers[g] for g in generators).ljust(256, b"\0")
     state = bytes(f[FRESH] for f in functions).ljust(256, b"\0")
     boundary = np.array([[_step(s, k)[1] for k in range(9)] for s in range(8)], np.uint8)
-    return kinds, by_kind, _packed(compose), state, _packed(boundary)
+    return by_kind, _packed(compose), state, _packed(boundary)
 
 
 def _packed(table: np.ndarray) -> bytes:
@@ -119,10 +135,10 @@ def _scan(x: np.ndarray, compose: bytes) -> np.ndarray:
     return full.T.ravel()[:n]
 
 
-def starts(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def starts(codes: np.ndarray, ends: np.ndarray, classes: bytes) -> np.ndarray:
     """Positions at which a pre-token starts; ends: positions of the separators, which count as starts."""
-    kinds_of, by_kind, compose, state, boundary = _tables()
-    kinds = kinds_of.take(codes)
+    by_kind, compose, state, boundary = _tables()
+    kinds = _classes(classes).take(codes)
     white = kinds == SPACE_RUN
     kinds[ends] = END
     white[ends] = True
@@ -144,18 +160,45 @@ def starts(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(_look(boundary, states, kinds))
 
 
-def pretokens(texts: list[str], most_chars: int = 1 << 19) -> Iterator[list[str]]:
-    """The pre-tokens of each text, in order. Texts are scanned together in runs of about most_chars."""
+def runs(texts: list[str], classes: bytes, most_chars: int = 1 << 19) -> Iterator[tuple[bytes, np.ndarray, list[int]]]:
+    """(data, cuts, ends) of runs of texts of about most_chars that are scanned together.
+
+    data is the run's UTF-8 bytes and padding; pre-token i is its bytes cuts[i] to cuts[i + 1]; ends are the numbers of
+    the separators, one after each text.
+    """
     for lo, hi in chunks(texts, most_chars):
         part = texts[lo:hi]
         joined = "\n".join(part) + "\n"
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum([len(t) + 1 for t in part]) - 1
-        at = starts(codes, ends)
-        marks = np.searchsorted(at, ends)
-        cuts = at.tolist()
-        pieces = [joined[a:b] for a, b in zip(cuts, cuts[1:])]
+        at = starts(codes, ends, classes)
+        numbers = np.searchsorted(at, ends).tolist()
+        data = joined.encode("utf-8", "surrogatepass")
+        if len(data) > len(codes):
+            width = np.ones(len(codes), np.int64)
+            for least in (0x80, 0x800, 0x10000):
+                width += codes >= least
+            at = (np.cumsum(width) - width)[at]
+        yield data + b"\0" * PADDING, np.append(at, len(data)), numbers
+
+
+def pretokens(texts: list[str], most_chars: int = 1 << 19, classes: bytes | None = None) -> Iterator[list[str]]:
+    """The pre-tokens of each text, in order."""
+    for data, cuts, ends in runs(texts, classes or unicode_classes(), most_chars):
+        places = cuts.tolist()
+        pieces = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(places, places[1:])]
+        first = 0
+        for end in ends:
+            yield pieces[first:end]
+            first = end + 1
+
+
+def coded(texts: list[str], classes: bytes, slices: SliceCodes) -> Iterator[np.ndarray]:
+    """The codes of each text's pre-tokens, as unsigned 32-bit integers."""
+    for data, cuts, ends in runs(texts, classes):
+        codes, counts = slices.codes(data, cuts[:-1], cuts[1:])
+        upto = np.append(0, np.cumsum(counts)).tolist()
         first = 0
-        for mark in marks.tolist():
-            yield pieces[first:mark]
-            first = mark + 1
+        for end in ends:
+            yield codes[upto[first] : upto[end]]
+            first = end + 1

@@ -30,15 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import huffman
-from panelwright.llm.common import TwoGenerations, map_arrow, open_shared, shared_path, stored, texts_of
-from panelwright.llm.pretokenize import pretokens
+from panelwright.llm.common import map_arrow, open_shared, shared_path, stored, texts_of
+from panelwright.llm.pretokenize import coded, unicode_classes
+from panelwright.llm.slices import SliceCodes
 
 MAGIC = b"PWHF1\n"
 #: Ids of a group; a longer document makes its group longer.
 GROUP = 1 << 20
 #: Documents of a group at most.
 GROUP_DOCUMENTS = 1 << 14
-CACHE_SIZE = 400_000
+#: Ids of a part, about, where there are more than shuffle partitions hold.
+PART_IDS = 1 << 26
 _HEAD = struct.Struct("<6sIIB")
 _GROUP = struct.Struct("<QQQQ")
 
@@ -58,43 +60,40 @@ class TextEncoder:
     does by default; without it they are ordinary text, as with the library's encode_special_tokens.
     """
 
-    def __init__(self, tokenizer_file: str, match_added: bool = False):
+    def __init__(self, tokenizer_file: str, classes: bytes | None = None, match_added: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.cache = TwoGenerations(self._make, CACHE_SIZE)
+        self.classes = classes or unicode_classes()
+        self.slices = SliceCodes(self._make)
         tokens = self.tokenizer.get_added_tokens_decoder() if match_added else {}
-        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in tokens.items()}
+        self.added = {t.content: np.array([i], np.uint32) for i, t in tokens.items()}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cuts = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
         #: Tokens that take white space in or ask for a word's bounds: texts that hold one are left to the library.
         self.whole = any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tokens.values())
 
-    def _make(self, slices: list[str]) -> list[bytes]:
-        letters, model = self.letters, self.model
-        return [np.array([t.id for t in model.tokenize("".join([letters[b] for b in s.encode()]))], "<u4").tobytes() for s in slices]
-
-    def _plain(self, texts: list[str]) -> Iterator[bytes]:
-        for pieces in pretokens(texts):
-            yield b"".join(map(self.cache.view(pieces).__getitem__, pieces))
+    def _make(self, slices: list[bytes]) -> list[np.ndarray]:
+        letters, tokenize = self.letters, self.model.tokenize
+        return [np.array([t.id for t in tokenize(s.decode("latin-1").translate(letters))], np.uint32) for s in slices]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         cut = [self.cuts.split(t) if self.cuts else [t] for t in texts]  # text, token, text, ..., text
         if self.whole:
             cut = [parts if len(parts) == 1 else [] for parts in cut]
-        coded = self._plain([part for parts in cut for part in parts[::2]])
+        plain = coded([part for parts in cut for part in parts[::2]], self.classes, self.slices)
         for text, parts in zip(texts, cut):
             if parts:
-                yield np.frombuffer(b"".join([self.added[part] if i % 2 else next(coded) for i, part in enumerate(parts)]), "<u4")
+                yield np.concatenate([self.added[part] if i % 2 else next(plain) for i, part in enumerate(parts)])
             else:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @functools.cache
-def text_encoder(tokenizer_file: str, match_added: bool = False) -> TextEncoder:
-    return TextEncoder(tokenizer_file, match_added)
+def text_encoder(tokenizer_file: str, classes: bytes, match_added: bool = True) -> TextEncoder:
+    return TextEncoder(tokenizer_file, classes, match_added)
 
 
 def _pack_ids(ids: np.ndarray) -> bytes:
@@ -106,11 +105,12 @@ def _unpack_ids(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.uint32)
 
 
-def encoded(docs: DataFrame, tokenizer_file: str, end_id: int, key: str = "doc_id", text: str = "text", match_added: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer_file: str, end_id: int, key: str = "doc_id", text: str = "text", match_added: bool = True) -> DataFrame:
     """(key, n, packed, tie): each text's ids and end_id, compressed; tie orders documents of equal keys."""
+    classes = unicode_classes()
 
     def rows(batch):
-        coder = text_encoder(tokenizer_file, match_added)
+        coder = text_encoder(tokenizer_file, classes, match_added)
         found = [np.append(x, np.uint32(end_id)) for x in coder.encode(texts_of(batch, text))]
         yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([len(x) for x in found], pa.int64()), pa.array([_pack_ids(x) for x in found], pa.binary())], names=[key, "n", "packed"])
 
@@ -144,9 +144,9 @@ def _write_head(sink, lengths: np.ndarray) -> None:
     sink.write(_HEAD.pack(MAGIC, len(lengths), len(packed), 1) + packed)
 
 
-def _write_group(sink, keys: list, sizes: list[int], ids: np.ndarray, lengths: np.ndarray, coded: np.ndarray) -> None:
-    bits, checkpoints = huffman.encode(ids, lengths, coded)
-    table = pa.record_batch([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], names=["key", "n"])
+def _write_group(sink, keys: pa.Array, sizes: list[int], ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> None:
+    bits, checkpoints = huffman.encode(ids, lengths, codes)
+    table = pa.record_batch([keys, pa.array(sizes, pa.int64())], names=["key", "n"])
     buffer = io.BytesIO()
     with pa.ipc.new_stream(buffer, table.schema) as writer:
         writer.write_batch(table)
@@ -157,35 +157,43 @@ def _write_group(sink, keys: list, sizes: list[int], ids: np.ndarray, lengths: n
         sink.write(part)
 
 
-def write(ids: DataFrame, folder: str, parts: int, key: str = "doc_id") -> list[tuple[int, str, int, int]]:
-    """Writes the data set; (part, file, documents, ids) in order. Parts are written anew if their task is."""
-    lengths = huffman.code_lengths(id_counts(ids))
-    sent = ids.sparkSession.sparkContext.broadcast(lengths)
+def write(ids: DataFrame, folder: str, parts: int | None = None, key: str = "doc_id") -> list[tuple[int, str, int, int]]:
+    """Writes the data set; (part, file, documents, ids) in order. Parts are written anew if their task is.
+
+    Without parts there are as many as shuffle partitions, and more where a part would hold over PART_IDS ids.
+    """
+    spark = ids.sparkSession
+    counts = id_counts(ids)
+    lengths = huffman.code_lengths(counts)
+    sent = spark.sparkContext.broadcast(lengths)  # a byte for each entry of the vocabulary
+    if parts is None:
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum()) // PART_IDS))
 
     def run(batches):
         lengths = sent.value
-        coded = huffman.codes(lengths)
+        codes = huffman.codes(lengths)
         part = TaskContext.get().partitionId()
         store, root = open_shared(folder)
         store.create_dir(root, recursive=True)
         name = f"part-{part:06d}.pwhf"
         attempt = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}"
-        n_docs = n_ids = 0
-        keys, sizes, held = [], [], []
+        n_docs = n_ids = group_ids = 0
+        keys, sizes, held, kind = [], [], [], None
 
         with store.open_output_stream(attempt) as sink:
             _write_head(sink, lengths)
             for batch in batches:
+                kind = batch.column(key).type
                 for k, n, data in zip(batch.column(key).to_pylist(), batch.column("n").to_pylist(), batch.column("packed").to_pylist()):
                     keys.append(k)
                     sizes.append(n)
                     held.append(_unpack_ids(data, n))
-                    n_docs, n_ids = n_docs + 1, n_ids + n
-                    if len(keys) >= GROUP_DOCUMENTS or sum(sizes) >= GROUP:
-                        _write_group(sink, keys, sizes, np.concatenate(held), lengths, coded)
-                        keys, sizes, held = [], [], []
+                    n_docs, n_ids, group_ids = n_docs + 1, n_ids + n, group_ids + n
+                    if len(keys) >= GROUP_DOCUMENTS or group_ids >= GROUP:
+                        _write_group(sink, pa.array(keys, kind), sizes, np.concatenate(held), lengths, codes)
+                        keys, sizes, held, group_ids = [], [], [], 0
             if keys:
-                _write_group(sink, keys, sizes, np.concatenate(held), lengths, coded)
+                _write_group(sink, pa.array(keys, kind), sizes, np.concatenate(held), lengths, codes)
         if n_docs:
             store.move(attempt, f"{root}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], names=["part", "file", "n_docs", "n_ids"])
@@ -197,7 +205,7 @@ def write(ids: DataFrame, folder: str, parts: int, key: str = "doc_id") -> list[
     return sorted(tuple(r) for r in rows)
 
 
-def read_part(uri: str) -> Iterator[tuple[list, list[int], np.ndarray]]:
+def read_part(uri: str) -> Iterator[tuple[pa.Array, list[int], np.ndarray]]:
     """(keys, token counts, ids) of each group of a part file."""
     store, path = open_shared(uri)
     with store.open_input_stream(path) as source:
@@ -209,11 +217,11 @@ def read_part(uri: str) -> Iterator[tuple[list, list[int], np.ndarray]]:
             with pa.ipc.open_stream(zlib.decompress(source.read(a))) as reader:
                 table = reader.read_all()
             checkpoints = np.cumsum(np.frombuffer(source.read(b), "<u4").astype(np.int64))
-            yield table["key"].to_pylist(), table["n"].to_pylist(), decoder.decode(source.read(c), checkpoints, n)
+            yield table["key"].combine_chunks(), table["n"].to_pylist(), decoder.decode(source.read(c), checkpoints, n)
 
 
-def read_documents(spark, folder: str, manifest: list[tuple[int, str, int, int]], key: str = "doc_id") -> DataFrame:
-    """(key, start, n_tokens, ids_crc32) of each document, from the files; start counts the ids before it."""
+def read_documents(spark, folder: str, manifest: list[tuple[int, str, int, int]], key: str = "doc_id", kind: str = "bigint") -> DataFrame:
+    """(key of type kind, start, n_tokens, ids_crc32) of each document, from the files; start counts the ids before it."""
     base, rows = 0, []
     for _, name, _, n_ids in manifest:
         rows.append((f"{folder}/{name}", base))
@@ -228,16 +236,15 @@ def read_documents(spark, folder: str, manifest: list[tuple[int, str, int, int]]
                 ends = np.cumsum(sizes)
                 begins = ends - sizes
                 checks = [zlib.crc32(memoryview(raw)[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(begins + start, pa.int64()), pa.array(sizes, pa.int64()), pa.array(checks, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(begins + start, pa.int64()), pa.array(sizes, pa.int64()), pa.array(checks, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
                 start += len(ids)
 
-    return map_arrow(listed, one, f"`{key}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return map_arrow(listed, one, f"`{key}` {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def store_and_read(docs: DataFrame, tokenizer_file: str, end_id: int = 2, key: str = "doc_id", text: str = "text", match_added: bool = False) -> DataFrame:
+def store_and_read(docs: DataFrame, tokenizer_file: str, end_id: int = 2, key: str = "doc_id", text: str = "text", match_added: bool = True) -> DataFrame:
     """docs written as token-id files in the shared folder and read back; match_added as in TextEncoder."""
     spark = docs.sparkSession
     folder = shared_path(spark, "token-files")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    manifest = write(encoded(docs, tokenizer_file, end_id, key, text, match_added), folder, parts, key)
-    return read_documents(spark, folder, manifest, key)
+    manifest = write(encoded(docs, tokenizer_file, end_id, key, text, match_added), folder, None, key)
+    return read_documents(spark, folder, manifest, key, docs.schema[key].dataType.simpleString())

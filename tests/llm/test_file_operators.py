@@ -49,15 +49,17 @@ def test_blocks_round_trip(n):
         assert (decoder.decode(data, marks[1:2], 512) == ids[512:1024]).all()
 
 
-def test_token_files_match_the_library(spark, monkeypatch):
+@pytest.mark.parametrize("match_added", [True, False])
+def test_token_files_match_the_library(spark, monkeypatch, match_added):
     monkeypatch.setattr(token_files, "GROUP_DOCUMENTS", 7)
     own = Tokenizer.from_file(TOKENIZER)
-    own.encode_special_tokens = True
+    if not match_added:
+        own.encode_special_tokens = True
     random_ = random.Random(3)
     texts = [None, "", "<|endoftext|> x", "it's  \n 12 é中", "z" * 3000] + ["".join(random_.choices("abcde  \n'", k=random_.randint(0, 400))) for _ in range(60)]
     rows = [(random_.randint(-50, 50) if i else None, t, "clash") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n string")
-    got = sorted((tuple(r) for r in token_files.store_and_read(docs, TOKENIZER).collect()), key=lambda r: r[1])
+    got = sorted((tuple(r) for r in token_files.store_and_read(docs, TOKENIZER, match_added=match_added).collect()), key=lambda r: r[1])
     want = {}
     for key, text, _ in rows:
         ids = [*own.encode(text or "", add_special_tokens=False).ids, 2]
@@ -69,6 +71,16 @@ def test_token_files_match_the_library(spark, monkeypatch):
         want[key].remove((n, check))
         start += n
     assert token_files.store_and_read(docs.limit(0), TOKENIZER).count() == 0
+    named = docs.selectExpr("concat('k', doc_id) AS doc_id", "text")
+    assert {r.doc_id for r in token_files.store_and_read(named, TOKENIZER).collect()} == {r.doc_id for r in named.collect()}
+
+
+def test_every_code_point_is_encoded_as_the_library_does():
+    own, coder = Tokenizer.from_file(TOKENIZER), token_files.TextEncoder(TOKENIZER)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"{c}'s {c}1 !{c} " for c in every[i : i + 64]) for i in range(0, len(every), 64)]
+    for text, ids, found in zip(texts, coder.encode(texts), own.encode_batch(texts, add_special_tokens=False)):
+        assert ids.tolist() == found.ids, text
 
 
 def test_op9_matches_added_tokens_as_the_library_does(spark, tmp_path):

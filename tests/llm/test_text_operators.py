@@ -2,12 +2,13 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import regex
 import tiktoken
 import xxhash
 
-from panelwright.llm import bpe, line_dedup, quality_rules, simhash
+from panelwright.llm import bpe, line_dedup, quality_rules, simhash, slices
 from panelwright.llm.pretokenize import pretokens
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -45,6 +46,33 @@ def test_bpe_matches_the_library(spark):
     assert bpe.round_trip_digests(docs.limit(0), RANKS).count() == 0
 
 
+def test_every_code_point_is_encoded_as_the_library_does():
+    own, coder = library(), bpe.codec(RANKS)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"{c}'s {c}1 !{c} " for c in every[i : i + 64]) for i in range(0, len(every), 64)]
+    for text, ids in zip(texts, coder.encode(texts)):
+        assert ids.tolist() == own.encode_ordinary(text), text
+
+
+def test_slices_have_their_own_codes_in_a_crowded_table(monkeypatch):
+    monkeypatch.setattr(slices, "BLOCK", 40)
+    random_, calls = random.Random(4), []
+
+    def make(found):
+        calls.append(found)
+        return [np.frombuffer(s, np.uint8).astype(np.uint32)[::-1] for s in found]
+
+    cache = slices.SliceCodes(make, slot_bits=7)
+    for _ in range(30):
+        parts = ["".join(random_.choices("ab\0", k=random_.choice([1, 2, 3, 8, 22, 23, 24, 60]))).encode() for _ in range(random_.randint(0, 150))]
+        ends = np.cumsum([len(p) for p in parts]).astype(np.int64)
+        begins = np.append(0, ends)[: len(parts)]
+        codes, counts = cache.codes(b"".join(parts) + b"\0" * slices.PADDING, begins, ends)
+        assert counts.tolist() == [len(p) for p in parts]
+        assert codes.tolist() == [b for p in parts for b in reversed(p)]
+    assert all(len(set(c)) == len(c) for c in calls)
+
+
 def naive_fingerprint(text, width=3):
     words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text).replace("\t", " ").replace("\n", " ").split(" ") if w]
     shingles = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] if len(words) >= width else [" ".join(words)] * bool(words)
