@@ -1,14 +1,16 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is a logistic function of its words' weights, and a
-document's score is the noisy-or of its sentences' (it is toxic if any of them is). Weights are learned
-from document labels alone, through the noisy-or; the sentences that score highest are then the offending
-ones. A word's weight is that of the word and of its beginnings, so that related forms share evidence.
+A document is a bag of sentences. A sentence's score is a logistic function of a bias, of its words' weights and of
+the number of sentences, and a document's score is the noisy-or of all its sentences' (it is toxic if any of them
+is), in training and scoring alike. The bias falls with the logarithm of that number: with no evidence a document of
+a thousand sentences is as likely toxic as one of ten. Weights are learned from document labels alone, through the
+noisy-or; the sentences that score highest are then the offending ones. A word's weight is that of the word and of
+its beginnings, so that related forms share evidence.
 
 Only rows that `split` assigns to training are learned from, at most `per_label` of each label, in hash
 order, of at most `longest` characters: these bounds keep the driver's memory fixed. Every row is scored.
 
-Defined results: a null text is the empty text, whose score is that of no sentence, 0. Repeated rows get
+Defined results: a null text is the empty text; a text without words has no sentence and scores 0. Repeated rows get
 equal scores; labels that disagree about a document count as toxic. A null label is none. Only key and text
 are read; labels, language and source never enter a score. With no labelled rows every score is 0.
 """
@@ -46,7 +48,7 @@ class Training:
     rounds: int = 200
     rate: float = 0.4
     sparsity: float = 2e-4
-    bias: float = -6.0
+    bias: float = -4.0
 
 
 def features(word: str) -> list[str]:
@@ -78,11 +80,12 @@ def fit(texts: list[str], labels: list[int], training: Training = Training()) ->
     pairs = [(i, number[f]) for w, i in vocabulary.items() for f in features(w) if f in number]
     of_word, of_feature = (np.array(x) for x in zip(*pairs))
     sentence, word, doc, y = np.array(sentence), np.array(word), np.array(doc), np.array(labels, float)
+    prior = -np.log(np.bincount(doc, minlength=len(y))[doc])
     weights, bias = np.zeros(len(names)), training.bias
     squares, bias_square = np.full(len(names), 1e-8), 1e-8
     for _ in range(training.rounds):
         of_words = np.bincount(of_word, weights[of_feature], len(vocabulary))
-        z = np.clip(bias + np.bincount(sentence, of_words[word], len(doc)), -30, 30)
+        z = np.clip(bias + prior + np.bincount(sentence, of_words[word], len(doc)), -30, 30)
         p = 1 / (1 + np.exp(-z))
         none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y))  # log of the chance that no sentence is toxic
         any_ = np.maximum(-np.expm1(none), 1e-9)
@@ -107,31 +110,29 @@ class Model:
         self.bias, self.weights = bias, weights
         self.words: dict[str, float] = {}
 
-    def _weigh(self, words: list[str]) -> dict[str, float]:
+    def _weigh(self, words: set[str]) -> dict[str, float]:
         own = self.words
         if len(own) > WORDS_KEPT:
             own.clear()
-        for w in set(words).difference(own):
+        for w in words.difference(own):
             own[w] = sum(self.weights.get(f, 0.0) for f in features(w))
         return own
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """The document's score and (start, end, score) of each sentence with a word whose weights say anything."""
+        """The noisy-or of all the document's sentences and (start, end, score) of each."""
         lower = text.lower()
         if not self.weights:
             return 0.0, []
-        own = self._weigh(_WORD.findall(lower))
         if len(lower) != len(text):
             lower = text
-        none, found = 0.0, []
-        for match in _SENTENCE.finditer(lower):
-            words = set(_WORD.findall(match[0].lower()))
-            known = sum(own.get(w, 0.0) for w in words)
-            if known > 0:
-                p = 1 / (1 + math.exp(-min(30.0, self.bias + known)))
-                none += math.log1p(-p)
-                found.append((match.start(), match.end(), p))
-        return -math.expm1(none) if found else 0.0, found
+        bags = [(m.start(), m.end(), set(_WORD.findall(m[0].lower()))) for m in _SENTENCE.finditer(lower)]
+        own = self._weigh({w for _, _, words in bags for w in words})
+        spans = [(a, b, math.fsum(map(own.__getitem__, words))) for a, b, words in bags if words]
+        if not spans:
+            return 0.0, []
+        bias = self.bias - math.log(len(spans))
+        found = [(a, b, 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + known))))) for a, b, known in spans]
+        return -math.expm1(math.fsum(math.log1p(-p) for _, _, p in found)), found
 
 
 def remainder(key: Column) -> Column:

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -265,6 +266,34 @@ def test_toxicity_held_out_accuracy_and_places(spark):
     assert none[0] == 0.0
 
 
+def test_toxicity_scores_are_the_noisy_or_of_every_sentence(spark):
+    bias, weights = toxicity.fit([t for _, t, _ in toxic_corpus(300)], [y for _, _, y in toxic_corpus(300)])
+    random_ = random.Random(8)
+    words = ["vil", "grotty", "Nasty", "nastier", "good", "tree", "İx", "ΑΣ", "new", *weights][:40]
+    texts = [". ".join(" ".join(random_.choices(words, k=random_.randint(0, 6))) for _ in range(random_.choice([1, 3, 40, 400]))) for _ in range(60)]
+    texts += ["the tree is new. " * 3000, "", " ", "12. 3!"]
+
+    def brute(text):
+        sentences, now = [], ""
+        for c in text + ".":
+            if c in ".!?\n":
+                bag = {w for w in "".join(x if x.isalpha() else " " for x in now.lower()).split()}
+                sentences += [bag] if bag else []
+                now = ""
+            else:
+                now += c
+        none = 1.0
+        for bag in sentences:
+            known = sum(weights.get(f, 0.0) for w in bag for f in [w, *[w[:n] + "*" for n in (4, 5, 6, 7) if n <= len(w)]])
+            none *= 1 - 1 / (1 + math.exp(-(bias - math.log(len(sentences)) + known)))
+        return 1 - none
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.scores(docs, (bias, weights)).collect()}
+    assert all(abs(got[i] - brute(t)) < 1e-9 for i, t in enumerate(texts))
+    assert got[60] < 0.1  # no more toxic for being long
+
+
 def test_toxicity_ignores_held_out_labels(spark):
     rows = toxic_corpus(300)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
