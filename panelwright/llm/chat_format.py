@@ -4,55 +4,62 @@ For every participant of a conversation the dialogue is rendered with that speak
 others as named users; system turns stay system turns. The loss mask of a rendering is the list of character
 spans of the assistant's contents with their end marks.
 
-A rendering covers at most `turns` consecutive turn numbers, so that a conversation that holds a large part of
-all rows is many groups and not one. Messages that are equal in conversation, turn, role and text are one
-message; they are dropped before rows of a group meet.
-
-Defined results: a null text is empty, a null role is the speaker `unknown`, null turns come after all others
-in a part of their own, a null conversation id is a conversation. Messages with one turn number follow each
-other by role and text. Marks inside a text are broken up, characters that a name can't hold become `_`. A
-conversation of system turns alone has no participants and no rows. Other columns are dropped.
+The whole dialogue is one rendering. One that is longer than PART_CHARS characters comes in consecutive rows, in
+the order of `part`, so that a conversation that holds a large part of all rows is many bounded groups and not one;
+their renderings joined are the whole one, and a mask counts from its row's beginning.
+
+Defined results: a null text is empty; a null role is a speaker of its own, named `_null`; null turns come after all
+others, a null conversation id is a conversation. Messages with one turn number follow each other by role (null first)
+and text; messages that repeat are repeated. Marks inside a text are broken up. Names that don't start with a letter,
+digit or hyphen or hold other characters than these and `_` are written as `_` and the hexadecimal form of their
+UTF-8 bytes, so that different speakers have different names. A conversation of system turns alone has no participants
+and no rows. Other columns are dropped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
-#: Turn numbers of one rendering.
-TURNS = 64
+#: Characters of texts, with MESSAGE_CHARS for each message, after which a new row of a rendering begins.
+PART_CHARS = 1 << 22
+MESSAGE_CHARS = 64
 SYSTEM = "system"
 
 
 def _name(role: Column) -> Column:
-    return F.regexp_replace(role, "[^A-Za-z0-9_-]", "_")
+    plain = role.rlike(r"^[A-Za-z0-9-][A-Za-z0-9_-]*\z")
+    return F.when(role.isNull(), "_null").when(plain, role).otherwise(F.concat(F.lit("_"), F.lower(F.hex(F.encode(role, "UTF-8")))))
 
 
 def _heading(role: Column, perspective: Column) -> Column:
     other = F.concat(F.lit("user name="), _name(role))
-    return F.when(role == SYSTEM, F.lit(SYSTEM)).when(role == perspective, F.lit("assistant")).otherwise(other)
+    return F.when(role == SYSTEM, F.lit(SYSTEM)).when(role.eqNullSafe(perspective), F.lit("assistant")).otherwise(other)
 
 
-def messages(turns: DataFrame, conversation: str, turn: str, role: str, text: str, width: int) -> DataFrame:
-    """(conv, part, msgs): the distinct messages of each part of a conversation, in order."""
+def messages(turns: DataFrame, conversation: str, turn: str, role: str, text: str, part_chars: int) -> DataFrame:
+    """(conv, part, msgs): the messages of each part of a conversation, in order."""
     clean = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("<|im_"), F.lit("<| im_"))
-    rows = turns.select(F.col(conversation).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), clean.alias("text"))
-    rows = rows.distinct().withColumn("part", F.floor(F.col("turn") / width))
+    rows = turns.select(F.col(conversation).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), clean.alias("text"))
+    size = F.char_length("text") + MESSAGE_CHARS
+    order = Window.partitionBy("conv").orderBy(F.col("turn").isNull(), "turn", "role", "text")
+    before = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size
     message = F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "text")
-    return rows.groupBy("conv", "part").agg(F.sort_array(F.collect_list(message)).alias("msgs"))
+    return rows.withColumn("part", F.floor(before / part_chars)).groupBy("conv", "part").agg(F.sort_array(F.collect_list(message)).alias("msgs"))
 
 
-def rotate(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", width: int = TURNS) -> DataFrame:
+def rotate(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
     """(conversation, part, perspective, n_messages, rendered, mask array<struct<start, end>>), one row per participant and part.
 
     Every participant of the whole conversation has a row for each part, also where it says nothing.
     """
-    parts = messages(turns, conversation, turn, role, text, width)
-    speakers = turns.select(F.col(conversation).alias("who"), F.coalesce(F.col(role), F.lit("unknown")).alias("perspective")).filter(F.col("perspective") != SYSTEM).distinct()
+    parts = messages(turns, conversation, turn, role, text, part_chars)
+    speakers = turns.select(F.col(conversation).alias("who"), F.col(role).alias("perspective")).filter(F.col("perspective").isNull() | (F.col("perspective") != SYSTEM)).distinct()
     both = parts.join(speakers, parts.conv.eqNullSafe(speakers.who)).drop("who")
     pieces = F.transform("msgs", lambda m: F.concat(F.lit(OPEN), _heading(m.role, F.col("perspective")), F.lit("\n"), m.text, F.lit(CLOSE + "\n")))
-    mine = F.transform("msgs", lambda m: m.role == F.col("perspective"))
+    mine = F.transform("msgs", lambda m: m.role.eqNullSafe(F.col("perspective")))
     both = both.withColumn("pieces", F.arrays_zip(pieces.alias("piece"), mine.alias("mine")))
     head, tail = len(f"{OPEN}assistant\n"), 1
     step = lambda acc, p: F.struct(

@@ -185,13 +185,38 @@ def test_chat_rotation_matches_sql(spark):
     rows += [(None, 0, "x y\n", "a", 7), (None, None, None, "b", 8), (1, 0, "ann", "hi", 9), (3, 2, "zoë", "", 10)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, mask long")
     got = same(chat_format.rotation_digests(turns), queries.OP6_SQL, conversations=turns)
-    assert len(got) == 2 * 2 + 2 * 2 + 1
+    assert len(got) == 2 + 2 + 1
     shown = chat_format.rotate(turns).filter("conv_id = 1 and part = 0 and perspective = 'bob'").first()
     assert [shown.rendered[s.start : s.end] for s in shown.mask] == ["<| im_end|> é<|im_end|>", "again<|im_end|>"] or len(shown.mask) == 2
     assert "user name=ann" in shown.rendered and "assistant" in shown.rendered and shown.rendered.count("<|im_start|>system") == 1
     assert chat_format.rotation_digests(turns.limit(0)).count() == 0
 
 
+def test_whole_dialogues_are_rendered_with_repeats_and_distinct_names(spark):
+    random_ = random.Random(3)
+    rows = [(i % 3, i // 3, random_.choice(["ann", "a b", "a_b", "_612062", None, "_null", "system", "unknown"]), random_.choice(["yes", "no"]) + " x" * (i % 5)) for i in range(600)]
+    rows += rows[:50]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    same(chat_format.rotation_digests(turns), queries.OP6_SQL, conversations=turns)
+    whole = {(r.conv_id, r.perspective): r for r in chat_format.rotate(turns).collect()}
+    name = lambda r: "_null" if r is None else r if r.replace("_", "").isalnum() and r[0] != "_" else "_" + r.encode().hex()
+    for conv in range(3):
+        told = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1], r[2] is not None, r[2] or "", r[3]))
+        for who in {r[2] for r in told} - {"system"}:
+            heads = ["system" if r[2] == "system" else "assistant" if r[2] == who else "user name=" + name(r[2]) for r in told]
+            got = whole.pop((conv, who))
+            assert got.rendered == "".join(f"<|im_start|>{h}\n{r[3]}<|im_end|>\n" for h, r in zip(heads, told)) and got.n_messages == len(told)
+            assert [got.rendered[s.start : s.end] for s in got.mask] == [r[3] + "<|im_end|>" for r in told if r[2] == who]
+            others = {h for h in heads if h.startswith("user")}
+            assert len(others) == len({r[2] for r in told} - {"system", who})
+    assert not whole
+    parts = sorted(chat_format.rotate(turns, part_chars=1000).collect(), key=lambda r: r.part)
+    joined = {}
+    for r in parts:
+        joined[r.conv_id, r.perspective] = joined.get((r.conv_id, r.perspective), "") + r.rendered
+    assert max(r.part for r in parts) > 5 and joined == {(r.conv_id, r.perspective): r.rendered for r in chat_format.rotate(turns).collect()}
+
+
 def mix_docs(spark, n=400, seed=1):
     random_ = random.Random(seed)
     rows = []
