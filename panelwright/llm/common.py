@@ -7,6 +7,7 @@ columns with clashing names never meet them.
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,15 +22,25 @@ from pyspark.sql import DataFrame, SparkSession
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """A column name that none of columns has or begins with: name after as many underscores as that takes."""
+    own = f"_{name}"
+    while any(c.lower().startswith(own.lower()) for c in columns):
+        own = f"_{own}"
+    return own
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only if the session names none."""
+    """The folder that driver and executors share; one is made only if the session names none and runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         current = context.getCheckpointDir()
         if current is None:
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="panelwright-"))

@@ -1,13 +1,15 @@
 """SimHash near-duplicates through deletion-variant signatures.
 
-A fingerprint has 64 bits; two documents link when their fingerprints differ in at most two. Cut in
-two segments, at least one segment of a linked pair differs in at most one bit. So each segment is
-indexed with one bit deleted, for every bit: a linked pair shares a variant, an equality join finds it,
-and the whole fingerprints are compared afterwards. Documents with one fingerprint are one node.
+A fingerprint has 64 bits; two documents link when their fingerprints differ in at most two. Cut in two segments, a
+linked pair either differs in at most one bit of the low segment, or in two of it and then in none of the high one.
+So the low segment is indexed with one bit deleted, for every bit, and the high one whole: 33 keys of a fingerprint,
+of which a linked pair shares one; an equality join finds the pair and the whole fingerprints are compared.
+Documents with one fingerprint are one node.
 
-A variant that more than `hot` fingerprints share isn't joined with itself. Its fingerprints are
-indexed once more with the remaining differences deleted too (a bipartite graph from fingerprints to
-what two of them have in common), which is exact and grows with the number of fingerprints, not of pairs.
+A key that more than `hot` fingerprints share is refined before it is joined: a further bit is deleted (of the other
+segment; two where the shared segment is equal) and everything else must be equal, so that a refined key has at most
+four fingerprints. Index, equality join and verification are the same at both steps and exact; the rows grow with the
+fingerprints, not with their pairs.
 
 Defined results: words are runs of non-white-space after lower-casing A-Z; a text with fewer than
 `width` words is one shingle, one without words (or null) has fingerprint zero and links like any
@@ -23,13 +25,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import map_arrow, stored, texts_of
+from panelwright.llm.common import map_arrow, stored, texts_of, unused
 from panelwright.llm.components import connected_components
 
 SEED = 42
-#: Variants shared by more fingerprints than this take the second index.
+#: Keys that more fingerprints than this share are refined.
 HOT = 256
-SEGMENTS, SEGMENT_BITS = 2, 32
+SEGMENT_BITS = 32
+LOW = (1 << SEGMENT_BITS) - 1
+#: The place of keys that hold the whole high segment; places before it are deleted bits of the low one.
+WHOLE = 32
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -65,64 +70,53 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     return map_arrow(docs, rows, f"{kinds}fp bigint")
 
 
-def _masks() -> list[int]:
-    """For each segment and each of its bits: the segment's mask with that bit deleted, as signed longs."""
-    out = []
-    for segment in range(SEGMENTS):
-        whole = ((1 << SEGMENT_BITS) - 1) << (segment * SEGMENT_BITS)
-        out += [whole & ~(1 << (segment * SEGMENT_BITS + bit)) for bit in range(SEGMENT_BITS)]
-    return [m - (1 << 64) if m >> 63 else m for m in out]
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
 
 
-def _variants(fp: Column) -> Column:
-    """array<struct<mask, value>>: mask is the number of segment and deleted bit."""
-    masks = F.array(*[F.lit(m).cast("bigint") for m in _masks()])
-    return F.transform(masks, lambda m, i: F.struct(i.cast("int").alias("mask"), m.bitwiseAND(fp).alias("value")))
+def _index(fp: Column) -> Column:
+    """array<long> of keys: place << 32 | what has to be equal. Places are the deleted bit of the low segment, then WHOLE."""
+    low = [fp.bitwiseAND(F.lit(LOW & ~(1 << bit))).bitwiseOR(F.lit(bit << SEGMENT_BITS)) for bit in range(SEGMENT_BITS)]
+    return F.array(*low, F.shiftrightunsigned(fp, SEGMENT_BITS).bitwiseOR(F.lit(WHOLE << SEGMENT_BITS)))
 
 
-def _first_shared(a: Column, b: Column) -> Column:
-    """The one variant at which a linked pair is reported: the first that both fingerprints have."""
-    low = a.bitwiseXOR(b).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
-    high = F.shiftrightunsigned(a.bitwiseXOR(b), SEGMENT_BITS)
-    place = lambda x: F.when(x == 0, 0).otherwise(F.bit_count(x - 1))
-    return F.when(F.bit_count(low) <= 1, place(low)).otherwise(SEGMENT_BITS + place(high))
+def _place(a: Column, b: Column) -> Column:
+    """The place at which a linked pair is reported, the only one or the first of those that both fingerprints share."""
+    low = a.bitwiseXOR(b).bitwiseAND(F.lit(LOW))
+    return F.when(low == 0, 0).when(F.bit_count(low) == 1, F.bit_count(low - 1)).otherwise(WHOLE)
 
 
-def _linked(a: Column, b: Column, mask: Column) -> Column:
-    return (a < b) & (F.bit_count(a.bitwiseXOR(b)) <= 2) & (mask == _first_shared(a, b))
+def _further(spark) -> DataFrame:
+    """(place, bits): the bits that refining a key of a place deletes, as one mask; 2,016 rows."""
+    high = range(SEGMENT_BITS, 2 * SEGMENT_BITS)
+    rows = [(place, 1 << place | 1 << bit) for place in range(SEGMENT_BITS) for bit in high]
+    rows += [(0, 1 << a | 1 << b) for a in high for b in high if a < b]
+    rows += [(WHOLE, 1 << a | 1 << b) for a in range(SEGMENT_BITS) for b in range(a)]
+    return spark.createDataFrame([(place, _signed(bits)) for place, bits in rows], "place int, bits bigint")
+
+
+def _linked(members: DataFrame, on: list[str]) -> DataFrame:
+    """(src, dst) of members (fp, on) that share the key on and differ in at most two bits."""
+    left, right = members.withColumnRenamed("fp", "src"), members.withColumnRenamed("fp", "dst")
+    return left.join(right, on).filter((F.col("src") < F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= 2))
 
 
 def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
-    """(src, dst) over distinct fingerprints whose components are those of "differ in at most two bits".
-
-    nodes: (fp), each once. Pairs come from the join of ordinary variants; for hot variants a star to the
-    smallest fingerprint of each shared two-bit deletion, which keeps the components.
-    """
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = nodes.repartition(parts, "fp")  # 64 rows come of each: a few input files would be too few tasks
-    index = spread.select("fp", F.inline(_variants(F.col("fp"))))
-    sizes = stored(index.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-sizes")
-    # Merged at every size: the shared variants grow with the documents, a broadcast of them isn't bounded.
-    within = lambda some: index.join(some.select("mask", "value").hint("merge"), ["mask", "value"], "left_semi")
-    shared = stored(within(sizes.filter(F.col("n") <= hot)), "simhash-index")
-    left, right = shared.withColumnRenamed("fp", "src"), shared.withColumnRenamed("fp", "dst")
-    on = (left.mask == right.mask) & (left.value == right.value) & _linked(F.col("src"), F.col("dst"), left.mask)
-    pairs = left.join(right, on).select("src", "dst")
-    busy = within(sizes.filter(F.col("n") > hot)).select("fp").distinct()
-    return pairs.unionByName(_stars(busy)).distinct()
-
-
-def _stars(busy: DataFrame) -> DataFrame:
-    """Fingerprints that agree outside two bits share a node (bit, bit, rest); each is tied to its smallest."""
-    one, two = F.sequence(F.lit(0), F.lit(62)), F.sequence(F.col("i") + 1, F.lit(63))
-    bit = lambda c: F.expr(f"shiftleft(1L, {c})")
-    nodes = busy.select("fp", F.explode(one).alias("i")).select("fp", "i", F.explode(two).alias("j"))
-    nodes = nodes.select("fp", "i", "j", F.col("fp").bitwiseAND(F.bitwise_not(bit("i").bitwiseOR(bit("j")))).alias("rest"))
-    least = nodes.groupBy("i", "j", "rest").agg(F.min("fp").alias("src"), F.max("fp").alias("most"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # Agreeing outside two bits leaves at most four fingerprints in a node, so the node's members are read off its bits.
-    forms = F.array(F.col("rest"), F.col("rest").bitwiseOR(bit("i")), F.col("rest").bitwiseOR(bit("j")), F.col("rest").bitwiseOR(bit("i")).bitwiseOR(bit("j")))
-    spokes = least.select("src", F.explode(forms).alias("dst")).filter("src <> dst").distinct()
-    return spokes.join(busy.select(F.col("fp").alias("dst")), "dst", "left_semi").select("src", "dst")
+    """(src, dst): every pair of fingerprints that differ in at most two bits. nodes: (fp), each once."""
+    spark = nodes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = nodes.repartition(parts, "fp")  # 33 rows come of each: a few input files would be too few tasks
+    index = spread.select("fp", F.explode(_index(F.col("fp"))).alias("key"))
+    sizes = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-sizes")
+    # Merged at every size: the shared keys grow with the documents, a broadcast of them isn't bounded.
+    shared = stored(index.join(sizes.hint("merge"), "key").withColumn("place", F.shiftright("key", SEGMENT_BITS).cast("int")), "simhash-index")
+    few = shared.filter(F.col("n") <= hot).select("fp", "key", "place")
+    pairs = _linked(few, ["key", "place"]).filter(F.col("place") == _place(F.col("src"), F.col("dst"))).select("src", "dst")
+    many = shared.filter(F.col("n") > hot).join(F.broadcast(_further(spark)), "place")
+    refined = many.select("fp", "bits", F.col("fp").bitwiseAND(F.bitwise_not("bits")).alias("rest")).distinct()
+    again = refined.groupBy("bits", "rest").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)  # at most four
+    found = again.select("bits", "rest", F.explode("fps").alias("fp"))
+    return pairs.unionByName(_linked(found, ["bits", "rest"]).select("src", "dst")).distinct()
 
 
 def _grouped(marked: DataFrame, hot: int) -> DataFrame:
@@ -147,7 +141,13 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """The rows of docs, all columns, of which one stays for each component: that of the smallest key, then text hash."""
     marked = stored(fingerprints(docs.select(key, text, F.xxhash64(text).alias("hash")), key, text, width, ("hash",)), "simhash-documents")
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "hash")
-    winners = _grouped(marked.select("fp", order.alias("order")), hot).select(F.col("first.key").alias("__key"), F.col("first.hash").alias("__own")).distinct()
-    own = docs.withColumn("__hash", F.xxhash64(text))
-    kept = own.join(winners, (own["__hash"] == winners["__own"]) & own[key].eqNullSafe(winners["__key"]), "left_semi")
-    return kept.dropDuplicates([key, "__hash"]).drop("__hash")
+    return one_of_each(docs, _grouped(marked.select("fp", order.alias("order")), hot).select("first.key", "first.hash"), key, text)
+
+
+def one_of_each(docs: DataFrame, winners: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of docs, one each, whose key and text hash are a row of winners (key, hash)."""
+    own = unused("hash", docs.columns)
+    marked = docs.withColumn(own, F.xxhash64(F.col(f"`{text}`")))
+    winners = winners.distinct().select(F.col("key").alias(f"{own}_key"), F.col("hash").alias(f"{own}_won"))
+    kept = marked.join(winners.hint("merge"), (F.col(own) == F.col(f"{own}_won")) & F.col(f"`{key}`").eqNullSafe(F.col(f"{own}_key")), "left_semi")
+    return kept.dropDuplicates([key, own]).drop(own)

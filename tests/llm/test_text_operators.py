@@ -122,6 +122,21 @@ def test_simhash_matches_brute_force(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_simhash_links_are_all_pairs_within_two_bits(spark):
+    random_, prints = random.Random(6), set()
+    for _ in range(12):
+        base = random_.getrandbits(64)
+        for _ in range(25):
+            flips = random_.sample(range(64), random_.choice([0, 1, 1, 2, 3])) if random_.random() < 0.7 else random_.sample(range(32, 64), 2)
+            prints.add(base ^ sum(1 << b for b in flips))
+    signed = {p - (1 << 64) if p >> 63 else p for p in prints}
+    want = {(a, b) for a in signed for b in signed if a < b and (a % (1 << 64) ^ b % (1 << 64)).bit_count() <= 2}
+    nodes = spark.createDataFrame([(p,) for p in signed], "fp long")
+    for hot in (simhash.HOT, 5, 1):
+        assert sorted((r.src, r.dst) for r in simhash.links(nodes, hot).collect()) == sorted(want)
+    assert len(want) > 400
+
+
 def test_simhash_lone_long_chain(spark):
     prints = [0, 3, 15, 63, 255, 1 << 63, (1 << 63) | 1, 0xFFFF << 20]
     nodes = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
