@@ -1,13 +1,37 @@
 import random
 
 import corpus_pipeline
-from panelwright.llm import toxicity
+from panelwright.llm import near_copies, toxicity
 from panelwright.llm.common import DOC_COLUMNS, table
 from panelwright.llm.queries import line_dedup, simhash
 
 SF = "/root/testdata/sf0.001"
 
 
+def brute_firsts(texts):
+    """The least id of each group that five-word similarities of 0.8 or more link, and the number of links."""
+
+    def shingles(text):
+        found = (text or "").lower().split()
+        return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))}
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    group, linked = {i: i for i in sets}, 0
+
+    def first(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if j < i and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((first(i), first(j)))
+                group[y] = x
+                linked += 1
+    return sorted(i for i in sets if first(i) == i), linked
+
+
 def test_stages_are_their_operators(spark):
     docs = table(spark, SF, "documents").cache()
     model = toxicity.train(docs, table(spark, SF, "labels"))
@@ -19,12 +43,10 @@ def test_stages_are_their_operators(spark):
     shorter = {r.doc_id: r.text for r in line_dedup.drop_frequent_lines(one).collect()}
     assert {r.doc_id: r.text for r in two.collect()} == shorter
     three = corpus_pipeline.drop_near_duplicates(spark, two, SF).cache()
-    groups = {}
-    for r in simhash.near_duplicates(two).collect():
-        groups.setdefault(r.component_id, []).append(r.doc_id)
-    assert sorted(r.doc_id for r in three.collect()) == sorted(groups)
+    firsts = brute_firsts({r.doc_id: r.text for r in two.collect()})[0]
+    assert sorted(r.doc_id for r in three.collect()) == firsts
     four = corpus_pipeline.mix_sources(spark, three, SF).cache()
-    assert {r.doc_id for r in four.collect()} <= set(groups)
+    assert {r.doc_id for r in four.collect()} <= set(firsts)
     for frame in (one, two, three, four):
         assert tuple(frame.columns) == DOC_COLUMNS
     five = corpus_pipeline.encode_tokens(spark, four, SF)
@@ -57,27 +79,10 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     texts += [" ".join([*words[:150], *random_.choices(words, k=random_.choice([5, 10, 15, 20]))]) for _ in range(120)]  # one crowded group
     random_.shuffle(texts)
 
-    def sets(text):
-        found = (text or "").lower().split()
-        return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))}
-
-    all_sets = [sets(t) for t in texts]
-    group = list(range(len(texts)))
-
-    def first(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    linked = 0
-    for i, a in enumerate(all_sets):
-        for j in range(i):
-            if 5 * len(a & all_sets[j]) >= 4 * len(a | all_sets[j]):
-                x, y = sorted((first(i), first(j)))
-                group[y] = x
-                linked += 1
-    want = [i for i in range(len(texts)) if first(i) == i]
+    want, linked = brute_firsts(dict(enumerate(texts)))
     assert linked > 1000 and len(want) < len(texts) - 100
     docs = spark.createDataFrame([(i, t, "en", "src1", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
     assert sorted(r.doc_id for r in kept.collect()) == want
+    crowded = near_copies.representatives(docs, hot=3)
+    assert sorted(r.doc_id for r in crowded.collect()) == want
