@@ -53,11 +53,11 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str, **options) -> DataFrame:
+def stored(df: DataFrame, tag: str, partition_by: Iterable[str] = (), **options) -> DataFrame:
     """df written as a table in the shared folder and read again: lineage ends at files that outlive executors."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.options(**options).parquet(path)
+    df.write.options(**options).partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,14 +1,14 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A line's key is the line without white space at its ends, in lower case (A-Z). `LineRuns` keeps how
-many documents hold each key in sorted runs on the shared folder. Every new batch of documents is
-merge-anti-joined with the runs of settled keys (those already known to be in enough documents, which
-need no more counting) and its other keys become a run of level 0. When a level holds `fanout` runs
-they are merged into one run of the next level; keys that reach the threshold in a merge move to the
-settled runs. Keys in at least min_documents documents lose all their lines.
+A line's key is the line without white space at its ends, in lower case (A-Z). `LineRuns` keeps how many documents
+hold each key in runs: tables bucketed and sorted by key, each with its settled keys (those already in enough
+documents, which need no more counting) apart from the open ones. Every new batch of documents is merge-anti-joined
+with the settled keys of all runs and adds its own keys as a run of level 0. When a level holds two runs, a merge
+join of both makes one run of the next level. All runs have the same buckets, so neither join shuffles a run.
+Keys in at least min_documents documents lose all their lines.
 
-Keys are held as two 64-bit hashes with different seeds. All steps are equality joins and sums of
-pre-aggregated counts, so a line that a third of all documents share is one row per task.
+Keys are held as two 64-bit hashes with different seeds. All steps are equality joins and sums of pre-aggregated
+counts, so a line that a third of all documents share is one row per task.
 
 Defined results: a null text is one empty line. A document is a row; repeated rows count as documents
 of their own. Keys of fewer than min_chars code points never drop. Extra columns are kept as they are.
@@ -17,15 +17,16 @@ An empty table gives an empty table.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import shared_path, stored
+from panelwright.llm.common import shared_path, stored, unused
 
-#: Internal column names; input columns of these names are not expected.
-_ROW, _CHECK, _DROP = "__lines_row", "__lines_check", "__lines_drop"
+#: Batches at least, and documents of a batch from which on there are more.
+BATCHES, BATCH_DOCUMENTS = 4, 50_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -43,48 +44,49 @@ def _lines(text: Column) -> Column:
 
 
 class LineRuns:
-    """Document counts of line keys in levels of sorted runs, and the keys that have reached the threshold."""
-
-    def __init__(self, spark: SparkSession, min_documents: int, fanout: int = 2):
-        self.spark, self.min_documents, self.fanout = spark, min_documents, fanout
-        self.levels: list[list[DataFrame]] = [[]]
-        self.settled: list[DataFrame] = []
-
-    def _run(self, df: DataFrame) -> DataFrame:
-        path = shared_path(self.spark, "line-run")
-        df.sortWithinPartitions("a", "b").write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    @staticmethod
-    def _sum(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    """Document counts of line keys in levels of sorted runs."""
+
+    def __init__(self, spark: SparkSession, min_documents: int):
+        self.spark, self.min_documents = spark, min_documents
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[str | None] = []  # the run of each level, if it has one
+        self.tables: list[str] = []
+
+    def _write(self, counts: DataFrame) -> str:
+        """A run of (a, b, n): one file per bucket and state, in the order of a and b."""
+        name = f"line_run_{uuid.uuid4().hex}"
+        marked = counts.withColumn("settled", F.col("n") >= self.min_documents)
+        writer = marked.write.partitionBy("settled").bucketBy(self.buckets, "a", "b").sortBy("a", "b")
+        writer.option("path", shared_path(self.spark, "line-run")).saveAsTable(name)
+        self.tables.append(name)
+        return name
+
+    def _counts(self, run: str) -> DataFrame:
+        return self.spark.table(run).select("a", "b", "n").hint("merge")
+
+    def _merged(self, one: DataFrame, two: DataFrame) -> DataFrame:
+        two = two.withColumnRenamed("n", "more")
+        return one.join(two, ["a", "b"], "full").select("a", "b", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
 
     def add(self, keys: DataFrame) -> None:
         """keys: (a, b), one row per document and distinct key of the batch."""
         batch = keys.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-        for run in self.settled:
-            batch = batch.join(run.select("a", "b"), ["a", "b"], "left_anti")
-        self.levels[0].append(self._run(batch))
-        level = 0
-        while len(self.levels[level]) >= self.fanout:
-            self._compact(level)
+        for run in filter(None, self.levels):
+            batch = batch.join(self.spark.table(run).filter("settled").select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        run, level = self._write(batch), 0
+        while level < len(self.levels) and self.levels[level]:
+            run = self._write(self._merged(self._counts(self.levels[level]), self._counts(run)))
+            self.levels[level] = None
             level += 1
-
-    def _compact(self, level: int) -> None:
-        merged = self._run(self._sum(self.levels[level]))
-        self.levels[level] = []
-        if level + 1 == len(self.levels):
-            self.levels.append([])
-        self.settled.append(merged.filter(F.col("n") >= self.min_documents))
-        self.levels[level + 1].append(merged.filter(F.col("n") < self.min_documents))
+        self.levels[level : level + 1] = [run]
 
     def frequent(self) -> DataFrame:
-        """(a, b) of every key in at least min_documents documents of all batches; each key once."""
-        open_runs = [run for level in self.levels for run in level]
-        parts = list(self.settled)
-        if open_runs:
-            parts.append(self._sum(open_runs).filter(F.col("n") >= self.min_documents))
-        return reduce(DataFrame.unionByName, [p.select("a", "b") for p in parts])
+        """(a, b) of every key in at least min_documents documents of all batches, stored; each key once."""
+        merged = reduce(self._merged, map(self._counts, filter(None, self.levels)))
+        found = stored(merged.filter(F.col("n") >= self.min_documents).select("a", "b"), "line-frequent")
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE {name}")  # the catalog's entry
+        return found
 
 
 def _hashes(text: Column, min_chars: int) -> Column:
@@ -93,42 +95,46 @@ def _hashes(text: Column, min_chars: int) -> Column:
     return F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, _hash(k)))
 
 
-def frequent_line_hashes(docs: DataFrame, text: str, min_documents: int, min_chars: int, batches: int) -> tuple[DataFrame, DataFrame]:
-    """(listed, frequent): listed has each document's identity and its lines' hashes, frequent has (a, b)."""
+def frequent_line_hashes(docs: DataFrame, text: str, min_documents: int, min_chars: int, batches: int | None) -> tuple[DataFrame, DataFrame]:
+    """(listed, frequent): listed has each text's identity (row, check) and its lines' hashes, frequent has (a, b)."""
     source = F.col(f"`{text}`")
     rows = docs.select(*_identity(source), _hashes(source, min_chars).alias("keys"))
-    listed = stored(rows.withColumn("batch", F.pmod(_ROW, F.lit(batches)).cast("int")), "line-keys", compression="zstd")
+    if batches is None:
+        batches = max(BATCHES, -(-docs.count() // BATCH_DOCUMENTS))
+    listed = stored(rows.withColumn("batch", F.pmod("row", F.lit(batches)).cast("int")), "line-keys", ["batch"], compression="zstd")
     runs = LineRuns(docs.sparkSession, min_documents)
     distinct = F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))
     for i in range(batches):
         runs.add(listed.filter(F.col("batch") == i).select(F.inline(distinct)))
-    return listed, stored(runs.frequent(), "line-frequent")
+    return listed, runs.frequent()
 
 
-def _identity(text: Column) -> list[Column]:
+def _identity(text: Column, row: str = "row", check: str = "check") -> list[Column]:
     """Equal texts have equal identities: they lose the same lines, so nothing else has to tell rows apart."""
     whole = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(whole).alias(_ROW), F.xxhash64(F.lit(2), whole).alias(_CHECK)]
+    return [F.xxhash64(whole).alias(row), F.xxhash64(F.lit(2), whole).alias(check)]
 
 
-def drop_frequent_lines(docs: DataFrame, text: str = "text", min_documents: int = 10, min_chars: int = 1, batches: int = 4, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, text: str = "text", min_documents: int = 10, min_chars: int = 1, batches: int | None = None, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """docs with its text shortened and the counts of its lines before dropping and of those dropped."""
     listed, frequent = frequent_line_hashes(docs, text, min_documents, min_chars, batches)
-    lines = listed.select(_ROW, _CHECK, F.posexplode("keys").alias("pos", "key")).select(_ROW, _CHECK, "pos", F.col("key.a").alias("a"), F.col("key.b").alias("b"))
+    lines = listed.select("row", "check", F.posexplode("keys").alias("pos", "key")).select("row", "check", "pos", F.col("key.a").alias("a"), F.col("key.b").alias("b"))
     hits = lines.filter(F.col("a").isNotNull()).join(frequent, ["a", "b"], "left_semi")
+    own = unused("lines", docs.columns)
+    row, check, drop = (f"{own}_{c}" for c in ("row", "check", "drop"))
     # Stored, so that the join below has a plain exchange on each side and a text with very many copies can be split.
-    drops = stored(hits.groupBy(_ROW, _CHECK).agg(F.collect_set("pos").alias(_DROP)), "line-drops")
+    drops = stored(hits.groupBy(F.col("row").alias(row), F.col("check").alias(check)).agg(F.collect_set("pos").alias(drop)), "line-drops")
     source = F.col(f"`{text}`")
     kept = [c for c in docs.columns if c not in (n_lines, n_dropped)]
-    joined = docs.select(*[F.col(f"`{c}`") for c in kept], *_identity(source)).join(drops, [_ROW, _CHECK], "left")
+    joined = docs.select(*[F.col(f"`{c}`") for c in kept], *_identity(source, row, check)).join(drops, [row, check], "left")
     whole = F.coalesce(source, F.lit(""))
     count = F.char_length(whole) - F.char_length(F.translate(whole, "\n", "")) + 1
     split = _lines(source)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(_DROP))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(drop))
     shorter = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
-    out = {text: F.when(F.col(_DROP).isNull(), source).otherwise(shorter)}
+    out = {text: F.when(F.col(drop).isNull(), source).otherwise(shorter)}
     return joined.select(
         *[(out[c].alias(c) if c == text else F.col(f"`{c}`")) for c in kept],
         count.cast("bigint").alias(n_lines),
-        F.when(F.col(_DROP).isNull(), F.lit(0)).otherwise(F.size(_DROP)).cast("bigint").alias(n_dropped),
+        F.when(F.col(drop).isNull(), F.lit(0)).otherwise(F.size(drop)).cast("bigint").alias(n_dropped),
     )

@@ -170,6 +170,28 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.drop_frequent_lines(docs.limit(0)).count() == 0
 
 
+def test_line_runs_are_merge_joined_without_shuffling_a_run(spark):
+    runs, want, random_ = line_dedup.LineRuns(spark, 10), {}, random.Random(1)
+    for i in range(7):
+        keys = [(random_.randint(0, 300) ** 2 // 400, 0) for _ in range(400)]
+        for k in keys:
+            want[k[0]] = want.get(k[0], 0) + 1
+        runs.add(spark.createDataFrame(keys, "a long, b long"))
+    assert [bool(r) for r in runs.levels] == [True, True, True]
+    batch = spark.createDataFrame([(1, 0)], "a long, b long").groupBy("a", "b").count()
+    settled = spark.table(runs.levels[2]).filter("settled").select("a", "b").hint("merge")
+    for joined, exchanges in ((batch.join(settled, ["a", "b"], "left_anti"), 1), (runs._merged(runs._counts(runs.levels[2]), runs._counts(runs.levels[1])), 0)):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == exchanges, plan
+    assert sorted(r.a for r in runs.frequent().collect()) == sorted(k for k, n in want.items() if n >= 10)
+
+
+def test_clashing_names_are_kept(spark):
+    docs = spark.createDataFrame([(i, "one two three", "en", "src1", 13, i, i, i, i) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long, _lines_row int, _hash int, _mix_tokens int, __lines_row int")
+    assert line_dedup.drop_frequent_lines(docs).select("_lines_row", "__lines_row", "_hash").distinct().count() == 12
+    assert set(simhash.representatives(docs).columns) == set(docs.columns)
+
+
 def naive_repeats(words):
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     return len({i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)})
