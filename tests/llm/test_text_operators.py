@@ -2,13 +2,14 @@ import base64
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import regex
 import tiktoken
 import xxhash
 
-from panelwright.llm import bpe, line_dedup, quality_rules, simhash, slices
+from panelwright.llm import bpe, line_dedup, quality_rules, queries, simhash, slices
 from panelwright.llm.pretokenize import pretokens
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -215,6 +216,22 @@ def test_quality_counts_and_verdicts(spark):
     assert quality_rules.quality_verdicts(docs.limit(0)).count() == 0
 
 
-def test_cascade_order_is_rejections_per_second():
-    a, b, c = (quality_rules.Rule(n, bool) for n in "abc")
-    assert [r.name for r in quality_rules.ordered((a, b, c), [(10, 1.0), (10, 0.1), (0, 0.0)])] == ["b", "a", "c"]
+def test_cascade_order_is_rejections_per_second_of_what_is_left():
+    found = list(range(100))
+    spans = {"a": (0, 40), "b": (0, 50), "c": (50, 60), "d": (0, 0)}
+    rules = tuple(quality_rules.Rule(n, lambda d, s=s: s[0] <= d < s[1]) for n, s in spans.items())
+    one_second = lambda left, rule: ([d for d in left if not rule.rejects(d)], 1.0)
+    assert [r.name for r in quality_rules.ordered(rules, found, one_second)] == ["b", "c", "a", "d"]
+    slow_b = lambda left, rule: ([d for d in left if not rule.rejects(d)], 9.0 if rule.name == "b" else 1.0)
+    assert [r.name for r in quality_rules.ordered(rules, found, slow_b)] == ["a", "c", "b", "d"]
+
+
+def test_quality_letters_are_those_of_sql(spark, tmp_path):
+    connection = duckdb.connect()
+    words = ["½7", "x²", "²", "ª", "中", "Ⅷ", "ⓐ", "é", "_", "٣", "a1"]
+    texts = [" ".join([*[f"w{i}" for i in range(n)], *[w + str(i) for i in range(60 - n)]]) for w in words for n in (20, 41, 42, 50)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    connection.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[1] for r in connection.execute(f"select doc_id, kept from ({queries.OP5_SQL})").fetchall()}
+    got = {r.doc_id: r.kept for r in queries.op5_quality_rules(spark, str(tmp_path)).collect()}
+    assert got == want and set(want.values()) == {True, False}
