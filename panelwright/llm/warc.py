@@ -1,13 +1,14 @@
-"""WARC archives: a writer on Spark's text sink and a Python data source that reads them.
+"""WARC archives: a Python data source that writes and reads them.
 
-The writer gives equal payloads one `response` record and a `revisit` record for every other page. A
-record is one string of the text sink, whose line separator is the blank lines that end a record; so the
-archives are plain WARC files that any store of Spark's can hold.
+`record_types` gives equal payloads one `response` record and a `revisit` record for every other page. The writer makes
+files of about FILE_BYTES, each record a gzip member of its own, with the members' offsets in a file beside it, and
+lists what was written when the job commits; files of lost or repeated task attempts are never listed.
 
-The reader plans one partition per file, takes equality and membership filters on `record_type`,
-`target_uri`, `payload_digest`, `record_id` and `refers_to` while it has read only a record's headers, and
-steps over the payload of records that it doesn't return: by a seek in plain files, by inflating and dropping in
-gzip files. Payload bytes are handed on only if they are asked for.
+The reader plans partitions of about SPLIT_BYTES of a file with offsets, and one for any other file. It takes equality
+and membership filters on `record_type`, `target_uri`, `payload_digest`, `record_id` and `refers_to`, and decides them
+by a record's headers, for which it inflates the beginning of a member alone. It steps over the rest of a record that it
+doesn't return, or whose payload isn't asked for: to the next member's offset, by a seek in plain files, by inflating and
+dropping in gzip files of others.
 
 Defined results: a null html is the empty payload, a null url leaves out the target header. Of equal
 payloads the largest page_id is the response (all rows with it, if it repeats); null ids come last and
@@ -20,17 +21,24 @@ import base64
 import gzip
 import hashlib
 import io
-from collections.abc import Iterator
-
+import json
+import re
+import uuid
+import zlib
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from panelwright.llm.common import map_arrow, open_shared, shared_path, ship
+from panelwright.llm.common import open_shared, shared_path, ship, stored
 
-VERSION = "WARC/1.0"
-HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+VERSION = b"WARC/1.0"
+HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+DATE = "2000-01-01T00:00:00Z"
 #: WARC header names by column of the reader.
 HEADERS = {
     "record_type": "WARC-Type",
@@ -38,137 +46,236 @@ HEADERS = {
     "target_uri": "WARC-Target-URI",
     "payload_digest": "WARC-Payload-Digest",
     "refers_to": "WARC-Refers-To",
-    "payload_length": "X-Payload-Length",
 }
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload_bytes bigint, computed_digest string, payload binary, file string"
+#: What the writer takes: digests are hexadecimal SHA-1, a null body is that of a revisit.
+RECORD_COLUMNS = ("page", "url", "digest", "response", "body")
 URN = "urn:page:"
+FILE_BYTES = 1 << 30
+SPLIT_BYTES = 1 << 26
+#: Bytes of a member that are inflated at a time while its headers are read.
+HEAD_BYTES = 1024
+_CONTROL = re.compile(r"[\x00-\x1F\x7F]")
+
+
+def record_types(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url", min_bytes: int = 0) -> DataFrame:
+    """(page, url, digest, response, body): response is the key that a revisit refers to, null for responses; revisits have no body."""
+    body = F.coalesce(F.col(html), F.lit("")).cast("binary")
+    marked = pages.select(F.col(key).alias("page"), F.col(url).alias("url"), body.alias("body")).withColumn("digest", F.sha1("body"))
+    sizes = marked.withColumn("size", F.octet_length("body"))
+    newest = sizes.groupBy(F.col("digest").alias("of"), "size").agg(F.max("page").alias("newest"), F.count(F.lit(1)).alias("copies"))
+    repeated = newest.filter((F.col("copies") > 1) & (F.col("size") >= min_bytes)).select("of", "newest")
+    joined = marked.join(repeated, F.col("digest") == F.col("of"), "left")
+    other = F.col("newest").isNotNull() & ~F.col("page").eqNullSafe(F.col("newest"))
+    return joined.select("page", "url", "digest", F.when(other, F.col("newest")).alias("response"), F.when(~other | other.isNull(), F.col("body")).alias("body"))
+
+
+def record_bytes(page: object, url: str | None, digest: str, response: object, body: bytes | None) -> bytes:
+    """One record; control characters of a url can't break its header line."""
+    content = HTTP_HEAD + (body or b"")
+    fields = [
+        (HEADERS["record_type"], "response" if body is not None else "revisit"),
+        (HEADERS["record_id"], f"<{URN}{'' if page is None else page}>"),
+        ("WARC-Date", DATE),
+        (HEADERS["target_uri"], None if url is None else _CONTROL.sub("%20", url)),
+        (HEADERS["payload_digest"], "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()),
+        (HEADERS["refers_to"], None if response is None else f"<{URN}{response}>"),
+        ("Content-Type", "application/http; msgtype=response"),
+        ("Content-Length", str(len(content))),
+    ]
+    lines = [f"{name}: {value}\r\n".encode() for name, value in fields if value is not None]
+    return b"".join([VERSION, b"\r\n", *lines, b"\r\n", content, b"\r\n\r\n"])
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list
+
+
+class WarcWriter(DataSourceArrowWriter):
+    """Rows of record_types as records, each a gzip member (option compression: gzip) or as it is (none)."""
 
-
-def with_digests(pages: DataFrame, key: str, html: str, others: list[str]) -> DataFrame:
-    """(key, html, others, digest, size): base32 SHA-1 and bytes of each payload."""
-
-    def rows(batch):
-        bodies = [x or b"" for x in batch.column(html).cast(pa.binary()).to_pylist()]
-        digests = [base64.b32encode(hashlib.sha1(b).digest()).decode() for b in bodies]
-        columns = [batch.column(c) for c in (key, html, *others)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(digests), pa.array([len(b) for b in bodies], pa.int64())], names=[key, html, *others, "digest", "size"])
-
-    pages = pages.select(key, html, *others)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema]
-    return map_arrow(pages, rows, ", ".join([*fields, "digest string, size bigint"]))
-
-
-def record_types(pages: DataFrame, key: str = "page_id", html: str = "html", others: tuple[str, ...] = ("url",), min_bytes: int = 0) -> DataFrame:
-    """with_digests and `response`: the key that a revisit refers to, null for responses."""
-    marked = with_digests(pages, key, html, list(others))
-    newest = marked.groupBy(F.col("digest").alias("of_digest"), F.col("size").alias("of_size")).agg(F.max(key).alias("newest"), F.count(F.lit(1)).alias("copies"))
-    repeated = newest.filter((F.col("copies") > 1) & (F.col("of_size") >= min_bytes)).select("of_digest", "of_size", "newest")
-    joined = marked.join(repeated, (F.col("digest") == F.col("of_digest")) & (F.col("size") == F.col("of_size")), "left")
-    other = F.col("newest").isNotNull() & ~F.col(key).eqNullSafe(F.col("newest"))
-    return joined.withColumn("response", F.when(other, F.col("newest"))).drop("of_digest", "of_size", "newest")
-
-
-def _header(name: str, value: Column) -> Column:
-    """A header line, or nothing where the value is null; control characters can't break the line."""
-    return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), r"[\x00-\x1F\x7F]", "%20"), F.lit("\r\n")), F.lit(""))
-
-
-def write(records: DataFrame, folder: str, key: str = "page_id", html: str = "html", url: str = "url", date: str = "2000-01-01T00:00:00Z", records_per_file: int = 100_000, compression: str = "none") -> None:
-    """Writes the rows of record_types as WARC files, plain or as one gzip stream a file."""
-    revisit = F.col("response").isNotNull()
-    body = F.when(revisit, F.lit("")).otherwise(F.coalesce(F.col(html), F.lit("")))
-    length = F.when(revisit, F.lit(0)).otherwise(F.col("size")) + len(HTTP_HEAD)
-    head = F.concat(
-        F.lit(f"{VERSION}\r\n"),
-        _header(HEADERS["record_type"], F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        _header(HEADERS["record_id"], F.concat(F.lit(f"<{URN}"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(">"))),
-        _header("WARC-Date", F.lit(date)),
-        _header(HEADERS["target_uri"], F.col(url)),
-        _header(HEADERS["payload_digest"], F.concat(F.lit("sha1:"), F.col("digest"))),
-        _header(HEADERS["refers_to"], F.concat(F.lit(f"<{URN}"), F.col("response").cast("string"), F.lit(">"))),
-        _header(HEADERS["payload_length"], F.col("size")),
-        _header("Content-Type", F.lit("application/http; msgtype=response")),
-        _header("Content-Length", length),
-        F.lit("\r\n"),
-    )
-    rows = records.select(F.concat(head, F.lit(HTTP_HEAD), body).alias("value"))
-    rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", compression).text(folder)
-
-
-class _FilePartition(InputPartition):
-    def __init__(self, uri: str):
-        self.uri = uri
-
-
-def read_file(uri: str, wanted: dict[str, set], payload: str) -> Iterator[tuple]:
+    def __init__(self, options: dict):
+        self.path = options["path"].rstrip("/")
+        self.gzip = options.get("compression", "gzip") == "gzip"
+        self.file_bytes = int(options.get("file_bytes", FILE_BYTES))
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        files, sink, name, offsets, at = [], None, "", [], 0
+        store, root = open_shared(self.path)
+        store.create_dir(root, recursive=True)
+
+        def close() -> None:
+            sink.close()
+            with store.open_output_stream(f"{root}/_{name}.offsets") as side:
+                side.write(np.array([*offsets, at], "<u8").tobytes())
+            files.append({"name": name, "size": at, "records": len(offsets)})
+
+        for batch in iterator:
+            for row in zip(*[batch.column(c).to_pylist() for c in RECORD_COLUMNS]):
+                if sink is None:
+                    name, offsets, at = f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gzip, [], 0
+                    sink = store.open_output_stream(f"{root}/{name}", compression=None)
+                record = record_bytes(*row)
+                if self.gzip:
+                    member = zlib.compressobj(6, zlib.DEFLATED, 31)
+                    record = member.compress(record) + member.flush()
+                sink.write(record)
+                offsets.append(at)
+                at += len(record)
+                if at >= self.file_bytes:
+                    close()
+                    sink = None
+        if sink is not None:
+            close()
+        return _Written(files)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        store, root = open_shared(self.path)
+        store.create_dir(root, recursive=True)
+        with store.open_output_stream(f"{root}/_manifest-{uuid.uuid4().hex}.json") as sink:
+            sink.write(json.dumps([f for m in messages if m for f in m.files]).encode())
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        """Files that no manifest lists are never read."""
+
+
+class _Slice(InputPartition):
+    """The records of a file that begin in [start, stop); stop None: a file without offsets, whole."""
+
+    def __init__(self, uri: str, start: int = 0, stop: int | None = None):
+        self.uri, self.start, self.stop = uri, start, stop
+
+
+class _Member:
+    """A gzip member that is inflated as far as it is read. `inflated` counts bytes, for tests."""
+
+    inflated = 0
+
+    def __init__(self, data: bytes):
+        self.inflater, self.rest, self.buffer = zlib.decompressobj(31), data, b""
+
+    def upto(self, size: int) -> bytes:
+        """The buffer, with at least size bytes if the member has so many."""
+        while len(self.buffer) < size and not self.inflater.eof:
+            part = self.inflater.decompress(self.rest, size - len(self.buffer))
+            self.rest = self.inflater.unconsumed_tail
+            if not part and not self.rest:
+                break
+            self.buffer += part
+            _Member.inflated += len(part)
+        return self.buffer
+
+    def head(self) -> bytes:
+        """The bytes to the end of the record's headers, and some more."""
+        size = HEAD_BYTES
+        while (end := self.upto(size).find(b"\r\n\r\n")) < 0 and len(self.buffer) >= size:
+            size *= 2
+        if end < 0:
+            raise ValueError(f"no end of headers: {self.buffer[:60]!r}")
+        return self.buffer[: end + 4]
+
+
+def _fields(lines: Iterable[bytes], uri: str) -> tuple[dict[str, str | None], int]:
+    """(columns, length of the content) from a record's header lines."""
+    lines = iter(lines)
+    first = next(lines)
+    if not first.startswith(b"WARC/"):
+        raise ValueError(f"{uri}: not a WARC record: {first[:60]!r}")
+    headers = {}
+    for line in lines:
+        name, _, value = line.partition(b":")
+        headers[name.strip().lower().decode()] = value.strip().decode("utf-8", "replace")
+    fields = {c: headers.get(h.lower()) for c, h in HEADERS.items()}
+    for c in ("record_id", "refers_to"):
+        fields[c] = fields[c] and fields[c].strip("<>")
+    fields["payload_digest"] = fields["payload_digest"] and fields["payload_digest"].removeprefix("sha1:")
+    return fields, int(headers["content-length"])
+
+
+def _row(fields: dict, block: bytes | None, payload: str, uri: str) -> tuple:
+    """A row of SCHEMA; block is the record's content where it was read."""
+    size = computed = body = None
+    if block is not None:
+        body = block[block.find(b"\r\n\r\n") + 4 :]
+        size, computed = len(body), base64.b32encode(hashlib.sha1(body).digest()).decode()
+    return (*[fields[c] for c in ("record_id", "record_type", "target_uri", "payload_digest", "refers_to")], size, computed, body if payload == "full" else None, uri)
+
+
+def read_slice(part: _Slice, wanted: dict[str, set], payload: str) -> Iterator[tuple]:
     """Rows of SCHEMA for the records whose headers are in wanted; payload is none, digest or full."""
-    store, path = open_shared(uri)
+    store, path = open_shared(part.uri)
+    if part.stop is None:
+        yield from _read_whole(store, path, part.uri, wanted, payload)
+        return
+    folder, _, name = path.rpartition("/")
+    with store.open_input_stream(f"{folder}/_{name}.offsets") as side:
+        offsets = np.frombuffer(side.read(), "<u8").astype(np.int64)
+    own = np.flatnonzero((offsets[:-1] >= part.start) & (offsets[:-1] < part.stop))
+    with store.open_input_file(path) as source:
+        file = io.BufferedReader(source, 1 << 20)
+        for at, end in zip(offsets[own].tolist(), offsets[own + 1].tolist()):
+            file.seek(at)
+            member = _Member(file.read(end - at))
+            head = member.head()
+            fields, size = _fields(head[:-4].split(b"\r\n"), part.uri)
+            if all(fields[c] in values for c, values in wanted.items()):
+                block = None if payload == "none" else member.upto(len(head) + size)[len(head) : len(head) + size]
+                yield _row(fields, block, payload, part.uri)
+
+
+def _read_whole(store, path: str, uri: str, wanted: dict[str, set], payload: str) -> Iterator[tuple]:
+    """The records of a file without offsets, plain or gzip."""
     with store.open_input_file(path) as source:
         lines = io.BufferedReader(gzip.GzipFile(fileobj=source) if path.endswith(".gz") else source, 1 << 18)
-        while True:
-            first = _line(lines)
-            if first is None:
-                return
-            if not first:
-                continue
-            if not first.startswith(b"WARC/"):
-                raise ValueError(f"{uri}: not a WARC record: {first[:60]!r}")
-            headers = {}
-            while line := _line(lines):
-                name, _, value = line.partition(b":")
-                headers[name.strip().lower().decode()] = value.strip().decode("utf-8", "replace")
-            size = int(headers["content-length"])
-            fields = {c: headers.get(h.lower()) for c, h in HEADERS.items()}
-            for c in ("record_id", "refers_to"):
-                fields[c] = fields[c] and fields[c].strip("<>")
-            digest = fields["payload_digest"] and fields["payload_digest"].removeprefix("sha1:")
-            fields["payload_digest"] = digest
-            if any(fields[c] not in values for c, values in wanted.items()):
-                lines.seek(size, io.SEEK_CUR)
+        while first := lines.readline():
+            if not first.rstrip(b"\r\n"):
                 continue
-            body = computed = None
-            if payload == "none":
+            head = [first]
+            while line := lines.readline().rstrip(b"\r\n"):
+                head.append(line)
+            fields, size = _fields(head, uri)
+            if payload == "none" or any(fields[c] not in values for c, values in wanted.items()):
+                block = None
                 lines.seek(size, io.SEEK_CUR)
             else:
                 block = lines.read(size)
-                body = block[block.find(b"\r\n\r\n") + 4 :]
-                computed = base64.b32encode(hashlib.sha1(body).digest()).decode()
-            is_copy = fields["record_type"] == "revisit" or body is None
-            n_bytes = int(fields["payload_length"]) if is_copy and fields["payload_length"] else len(body or b"")
-            yield (fields["record_id"], fields["record_type"], fields["target_uri"], digest, fields["refers_to"], n_bytes, computed, body if payload == "full" else None, uri)
-
-
-def _line(source) -> bytes | None:
-    """The next line without its end; None at the end of the file."""
-    line = source.readline()
-    return line.rstrip(b"\r\n") if line else None
+            if all(fields[c] in values for c, values in wanted.items()):
+                yield _row(fields, block, payload, uri)
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path = options["path"].rstrip("/")
         self.payload = options.get("payload", "digest")
+        self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
         self.wanted: dict[str, set] = {}
-        if "record_types" in options:
-            self.wanted["record_type"] = set(options["record_types"].split(","))
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
             column = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
-            if column in HEADERS and column != "payload_length" and isinstance(f, (EqualTo, In)):
+            if column in HEADERS and isinstance(f, (EqualTo, In)):
                 values = set(f.value if isinstance(f, In) else [f.value])
                 self.wanted[column] = self.wanted.get(column, values) & values
             else:
                 yield f
 
     def partitions(self):
+        """Of a folder that this source has written, what its manifests list; of any other, all its files."""
         from pyarrow import fs
 
         store, path = open_shared(self.path)
-        root = self.path.rstrip("/")
-        infos = store.get_file_info(fs.FileSelector(path, recursive=False))
-        names = sorted(i.base_name for i in infos if i.is_file and i.base_name[0] not in "._")
-        return [_FilePartition(f"{root}/{n}") for n in names] or [_FilePartition("")]
+        names = sorted(i.base_name for i in store.get_file_info(fs.FileSelector(path, recursive=False)) if i.is_file)
+        manifests = [n for n in names if n.startswith("_manifest-")]
+        out = []
+        for manifest in manifests:
+            with store.open_input_stream(f"{path}/{manifest}") as source:
+                for file in json.loads(source.read()):
+                    uri, indexed = f"{self.path}/{file['name']}", file["name"].endswith(".gz")
+                    out += [_Slice(uri, a, a + self.split_bytes) for a in range(0, file["size"], self.split_bytes)] if indexed else [_Slice(uri)]
+        if not manifests:
+            out = [_Slice(f"{self.path}/{n}") for n in names if n[0] not in "._"]
+        return out or [_Slice("")]
 
     def read(self, partition):
         if not partition.uri:
@@ -176,7 +283,7 @@ class WarcReader(DataSourceReader):
         kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
         schema = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, SCHEMA.split(", "))])
         rows, held = [], 0
-        for row in read_file(partition.uri, self.wanted, self.payload):
+        for row in read_slice(partition, self.wanted, self.payload):
             rows.append(row)
             held += len(row[7] or b"")
             if len(rows) >= 8192 or held >= 1 << 24:
@@ -191,7 +298,7 @@ def _as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 class WarcSource(DataSource):
-    """spark.read.format("warc").load(folder); options: payload (none, digest, full), record_types (comma-separated)."""
+    """spark.read.format("warc").load(folder), option payload (none, digest, full); df.write.format("warc").mode("append").save(folder)."""
 
     @classmethod
     def name(cls) -> str:
@@ -203,25 +310,46 @@ class WarcSource(DataSource):
     def reader(self, schema) -> WarcReader:
         return WarcReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> WarcWriter:
+        if overwrite:
+            raise ValueError("archives are only appended to")
+        return WarcWriter(self.options)
 
-def read(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """The records of a folder of WARC files. Filters on header columns reach the reader."""
+
+def _registered(spark: SparkSession) -> None:
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
+
+
+def write(records: DataFrame, folder: str, **options) -> None:
+    """Appends the rows of record_types to a folder of WARC files."""
+    _registered(records.sparkSession)
+    records.select(*RECORD_COLUMNS).write.format("warc").options(**options).mode("append").save(folder)
+
+
+def read(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """The records of a folder of WARC files. Filters on header columns reach the reader."""
+    _registered(spark)
     return spark.read.format("warc").options(**options).load(folder)
 
 
-def archive_and_read(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url", min_bytes: int = 0, compression: str = "none") -> DataFrame:
+def archive_and_read(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url", min_bytes: int = 0, **options) -> DataFrame:
     """pages written as archives in the shared folder and read back: (key, payload_bytes, payload_digest, record_type, refers_to).
 
-    A response's digest is computed from the payload read back and must be the one in its header.
+    Responses are read with their payloads: a digest is computed from the payload and must be the one in the header.
+    Revisits are read by their headers alone; their payload is as long as that of the response of the same digest.
     """
     spark = pages.sparkSession
     folder = shared_path(spark, "warc")
-    write(record_types(pages, key, html, (url,), min_bytes), folder, key, html, url, compression=compression)
-    records = read(spark, folder)
-    page = lambda c: F.nullif(F.substring(c, len(URN) + 1, 100), F.lit("")).cast("bigint")
-    intact = (F.col("record_type") == "revisit") | (F.col("computed_digest") == F.col("payload_digest"))
-    digest = F.when(intact, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged payload of "), "record_id")))
-    return records.select(page("record_id").alias(key), "payload_bytes", digest.alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
+    write(record_types(pages, key, html, url, min_bytes), folder, **options)
+    kind = pages.schema[key].dataType.simpleString()
+    page = lambda c: F.nullif(F.substring(c, len(URN) + 1, 100), F.lit("")).cast(kind)
+    columns = ["record_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    digest = F.when(F.col("computed_digest") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged payload of "), "record_id")))
+    responses = read(spark, folder, payload="digest").filter("record_type = 'response'").withColumn("payload_digest", digest)
+    responses = stored(responses.select(*columns), "warc-responses")
+    lengths = responses.groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    revisits = read(spark, folder, payload="none").filter("record_type = 'revisit'").drop("payload_bytes").join(lengths, "payload_digest")
+    records = responses.unionByName(revisits.select(*columns))
+    return records.select(page("record_id").alias(key), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))

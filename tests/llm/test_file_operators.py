@@ -130,13 +130,14 @@ def test_warc_round_trip(spark, compression):
     assert large[4] == "response" and large[5] == "response" and large[1] == "revisit"
 
 
-def test_warc_filters_reach_the_reader(spark):
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_warc_filters_reach_the_reader(spark, compression):
     folder = shared_path(spark, "warc-test")
     frame = spark.createDataFrame(pages(), "page_id long, url string, html string, size string").filter("page_id is not null")
-    warc.write(warc.record_types(frame), folder)
+    warc.write(warc.record_types(frame), folder, compression=compression)
     revisits = warc.read(spark, folder, payload="none").filter("record_type = 'revisit'")
     assert {r.record_id for r in revisits.collect()} == {"urn:page:1", "urn:page:2", "urn:page:4"}
-    assert {r.payload_bytes for r in revisits.collect()} == {0, 9}
+    assert {r.payload_bytes for r in revisits.collect()} == {None}
     full = warc.read(spark, folder, payload="full").filter("target_uri in ('http://b', 'none')").collect()
     assert [bytes(r.payload).decode() for r in full] == ["<p>é</p>"]
     reader = warc.WarcReader({"path": folder})
@@ -144,5 +145,43 @@ def test_warc_filters_reach_the_reader(spark):
 
     left = list(reader.pushFilters([EqualTo(("record_type",), "revisit"), GreaterThan(("payload_bytes",), 3)]))
     assert len(left) == 1 and reader.wanted == {"record_type": {"revisit"}}
-    kept = [list(warc.read_file(p.uri, reader.wanted, "none")) for p in reader.partitions()]
+    kept = [list(warc.read_slice(p, reader.wanted, "none")) for p in reader.partitions()]
     assert sum(map(len, kept)) == 3
+
+
+def test_warc_payloads_that_are_not_wanted_are_not_inflated(spark):
+    folder = shared_path(spark, "warc-test")
+    frame = spark.createDataFrame([(i, "u", f"{i % 40} " + "long text " * 9000) for i in range(60)], "page_id long, url string, html string")
+    warc.write(warc.record_types(frame), folder)
+    parts = warc.WarcReader({"path": folder, "split_bytes": "2000"}).partitions()
+    assert len(parts) > 10
+
+    def inflated(wanted, payload):
+        before = warc._Member.inflated
+        rows = [r for p in parts for r in warc.read_slice(p, wanted, payload)]
+        return len(rows), warc._Member.inflated - before
+
+    whole = inflated({}, "digest")
+    assert whole[0] == 60 and whole[1] > 40 * 90_000
+    assert inflated({"record_type": {"revisit"}}, "digest")[1] <= 60 * 1200
+    assert inflated({"record_id": {"urn:page:59"}}, "digest") <= (1, 60 * 1024 + 91_000)
+    assert inflated({}, "none") <= (60, 60 * 1024)
+
+
+def test_warc_files_of_others_and_lost_attempts(spark, tmp_path):
+    record = warc.record_bytes(7, "u", hashlib.sha1(b"body").hexdigest(), None, b"body")
+    revisit = warc.record_bytes(8, None, hashlib.sha1(b"body").hexdigest(), 7, None)
+    (tmp_path / "a.warc").write_bytes(record + revisit)
+    with __import__("gzip").open(tmp_path / "b.warc.gz", "wb") as sink:
+        sink.write(record + revisit)
+    rows = warc.read(spark, str(tmp_path), payload="full").filter("record_type = 'response'").collect()
+    assert [(r.record_id, bytes(r.payload)) for r in rows] == [("urn:page:7", b"body")] * 2
+    folder = shared_path(spark, "warc-test")
+    frame = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    warc.write(warc.record_types(frame), folder)
+    from panelwright.llm.common import open_shared
+
+    store, path = open_shared(folder)
+    with store.open_output_stream(f"{path}/part-lost.warc.gz") as sink:
+        sink.write(b"half a file")
+    assert warc.read(spark, folder).count() == 1
