@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelwright.functions.expressions import days_in_month, flag_when, flags_text, iso_week, iso_year
+from panelwright.operators.joins import attach_strict
+from panelwright.operators.windows import numbered
 
 
 def no_flags() -> Column:
@@ -154,11 +156,27 @@ def rank_models(metrics: DataFrame, model: str, within: Sequence[str] = ()) -> D
 
 
 def top_k_overlap(df: DataFrame, groups: Sequence[str], a: str, b: str, entity: str, ks: Sequence[int]) -> DataFrame:
-    place = lambda c: F.row_number().over(Window.partitionBy(*groups).orderBy(F.col(c).desc(), entity))
-    ranked = df.withColumns({"_a": place(a), "_b": place(b)})
+    ranked = numbered(numbered(df.select(*groups, entity, a, b), groups, a, entity, "_a"), groups, b, entity, "_b")
     return ranked.groupBy(*groups).agg(*[F.count_if((F.col("_a") <= k) & (F.col("_b") <= k)).alias(f"top{k}") for k in ks])
 
 
+def rollup_by_membership(df: DataFrame, members: DataFrame, entity: str, period: str, group: str, cases: str, denom: str, constants: Sequence[str] = ()) -> DataFrame:
+    """(period, group, constants, cases, denom, rate, n): rows summed by the group that each entity is a member of.
+
+    members: (entity, group), each entity once; an entity without a group, or constants that differ within a group, are
+    errors of the job. The rate is null where the denominators sum to nothing positive.
+    """
+    joined = attach_strict(df, members.select(entity, group), [entity])
+    by_period = joined.groupBy(period, group)
+    same = [(F.min(c).alias(c), (F.count_distinct(c) + F.max(F.col(c).isNull().cast("int")) <= 1).alias(f"_one_{c}")) for c in constants]
+    sums = by_period.agg(F.sum(cases).alias(cases), F.sum(denom).alias(denom), F.count(F.lit(1)).alias("n"), *[c for pair in same for c in pair])
+    for c in constants:
+        differ = F.raise_error(F.concat(F.lit(f"{c} differs within "), F.to_json(F.struct(period, group)))).cast("boolean")
+        sums = sums.filter(F.when(F.col(f"_one_{c}"), F.lit(True)).otherwise(differ))
+    rate = F.when(F.col(denom) > 0, F.col(cases) / F.col(denom))
+    return sums.select(period, group, *constants, cases, denom, rate.alias("rate"), "n")
+
+
 def rollup_levels(df: DataFrame, run: str, group: str, cases: str, denom: str, flags: str | None = None) -> DataFrame:
     """Sums by group and over all groups, the rate of the sums, and extremes of the cases."""
     grouped = df.groupingSets([[F.col(run)], [F.col(run), F.col(group)]], F.col(run), F.col(group))

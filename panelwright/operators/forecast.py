@@ -125,11 +125,19 @@ def ridge_backtest(df: DataFrame, features: Sequence[str], target: str, period:
 
 
 def forest_forecast(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, trees: int = 200, least: int = 3, seed: int = 1337) -> DataFrame:
-    """test with `predicted` of a random forest (square root of the features a split)."""
+    """test, every row, with `predicted` of a random forest (square root of the features a split).
+
+    A missing feature is its mean over the training rows, 0 if it has none there; training rows without a target are left out.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    vectors = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
+    known = lambda f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))
+    train = train.filter(F.col(target).isNotNull())
+    means = train.agg(*[F.coalesce(F.avg(known(f)), F.lit(0.0)).alias(f) for f in features]).first().asDict()
+    full = lambda df: df.withColumns({f: F.coalesce(known(f), F.lit(means[f])) for f in features})
+    train, test = full(train), full(test)
+    vectors = VectorAssembler(inputCols=list(features), outputCol="_x")
     forest = RandomForestRegressor(featuresCol="_x", labelCol=target, predictionCol="predicted", numTrees=trees, minInstancesPerNode=least, featureSubsetStrategy="sqrt", seed=seed)
     model = forest.fit(vectors.transform(train.withColumn(target, F.col(target).cast("double"))))
     return model.transform(vectors.transform(test)).drop("_x")
@@ -265,11 +273,13 @@ SEVERITY = [(10.0, "very low"), (25.0, "low"), (75.0, "typical"), (90.0, "high")
 
 
 def typicality(forecasts: DataFrame, history: DataFrame, entity: str, value: str, least: int) -> DataFrame:
-    """forecasts as percentiles of the entity's own history, its quartiles, the distance to their band, and labels."""
+    """forecasts, every row, as percentiles of the entity's own history, its quartiles, the distance to their band, and labels."""
     from panelwright.functions.expressions import bucketize
 
-    keyed = forecasts.select(entity, F.col(value).alias("_f")).join(history.select(entity, F.col(value).alias("_h")), entity, "left")
-    found = keyed.groupBy(entity, "_f").agg(F.avg((F.col("_h") <= F.col("_f")).cast("double") * 100).alias("percentile"), F.count("_h").alias("n_history"), F.percentile("_h", F.lit(0.25)).alias("p25"), F.percentile("_h", F.lit(0.75)).alias("p75"))
+    quartiles = history.groupBy(entity).agg(F.percentile(value, F.lit(0.25)).alias("p25"), F.percentile(value, F.lit(0.75)).alias("p75"))
+    past = history.select(entity, F.col(value).alias("_h"))
+    placed = W.ecdf(forecasts.select(entity, F.col(value).alias("_f")), past, [entity], "_f", "_h", "percentile").withColumnRenamed("percentile_n", "n_history")
+    found = placed.join(quartiles, entity, "left").withColumn("percentile", F.col("percentile") * 100)
     outside = F.when(F.col("_f") > F.col("p75"), F.col("_f") - F.col("p75")).when(F.col("_f") < F.col("p25"), F.col("_f") - F.col("p25")).otherwise(F.lit(0.0))
     evidence = F.when(F.col("n_history") >= 2 * least, "strong").when(F.col("n_history") >= least, "moderate").otherwise("weak")
     return found.withColumns({"severity": bucketize(F.col("percentile"), SEVERITY, "very high"), "distance": outside, "evidence": evidence}).withColumnRenamed("_f", value)

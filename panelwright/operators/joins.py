@@ -6,13 +6,14 @@ leaves the choice to the planner.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelwright.functions.expressions import haversine_miles, mmwr_week, mmwr_year
+from panelwright.functions.expressions import EARTH_MILES, haversine_miles, mmwr_week, mmwr_year
 
 BROADCAST_ROWS = 100_000
 
@@ -137,14 +138,20 @@ def asof_week(queries: DataFrame, scores: DataFrame, qid: str, entity: str, day:
     return best.select(qid, entity, week, "m.used_year", f"m.{value}", flags.alias("flags"))
 
 
-def self_pairs(df: DataFrame, entity: str, key: str, least: int = 1) -> DataFrame:
+def self_pairs(df: DataFrame, entity: str, key: str, least: int = 1, block: int = 1000) -> DataFrame:
     """(a, b, shared): unordered pairs of entities and how many keys they share, at least `least`.
 
-    Pairs arise per key, so keys that very many entities share have to be reported and left out first (`crowded_keys`).
+    The entities of a key are dealt to blocks of about `block`, and every pair of blocks is joined on its own, so that a
+    key which very many entities share is many tasks. Its pairs still grow with the square of its entities
+    (`crowded_keys` reports such keys).
     """
     pairs = df.select(entity, key).distinct()
-    a, b = pairs.withColumnRenamed(entity, "a"), pairs.withColumnRenamed(entity, "b")
-    return a.join(b, key).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
+    sizes = pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
+    dealt = pairs.join(sizes, key).withColumn("_i", F.pmod(F.xxhash64(entity), "_blocks"))
+    a = dealt.withColumn("_j", F.explode(F.sequence("_i", F.col("_blocks") - 1))).select(key, "_i", "_j", F.col(entity).alias("a"))
+    b = dealt.withColumn("_j", F.col("_i")).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), "_j"))).select(key, "_i", "_j", F.col(entity).alias("b"))
+    both = a.join(b, [key, "_i", "_j"]).filter("a < b OR (a > b AND _i < _j)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
 
 
 def crowded_keys(df: DataFrame, entity: str, key: str, most: int) -> DataFrame:
@@ -155,25 +162,36 @@ def nearest_k(places: DataFrame, stations: DataFrame, k: int, cell: float, most_
     """(entity, station, miles, rank): the k nearest stations within most_miles of each place, ties by station.
 
     places: (entity, lat, lon); stations: (station, s_lat, s_lon). A station is copied to the grid cells that
-    most_miles reaches from it and meets only the places of those cells, so the join is an equality join; latitudes are
-    taken to lie below 60 degrees, and cell is in degrees.
+    most_miles reaches from it and meets only the places of those cells, so the join is an equality join; cell is in
+    degrees. Longitudes, from -180 to 180, are reached as far as the station's latitude asks for, across the date line too,
+    and all of them where a pole is within reach.
     """
-    reach_lat, reach_lon = most_miles / 69.0, most_miles / 34.0
+    angle = most_miles / EARTH_MILES
+    reach_lat = math.degrees(angle) * (1 + 1e-9)
+    lat = F.radians("s_lat")
+    polar = F.abs(lat) + angle >= math.pi / 2 - 1e-9
+    reach_lon = F.when(polar, 360.0).otherwise(F.degrees(F.asin(F.least(math.sin(min(angle, math.pi / 2)) / F.cos(lat), F.lit(1.0)))) * (1 + 1e-9))
     index = lambda c: F.floor(c / cell)
-    span = lambda c, r: F.explode(F.sequence(index(c - r), index(c + r)))
-    spread = stations.withColumn("cy", span(F.col("s_lat"), reach_lat)).withColumn("cx", span(F.col("s_lon"), reach_lon))
+    cells = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    west, east = F.floor(F.lit(-180.0 / cell)), F.floor(F.lit(180.0 / cell))
+    turned = [cells(F.greatest(index(F.col("s_lon") + turn - reach_lon), west), F.least(index(F.col("s_lon") + turn + reach_lon), east)) for turn in (-360.0, 0.0, 360.0)]
+    spread = stations.withColumn("cy", F.explode(F.sequence(index(F.col("s_lat") - reach_lat), index(F.col("s_lat") + reach_lat))))
+    spread = spread.withColumn("cx", F.explode(F.array_distinct(F.concat(*turned))))
     near = places.withColumns({"cy": index(F.col("lat")), "cx": index(F.col("lon"))}).join(spread, ["cy", "cx"])
     near = near.withColumn("miles", haversine_miles(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))).filter(F.col("miles") <= most_miles)
     order = Window.partitionBy("entity").orderBy(F.round("miles", 6), "station")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("entity", "station", "miles", "rank")
 
 
-def nearest_analogs(test: DataFrame, train: DataFrame, features: Sequence[str], fold: str, period: str, k: int, chunks: int = 8) -> DataFrame:
+def nearest_analogs(test: DataFrame, train: DataFrame, features: Sequence[str], fold: str, period: str, k: int, chunk_rows: int = 20_000) -> DataFrame:
     """(fold, test_id, train_id, train_period, outcome, distance, rank): each test row's k nearest training rows of its fold.
 
-    Rows are (fold, id, period, features, outcome). Training rows are dealt to chunks; a test row meets a chunk at a time, keeps that
-    chunk's k nearest, and the best k of those are exact. Ties go to the earliest period, then the id.
+    Rows are (fold, id, period, features, outcome). Training rows are dealt to chunks of about chunk_rows, at least 8; a test row
+    meets a chunk at a time, keeps that chunk's k nearest, and the best k of those are exact. Ties go to the earliest period, then
+    the id. All test rows of a fold meet all its training rows: for panels, not for billions of rows.
     """
+    most = train.groupBy(fold).count().agg(F.max("count")).first()[0] or 0
+    chunks = max(8, -(-most // chunk_rows))
     t = test.select(fold, F.col("id").alias("test_id"), *[F.col(f).alias(f"t_{f}") for f in features]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     r = train.select(fold, F.col("id").alias("train_id"), F.col(period).alias("train_period"), "outcome", *features).withColumn("chunk", F.pmod(F.xxhash64("train_id", "train_period"), F.lit(chunks)).cast("int"))
     square = sum(((F.col(f"t_{f}") - F.col(f)) ** 2 for f in features), F.lit(0.0))

@@ -24,14 +24,31 @@ def union_override(vintages: Sequence[DataFrame], keys: Sequence[str]) -> DataFr
     return rows.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Existing and new rows; the last write wins for each key."""
-    return union_override([existing, new], keys).drop("vintage")
+def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """Existing and new rows; the last write wins for each key.
 
+    With a column `order` that is the row where it is largest, wherever it stands (a late older row loses), of equal ones
+    the new table's, then the one whose columns compare greatest. Without it a row of new wins, and rows of new that
+    repeat a key must be equal: there is no last one among them.
+    """
+    if order is None:
+        return union_override([existing, single(new, keys)], keys).drop("vintage")
+    rows = existing.withColumn("vintage", F.lit(0)).unionByName(new.withColumn("vintage", F.lit(1)))
+    rest = [c for c in existing.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("_order"), "vintage", *rest)).alias("_row"))
+    return last.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in existing.columns])
 
-def replace_groups(existing: DataFrame, new: DataFrame, group: str, keys: Sequence[str]) -> DataFrame:
+
+def single(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df without repeated rows; different rows of one key are an error of the job."""
+    rows = df.distinct().withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    several = F.raise_error(F.concat(F.lit("different rows of key "), F.to_json(F.struct(*keys)))).cast("boolean")
+    return rows.filter(F.when(F.col("_n") == 1, F.lit(True)).otherwise(several)).drop("_n")
+
+
+def replace_groups(existing: DataFrame, new: DataFrame, group: str, keys: Sequence[str], order: str | None = None) -> DataFrame:
     """upsert after dropping the existing rows of every group that occurs in new."""
-    return upsert(existing.join(new.select(group).distinct(), group, "left_anti").select(*existing.columns), new, keys)
+    return upsert(existing.join(new.select(group).distinct(), group, "left_anti").select(*existing.columns), new, keys, order)
 
 
 def set_overlap(a: DataFrame, b: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ several of them share one shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +36,12 @@ def rank_tier(df: DataFrame, groups: Sequence[str], value: str, entity: str, pre
     """df with rank, n_ranked, percentile and tier of value within groups.
 
     Ranks run from the largest value, equal values by entity; null values have none. With none_label, values
-    of 0 and less are labelled so. Ranks of few large groups are sorted by one task each.
+    of 0 and less are labelled so. Large groups are ranked as in `numbered`.
     """
-    order = Window.partitionBy(*groups, F.col(value).isNull()).orderBy(F.col(value).desc(), entity)
-    whole = Window.partitionBy(*groups, F.col(value).isNull())
     known = F.col(value).isNotNull()
-    rank, n = F.when(known, F.row_number().over(order)), F.when(known, F.count(F.lit(1)).over(whole))
-    out = df.withColumns({f"{prefix}rank": rank, f"{prefix}n_ranked": n})
+    placed = numbered(df, groups, value, entity, f"{prefix}rank")
+    n = F.when(known, F.count(value).over(Window.partitionBy(*groups)))
+    out = placed.withColumns({f"{prefix}rank": F.when(known, F.col(f"{prefix}rank")), f"{prefix}n_ranked": n})
     r, n = F.col(f"{prefix}rank"), F.col(f"{prefix}n_ranked")
     percentile = F.when(r.isNull(), None).when(n <= 1, F.lit(1.0)).otherwise((n - r) / (n - 1))
     tier = F.when(r.isNull(), None)
@@ -100,7 +100,8 @@ def growth(df: DataFrame, entity: Sequence[str], period: str, value: str) -> Dat
 def history_summary(df: DataFrame, entity: Sequence[str], period: str, value: str, back: int, least: int) -> DataFrame:
     """Mean, extremes, population deviation, first, last and trend of the back periods before; rows with too few or without the last are dropped."""
     w = by_value(entity, period, back)
-    first, last = F.min_by(value, period).over(w), F.max_by(value, period).over(w)
+    known = F.when(F.col(value).isNotNull(), F.col(period))
+    first, last = F.min_by(value, known).over(w), F.max_by(value, known).over(w)
     out = df.withColumns({"h_mean": F.avg(value).over(w), "h_min": F.min(value).over(w), "h_max": F.max(value).over(w), "h_sd": F.stddev_pop(value).over(w), "h_first": first, "h_last": last, "h_n": F.count(value).over(w), "h_prior": F.max(value).over(by_value(entity, period, 1))})
     return out.filter((F.col("h_n") >= least) & F.col("h_prior").isNotNull()).withColumn("h_trend", F.col("h_last") - F.col("h_first"))
 
@@ -176,12 +177,44 @@ def quantile_linear(df: DataFrame, groups: Sequence[str], value: str, probabilit
 
 
 def ecdf(df: DataFrame, history: DataFrame, keys: Sequence[str], value: str, past: str, name: str = "ecdf") -> DataFrame:
-    """df with the share of its keys' history values that are at most value; history is (keys, past).
+    """df, every row, with the share of its keys' history values that are at most value, and their number; history is (keys, past).
 
-    Joined by key alone: a key's rows meet its own history.
+    Distinct values of both are counted before a window runs over them, so no row meets a history row: null keys have no
+    history, a null value or no history gives a null share.
     """
-    ids = df.withColumn("_id", F.xxhash64(*[F.col(c) for c in df.columns])) if "_id" not in df.columns else df
-    joined = ids.join(history.select(*keys, past), list(keys), "left")
-    rest = [c for c in ids.columns if c not in keys]
-    found = joined.groupBy(*keys, *rest).agg(F.avg((F.col(past) <= F.col(value)).cast("double")).alias(name), F.count(past).alias(f"{name}_n"))
-    return found.drop("_id") if "_id" not in df.columns else found
+    old = history.filter(F.col(past).isNotNull()).groupBy(*keys, F.col(past).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    now = df.select(*keys, F.col(value).alias("_v")).distinct().withColumn("_c", F.lit(None).cast("bigint"))
+    whole = Window.partitionBy(*keys)
+    upto = F.coalesce(F.sum("_c").over(whole.orderBy("_v").rangeBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    placed = old.unionByName(now).withColumns({"_upto": upto, f"{name}_n": F.coalesce(F.sum("_c").over(whole), F.lit(0))}).filter("_c IS NULL").drop("_c")
+    found = placed.withColumn(name, F.when(F.col("_v").isNotNull() & (F.col(f"{name}_n") > 0), F.col("_upto") / F.col(f"{name}_n"))).drop("_upto")
+    a, b = df.alias("a"), found.alias("b")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col(f"a.{value}").eqNullSafe(F.col("b._v"))]
+    known = [F.col(f"a.{k}").isNotNull() for k in keys]
+    n = F.when(reduce(lambda x, y: x & y, known), F.col(f"b.{name}_n")).otherwise(F.lit(0))
+    return a.join(b, reduce(lambda x, y: x & y, same)).select("a.*", F.when(n > 0, F.col(f"b.{name}")).alias(name), n.alias(f"{name}_n"))
+
+
+def numbered(df: DataFrame, groups: Sequence[str], value: str, entity: str, name: str, large: int = 1_000_000, cuts: int = 256) -> DataFrame:
+    """df with each row's place in its group from the largest value on, nulls last, equal values by entity.
+
+    Groups of at most `large` rows are sorted by one task each. If any has more, values are first cut into ranges by
+    approximate quantiles of their group, and a row's place is that in its range plus the rows of the ranges before it: as
+    exact, with a task per range.
+    """
+    order = [F.col(value).desc_nulls_last(), F.col(entity)]
+    most = df.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
+    if most <= large:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+    shares = [i / cuts for i in range(1, cuts)]
+    edges = df.groupBy(*groups).agg(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), shares, 10_000)).alias("_edges"))
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in groups])
+    met = df.alias("a").join(edges.alias("b"), same).select("a.*", "b._edges")
+    cut = F.coalesce(F.size(F.filter("_edges", lambda e: e > F.col(value).cast("double"))), F.lit(0))
+    placed = met.withColumn("_range", F.when(F.col(value).isNull(), F.lit(cuts)).otherwise(cut)).drop("_edges")
+    sizes = placed.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("_before", before).drop("_size")
+    within = placed.withColumn("_place", F.row_number().over(Window.partitionBy(*groups, "_range").orderBy(*order)))
+    both = within.alias("a").join(sizes.alias("b"), same & (F.col("a._range") == F.col("b._range")))
+    return both.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("_place") + F.col("_before")).cast("int").alias(name))

@@ -115,11 +115,12 @@ def q061_rollup_two_levels(t: Tables):
     return A.rollup_levels(t.panel_supplier(), "period", "grp", "cases", "denom").withColumn("rate", F.round("rate", 8))
 
 
-@query("SELECT period, s_acctbal > 4500 AS member, sum(cases)::BIGINT AS cases, round(sum(cases) / sum(denom), 8) AS rate, count(*) AS n FROM panel_supplier JOIN supplier ON entity = s_suppkey GROUP BY 1, 2", "panel_supplier")
+@query("SELECT period, s_acctbal > 4500 AS member, CASE WHEN s_acctbal > 4500 THEN 'rich' ELSE 'poor' END AS kind, sum(cases)::BIGINT AS cases, sum(denom) AS denom, round(sum(cases) / sum(denom), 8) AS rate, count(*) AS n FROM panel_supplier JOIN supplier ON entity = s_suppkey GROUP BY 1, 2, 3", "panel_supplier")
 def q062_rollup_by_membership(t: Tables):
     member = t.supplier.select(F.col("s_suppkey").alias("entity"), (F.col("s_acctbal") > 4500).alias("member"))
-    rows = t.panel_supplier().join(member, "entity").groupBy("period", "member")
-    return rows.agg(F.sum("cases").alias("cases"), F.round(F.sum("cases") / F.sum("denom"), 8).alias("rate"), F.count(F.lit(1)).alias("n"))
+    rows = t.panel_supplier().join(member.select("entity", F.when(F.col("member"), "rich").otherwise("poor").alias("kind")), "entity")
+    found = A.rollup_by_membership(rows, member, "entity", "period", "member", "cases", "denom", ["kind"])
+    return found.withColumn("rate", F.round("rate", 8))
 
 
 @query("""WITH p AS (SELECT grp AS regime, period, denom / 25 - cases AS e FROM panel_supplier), c AS (SELECT *, CASE WHEN abs(e) <= 5 THEN 'close' WHEN e > 0 THEN 'over' ELSE 'under' END AS reading FROM p)

@@ -8,10 +8,11 @@ from panelwright.operators import aggregates as A
 from panelwright.operators import features as X
 from panelwright.operators import forecast as M
 from panelwright.operators import joins as J
+from panelwright.operators import panel_models as P
 from panelwright.operators import windows as W
 from panelwright.plans.base import query
 from panelwright.plans.join_queries import _EDGES, edges
-from panelwright.plans.views import Tables
+from panelwright.plans.views import SQL, Tables
 from panelwright.plans.window_queries import R6, _rounded
 
 # The backtest of the closed-form models as SQL; every later query of predictions builds on it.
@@ -124,9 +125,8 @@ def q147_ridge_fit_predict(t: Tables):
 
 @query()
 def q148_random_forest_forecast(t: Tables):
-    matrix, _ = _matrix(t)
-    names = ["feature_prior_rate", "feature_trailing_mean", "feature_prior_group_rate", "feature_cases"]
-    found = M.forest_forecast(matrix.filter("period < 2001"), matrix.filter("period = 2001"), names, "target_rate", trees=30)
+    matrix, schema = _matrix(t)
+    found = M.forest_forecast(matrix.filter("period < 2001"), matrix.filter("period = 2001"), schema.features, "target_rate")
     return found.select("entity", "period", "target_rate", R6("predicted").alias("predicted"))
 
 
@@ -187,35 +187,103 @@ def q153_annual_forecast(t: Tables):
     return _future(t).select("entity", "model", R6("predicted").alias("predicted"), "origin", "update_mode")
 
 
-@query()
+# Regimes and rate models as SQL: g asks for a row of every entity and period from first to last; windows see earlier periods.
+def _sig(first: str, last: str, src: str = "rates") -> str:
+    return f"""g AS (SELECT entity, grp, unnest(range({first}, {last} + 1))::INT AS period FROM (SELECT DISTINCT entity, grp FROM {src})),
+asked AS (SELECT g.entity, g.grp, g.period, rate FROM g LEFT JOIN {src} s USING (entity, period) UNION ALL SELECT entity, grp, period, rate FROM {src} WHERE period < {first} OR period > {last}),
+sig0 AS (SELECT entity, grp, period, rate, avg(rate) OVER w AS h_mean, count(rate) OVER w AS h_n, max(rate) OVER (PARTITION BY entity ORDER BY period RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS h_prior,
+  last_value(rate IGNORE NULLS) OVER w - first_value(rate IGNORE NULLS) OVER w AS h_trend FROM asked WINDOW w AS (PARTITION BY entity ORDER BY period RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+sig AS (SELECT * FROM sig0 WHERE h_n >= 2 AND h_prior IS NOT NULL AND period BETWEEN {first} AND {last})"""
+
+
+_REGIMES = f"""{_EDGES}, near AS (SELECT a.period, src, dst FROM edges JOIN sig a ON a.entity = src JOIN sig b ON b.entity = dst AND b.period = a.period WHERE abs(a.h_mean - b.h_mean) <= 2 AND abs(a.h_prior - b.h_prior) <= 4 AND abs(a.h_trend - b.h_trend) <= 5),
+reach AS (SELECT period, entity AS node, entity AS other FROM sig UNION SELECT r.period, r.node, n.dst FROM reach r JOIN near n ON n.period = r.period AND n.src = r.other),
+comp AS (SELECT period, node, min(other) AS component FROM reach GROUP BY 1, 2), stats AS (SELECT c.period, component, avg(h_mean) AS regime_mean, avg(h_prior) AS regime_prior, min(h_mean) AS regime_min, max(h_mean) AS regime_max, stddev_pop(h_mean) AS regime_sd, count(*) AS members
+  FROM comp c JOIN sig ON sig.entity = node AND sig.period = c.period GROUP BY 1, 2), regimes AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY round(regime_mean, 6), component) AS regime FROM stats)"""
+_SAME = {"h_mean": 2, "h_prior": 4, "h_trend": 5}
+
+
+def _regime_rows(t: Tables, rows, first: int, last: int):
+    return P.spatial_regimes(rows, edges(t), "entity", "grp", "period", "rate", 3, 2, _SAME, first, last)
+
+
+def _models_sql(src: str, horizon: str) -> str:
+    """m: the rows of sig with a column for each rate model, from asked rows."""
+    return f"""s AS (SELECT grp, period, sum(rate) AS s, count(rate) AS n FROM asked GROUP BY 1, 2), e AS (SELECT period, sum(s) AS s, sum(n) AS n FROM s GROUP BY 1),
+gm AS (SELECT grp, period, sum(s) OVER w / sum(n) OVER w AS group_mean FROM s WINDOW w AS (PARTITION BY grp ORDER BY period RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+am AS (SELECT period, sum(s) OVER w / sum(n) OVER w AS all_mean FROM e WINDOW w AS (ORDER BY period RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+marks AS (SELECT * FROM (SELECT entity, period, rate AS v, avg(rate) OVER (PARTITION BY entity ORDER BY period RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS m FROM asked) WHERE v IS NOT NULL),
+cand AS (SELECT a.entity, a.period + 1 AS period, l.v AS analog, row_number() OVER (PARTITION BY a.entity, a.period ORDER BY round(abs(a.v - o.v) + abs(a.m - o.m), 9), o.period DESC) AS r
+  FROM marks a JOIN marks o ON o.entity = a.entity AND o.period < a.period JOIN marks l ON l.entity = o.entity AND l.period = o.period + {horizon} AND l.period <= a.period),
+nb AS (SELECT src AS entity, period + 1 AS period, avg(rate) AS neighbor FROM edges JOIN {src} ON entity = dst WHERE rate IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT sig.entity, sig.grp, sig.period, sig.rate AS actual, h_prior AS latest, h_mean AS trailing_mean, (h_n * h_mean + 5 * group_mean) / (h_n + 5) AS eb_group, (h_n * h_mean + 5 * all_mean) / (h_n + 5) AS eb_all, analog,
+  (h_n * h_mean + 5 * regime_mean) / (h_n + 5) AS eb_regime, neighbor FROM sig JOIN gm ON gm.grp = sig.grp AND gm.period = sig.period JOIN am ON am.period = sig.period LEFT JOIN (SELECT * FROM cand WHERE r = 1) c ON c.entity = sig.entity AND c.period = sig.period
+  LEFT JOIN comp ON comp.node = sig.entity AND comp.period = sig.period LEFT JOIN regimes ON regimes.period = comp.period AND regimes.component = comp.component LEFT JOIN nb ON nb.entity = sig.entity AND nb.period = sig.period)"""
+
+
+def _recursive(sql: str) -> str:
+    """A query's views made part of a recursive list of common tables."""
+    views = {"panel_supplier": SQL["panel_supplier"], "panel_gappy": SQL["panel_gappy"], "rates": SQL["rates"]}
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({q})" for n, q in views.items()) + ", " + sql
+
+
+def _even(c: str):
+    """Rounded to six places, halves upward: means of rates of six places can lie halfway, which the two engines round apart."""
+    return R6(F.col(c) + 1e-9)
+
+
+_WHOLE = "whole AS (SELECT grp, entity, period, round(cases / denom * 1000, 6) AS rate FROM panel_supplier), pop AS (SELECT s_suppkey AS entity, s_acctbal AS population FROM supplier WHERE s_acctbal > 0)"
+_ORIGIN = "(SELECT max(period) FROM (SELECT period FROM whole JOIN pop USING (entity) GROUP BY 1 HAVING count(DISTINCT entity) = (SELECT count(*) FROM pop)))"
+
+
+@query(_recursive(f"""{_WHOLE}, o AS (SELECT {_ORIGIN}::INT AS origin), past AS (SELECT whole.* FROM whole, o WHERE period <= origin), {_sig("(SELECT origin + 1 FROM o)", "(SELECT origin + 1 FROM o)", "past")}, {_REGIMES}, {_models_sql("past", "2")},
+future AS (UNPIVOT (SELECT entity, grp, latest, trailing_mean, eb_group, eb_all, analog, eb_regime FROM m) ON latest, trailing_mean, eb_group, eb_all, analog, eb_regime INTO NAME model VALUE raw)
+SELECT entity, grp, origin, (origin + 2)::INT AS target, model, round(greatest(raw, 0) + 1e-9, 6) AS predicted, round(greatest(raw, 0) * population / 1000 + 1e-9, 4) AS predicted_cases FROM future JOIN pop USING (entity), o"""))
 def q154_regional_annual_forecast(t: Tables):
-    rows = t.rates()
-    origin = A.latest_complete_period(t.panel_supplier(), "grp", "entity", "period", "cases")
-    bayes = M.empirical_bayes(rows, "entity", "grp", "period", "rate", 5, 5.0).select("entity", "period", "eb_group", "eb_all")
-    own = M.own_history_analog(rows, "entity", "period", "rate", 2).select("entity", "period", "analog_forecast")
-    base = _base(t).join(bayes, ["entity", "period"]).join(own, ["entity", "period"], "left")
-    wide = base.join(origin, "grp").filter(F.col("period") == F.col("latest"))
-    long = wide.unpivot(["entity", "grp", "period"], [*M.MODELS, "eb_group", "eb_all", "analog_forecast"], "model", "predicted")
-    return long.filter("predicted IS NOT NULL").withColumn("predicted", R6(M.floor0(F.col("predicted"))))
+    """Six models of the period two after the latest complete one."""
+    rows = t.panel_supplier().withColumn("rate", F.round(F.col("cases") / F.col("denom") * 1000, 6)).select("grp", "entity", "period", "rate")
+    population = t.supplier.select(F.col("s_suppkey").alias("entity"), F.col("s_acctbal").alias("population"))
+    origin = P.latest_common_period(rows, population.filter("population > 0"), "entity", "period")
+    regimes = _regime_rows(t, rows.filter(F.col("period") <= origin), origin + 1, origin + 1).withColumnRenamed("node", "entity")
+    found = P.regional_forecast(rows, population, "entity", "grp", "period", "rate", origin + 2, 3, 2, 5.0, None, regimes, per=1000)
+    return found.withColumns({"predicted": _even("predicted"), "predicted_cases": F.round(F.col("predicted_cases") + 1e-9, 4)})
 
 
-@query()
+@query(_recursive(f"""{_sig("1998", "2001")}, {_REGIMES}, {_models_sql("rates", "1")}, long AS (UNPIVOT (SELECT entity, grp, period, actual, latest, trailing_mean, eb_group, eb_all, analog, eb_regime, neighbor FROM m WHERE actual IS NOT NULL) ON latest, trailing_mean, eb_group, eb_all, analog, eb_regime, neighbor INTO NAME model VALUE raw)
+SELECT entity, period, model, actual, round(greatest(raw, 0) + 1e-9, 6) AS predicted, round(actual - greatest(raw, 0) + 1e-9, 6) AS residual FROM long"""))
 def q155_incidence_stress_backtest(t: Tables):
-    rows = t.rates()
-    bayes = M.empirical_bayes(rows, "entity", "grp", "period", "rate", 5, 5.0).select("entity", "period", "eb_group", "eb_all")
-    near = J.neighbor_summary(rows, edges(t), "entity", "period", "rate", 1).select("entity", "period", "neighbor_mean")
-    base = _base(t).join(bayes, ["entity", "period"]).join(near, ["entity", "period"])
-    found = M.backtest(base, [*M.MODELS, "eb_group", "eb_all", "neighbor_mean"], ["grp", "entity", "period"], "rate", F.col("period") >= 1999, 2)
-    return _rounded(A.error_metrics(found, [["model"], ["model", "period"]]), "mae", "rmse", "bias", "r")
+    """The closed-form models; the forest is the eighth (`rate_stress`, forest=True)."""
+    regimes = _regime_rows(t, t.rates(), 1998, 2001).withColumnRenamed("node", "entity")
+    found = P.rate_stress(t.rates(), "entity", "grp", "period", "rate", 1998, 2001, 3, 2, 5.0, regimes, edges(t))
+    return found.withColumns({c: _even(c) for c in ("predicted", "residual")}).drop("grp")
+
+
+@query("""WITH g AS (SELECT grp, period, sum(cases)::DOUBLE AS gt FROM panel_gappy GROUP BY 1, 2), e AS (SELECT period, sum(gt) AS tot FROM g GROUP BY 1), gm AS (SELECT grp, count(DISTINCT entity) AS gn FROM panel_gappy GROUP BY 1), am AS (SELECT sum(gn) AS an FROM gm),
+h AS (SELECT p.entity, p.grp, p.period, cases::DOUBLE AS actual, count(cases) OVER w AS n, sum(cases) OVER w AS own, sum(gt) OVER w AS gs, sum(tot) OVER w AS als, max(cases) OVER (PARTITION BY entity ORDER BY p.period RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS prior_
+  FROM panel_gappy p JOIN g ON g.grp = p.grp AND g.period = p.period JOIN e ON e.period = p.period WINDOW w AS (PARTITION BY entity ORDER BY p.period RANGE BETWEEN 4 PRECEDING AND 1 PRECEDING)),
+m AS (SELECT h.entity, h.period, actual, prior_::DOUBLE AS prior, own / n AS trailing_mean, own / gs * g.gt AS group_share, (own + 10.0 / gn) / (gs + 10) * g.gt AS eb_group_share, own / als * e.tot AS all_share, (own + 10.0 / an) / (als + 10) * e.tot AS eb_all_share
+  FROM h JOIN g ON g.grp = h.grp AND g.period + 1 = h.period JOIN e ON e.period + 1 = h.period JOIN gm ON gm.grp = h.grp, am WHERE n >= 2 AND prior_ IS NOT NULL AND h.period BETWEEN 1998 AND 2001)
+SELECT entity, period, model, actual, round(predicted + 1e-9, 6) AS predicted, round(actual - predicted + 1e-9, 6) AS residual FROM (UNPIVOT m ON prior, trailing_mean, group_share, eb_group_share, all_share, eb_all_share INTO NAME model VALUE predicted)""", "panel_gappy")
+def q156_outcome_stress_backtest(t: Tables):
+    found = P.count_stress(t.panel_gappy(), "entity", "grp", "period", "cases", 1998, 2001, 4, 2, 10.0)
+    return found.withColumns({c: _even(c) for c in ("predicted", "residual")}).drop("grp")
 
 
-@query()
-def q156_outcome_stress_backtest(t: Tables):
-    rows = t.panel_gappy()
-    shares = M.capacity_share(rows, "entity", "grp", "period", "cases", 4, 10.0).select("entity", "period", "share_forecast", "shrunk_share_forecast")
-    base = M.baselines(rows, "entity", "grp", "period", "cases").join(shares, ["entity", "period"])
-    found = M.backtest(base, [*M.MODELS, "share_forecast", "shrunk_share_forecast"], ["grp", "entity", "period"], "cases", F.col("period") >= 1998, 2)
-    return _rounded(A.error_metrics(found, [["model"], ["model", "grp"]]), "mae", "rmse", "bias", "r")
+@query(_recursive(f"""{_sig("1998", "2002")}, {_REGIMES}, d AS (SELECT period, src AS node, count(*) AS degree FROM near GROUP BY 1, 2)
+SELECT sig.period, sig.entity AS node, regime::INT AS regime, members, coalesce(degree, 0) AS degree, round(h_mean + 1e-9, 6) AS h_mean, h_prior, round(h_trend + 1e-9, 6) AS h_trend, round(regime_mean + 1e-9, 6) AS regime_mean, round(regime_prior + 1e-9, 6) AS regime_prior, round(regime_sd, 4) AS regime_sd
+FROM sig JOIN comp ON comp.node = sig.entity AND comp.period = sig.period JOIN regimes r ON r.period = comp.period AND r.component = comp.component LEFT JOIN d ON d.period = sig.period AND d.node = sig.entity"""))
+def q176_spatial_regimes(t: Tables):
+    """Up to a period that no row has: regimes come from prior periods."""
+    found = _regime_rows(t, t.rates(), 1998, 2002).withColumns({c: _even(c) for c in ("h_mean", "h_trend", "regime_mean", "regime_prior")}).withColumn("regime_sd", F.round("regime_sd", 4))
+    return found.select("period", "node", "regime", "members", "degree", "h_mean", "h_prior", "h_trend", "regime_mean", "regime_prior", "regime_sd")
+
+
+@query(_recursive(f"""{_sig("1998", "2002")}, {_REGIMES}, x AS (SELECT comp.period, component, string_agg(node::VARCHAR, ',' ORDER BY node) AS nodes, count(r.entity) AS seen, sum(cases) AS cases, sum(denom) AS denom FROM comp LEFT JOIN rates r ON r.entity = node AND r.period = comp.period GROUP BY 1, 2)
+SELECT r.period, regime::INT AS regime, nodes, members, round(regime_mean + 1e-9, 6) AS regime_mean, CASE WHEN seen = members THEN cases END::BIGINT AS actual_cases, CASE WHEN seen = members THEN denom END AS actual_population FROM regimes r JOIN x ON x.period = r.period AND x.component = r.component"""))
+def q176_spatial_regime_summary(t: Tables):
+    observed = t.rates().select("period", F.col("entity").alias("node"), "cases", "denom")
+    found = P.regime_summary(_regime_rows(t, t.rates(), 1998, 2002), observed, "cases", "denom")
+    return found.select("period", "regime", "nodes", "members", _even("regime_mean").alias("regime_mean"), "actual_cases", "actual_population")
 
 
 _QUANTILES = "q AS (SELECT model, quantile_cont(actual - predicted, 0.025) AS a, quantile_cont(actual - predicted, 0.1) AS b, quantile_cont(actual - predicted, 0.5) AS c, quantile_cont(actual - predicted, 0.9) AS d, quantile_cont(actual - predicted, 0.975) AS e, count(*) AS n_residuals FROM preds GROUP BY 1)"

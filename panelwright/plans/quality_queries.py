@@ -42,9 +42,15 @@ def q129_provenance_audit(t: Tables):
     return Q.audit(rows, "page_id", Q.manifest_rules({"name": "name", "url": "url", "checksum": "sum", "bytes": "size", "command": "cmd"}))
 
 
-@query()
+_ROW_TEXT = "concat_ws(',', " + ", ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")) + ")"
+_ROW_SUMS = ", ".join(f"coalesce(sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT), 0)::VARCHAR" for i in range(4))
+
+
+@query(f"""SELECT 'customer' AS source_id, 'https://example.org/customer' AS source_url, 'load customer' AS command, 'parquet' AS method, TIMESTAMP '2000-01-01 00:00:00' AS retrieved_at, count(*) AS row_count, sha256(concat_ws(',', {_ROW_SUMS})) AS rows_sha256
+FROM (SELECT sha256({_ROW_TEXT}) AS h FROM customer)""")
 def q130_provenance_record(t: Tables):
-    return Q.provenance_record(t.orders, "orders", "https://example.org/orders", "load orders", "parquet", F.to_timestamp(F.lit("2000-01-01 00:00:00")))
+    rows = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return Q.provenance_record(rows, "customer", "https://example.org/customer", "load customer", "parquet", F.lit("2000-01-01 00:00:00").cast("timestamp"))
 
 
 @query("SELECT s_suppkey, s_name || '1' AS \"left\", s_name AS \"right\" FROM supplier WHERE s_suppkey % 4 = 0")
@@ -111,25 +117,29 @@ def q175_connected_components(t: Tables):
     return G.components(nodes, near, ["period"])
 
 
-@query()
-def q176_spatial_regimes(t: Tables):
-    nodes, near = _similar(t)
-    found = G.numbered_components(G.components(nodes, near, ["period"]), nodes, ["period"], "v")
-    degree = near.groupBy("period", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-    return found.join(degree, ["period", "node"], "left").withColumn("degree", F.coalesce("degree", F.lit(0))).withColumn("mean", R6("mean"))
-
-
 @query()
 def q170_kmeans_1d(t: Tables):
     return G.kmeans_1d(t.panel_supplier().withColumn("v", F.col("cases").cast("double")), "period", "v", 5)
 
 
-@query()
-def q171_incidence_clusters(t: Tables):
+def _clusters(t: Tables):
     history = W.history_summary(t.rates(), ["entity"], "period", "rate", 4, 2).withColumn("v", R6("h_mean"))
     clusters = G.kmeans_1d(history, "period", "v", 4)
     labels = F.array(*[F.lit(x) for x in ("low", "medium", "high", "very_high")])
-    return history.join(clusters, ["period", "v"]).select("entity", "period", "v", "cluster", F.get(labels, F.col("cluster")).alias("label"))
+    return history.join(clusters, ["period", "v"]).withColumn("label", F.get(labels, F.col("cluster")))
+
+
+@query()
+def q171_incidence_clusters(t: Tables):
+    return _clusters(t).select("entity", "period", "v", "cluster", "label")
+
+
+@query()
+def q171_incidence_cluster_summary(t: Tables):
+    from panelwright.operators.panel_models import cluster_summary
+
+    found = cluster_summary(_clusters(t), ["period", "cluster", "label"], "v", "cases", "denom")
+    return found.withColumns({c: R6(F.col(c)) for c in ("mean", "sd", "rate")})
 
 
 def _cells(t: Tables):

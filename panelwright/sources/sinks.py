@@ -23,34 +23,40 @@ def _versions(spark: SparkSession, root: str):
     return spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
 
 
-def current_version(spark: SparkSession, root: str) -> str | None:
-    """The folder that root's pointer names, or None."""
+def _pointers(spark: SparkSession, root: str) -> list[str]:
+    """The numbered pointers of root, oldest first."""
     fs, path = _versions(spark, root)
-    pointer = path(f"{root}/_current")
-    if not fs.exists(pointer):
-        return None
-    return f"{root}/{spark.read.text(f'{root}/_current').first()[0]}"
+    found = fs.globStatus(path(f"{root}/_current-*"))
+    return sorted(status.getPath().getName() for status in found or [])
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The folder that root's last pointer names, or None."""
+    pointers = _pointers(spark, root)
+    return f"{root}/{spark.read.text(f'{root}/{pointers[-1]}').first()[0]}" if pointers else None
 
 
-def write_upsert(new: DataFrame, root: str, keys: Sequence[str], replace: str | None = None) -> str:
-    """Existing rows of root and new ones, last write wins, as a new version; the pointer moves when it is complete.
+def write_upsert(new: DataFrame, root: str, keys: Sequence[str], replace: str | None = None, order: str | None = None) -> str:
+    """Existing rows of root and new ones, last write wins as in `upsert`, as a new version.
 
-    With `replace`, existing rows of every group in new are dropped first.
+    Versions are named by numbered pointers. One is added, by a rename, when its version is complete; none is ever removed,
+    so after a crash at any step the last complete version still stands. Two writers at once get one number: the second
+    fails. With `replace`, existing rows of every group in new are dropped first.
     """
     spark = new.sparkSession
+    pointers = _pointers(spark, root)
     before = current_version(spark, root)
-    rows = new.dropDuplicates(list(keys))
-    if before:
-        old = spark.read.parquet(before)
-        rows = replace_groups(old, rows, replace, keys) if replace else upsert(old, rows, keys)
+    old = spark.read.parquet(before) if before else new.limit(0)
+    rows = replace_groups(old, new, replace, keys, order) if replace else upsert(old, new, keys, order)
     name = f"v-{uuid.uuid4().hex}"
     rows.write.parquet(f"{root}/{name}")
     fs, path = _versions(spark, root)
     stage = f"{root}/_pointer-{uuid.uuid4().hex}"
     spark.range(1).select(F.lit(name).alias("value")).coalesce(1).write.text(stage)
-    if fs.exists(path(f"{root}/_current")):
-        fs.delete(path(f"{root}/_current"), True)
-    fs.rename(path(stage), path(f"{root}/_current"))
+    number = int(pointers[-1].rpartition("-")[2]) + 1 if pointers else 0
+    pointer = path(f"{root}/_current-{number:010d}")
+    if fs.exists(pointer) or not fs.rename(path(stage), pointer):
+        raise RuntimeError(f"{root}: another writer has added version {number}")
     return f"{root}/{name}"
 
 

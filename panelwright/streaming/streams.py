@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from panelwright.operators.forecast import classified
-from panelwright.operators.windows import best_per_key
 from panelwright.sources.sinks import write_upsert
 
 
 def stream_upsert(stream: DataFrame, root: str, keys: Sequence[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Every micro-batch, its last row per key, laid over the table at root. A batch that runs again gives the same table."""
+    """Every micro-batch laid over the table at root: of equal keys the row of the largest order, in whichever batch it came.
+
+    A batch that runs again gives the same table. Each batch writes the whole table anew, so batches should be large.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            write_upsert(best_per_key(batch, keys, [-F.col(order).cast("double")]).select(*batch.columns), root, keys)
+            write_upsert(batch, root, keys, order=order)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
