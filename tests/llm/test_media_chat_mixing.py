@@ -256,6 +256,28 @@ def test_mixed_documents_cut_texts_to_words(spark):
     assert mixing.mixed_documents(docs.limit(0), queries.MIXTURE, mixing.domain_of_source(F.col("source"))).count() == 0
 
 
+def test_mixing_refines_the_bucket_of_the_end(spark, monkeypatch):
+    docs, domain = mix_docs(spark, 3000, 5), mixing.domain_of_source(F.col("source"))
+    rows = lambda: sorted(mixing.mixture_rows(docs, queries.MIXTURE, domain).collect(), key=repr)
+    want = rows()
+    same(mixing.mixture_rows(docs, queries.MIXTURE, domain), queries.OP2_SQL, documents=docs.select("doc_id", "text", "lang", "source"))
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 1)
+    assert rows() == want
+    plan = mixing.plan_mixture(mixing.sizes(docs, domain), queries.MIXTURE).filter("cut IS NOT NULL")
+    assert plan.count() and max(len(r.cut) for r in plan.collect()) > 2
+
+
+def test_budgets_of_very_many_tokens(spark):
+    rows = [("web", "en", f"s{i}", 3 * 10**13 + i) for i in range(31)]
+    leaves = spark.createDataFrame(rows, "domain string, lang string, source string, tokens long")
+    mixture = mixing.Mixture({"source": {f"s{i}": 10_000 - i for i in range(31)}}, 1, 2, 2)
+    given = {r.source: r.given for r in mixing.leaf_budgets(leaves, mixture).collect()}
+    total = sum(r[3] for r in rows) // 2
+    weights = sum(10_000 - i for i in range(31))
+    assert sum(given.values()) == total
+    assert all(abs(given[f"s{i}"] - total * (10_000 - i) / weights) <= 1 for i in range(31))
+
+
 def toxic_corpus(n=900, seed=9):
     random_ = random.Random(seed)
     plain = ["w" + "".join(random_.choices("abcdefghij", k=4)) for _ in range(300)]
