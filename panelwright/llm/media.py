@@ -2,25 +2,24 @@
 
 Defined results: a null text is the empty text; the payload is its UTF-8 bytes and then spaces up to a
 positive multiple of UNIT. Equal texts give equal files, tensors and features, whatever batch they are in:
-all arithmetic is on whole numbers. Rows that repeat repeat. Only key and text are read. An empty table
-gives an empty table.
+all arithmetic is on whole numbers. Rows that repeat repeat. `store` reads only key and text; `read` keeps all
+columns. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from panelwright.llm import progressive_jpeg as jpeg
-from panelwright.llm.common import chunks, map_arrow, texts_of
+from panelwright.llm.common import chunks, map_arrow, stored, texts_of
 
 UNIT = 192
-#: Characters of texts that are coded together; a longer text stands alone.
+#: Characters of texts, or bytes of files, that are coded together; a longer one stands alone.
 TOGETHER = 1 << 20
 
 
@@ -35,58 +34,60 @@ def feature(tensor: np.ndarray) -> str:
     return f"{tensor.shape[1]}x{tensor.shape[0]}:{red}:{green}:{blue}:{zlib.crc32(np.ascontiguousarray(tensor)):08x}"
 
 
-def _coded(texts: list[str]) -> Iterator[tuple[list[str], list[bytes], list, np.ndarray]]:
-    for a, b in chunks(texts, TOGETHER):
-        part = texts[a:b]
-        files = jpeg.encode([padded(t) for t in part])
-        images, coefficients = jpeg.coefficients_of(files)
-        yield part, files, images, coefficients
-
-
 def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, media binary, width, height, tensor binary): the file of each text and its full-resolution RGB samples, row by row."""
+    """(key, n_bytes, media binary): the file of each text, whose payload is the text and padding."""
 
     def rows(batch):
-        media, shapes, samples = [], [], []
-        for _, files, images, coefficients in _coded(texts_of(batch, text)):
-            media += files
-            for tensor in jpeg.tensors(images, coefficients):
-                shapes.append(tensor.shape)
-                samples.append(tensor.tobytes())
-        columns = [pa.array(media, pa.binary()), pa.array([s[1] for s in shapes], pa.int32()), pa.array([s[0] for s in shapes], pa.int32()), pa.array(samples, pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(key), *columns], names=[key, "media", "width", "height", "tensor"])
+        texts, media = texts_of(batch, text), []
+        for a, b in chunks(texts, TOGETHER):
+            media += jpeg.encode([padded(t) for t in texts[a:b]])
+        sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(key), sizes, pa.array(media, pa.binary())], names=[key, "n_bytes", "media"])
 
     docs = docs.select(key, text)
-    return map_arrow(docs, rows, f"`{key}` {docs.schema[key].dataType.simpleString()}, media binary, width int, height int, tensor binary")
+    return map_arrow(docs, rows, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes bigint, media binary")
 
 
-def read(stored: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """(key, payload binary, feature string) of stored files; a null file gives nulls."""
+def read(stored_media: DataFrame, media: str = "media", tensor: bool = True, payload: str = "payload") -> DataFrame:
+    """stored_media with what its files hold: payload binary, feature string and, with tensor, width, height and tensor binary.
+
+    The tensor is the full-resolution RGB samples, row by row. A null file gives nulls; files that aren't of `store` have a
+    null payload. Columns of these names are replaced.
+    """
+    added = [payload, "feature", *(["width", "height", "tensor"] if tensor else [])]
+    kept = [c for c in stored_media.columns if c not in added]
 
     def rows(batch):
         files = batch.column(media).to_pylist()
-        images, coefficients = jpeg.coefficients_of([f for f in files if f is not None])
-        found = iter([(jpeg.payload_of(i, coefficients), feature(t)) for i, t in zip(images, jpeg.tensors(images, coefficients))])
-        out = [(None, None) if f is None else next(found) for f in files]
-        yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.string())], names=[key, "payload", "feature"])
-
-    stored = stored.select(key, media)
-    return map_arrow(stored, rows, f"`{key}` {stored.schema[key].dataType.simpleString()}, payload binary, feature string")
+        for a, b in chunks([f or b"" for f in files], TOGETHER):
+            part = [f for f in files[a:b] if f is not None]
+            images, coefficients = jpeg.coefficients_of(part)
+            found = iter(zip(images, jpeg.tensors(images, coefficients)))
+            out = [[] for _ in added]
+            for file in files[a:b]:
+                image, samples = (None, None) if file is None else next(found)
+                row = [None] * 5 if image is None else [jpeg.payload_of(image, coefficients), feature(samples), image.width, image.height, samples.tobytes() if tensor else None]
+                for column, value in zip(out, row):
+                    column.append(value)
+            kinds = (pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in kept], *[pa.array(c, k) for c, k in zip(out, kinds)]], names=[*kept, *added])
+
+    kinds = {payload: "binary", "feature": "string", "width": "int", "height": "int", "tensor": "binary"}
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in stored_media.schema if f.name in kept]
+    return map_arrow(stored_media.select(*[F.col(f"`{c}`") for c in kept]), rows, ", ".join([*fields, *[f"`{c}` {kinds[c]}" for c in added]]))
 
 
 def round_trip_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each text stored, read back from the stored bytes and digested, for checks of whole corpora."""
-
-    def rows(batch):
-        out = []
-        for part, files, images, coefficients in _coded(texts_of(batch, text)):
-            for t, file, image, tensor in zip(part, files, images, jpeg.tensors(images, coefficients)):
-                payload = jpeg.payload_of(image, coefficients)
-                out.append((len(t.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature(tensor)))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        yield pa.RecordBatch.from_arrays([batch.column(key), *[pa.array(c, k) for c, k in zip(zip(*out), kinds)]], names=[key, *names])
-
-    docs = docs.select(key, text)
-    kind = docs.schema[key].dataType.simpleString()
-    return map_arrow(docs, rows, f"`{key}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    """Each text stored as a media column in the shared folder, read back from it and digested, for checks of whole corpora."""
+    files = stored(store(docs, key, text), "media", compression="zstd")
+    found = read(files, tensor=False)
+    return found.select(
+        key,
+        "n_bytes",
+        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )

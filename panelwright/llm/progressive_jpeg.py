@@ -226,15 +226,19 @@ _SCAN_END = re.compile(rb"\xff[^\x00\xd0-\xd7]")
 _RESTARTS = re.compile(rb"\xff[\xd0-\xd7]")
 
 
-def _parse(data: bytes, base: int) -> tuple[Image, list, int]:
-    """The image, its scans (component, parameters, table, segments, restart interval) and the blocks that it needs."""
+def _parse(data: bytes, base: int) -> tuple[Image, list, list, int]:
+    """The image, its scans and the blocks that it needs.
+
+    Scans of one component are (component, parameters, table, segments, restart interval); those of several, which can
+    only hold first coefficients, are (components and tables, parameters, segments, restart interval).
+    """
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
-    at, image, scans, tables, quantisers, interval, comment, blocks = 2, None, [], {}, {}, 0, b"", 0
+    at, image, scans, joint, tables, quantisers, interval, comment, blocks = 2, None, [], [], {}, {}, 0, b"", 0
     while True:
         kind = data[at + 1]
         if kind == 0xD9:
-            return image, scans, blocks
+            return image, scans, joint, blocks
         size = struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + size]
         at += 2 + size
@@ -262,16 +266,18 @@ def _parse(data: bytes, base: int) -> tuple[Image, list, int]:
             image = Image(width, height, comment, parts, quantisers, first[:-1].tolist(), shape)
             blocks = int(first[-1] - base)
         elif kind == 0xDA:
-            if body[0] != 1:
-                raise ValueError("scans of several components aren't supported")
-            number = [p[0] for p in image.components].index(body[1])
-            low_high = body[5]
-            params = (body[3], body[4], low_high >> 4, low_high & 15)
-            table = tables.get(body[2] >> 4 if params[1] == 0 else 0x10 | body[2] & 15, b"")
+            n = body[0]
+            names = [p[0] for p in image.components]
+            lo, hi, low_high = body[1 + 2 * n : 4 + 2 * n]
+            params = (lo, hi, low_high >> 4, low_high & 15)
+            own = [(names.index(body[1 + 2 * i]), tables.get(body[2 + 2 * i] >> 4 if hi == 0 else 0x10 | body[2 + 2 * i] & 15, b"")) for i in range(n)]
             stop = _SCAN_END.search(data, at).start()
             segments = [s.replace(b"\xff\x00", b"\xff") for s in _RESTARTS.split(data[at:stop])]
-            rows, columns = image.shape[number]
-            scans.append((number, params, table, segments, interval or rows * columns))
+            if n > 1:
+                joint.append((own, params, segments, interval))
+            else:
+                rows, columns = image.shape[own[0][0]]
+                scans.append((own[0][0], params, own[0][1], segments, interval or rows * columns))
             at = stop
         elif 0xC0 <= kind <= 0xCF:
             raise ValueError("not a progressive Huffman file")
@@ -459,12 +465,49 @@ def _refine_slowly(params, bits, at, symbols, lengths, blocks) -> None:
             skip -= 1
 
 
+def _joint_scan(image: Image, scan: tuple, coefficients: np.ndarray) -> None:
+    """Adds a scan of first coefficients of several components, whose blocks take turns in units of the sampling factors."""
+    own, (_, _, high, low), segments, interval = scan
+    most_h, most_v = max(c[1] for c in image.components), max(c[2] for c in image.components)
+    across, down = -(-image.width // (8 * most_h)), -(-image.height // (8 * most_v))
+    lookups = [None if high else _lookup(table) for _, table in own]
+    unit = 0
+    for segment in segments:
+        windows, at, last = _windows(segment), 0, [0] * len(own)
+
+        def take(n: int) -> int:
+            nonlocal at
+            value = int(windows[at >> 3]) >> (32 - n - (at & 7)) & ((1 << n) - 1) if n else 0
+            at += n
+            return value
+
+        for unit in range(unit, min(unit + (interval or across * down), across * down)):
+            for i, (number, _) in enumerate(own):
+                _, h, v, _ = image.components[number]
+                rows, columns = image.shape[number]
+                for part in range(h * v):
+                    if high:
+                        value = take(1) << low
+                    else:
+                        code = take(16)
+                        size = int(lookups[i][0][code])
+                        at += int(lookups[i][1][code]) - 16
+                        bits = take(size)
+                        last[i] += bits - (1 << size) + 1 if size and bits < 1 << (size - 1) else bits
+                        value = last[i] << low
+                    row, column = unit // across * v + part // h, unit % across * h + part % h
+                    if row < rows and column < columns:  # units at the edges have blocks that no image holds
+                        coefficients[image.first_block[number] + row * columns + column, 0] |= value
+        unit += 1
+
+
 def coefficients_of(files: list[bytes]) -> tuple[list[Image], np.ndarray]:
     """The images and the (blocks, 64) coefficients, in zigzag order, that all their scans add up to."""
-    images, groups, base = [], defaultdict(list), 0
+    images, groups, joint_scans, base = [], defaultdict(list), [], 0
     for data in files:
-        image, scans, blocks = _parse(data, base)
+        image, scans, joint, blocks = _parse(data, base)
         images.append(image)
+        joint_scans += [(image, scan) for scan in joint]
         base += blocks
         turn = [0] * len(image.components)  # scans of a component depend on its earlier ones alone
         for number, params, table, segments, interval in scans:
@@ -477,6 +520,8 @@ def coefficients_of(files: list[bytes]) -> tuple[list[Image], np.ndarray]:
     for (_, params, table), items in sorted(groups.items(), key=lambda x: x[0][0]):
         segments, first, count = zip(*items)
         _scan_group(params, table, list(segments), np.array(first), np.array(count), coefficients)
+    for image, scan in joint_scans:  # bits of first coefficients that no other scan writes or reads
+        _joint_scan(image, scan, coefficients)
     return images, coefficients
 
 
@@ -527,8 +572,10 @@ def _upsampled(plane: np.ndarray, down: int, across: int, image: Image) -> np.nd
     return plane[: image.height, : image.width]
 
 
-def payload_of(image: Image, coefficients: np.ndarray) -> bytes:
-    """The payload bytes of one of our files."""
+def payload_of(image: Image, coefficients: np.ndarray) -> bytes | None:
+    """The payload bytes of one of our files, None of any other."""
+    if not image.comment.startswith(b"payload "):
+        return None
     n = int(image.comment.removeprefix(b"payload "))
     first = image.first_block[0]
     return (coefficients[first : first + n // 64] - OFFSET).astype(np.uint8).tobytes()

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import zlib
@@ -162,6 +163,50 @@ def test_jpeg_decoder_takes_zero_runs_and_new_coefficients_in_refinement():
     assert jpeg.tensors(images, got)[0].shape == (16, 24, 3)
 
 
+@pytest.mark.parametrize("interval", [0, 2])
+def test_jpeg_decoder_takes_first_coefficients_of_several_components(interval):
+    """A 4:2:0 image whose size isn't a multiple of a unit, in a joint first scan and a joint refinement, with restarts."""
+    rng, width, height = np.random.default_rng(3), 37, 21
+    across, down = 3, 2
+    planes = {1: rng.integers(-200, 200, (4, 6)), 2: rng.integers(-200, 200, (2, 3)), 3: rng.integers(-200, 200, (2, 3))}
+    dc = {4: list(range(12))}
+    codes = jpeg.canonical(dc)
+
+    def scan(refine):
+        put, done = _bit_writer()
+        parts, last = [], {1: 0, 2: 0, 3: 0}
+        for unit in range(across * down):
+            if interval and unit and unit % interval == 0:
+                parts.append(done())
+                put, done = _bit_writer()
+                last = {1: 0, 2: 0, 3: 0}
+            y, x = divmod(unit, across)
+            blocks = [(1, planes[1][2 * y + j, 2 * x + i]) for j in (0, 1) for i in (0, 1)] + [(c, planes[c][y, x]) for c in (2, 3)]
+            for c, value in blocks:
+                if refine:
+                    put(int(value) & 1, 1)
+                    continue
+                diff, last[c] = (int(value) >> 1) - last[c], int(value) >> 1
+                size = abs(diff).bit_length()
+                put(*codes[size])
+                put(diff if diff >= 0 else diff + (1 << size) - 1, size)
+        parts.append(done())
+        return parts[0] + b"".join(bytes([0xFF, 0xD0 + i % 8]) + p for i, p in enumerate(parts[1:]))
+
+    mark = jpeg._marker
+    frame = bytes([8, 0, height, 0, width, 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
+    head = lambda a: mark(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 0, a]))
+    file = b"\xff\xd8" + mark(0xDB, bytes([0] + [1] * 64)) + mark(0xC2, frame) + mark(0xC4, jpeg._dht(0, dc)) + (mark(0xDD, bytes([0, interval])) if interval else b"")
+    file += head(1) + scan(False) + head(0x10) + scan(True) + b"\xff\xd9"
+    images, got = jpeg.coefficients_of([file, file])
+    for image in images:
+        assert image.shape == [(3, 5), (2, 3), (2, 3)]
+        for (rows, columns), first, plane in zip(image.shape, image.first_block, planes.values()):
+            assert (got[first : first + rows * columns, 0].reshape(rows, columns) == plane[:rows, :columns]).all()
+        assert jpeg.payload_of(image, got) is None
+    assert jpeg.tensors(images, got)[1].shape == (height, width, 3)
+
+
 def test_media_round_trip(spark):
     texts = [None, "", "x" * 193, "é中" * 500, "plain text", "plain text", "y" * 100_000]
     docs = spark.createDataFrame([(i, t, b"1") for i, t in enumerate(texts)], "doc_id long, text string, feature binary")
@@ -175,8 +220,15 @@ def test_media_round_trip(spark):
     back = {r.doc_id: r for r in media.read(kept).collect()}
     assert [bytes(back[i].payload) for i in range(len(texts))] == [media.padded(t or "") for t in texts]
     assert {i: r.feature for i, r in back.items()} == {i: r.feature for i, r in got.items()}
-    row = kept.filter("doc_id = 2").first()
-    assert len(row.tensor) == row.width * row.height * 3
+    for i, t in enumerate(texts):
+        file = bytes(kept.filter(F.col("doc_id") == i).first().media)
+        assert file == jpeg.encode([media.padded(t or "")])[0]
+        assert (got[i].payload_sha256, got[i].media_sha256, got[i].media_bytes) == (hashlib.sha256(media.padded(t or "")).hexdigest(), hashlib.sha256(file).hexdigest(), len(file))
+        samples = np.frombuffer(bytes(back[i].tensor), np.uint8).reshape(back[i].height, back[i].width, 3).astype(int)
+        sums = [sum(map(int, samples[:, :, c].sum(1))) for c in range(3)]
+        assert back[i].feature == f"{back[i].width}x{back[i].height}:{sums[0]}:{sums[1]}:{sums[2]}:{zlib.crc32(bytes(back[i].tensor)):08x}"
+    odd = kept.select("doc_id", F.when(F.col("doc_id") != 2, F.col("media")).alias("media"), F.lit(1).alias("tensor"))
+    assert {r.doc_id for r in media.read(odd).filter("payload IS NULL AND tensor IS NULL").collect()} == {2}
     assert media.round_trip_digests(docs.limit(0)).count() == 0
 
 
