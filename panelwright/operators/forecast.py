@@ -73,17 +73,34 @@ def capacity_share(df: DataFrame, entity: str, group: str, period: str, value: s
     return out.withColumns({"share_forecast": share * F.col("_last"), "shrunk_share_forecast": shrunk * F.col("_last")}).drop("_own", "_past", "_last", "_m")
 
 
+#: Columns up to which a Gramian is one aggregation of sums of products; more are summed as matrices, one a task.
+SUMS_OF_PRODUCTS = 40
+
+
 def gram(df: DataFrame, features: Sequence[str], target: str) -> tuple[np.ndarray, np.ndarray]:
-    """The matrix and vector of a least-squares fit with intercept, in one aggregation of p^2 sums (a few hundred columns at most)."""
-    if len(features) > 300:
-        raise ValueError("more than 300 columns: use a distributed Gramian")
-    columns = [F.lit(1.0), *[F.col(f).cast("double") for f in features], F.col(target).cast("double")]
-    n = len(columns)
-    row = df.agg(*[F.sum(columns[i] * columns[j]).alias(f"s{i}_{j}") for i in range(n) for j in range(i, n)]).first()
+    """The matrix and vector of a least-squares fit with intercept; a null counts as 0. The driver gets p^2 numbers."""
+    named = {"_one": F.lit(1.0)} | {f"_{i}": F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for i, f in enumerate([*features, target])}
+    rows, n = df.select(*[v.alias(k) for k, v in named.items()]), len(named)
     full = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i, n):
-            full[i, j] = full[j, i] = row[f"s{i}_{j}"] or 0.0
+    if n <= SUMS_OF_PRODUCTS:
+        names = list(named)
+        sums = rows.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i in range(n) for j in range(i, n)]).first()
+        for i in range(n):
+            for j in range(i, n):
+                full[i, j] = full[j, i] = sums[f"s{i}_{j}"] or 0.0
+    else:
+        import pyarrow as pa
+
+        def products(batches):
+            total = np.zeros((n, n))
+            for batch in batches:
+                x = np.column_stack([column.to_numpy(zero_copy_only=False) for column in batch.columns])
+                total += x.T @ x
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
+
+        parts = rows.mapInArrow(products, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "v"))
+        for i, j, v in parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+            full[i, j] = v
     return full[:-1, :-1], full[:-1, -1]
 
 

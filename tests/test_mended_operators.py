@@ -125,6 +125,16 @@ def test_forests_keep_rows_with_nulls(spark):
     assert set(found) == {1, 2, 3} and abs(found[1] - 8) < 2 and all(0 <= p <= 8 for p in found.values())
 
 
+def test_wide_gramians_equal_narrow_ones(spark, monkeypatch):
+    random_ = random.Random(1)
+    names = [f"x{i}" for i in range(6)]
+    df = spark.createDataFrame([(*[random_.choice([None, random_.random()]) for _ in names], random_.random()) for _ in range(50)], [*names, "t"]).repartition(3)
+    narrow = M.gram(df, names, "t")
+    monkeypatch.setattr(M, "SUMS_OF_PRODUCTS", 1)
+    wide = M.gram(df, names, "t")
+    assert abs(narrow[0] - wide[0]).max() < 1e-9 and abs(narrow[1] - wide[1]).max() < 1e-9 and narrow[0][0, 0] == 50
+
+
 def test_membership_rollup_asserts_members_and_constants(spark):
     df = spark.createDataFrame([("a", 1, 2, 10.0, "r"), ("b", 1, 3, 0.0, "r"), ("c", 1, 1, 0.0, "s")], "e string, p int, cases int, d double, kind string")
     members = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "e string, g int")
