@@ -61,6 +61,14 @@ def stored(df: DataFrame, tag: str, partition_by: Iterable[str] = (), **options)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path if a job has completed it, else build() written there."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def open_shared(uri: str):
     """(pyarrow filesystem, path) of a URI or plain path, usable on any executor that mounts the store."""
     from pyarrow import fs

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from panelwright.llm import near_copies, toxicity
 from panelwright.llm.common import DOC_COLUMNS, table
@@ -86,3 +88,28 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == want
     crowded = near_copies.representatives(docs, hot=3)
     assert sorted(r.doc_id for r in crowded.collect()) == want
+
+
+def test_a_run_goes_on_after_its_last_complete_stage(spark, tmp_path, monkeypatch):
+    rows = [(i, f"some words of document {i} " * 20, "en", f"src{i % 3}", 9) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    called = []
+
+    def counted(name, stage, broken):
+        def call(*args):
+            called.append(name)
+            if broken and name == broken[0]:
+                raise RuntimeError("lost")
+            return stage(*args)
+
+        return name, call
+
+    broken = ["mixing"]
+    run_id = tmp_path.name
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [counted(*s, broken) for s in corpus_pipeline.STAGES])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, str(tmp_path), run_id)
+    broken.clear()
+    assert corpus_pipeline.run(spark, str(tmp_path), run_id).count() == 30
+    assert called == ["toxicity", "line_dedup", "simhash_near_dedup", "mixing", "mixing", "byte_bpe"]
