@@ -18,6 +18,9 @@ from urllib.parse import unquote, urlparse
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch at most.
+BATCH_BYTES = 1 << 22
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Columns of the documents table; every pipeline stage but the last returns these.
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -90,14 +93,21 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+    """mapInArrow with a function of one batch.
 
-    ship(df.sparkSession)
+    The session's batches are held to BATCH_BYTES from here on: what a worker and its executor hold at a time follows the
+    bytes of texts, not their number. A longer text is a batch of its own.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if not 0 < int(spark.conf.get(_BATCH_BYTES, "0").rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield from rows(batch)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

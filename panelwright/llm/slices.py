@@ -48,7 +48,7 @@ class SliceCodes:
         self.make, self.bits = make, slot_bits
         slots = 1 << slot_bits
         self.words = np.zeros((3, slots), np.uint64)
-        self.first, self.count = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
+        self.first, self.count = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
         self.pool, self.held, self.entries = np.zeros(1 << 16, np.uint32), 0, 0
 
     def codes(self, data: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

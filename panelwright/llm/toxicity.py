@@ -37,7 +37,7 @@ _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 #: A document is called toxic from this score on.
 THRESHOLD = 0.7
-WORDS_KEPT = 150_000
+WORDS_KEPT = 100_000
 
 
 @dataclass(frozen=True)
