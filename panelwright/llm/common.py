@@ -100,7 +100,7 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterable[pa.Record
     """
     spark = df.sparkSession
     ship(spark)
-    if not 0 < int(spark.conf.get(_BATCH_BYTES, "0").rstrip("b")) <= BATCH_BYTES:
+    if int(spark.conf.get(_BATCH_BYTES, str(2 * BATCH_BYTES)).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

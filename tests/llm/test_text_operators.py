@@ -8,8 +8,9 @@ import public_tokenizers
 import regex
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
-from panelwright.llm import bpe, line_dedup, quality_rules, queries, simhash, slices
+from panelwright.llm import bpe, line_dedup, mixing, near_copies, quality_rules, queries, simhash, slices
 from panelwright.llm.pretokenize import pretokens
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -191,6 +192,9 @@ def test_clashing_names_are_kept(spark):
     docs = spark.createDataFrame([(i, "one two three", "en", "src1", 13, i, i, i, i) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long, _lines_row int, _hash int, _mix_tokens int, __lines_row int")
     assert line_dedup.drop_frequent_lines(docs).select("_lines_row", "__lines_row", "_hash").distinct().count() == 12
     assert set(simhash.representatives(docs).columns) == set(docs.columns)
+    mixed = mixing.mixed_documents(docs, mixing.Mixture(max_epochs=1), mixing.domain_of_source(F.col("source")))
+    assert mixed.columns == docs.columns and mixed.select("_mix_tokens", "_hash").distinct().count() == 12
+    assert near_copies.representatives(docs).columns == docs.columns and near_copies.representatives(docs).count() == 1
 
 
 def naive_repeats(words):
