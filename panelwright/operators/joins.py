@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelwright.functions.expressions import EARTH_MILES, haversine_miles, mmwr_week, mmwr_year
+from panelwright.operators.storage import settled
 
 BROADCAST_ROWS = 100_000
+HALF_WAY_ROUND = math.pi * EARTH_MILES
 
 
 class KeyMismatch(ValueError):
@@ -158,13 +161,33 @@ def crowded_keys(df: DataFrame, entity: str, key: str, most: int) -> DataFrame:
     return df.groupBy(key).agg(F.countDistinct(entity).alias("entities")).filter(F.col("entities") > most)
 
 
-def nearest_k(places: DataFrame, stations: DataFrame, k: int, cell: float, most_miles: float) -> DataFrame:
-    """(entity, station, miles, rank): the k nearest stations within most_miles of each place, ties by station.
+def nearest_k(places: DataFrame, stations: DataFrame, k: int, cell: float = 2.0, start_miles: float = 150.0, most_miles: float = HALF_WAY_ROUND) -> DataFrame:
+    """(entity, station, miles, rank): the k nearest stations of each place, ties by station; within most_miles, if it is given.
 
-    places: (entity, lat, lon); stations: (station, s_lat, s_lon). A station is copied to the grid cells that
-    most_miles reaches from it and meets only the places of those cells, so the join is an equality join; cell is in
-    degrees. Longitudes, from -180 to 180, are reached as far as the station's latitude asks for, across the date line too,
-    and all of them where a pole is within reach.
+    places: (entity, lat, lon); stations: (station, s_lat, s_lon). Stations are looked for within start_miles. A place that
+    has k there has its nearest; the others look on within four times the distance, until all have k or the earth is
+    searched. So far-off places cost more, but no place is left with fewer stations than there are.
+    """
+    parts, miles, left = [], min(start_miles, most_miles), places.select("entity", "lat", "lon")
+    while True:
+        found = settled(_within(left, stations, k, max(cell, math.degrees(miles / EARTH_MILES)), miles))
+        if miles >= most_miles:
+            parts.append(found)
+            break
+        full = found.filter(F.col("rank") == k).select("entity")
+        parts.append(found.join(full, "entity", "left_semi"))
+        left = settled(left.join(full, "entity", "left_anti"))
+        if left.isEmpty():
+            break
+        miles = min(4 * miles, most_miles)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _within(places: DataFrame, stations: DataFrame, k: int, cell: float, most_miles: float) -> DataFrame:
+    """nearest_k within most_miles. A station is copied to the grid cells, of `cell` degrees, that most_miles reaches from it.
+
+    Places meet the stations of their cell, so the join is an equality join. Longitudes, from -180 to 180, are reached as
+    far as the station's latitude asks for, across the date line too, and all of them where a pole is within reach.
     """
     angle = most_miles / EARTH_MILES
     reach_lat = math.degrees(angle) * (1 + 1e-9)

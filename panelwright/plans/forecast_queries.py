@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from panelwright.operators import aggregates as A
@@ -10,8 +12,9 @@ from panelwright.operators import forecast as M
 from panelwright.operators import joins as J
 from panelwright.operators import panel_models as P
 from panelwright.operators import windows as W
+from panelwright.operators.storage import settled
 from panelwright.plans.base import query
-from panelwright.plans.join_queries import _EDGES, edges
+from panelwright.plans.join_queries import _ANALOGS, _EDGES, analogs, edges
 from panelwright.plans.views import SQL, Tables
 from panelwright.plans.window_queries import R6, _rounded
 
@@ -117,30 +120,32 @@ def q141_project_design_rows(t: Tables):
     return _rounded(found, "trailing_mean").select("entity", "prior_rate", "trailing_mean", "denominator")
 
 
+def _test_periods(matrix) -> list[int]:
+    """Every period of a design matrix that has at least two before it."""
+    return sorted(r[0] for r in matrix.select("period").distinct().collect())[2:]
+
+
 @query()
 def q147_ridge_fit_predict(t: Tables):
     matrix, schema = _matrix(t)
-    return _rounded(M.ridge_backtest(matrix, schema.features, "target_rate", "period", [2000, 2001], 1.0, ["entity", "period"]), "predicted")
+    matrix = settled(matrix)
+    return _rounded(M.ridge_backtest(matrix, schema.features, "target_rate", "period", _test_periods(matrix), 1.0, ["entity", "period"]), "predicted")
 
 
 @query()
 def q148_random_forest_forecast(t: Tables):
     matrix, schema = _matrix(t)
-    found = M.forest_forecast(matrix.filter("period < 2001"), matrix.filter("period = 2001"), schema.features, "target_rate")
+    matrix = settled(matrix)
+    parts = [M.forest_forecast(matrix.filter(F.col("period") < p), matrix.filter(F.col("period") == p), schema.features, "target_rate") for p in _test_periods(matrix)]
+    found = reduce(lambda a, b: a.unionByName(b), parts)
     return found.select("entity", "period", "target_rate", R6("predicted").alias("predicted"))
 
 
 def _analogs(t: Tables):
-    rows = t.panel_supplier().select(F.col("entity").alias("id"), "period", (F.col("cases") / 100.0).alias("f1"), (F.col("denom") / 2500.0).alias("f2"), F.col("cases").alias("outcome"))
-    folds = t.spark.createDataFrame([(1997,), (1998,)], "fold int")
-    train = rows.join(F.broadcast(folds), F.col("period") < F.col("fold"))
-    found = J.nearest_analogs(rows.filter("period IN (1997, 1998)").withColumn("fold", F.col("period")), train, ["f1", "f2"], "fold", "period", 5)
-    return M.weighted_analogs(found, "fold")
+    return M.weighted_analogs(analogs(t), "fold")
 
 
-@query("""WITH z AS (SELECT entity AS id, period, cases / 100.0 AS f1, denom / 2500.0 AS f2, cases AS outcome FROM panel_supplier),
-m AS (SELECT a.period AS fold, a.id AS test_id, b.id AS train_id, b.period AS train_period, b.outcome, round(sqrt((a.f1 - b.f1) ** 2 + (a.f2 - b.f2) ** 2), 9) AS distance FROM z a JOIN z b ON b.period < a.period WHERE a.period IN (1997, 1998)),
-r AS (SELECT *, row_number() OVER (PARTITION BY fold, test_id ORDER BY distance, train_period, train_id) AS rank FROM m) SELECT fold, test_id, round(sum(outcome / (distance + 1e-9)) / sum(1 / (distance + 1e-9)), 4) AS predicted FROM r WHERE rank <= 5 GROUP BY 1, 2""", "panel_supplier")
+@query(f"WITH {_ANALOGS} SELECT fold, test_id, round(sum(outcome / (distance + 1e-9)) / sum(1 / (distance + 1e-9)), 4) AS predicted FROM r WHERE rank <= 5 GROUP BY 1, 2", "panel_supplier")
 def q149_analog_forecast(t: Tables):
     return _analogs(t).select("fold", "test_id", F.round("predicted", 4).alias("predicted"))
 

@@ -98,16 +98,17 @@ def q040_neighbor_join(t: Tables):
 
 @query("""WITH days AS (SELECT DISTINCT l_shipdate::DATE AS d FROM lineitem UNION SELECT DISTINCT o_orderdate::DATE FROM orders), starts AS (SELECT y, make_date(y, 1, 4) - dayofweek(make_date(y, 1, 4))::INT AS s FROM (SELECT unnest(range(1990, 2010)) AS y)),
 cal AS (SELECT d, max(y) AS y, ((d - max(s)) // 7 + 1)::INT AS w FROM days JOIN starts ON s <= d GROUP BY d),
-scores AS (SELECT l_suppkey AS entity, y AS year, w AS week, sum(l_quantity) AS score FROM lineitem JOIN cal ON l_shipdate::DATE = d WHERE y < 1999 AND l_linenumber = 1 GROUP BY 1, 2, 3),
-q AS (SELECT o_orderkey AS qid, o_custkey % 100 + 1 AS entity, y, w FROM orders JOIN cal ON o_orderdate::DATE = d),
-m AS (SELECT qid, q.entity, w, y, year, score, row_number() OVER (PARTITION BY qid ORDER BY (year = q.y)::INT DESC NULLS LAST, year DESC) AS r FROM q LEFT JOIN scores s ON s.entity = q.entity AND s.week = q.w)
+scores AS (SELECT l_suppkey AS entity, y AS year, w AS week, sum(l_quantity) AS score FROM lineitem JOIN cal ON l_shipdate::DATE = d GROUP BY 1, 2, 3),
+q AS (SELECT l_orderkey AS qid, l_suppkey AS entity, any_value(y) AS y, any_value(w) AS w FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN cal ON o_orderdate::DATE = d GROUP BY 1, 2),
+m AS (SELECT qid, q.entity, w, y, year, score, row_number() OVER (PARTITION BY qid, q.entity ORDER BY (year = q.y)::INT DESC NULLS LAST, year DESC) AS r FROM q LEFT JOIN scores s ON s.entity = q.entity AND s.week = q.w)
 SELECT qid, entity, w AS week, year::INT AS used_year, score, CASE WHEN year IS NULL THEN 'no_score' WHEN year <> y THEN 'latest_year_used' ELSE '' END AS flags FROM m WHERE r = 1""")
 def q041_asof_latest_or_exact(t: Tables):
     from panelwright.functions.expressions import mmwr_week, mmwr_year
 
     d = F.to_date("l_shipdate")
-    scores = t.lineitem.filter("l_linenumber = 1").groupBy(F.col("l_suppkey").alias("entity"), mmwr_year(d).cast("int").alias("year"), mmwr_week(d).alias("week")).agg(F.sum("l_quantity").alias("score")).filter("year < 1999")
-    asked = t.orders.select(F.col("o_orderkey").alias("qid"), (F.col("o_custkey") % 100 + 1).alias("entity"), F.to_date("o_orderdate").alias("d"))
+    scores = t.lineitem.groupBy(F.col("l_suppkey").alias("entity"), mmwr_year(d).cast("int").alias("year"), mmwr_week(d).alias("week")).agg(F.sum("l_quantity").alias("score"))
+    lines = t.lineitem.select("l_orderkey", F.col("l_suppkey").alias("entity")).distinct()
+    asked = lines.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("qid"), "entity", F.to_date("o_orderdate").alias("d"))
     return J.asof_week(asked, scores, "qid", "entity", "d", "year", "week", "score")
 
 
@@ -119,23 +120,35 @@ def q042_self_pair_join(t: Tables):
 _MILES = "round(2 * 3958.8 * asin(sqrt(least(1, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))), 6)"
 
 
-@query(f"""WITH m AS (SELECT a.entity, b.entity AS station, {_MILES} AS miles FROM points a, points b WHERE a.entity % 2 = 0 AND b.entity % 2 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY miles, station) AS rank FROM m WHERE miles <= 150)
+@query(f"""WITH m AS (SELECT a.entity, b.entity AS station, {_MILES} AS miles FROM points a, points b WHERE a.entity % 2 = 0 AND b.entity % 2 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY miles, station) AS rank FROM m)
 SELECT entity, station, round(miles, 4) AS miles, rank::INT AS rank FROM r WHERE rank <= 3""", "points")
 def q043_nearest_k_join(t: Tables):
     stations = t.points().filter("entity % 2 = 1").select(F.col("entity").alias("station"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    found = J.nearest_k(t.points().filter("entity % 2 = 0"), stations, 3, 2.0, 150)
-    return found.withColumn("miles", F.round("miles", 4))
+    found = J.nearest_k(t.points().filter("entity % 2 = 0"), stations, 3, 0.5, 20)
+    return found.withColumn("miles", F.round(R6("miles"), 4))
 
 
-@query("""WITH z AS (SELECT entity AS id, period, cases / 100.0 AS f1, denom / 2500.0 AS f2, cases AS outcome FROM panel_supplier),
-m AS (SELECT a.period AS fold, a.id AS test_id, b.id AS train_id, b.period AS train_period, b.outcome, round(sqrt((a.f1 - b.f1) ** 2 + (a.f2 - b.f2) ** 2), 9) AS distance FROM z a JOIN z b ON b.period < a.period WHERE a.period IN (1997, 1998)),
-r AS (SELECT *, row_number() OVER (PARTITION BY fold, test_id ORDER BY distance, train_period, train_id) AS rank FROM m) SELECT fold, test_id, train_id, train_period, outcome, round(distance, 6) AS distance, rank::INT AS rank FROM r WHERE rank <= 5""", "panel_supplier")
+#: Every period but the first as a fold; features standardised by the fold's earlier rows and rounded, so that both engines rank alike.
+_ANALOGS = """f AS (SELECT period AS fold, avg(p.cases) AS ma, stddev_pop(p.cases) AS sa, avg(p.denom) AS mb, stddev_pop(p.denom) AS sb FROM (SELECT DISTINCT period FROM panel_supplier) o JOIN (SELECT period AS q, cases, denom FROM panel_supplier) p ON q < period GROUP BY 1),
+z AS (SELECT fold, entity AS id, period, cases AS outcome, round((cases - ma) / CASE WHEN sa > 1e-12 THEN sa ELSE 1 END, 4) AS f1, round((denom - mb) / CASE WHEN sb > 1e-12 THEN sb ELSE 1 END, 4) AS f2 FROM f JOIN panel_supplier ON period <= fold),
+m AS (SELECT a.fold, a.id AS test_id, b.id AS train_id, b.period AS train_period, b.outcome, round(sqrt((a.f1 - b.f1) ** 2 + (a.f2 - b.f2) ** 2), 9) AS distance FROM z a JOIN z b ON b.fold = a.fold AND b.period < a.fold WHERE a.period = a.fold),
+r AS (SELECT *, row_number() OVER (PARTITION BY fold, test_id ORDER BY distance, train_period, train_id) AS rank FROM m)"""
+
+
+def analogs(t: Tables):
+    """The five nearest analogs of every row of every period but the first among the rows of earlier periods."""
+    rows = t.panel_supplier().select(F.col("entity").alias("id"), "period", F.col("cases").alias("outcome"), "cases", "denom")
+    folds = rows.select(F.col("period").alias("fold")).distinct()
+    past = rows.join(F.broadcast(folds), F.col("period") < F.col("fold"))  # a row per period
+    moments = past.groupBy("fold").agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in ("cases", "denom")]).withColumnsRenamed({"cases": "_a", "denom": "_b"})
+    scaled = lambda c, m: F.round((F.col(c) - F.col(f"{m}.m")) / F.when(F.col(f"{m}.s") > 1e-12, F.col(f"{m}.s")).otherwise(1.0), 4)
+    ready = lambda df: df.join(F.broadcast(moments), "fold").select("fold", "id", "period", "outcome", scaled("cases", "_a").alias("f1"), scaled("denom", "_b").alias("f2"))
+    return J.nearest_analogs(ready(rows.withColumn("fold", F.col("period"))), ready(past), ["f1", "f2"], "fold", "period", 5)
+
+
+@query(f"WITH {_ANALOGS} SELECT fold, test_id, train_id, train_period, outcome, round(distance, 6) AS distance, rank::INT AS rank FROM r WHERE rank <= 5", "panel_supplier")
 def q044_nearest_analog_join(t: Tables):
-    rows = t.panel_supplier().select(F.col("entity").alias("id"), "period", (F.col("cases") / 100.0).alias("f1"), (F.col("denom") / 2500.0).alias("f2"), F.col("cases").alias("outcome"))
-    folds = t.spark.createDataFrame([(1997,), (1998,)], "fold int")
-    train = rows.join(F.broadcast(folds), F.col("period") < F.col("fold"))
-    found = J.nearest_analogs(rows.filter("period IN (1997, 1998)").withColumn("fold", F.col("period")), train, ["f1", "f2"], "fold", "period", 5)
-    return found.withColumn("distance", R6("distance"))
+    return analogs(t).withColumn("distance", R6("distance"))
 
 
 @query("""WITH w AS (SELECT o_orderkey, o_orderdate::DATE AS a, o_orderdate::DATE + 40 AS b FROM orders), p AS (SELECT *, unnest(range(year(a), year(b) + 1)) AS year FROM w)

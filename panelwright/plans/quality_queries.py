@@ -71,18 +71,18 @@ def q132_leakage_check(t: Tables):
     return Q.leakage(build, t.panel_gappy(), "entity", "period", 1998)
 
 
-@query("""WITH c AS (SELECT s_nationkey AS entity, s_suppkey AS station, s_acctbal FROM supplier), n AS (SELECT entity, count(*) AS candidates FROM c GROUP BY 1),
+@query("""WITH c AS (SELECT (s_suppkey // 3 + 1) * 5 AS entity, s_suppkey AS station, s_acctbal FROM supplier), n AS (SELECT entity, count(*) AS candidates FROM c GROUP BY 1),
 b AS (SELECT entity, string_agg(station, ',' ORDER BY r) AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY s_acctbal DESC, station) AS r FROM c WHERE s_acctbal >= 6000) WHERE r <= 2 GROUP BY 1),
 m AS (SELECT a.entity, b.entity AS station, round(2 * 3958.8 * asin(sqrt(least(1, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))), 6) AS miles FROM points a, points b WHERE b.entity % 6 = 1),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY miles, station) AS r FROM m WHERE miles <= 120) WHERE r = 1)
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY miles, station) AS r FROM m) WHERE r = 1)
 SELECT p.entity, coalesce(candidates, 0) AS candidates, chosen, CASE WHEN chosen IS NOT NULL THEN 'ok' WHEN station IS NOT NULL THEN 'needs_fallback' ELSE 'error' END AS status, CASE WHEN chosen IS NULL THEN station END AS fallback, CASE WHEN chosen IS NULL THEN round(miles, 4) END AS miles
 FROM points p LEFT JOIN n USING (entity) LEFT JOIN b USING (entity) LEFT JOIN f USING (entity)""", "points")
 def q133_coverage_audit(t: Tables):
-    candidates = t.supplier.select(F.col("s_nationkey").alias("entity"), F.col("s_suppkey").alias("station"), "s_acctbal")
+    candidates = t.supplier.select(((F.floor(F.col("s_suppkey") / 3) + 1) * 5).alias("entity"), F.col("s_suppkey").alias("station"), "s_acctbal")
     stations = t.points().filter("entity % 6 = 1").select(F.col("entity").alias("station"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    fallback = J.nearest_k(t.points(), stations, 1, 2.0, 120)
+    fallback = J.nearest_k(t.points(), stations, 1)
     found = Q.coverage_audit(t.points(), candidates, "entity", F.col("s_acctbal") >= 6000, [F.desc("s_acctbal"), F.col("station")], 2, fallback)
-    return found.withColumn("miles", F.round("miles", 4))
+    return found.withColumn("miles", F.round(F.round("miles", 6), 4))
 
 
 @query("SELECT 'orders' AS artifact, count(*) AS records FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'nation', count(*) FROM nation")
@@ -143,13 +143,15 @@ def q171_incidence_cluster_summary(t: Tables):
 
 
 def _cells(t: Tables):
-    """Square cells around each nation's point, as rings."""
-    corner = lambda dx, dy: F.array(F.col("lon") + dx, F.col("lat") + dy)
+    """Square cells of a grid forty wide, one for each customer, as rings."""
+    x, y = (F.col("c_custkey") % 40).cast("double"), F.floor(F.col("c_custkey") / 40).cast("double")
+    corner = lambda dx, dy: F.array(x + dx, y + dy)
     ring = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))
-    return t.points().select("entity", F.array(ring).alias("rings"))
+    return t.customer.select(F.col("c_custkey").alias("entity"), F.array(ring).alias("rings"))
 
 
-@query("""SELECT a.entity AS a, b.entity AS b, 1::BIGINT AS shared FROM points a JOIN points b ON a.entity < b.entity AND abs(a.lat - b.lat) + abs(a.lon - b.lon) = 1""", "points")
+@query("""WITH cells AS (SELECT c_custkey AS entity, c_custkey % 40 AS x, c_custkey // 40 AS y FROM customer)
+SELECT a.entity AS a, b.entity AS b, 1::BIGINT AS shared FROM cells a JOIN cells b ON a.entity < b.entity AND (a.y = b.y AND b.x = a.x + 1 OR a.x = b.x AND b.y = a.y + 1)""")
 def q172_edges_from_polygons(t: Tables):
     return J.self_pairs(G.ring_segments(_cells(t), "entity", "rings"), "entity", "segment")
 
@@ -163,6 +165,6 @@ def q177_simplify_polygons(t: Tables):
     return thin.select("entity", "before", F.size("ring").alias("after"), F.to_json("ring").alias("ring"))
 
 
-@query("SELECT n_nationkey, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM nation")
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM part")
 def q024_slugify_nation(t: Tables):
-    return t.nation.select("n_nationkey", slugify(F.col("n_name")).alias("slug"))
+    return t.part.select("p_partkey", slugify(F.col("p_name")).alias("slug"))

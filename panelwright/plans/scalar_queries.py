@@ -42,11 +42,11 @@ def q024_slugify(t: Tables):
     return t.part.select("p_partkey", X.slugify(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("slug"))
 
 
-@query("""SELECT n.n_nationkey, regexp_replace(replace(lower(n.n_name || ' & Co.'), '&', 'and'), '[^a-z0-9]+', '', 'g') AS key, m.n_nationkey AS matched
-FROM nation n LEFT JOIN nation m ON regexp_replace(lower(m.n_name), '[^a-z0-9]+', '', 'g') || 'andco' = regexp_replace(replace(lower(n.n_name || ' & Co.'), '&', 'and'), '[^a-z0-9]+', '', 'g') AND m.n_nationkey < 20""")
+@query("""SELECT n.s_suppkey, regexp_replace(replace(lower(n.s_name || ' & Co.'), '&', 'and'), '[^a-z0-9]+', '', 'g') AS key, m.s_suppkey AS matched
+FROM supplier n LEFT JOIN supplier m ON regexp_replace(lower(m.s_name), '[^a-z0-9]+', '', 'g') || 'andco' = regexp_replace(replace(lower(n.s_name || ' & Co.'), '&', 'and'), '[^a-z0-9]+', '', 'g') AND m.s_suppkey % 5 < 4""")
 def q025_name_match_key(t: Tables):
-    known = t.nation.filter("n_nationkey < 20").select(F.col("n_nationkey").alias("matched"), X.name_key(F.concat("n_name", F.lit(" and CO"))).alias("key"))
-    return t.nation.select("n_nationkey", X.name_key(F.concat("n_name", F.lit(" & Co."))).alias("key")).join(known, "key", "left").select("n_nationkey", "key", "matched")
+    known = t.supplier.filter("s_suppkey % 5 < 4").select(F.col("s_suppkey").alias("matched"), X.name_key(F.concat("s_name", F.lit(" and CO"))).alias("key"))
+    return t.supplier.select("s_suppkey", X.name_key(F.concat("s_name", F.lit(" & Co."))).alias("key")).join(known, "key", "left").select("s_suppkey", "key", "matched")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_acctbal / 4000 >= 0.5 THEN 'warm' WHEN c_acctbal / 4000 <= -0.5 THEN 'cool' ELSE 'neutral' END AS phase,
@@ -165,10 +165,10 @@ def q111_q112_rounding(t: Tables):
 
 
 @query("""SELECT a.entity AS a, b.entity AS b, round(2 * 3958.8 * asin(sqrt(least(1, sin(radians(b.lat - a.lat) / 2) ** 2
-+ cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))), 4) AS miles FROM points a JOIN points b ON a.entity % 5 = b.entity % 5""", "points")
++ cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))), 4) AS miles FROM points a JOIN points b ON b.entity = a.entity + 1""", "points")
 def q113_haversine(t: Tables):
     a, b = t.points(), t.points().select(F.col("entity").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
-    rows = a.join(b, F.col("entity") % 5 == F.col("b") % 5)
+    rows = a.join(b, F.col("b") == F.col("entity") + 1)
     return rows.select(F.col("entity").alias("a"), "b", F.round(X.haversine_miles(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b")), 4).alias("miles"))
 
 

@@ -85,12 +85,12 @@ def q008_read_array_table(t: Tables):
     return R.array_table(text, "grp", "json", ["NAME", "KEY", "NONE"])
 
 
-@query("SELECT lpad(n_nationkey::VARCHAR, 5, '0') AS id, n_name AS name, n_regionkey::VARCHAR AS grp, 'Point' AS geometry FROM nation WHERE n_regionkey IN (1, 3)")
+@query("SELECT lpad(s_suppkey::VARCHAR, 5, '0') AS id, s_name AS name, s_nationkey::VARCHAR AS grp, 'Point' AS geometry FROM supplier WHERE s_nationkey IN (1, 3)")
 def q010_read_geojson_features(t: Tables):
-    key = F.when(F.col("n_nationkey") % 2 == 0, "GEOID").otherwise("geoid")
-    props = F.map_from_arrays(F.array(key, F.lit("NAME"), F.lit("STATE")), F.array(F.col("n_nationkey").cast("string"), F.col("n_name"), F.col("n_regionkey").cast("string")))
+    key = F.when(F.col("s_suppkey") % 2 == 0, "GEOID").otherwise("geoid")
+    props = F.map_from_arrays(F.array(key, F.lit("NAME"), F.lit("STATE")), F.array(F.col("s_suppkey").cast("string"), F.col("s_name"), F.col("s_nationkey").cast("string")))
     feature = F.struct(props.alias("properties"), F.struct(F.lit("Point").alias("type"), F.array(F.lit(1.5), F.lit(2.5)).alias("coordinates")).alias("geometry"))
-    path = _lines(t, t.nation.groupBy("n_regionkey").agg(F.collect_list(feature).alias("features")).select(F.to_json(F.struct("features")).alias("value")), "geojson")
+    path = _lines(t, t.supplier.groupBy(F.floor(F.col("s_suppkey") / 100)).agg(F.collect_list(feature).alias("features")).select(F.to_json(F.struct("features")).alias("value")), "geojson")
     found = R.geojson_features(t.spark.read.text(path), "value", ["GEOID", "geoid"], ["NAME"], ["STATE"], ["1", "3"], 5)
     return found.drop("coordinates")
 
@@ -167,7 +167,7 @@ def q123_stream_calendar_rollup(t: Tables):
     last = t.events.select("event_type", "ts", "value")
     closing = t.events.limit(1).select("event_type", F.to_timestamp(F.lit("2100-01-01")).alias("ts"), F.lit(0.0).alias("value"))
     state, out = _folder(t, "stream-state"), _folder(t, "stream-out")
-    rows = _event_stream(t, last.unionByName(closing).coalesce(1))
+    rows = _event_stream(t, last.unionByName(closing))
     weeks = streams.stream_calendar_rollup(rows, "event_type", "ts", "value")
     weeks.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema(weeks.schema).parquet(out).withColumn("total", F.round("total", 4))

@@ -46,7 +46,8 @@ class Tables:
         return rows.groupBy(F.col("c_nationkey").alias("entity"), F.year("o_orderdate").alias("period"), F.col("o_orderpriority").alias("source")).agg(F.count(F.lit(1)).alias("total"))
 
     def points(self) -> DataFrame:
-        return self.nation.select(F.col("n_nationkey").alias("entity"), (F.lit(35.0) + F.col("n_nationkey") % 5).alias("lat"), (F.lit(-80.0) + F.floor(F.col("n_nationkey") / 5)).alias("lon"))
+        key = F.col("c_custkey")
+        return self.customer.select(key.alias("entity"), (F.lit(30.0) + key * 37 % 1801 / 100.0).alias("lat"), (F.lit(-110.0) + key * 101 % 3607 / 100.0).alias("lon"))
 
 
 #: The same views for DuckDB, put before a query's own text.
@@ -62,7 +63,7 @@ SQL = {
     "season": "SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS period, count(*) AS cases FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2000 GROUP BY 1, 2",
     "multi_source": """SELECT c_nationkey AS entity, year(o_orderdate)::INT AS period, o_orderpriority AS source, count(*) AS total
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3""",
-    "points": "SELECT n_nationkey AS entity, 35.0::DOUBLE + n_nationkey % 5 AS lat, -80.0::DOUBLE + n_nationkey // 5 AS lon FROM nation",
+    "points": "SELECT c_custkey AS entity, 30.0::DOUBLE + c_custkey * 37 % 1801 / 100.0::DOUBLE AS lat, -110.0::DOUBLE + c_custkey * 101 % 3607 / 100.0::DOUBLE AS lon FROM customer",
 }
 
 
