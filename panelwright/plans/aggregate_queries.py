@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelwright.operators import aggregates as A
 from panelwright.plans.base import query
 from panelwright.plans.views import Tables
-from panelwright.plans.window_queries import R6, _rounded
+from panelwright.plans.window_queries import _rounded
 
 SOURCES = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
 

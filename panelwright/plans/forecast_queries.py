@@ -11,7 +11,6 @@ from panelwright.operators import features as X
 from panelwright.operators import forecast as M
 from panelwright.operators import joins as J
 from panelwright.operators import panel_models as P
-from panelwright.operators import windows as W
 from panelwright.operators.storage import settled
 from panelwright.plans.base import query
 from panelwright.plans.join_queries import _ANALOGS, _EDGES, analogs, edges
