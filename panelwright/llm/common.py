@@ -112,6 +112,15 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterable[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with a function of all batches of a partition, one after another; they are held to BATCH_BYTES as in map_arrow."""
+    spark = df.sparkSession
+    ship(spark)
+    if int(spark.conf.get(_BATCH_BYTES, str(2 * BATCH_BYTES)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """Python strings of a string column; null is the empty text."""
     return ["" if t is None else t for t in batch.column(name).to_pylist()]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import bpe, chat_format, line_dedup, media, mixing, quality_rules, simhash, token_files, toxicity, warc
+from panelwright.llm import bpe, chat_format, conversation_repair, fill_middle, line_dedup, media, mixing, pivot_index, quality_rules, simhash, token_files, toxicity, warc
 from panelwright.llm.common import table
 
 
@@ -67,6 +67,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return pivot_index.exact_top_k(vectors.filter("vec_id % 50 = 0"), vectors, 5)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.transform_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(conversations, conversation_repair.damaged(conversations))
+
+
 def _split_sql(name: str, nodes: str, parents: str, label: str) -> str:
     """CTEs that split `budget` over `nodes` (parents, label, weight, cap, budget) into `given`."""
     over = f"PARTITION BY {parents}" if parents else ""
@@ -222,6 +236,36 @@ WITH docs AS (
 SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM summed JOIN docs USING (r)
 """
 
+OP11_SQL = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS hex FROM documents
+), drawn AS (
+  SELECT *, len(units) AS n, list_transform(range(4), lambda i: ('0x' || substr(hex, (1 + 8 * i)::BIGINT, 8))::BIGINT) AS h FROM docs
+), cut AS (
+  SELECT *, text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 AS plain,
+    array_to_string(units[:least(h[1] % (n + 1), h[2] % (n + 1))], '') AS prefix,
+    array_to_string(units[least(h[1] % (n + 1), h[2] % (n + 1)) + 1:greatest(h[1] % (n + 1), h[2] % (n + 1))], '') AS middle,
+    array_to_string(units[greatest(h[1] % (n + 1), h[2] % (n + 1)) + 1:], '') AS suffix FROM drawn
+)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
+  sha256(CASE WHEN plain THEN text WHEN h[4] % 100 < 50 THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM cut
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_mixing": op2_mixing,
@@ -233,6 +277,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_huffman_ids": op9_huffman_ids,
     "op10_line_dedup": op10_line_dedup,
+    "op11_exact_top_k": op11_exact_top_k,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
-ORACLE_SQL = {"op2_mixing": OP2_SQL, "op5_quality_rules": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_warc": OP7_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL = {"op2_mixing": OP2_SQL, "op5_quality_rules": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_warc": OP7_SQL, "op10_line_dedup": OP10_SQL, "op11_exact_top_k": OP11_SQL, "op12_fill_middle": OP12_SQL}
