@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelwright.functions.expressions import first_match, half_even, shrunk_mean
+from panelwright.operators import forest as X
 from panelwright.operators import windows as W
 
 PROBABILITIES = {"q025": 0.025, "q100": 0.1, "q500": 0.5, "q900": 0.9, "q975": 0.975}
@@ -141,23 +142,21 @@ def ridge_backtest(df: DataFrame, features: Sequence[str], target: str, period:
     return out
 
 
-def forest_forecast(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, trees: int = 200, least: int = 3, seed: int = 1337) -> DataFrame:
-    """test, every row, with `predicted` of a random forest (square root of the features a split).
+def forest_forecast(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, trees: int = 200, least: int = 3, seed: int = 1337, keys: Sequence[str] | None = None) -> DataFrame:
+    """test, every row, with `predicted` of a random forest (square root of the features a split), null if there is nothing to learn from.
 
     A missing feature is its mean over the training rows, 0 if it has none there; training rows without a target are left out.
+    keys tell training rows apart, all columns if none are given: the forest depends on the rows, not on their order or partitions.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    known = lambda f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))
-    train = train.filter(F.col(target).isNotNull())
-    means = train.agg(*[F.coalesce(F.avg(known(f)), F.lit(0.0)).alias(f) for f in features]).first().asDict()
-    full = lambda df: df.withColumns({f: F.coalesce(known(f), F.lit(means[f])) for f in features})
-    train, test = full(train), full(test)
-    vectors = VectorAssembler(inputCols=list(features), outputCol="_x")
-    forest = RandomForestRegressor(featuresCol="_x", labelCol=target, predictionCol="predicted", numTrees=trees, minInstancesPerNode=least, featureSubsetStrategy="sqrt", seed=seed)
-    model = forest.fit(vectors.transform(train.withColumn(target, F.col(target).cast("double"))))
-    return model.transform(vectors.transform(test)).drop("_x")
+    rows = X.prepared(train.withColumn("_period", F.lit(0)), features, target, "_period", keys or train.columns)
+    forest = X.grow(rows, [1], features, trees, least=least, seed=seed)
+    return X.predict(test.withColumn("_test", F.lit(1)), forest, "_test").drop("_test")
+
+
+def forest_backtest(df: DataFrame, features: Sequence[str], target: str, period: str, tests: Sequence[int], keys: Sequence[str], trees: int = 200, least: int = 3, seed: int = 1337) -> DataFrame:
+    """Rows of the test periods with `predicted` of a forest of all rows of earlier periods; the forests of all periods grow together."""
+    forest = X.grow(X.prepared(df, features, target, period, keys), tests, features, trees, least=least, seed=seed)
+    return X.predict(df.filter(F.col(period).isin(*map(int, forest.folds))), forest, period)
 
 
 def weighted_analogs(analogs: DataFrame, fold: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.expressions import shrunk_mean
 from panelwright.operators import graph as G
 from panelwright.operators import windows as W
-from panelwright.operators.forecast import floor0, forest_forecast
+from panelwright.operators.forecast import floor0, forest_backtest
 from panelwright.operators.storage import settled
 
 RATE_MODELS = ("latest", "trailing_mean", "eb_group", "eb_all", "analog", "eb_regime", "neighbor")
@@ -156,8 +156,8 @@ def regional_forecast(df: DataFrame, population: DataFrame, entity: str, group:
 def rate_stress(df: DataFrame, entity: str, group: str, period: str, value: str, first: int, last: int, back: int, least: int, strength: float, regimes: DataFrame | None = None, edges: DataFrame | None = None, forest: bool = False, trees: int = 200) -> DataFrame:
     """(entity, group, period, actual, model, predicted, residual): rolling-origin predictions of observed rows of first to last.
 
-    The closed-form models are windows; with `forest`, one forest a test period learns from the window features of all rows
-    of earlier periods.
+    The closed-form models are windows; with `forest`, a forest of each test period learns from the window features of all rows
+    of earlier periods, and all of them grow together.
     """
     require_finite(df, [value])
     rows = df.filter(F.col(value).isNotNull()).select(entity, group, period, F.col(value).cast("double").alias(value))
@@ -168,13 +168,8 @@ def rate_stress(df: DataFrame, entity: str, group: str, period: str, value: str,
     if forest:
         prior = W.pooled_prior_means(rows, group, period, value, 1).withColumnsRenamed({"group_mean": "group_prior", "all_mean": "all_prior"})
         features = settled(found.join(prior, [group, period]).withColumn("h_n", F.col("h_n").cast("double")).select(*keys, *FOREST_FEATURES))
-        for test in range(first, last + 1):
-            now = features.filter(F.col(period) == test)
-            past = features.filter(F.col(period) < test)
-            if past.isEmpty() or now.isEmpty():
-                continue
-            part = forest_forecast(past, now, FOREST_FEATURES, "actual", trees)
-            out = out.unionByName(part.select(*keys, F.lit("forest").alias("model"), floor0(F.col("predicted")).alias("predicted")))
+        part = forest_backtest(features, FOREST_FEATURES, "actual", period, range(first, last + 1), [entity, period], trees)
+        out = out.unionByName(part.select(*keys, F.lit("forest").alias("model"), floor0(F.col("predicted")).alias("predicted")))
     return out.withColumn("residual", F.col("actual") - F.col("predicted"))
 
 

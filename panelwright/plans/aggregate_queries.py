@@ -183,7 +183,9 @@ def q070_persist_new_exited(t: Tables):
     return A.persistence(t.panel_gappy(), "entity", "period", F.col("cases") >= 85)
 
 
-@query("""WITH l AS (SELECT entity, regr_slope(cases, period - 2000) AS s, regr_intercept(cases, period - 2000) AS i FROM panel_gappy WHERE period BETWEEN 1996 AND 2000 GROUP BY 1 HAVING max(period) = 2000 AND count(*) >= 2)
-SELECT entity, y::INT AS period, greatest(1, round_even(round(i + s * (y - 2000), 6), 0)::BIGINT) AS cases FROM l, (SELECT unnest([2001, 2002, 2003]) AS y)""", "panel_gappy")
+@query("""WITH z AS (SELECT max(period) AS z FROM panel_gappy), l AS (SELECT entity, regr_slope(cases, period - z) AS s, regr_intercept(cases, period - z) AS i FROM panel_gappy, z WHERE period BETWEEN z - 4 AND z GROUP BY 1 HAVING max(period) = max(z) AND count(*) >= 2)
+SELECT entity, (z + y)::INT AS period, greatest(1, round_even(round(i + s * y, 6), 0)::BIGINT) AS cases FROM l, z, (SELECT unnest([1, 2, 3]) AS y)""", "panel_gappy")
 def q071_project_linear_trend(t: Tables):
-    return A.project_trend(t.panel_gappy(), "entity", "period", "cases", 2000, 5, 2003)
+    rows = t.panel_gappy()
+    last = rows.agg(F.max("period")).first()[0]
+    return A.project_trend(rows, "entity", "period", "cases", last, 5, last + 3)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from panelwright.operators import aggregates as A
@@ -24,7 +22,7 @@ b0 AS (SELECT grp, entity, period, rate, max(rate) OVER (PARTITION BY entity ORD
   count(rate) OVER (PARTITION BY entity ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_history FROM rates),
 b AS (SELECT b0.*, trailing_mean * multiplier AS trend_adjusted, (coalesce(prior_year, trailing_mean) + trailing_mean) / 2 AS linear_blend FROM b0 JOIN tm USING (grp, period)),
 long AS (UNPIVOT (SELECT grp, entity, period, n_history, rate AS actual, prior_year, trailing_mean, trend_adjusted, linear_blend FROM b) ON prior_year, trailing_mean, trend_adjusted, linear_blend INTO NAME model VALUE raw),
-preds AS (SELECT grp, entity, period, actual, model, greatest(raw, 0) AS predicted FROM long WHERE n_history >= 2 AND period BETWEEN 1998 AND 2001)"""
+preds AS (SELECT grp, entity, period, actual, model, greatest(raw, 0) AS predicted FROM long WHERE n_history >= 2)"""
 _REGIME = "CASE WHEN grp % 3 = 0 THEN 'a' ELSE 'b' END"
 
 
@@ -33,7 +31,7 @@ def _base(t: Tables):
 
 
 def _preds(t: Tables):
-    return M.backtest(_base(t), M.MODELS, ["grp", "entity", "period"], "rate", F.col("period").between(1998, 2001), 2)
+    return M.backtest(_base(t), M.MODELS, ["grp", "entity", "period"], "rate", F.lit(True), 2)
 
 
 def _regimes(t: Tables):
@@ -135,8 +133,7 @@ def q147_ridge_fit_predict(t: Tables):
 def q148_random_forest_forecast(t: Tables):
     matrix, schema = _matrix(t)
     matrix = settled(matrix)
-    parts = [M.forest_forecast(matrix.filter(F.col("period") < p), matrix.filter(F.col("period") == p), schema.features, "target_rate") for p in _test_periods(matrix)]
-    found = reduce(lambda a, b: a.unionByName(b), parts)
+    found = M.forest_backtest(matrix, schema.features, "target_rate", "period", _test_periods(matrix), ["entity", "period"])
     return found.select("entity", "period", "target_rate", R6("predicted").alias("predicted"))
 
 
@@ -207,8 +204,20 @@ comp AS (SELECT period, node, min(other) AS component FROM reach GROUP BY 1, 2),
 _SAME = {"h_mean": 2, "h_prior": 4, "h_trend": 5}
 
 
-def _regime_rows(t: Tables, rows, first: int, last: int):
-    return P.spatial_regimes(rows, edges(t), "entity", "grp", "period", "rate", 3, 2, _SAME, first, last)
+def _regime_rows(links, rows, first: int, last: int):
+    return P.spatial_regimes(rows, links, "entity", "grp", "period", "rate", 3, 2, _SAME, first, last)
+
+
+#: Every period but the first: the folds of tests and the periods of regimes, which see earlier periods alone.
+_FIRST, _LAST = "(SELECT min(period) + 1 FROM rates)", "(SELECT max(period) FROM rates)"
+_COMING = "(SELECT max(period) + 1 FROM rates)"
+
+
+def _rates_and_folds(t: Tables):
+    """The panel, written once, and its second and last period."""
+    rows = settled(t.rates())
+    ends = rows.agg(F.min("period"), F.max("period")).first()
+    return rows, ends[0] + 1, ends[1]
 
 
 def _models_sql(src: str, horizon: str) -> str:
@@ -245,48 +254,64 @@ future AS (UNPIVOT (SELECT entity, grp, latest, trailing_mean, eb_group, eb_all,
 SELECT entity, grp, origin, (origin + 2)::INT AS target, model, round(greatest(raw, 0) + 1e-9, 6) AS predicted, round(greatest(raw, 0) * population / 1000 + 1e-9, 4) AS predicted_cases FROM future JOIN pop USING (entity), o"""))
 def q154_regional_annual_forecast(t: Tables):
     """Six models of the period two after the latest complete one."""
-    rows = t.panel_supplier().withColumn("rate", F.round(F.col("cases") / F.col("denom") * 1000, 6)).select("grp", "entity", "period", "rate")
+    rows = settled(t.panel_supplier().withColumn("rate", F.round(F.col("cases") / F.col("denom") * 1000, 6)).select("grp", "entity", "period", "rate"))
     population = t.supplier.select(F.col("s_suppkey").alias("entity"), F.col("s_acctbal").alias("population"))
     origin = P.latest_common_period(rows, population.filter("population > 0"), "entity", "period")
-    regimes = _regime_rows(t, rows.filter(F.col("period") <= origin), origin + 1, origin + 1).withColumnRenamed("node", "entity")
+    regimes = _regime_rows(edges(t), rows.filter(F.col("period") <= origin), origin + 1, origin + 1).withColumnRenamed("node", "entity")
     found = P.regional_forecast(rows, population, "entity", "grp", "period", "rate", origin + 2, 3, 2, 5.0, None, regimes, per=1000)
     return found.withColumns({"predicted": _even("predicted"), "predicted_cases": F.round(F.col("predicted_cases") + 1e-9, 4)})
 
 
-@query(_recursive(f"""{_sig("1998", "2001")}, {_REGIMES}, {_models_sql("rates", "1")}, long AS (UNPIVOT (SELECT entity, grp, period, actual, latest, trailing_mean, eb_group, eb_all, analog, eb_regime, neighbor FROM m WHERE actual IS NOT NULL) ON latest, trailing_mean, eb_group, eb_all, analog, eb_regime, neighbor INTO NAME model VALUE raw)
-SELECT entity, period, model, actual, round(greatest(raw, 0) + 1e-9, 6) AS predicted, round(actual - greatest(raw, 0) + 1e-9, 6) AS residual FROM long"""))
-def q155_incidence_stress_backtest(t: Tables):
-    """The closed-form models; the forest is the eighth (`rate_stress`, forest=True)."""
-    regimes = _regime_rows(t, t.rates(), 1998, 2001).withColumnRenamed("node", "entity")
-    found = P.rate_stress(t.rates(), "entity", "grp", "period", "rate", 1998, 2001, 3, 2, 5.0, regimes, edges(t))
+def _stress(t: Tables, forest: bool):
+    rows, first, last = _rates_and_folds(t)
+    links = settled(edges(t))
+    regimes = settled(_regime_rows(links, rows, first, last).withColumnRenamed("node", "entity").select("entity", "period", "regime_mean"))
+    found = P.rate_stress(rows, "entity", "grp", "period", "rate", first, last, 3, 2, 5.0, regimes, links, forest)
     return found.withColumns({c: _even(c) for c in ("predicted", "residual")}).drop("grp")
 
 
+@query()
+def q155_incidence_stress_backtest(t: Tables):
+    """All eight models of every fold, the forest among them."""
+    return _stress(t, True)
+
+
+@query(_recursive(f"""{_sig(_FIRST, _LAST)}, {_REGIMES}, {_models_sql("rates", "1")}, long AS (UNPIVOT (SELECT entity, grp, period, actual, latest, trailing_mean, eb_group, eb_all, analog, eb_regime, neighbor FROM m WHERE actual IS NOT NULL) ON latest, trailing_mean, eb_group, eb_all, analog, eb_regime, neighbor INTO NAME model VALUE raw)
+SELECT entity, period, model, actual, round(greatest(raw, 0) + 1e-9, 6) AS predicted, round(actual - greatest(raw, 0) + 1e-9, 6) AS residual FROM long"""))
+def q155_incidence_stress_closed_form(t: Tables):
+    """The seven models that SQL can express."""
+    return _stress(t, False)
+
+
 @query("""WITH g AS (SELECT grp, period, sum(cases)::DOUBLE AS gt FROM panel_gappy GROUP BY 1, 2), e AS (SELECT period, sum(gt) AS tot FROM g GROUP BY 1), gm AS (SELECT grp, count(DISTINCT entity) AS gn FROM panel_gappy GROUP BY 1), am AS (SELECT sum(gn) AS an FROM gm),
 h AS (SELECT p.entity, p.grp, p.period, cases::DOUBLE AS actual, count(cases) OVER w AS n, sum(cases) OVER w AS own, sum(gt) OVER w AS gs, sum(tot) OVER w AS als, max(cases) OVER (PARTITION BY entity ORDER BY p.period RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS prior_
   FROM panel_gappy p JOIN g ON g.grp = p.grp AND g.period = p.period JOIN e ON e.period = p.period WINDOW w AS (PARTITION BY entity ORDER BY p.period RANGE BETWEEN 4 PRECEDING AND 1 PRECEDING)),
 m AS (SELECT h.entity, h.period, actual, prior_::DOUBLE AS prior, own / n AS trailing_mean, own / gs * g.gt AS group_share, (own + 10.0 / gn) / (gs + 10) * g.gt AS eb_group_share, own / als * e.tot AS all_share, (own + 10.0 / an) / (als + 10) * e.tot AS eb_all_share
-  FROM h JOIN g ON g.grp = h.grp AND g.period + 1 = h.period JOIN e ON e.period + 1 = h.period JOIN gm ON gm.grp = h.grp, am WHERE n >= 2 AND prior_ IS NOT NULL AND h.period BETWEEN 1998 AND 2001)
+  FROM h JOIN g ON g.grp = h.grp AND g.period + 1 = h.period JOIN e ON e.period + 1 = h.period JOIN gm ON gm.grp = h.grp, am WHERE n >= 2 AND prior_ IS NOT NULL)
 SELECT entity, period, model, actual, round(predicted + 1e-9, 6) AS predicted, round(actual - predicted + 1e-9, 6) AS residual FROM (UNPIVOT m ON prior, trailing_mean, group_share, eb_group_share, all_share, eb_all_share INTO NAME model VALUE predicted)""", "panel_gappy")
 def q156_outcome_stress_backtest(t: Tables):
-    found = P.count_stress(t.panel_gappy(), "entity", "grp", "period", "cases", 1998, 2001, 4, 2, 10.0)
+    rows = settled(t.panel_gappy())
+    ends = rows.agg(F.min("period"), F.max("period")).first()
+    found = P.count_stress(rows, "entity", "grp", "period", "cases", *ends, 4, 2, 10.0)
     return found.withColumns({c: _even(c) for c in ("predicted", "residual")}).drop("grp")
 
 
-@query(_recursive(f"""{_sig("1998", "2002")}, {_REGIMES}, d AS (SELECT period, src AS node, count(*) AS degree FROM near GROUP BY 1, 2)
+@query(_recursive(f"""{_sig(_FIRST, _COMING)}, {_REGIMES}, d AS (SELECT period, src AS node, count(*) AS degree FROM near GROUP BY 1, 2)
 SELECT sig.period, sig.entity AS node, regime::INT AS regime, members, coalesce(degree, 0) AS degree, round(h_mean + 1e-9, 6) AS h_mean, h_prior, round(h_trend + 1e-9, 6) AS h_trend, round(regime_mean + 1e-9, 6) AS regime_mean, round(regime_prior + 1e-9, 6) AS regime_prior, round(regime_sd, 4) AS regime_sd
 FROM sig JOIN comp ON comp.node = sig.entity AND comp.period = sig.period JOIN regimes r ON r.period = comp.period AND r.component = comp.component LEFT JOIN d ON d.period = sig.period AND d.node = sig.entity"""))
 def q176_spatial_regimes(t: Tables):
     """Up to a period that no row has: regimes come from prior periods."""
-    found = _regime_rows(t, t.rates(), 1998, 2002).withColumns({c: _even(c) for c in ("h_mean", "h_trend", "regime_mean", "regime_prior")}).withColumn("regime_sd", F.round("regime_sd", 4))
+    rows, first, last = _rates_and_folds(t)
+    found = _regime_rows(edges(t), rows, first, last + 1).withColumns({c: _even(c) for c in ("h_mean", "h_trend", "regime_mean", "regime_prior")}).withColumn("regime_sd", F.round("regime_sd", 4))
     return found.select("period", "node", "regime", "members", "degree", "h_mean", "h_prior", "h_trend", "regime_mean", "regime_prior", "regime_sd")
 
 
-@query(_recursive(f"""{_sig("1998", "2002")}, {_REGIMES}, x AS (SELECT comp.period, component, string_agg(node::VARCHAR, ',' ORDER BY node) AS nodes, count(r.entity) AS seen, sum(cases) AS cases, sum(denom) AS denom FROM comp LEFT JOIN rates r ON r.entity = node AND r.period = comp.period GROUP BY 1, 2)
+@query(_recursive(f"""{_sig(_FIRST, _COMING)}, {_REGIMES}, x AS (SELECT comp.period, component, string_agg(node::VARCHAR, ',' ORDER BY node) AS nodes, count(r.entity) AS seen, sum(cases) AS cases, sum(denom) AS denom FROM comp LEFT JOIN rates r ON r.entity = node AND r.period = comp.period GROUP BY 1, 2)
 SELECT r.period, regime::INT AS regime, nodes, members, round(regime_mean + 1e-9, 6) AS regime_mean, CASE WHEN seen = members THEN cases END::BIGINT AS actual_cases, CASE WHEN seen = members THEN denom END AS actual_population FROM regimes r JOIN x ON x.period = r.period AND x.component = r.component"""))
 def q176_spatial_regime_summary(t: Tables):
-    observed = t.rates().select("period", F.col("entity").alias("node"), "cases", "denom")
-    found = P.regime_summary(_regime_rows(t, t.rates(), 1998, 2002), observed, "cases", "denom")
+    rows, first, last = _rates_and_folds(t)
+    observed = rows.select("period", F.col("entity").alias("node"), "cases", "denom")
+    found = P.regime_summary(_regime_rows(edges(t), rows, first, last + 1), observed, "cases", "denom")
     return found.select("period", "regime", "nodes", "members", _even("regime_mean").alias("regime_mean"), "actual_cases", "actual_population")
 
 

@@ -144,12 +144,13 @@ def q108_overlap_days(t: Tables):
     return rows.select("o_orderkey", X.overlap_days(F.col("a"), F.col("b"), F.make_date(F.year("a"), F.lit(1), F.lit(1)), year_end).alias("in_year"), season.alias("in_season"))
 
 
-@query("""SELECT s_suppkey, c::DATE AS chunk_start, least(c::DATE + 89, DATE '1998-12-31')::DATE AS chunk_end
-FROM supplier, (SELECT unnest(range(DATE '1998-01-01', DATE '1999-01-01', INTERVAL 90 DAY)) AS c)""")
+@query("""WITH s AS (SELECT l_suppkey, min(l_shipdate)::DATE AS a, max(l_shipdate)::DATE AS b FROM lineitem GROUP BY 1), c AS (SELECT *, unnest(range(a, b + INTERVAL 1 DAY, INTERVAL 90 DAY)) AS c FROM s)
+SELECT l_suppkey, c::DATE AS chunk_start, least(c::DATE + 89, b)::DATE AS chunk_end FROM c""")
 def q109_date_chunks(t: Tables):
-    start, end = F.lit("1998-01-01").cast("date"), F.lit("1998-12-31").cast("date")
-    rows = t.supplier.select("s_suppkey", F.explode(F.sequence(start, end, F.expr("interval 90 days"))).alias("chunk_start"))
-    return rows.withColumn("chunk_end", F.least(F.date_add("chunk_start", 89), end))
+    """The days from a supplier's first to its last shipment, in pieces of 90."""
+    spans = t.lineitem.groupBy("l_suppkey").agg(F.to_date(F.min("l_shipdate")).alias("a"), F.to_date(F.max("l_shipdate")).alias("b"))
+    rows = spans.select("l_suppkey", "b", F.explode(F.sequence("a", "b", F.expr("interval 90 days"))).alias("chunk_start"))
+    return rows.select("l_suppkey", "chunk_start", F.least(F.date_add("chunk_start", 89), F.col("b")).alias("chunk_end"))
 
 
 @query("SELECT DISTINCT o_orderdate::DATE AS d, month(o_orderdate)::INT AS m, o_orderdate::DATE AS us, NULL::INT AS none FROM orders")

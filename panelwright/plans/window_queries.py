@@ -174,9 +174,11 @@ def q093_quantile_linear(t: Tables):
     return _rounded(W.quantile_linear(t.lineitem, ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p50": 0.5, "p975": 0.975}), "p10", "p50", "p975")
 
 
-@query("""WITH now AS (SELECT entity, rate FROM rates WHERE period = 2000), past AS (SELECT entity, rate AS past FROM rates WHERE period < 2000)
+@query("""WITH z AS (SELECT max(period) AS z FROM rates), now AS (SELECT entity, rate FROM rates, z WHERE period = z), past AS (SELECT entity, rate AS past FROM rates, z WHERE period < z)
 SELECT now.entity, rate, round(avg((past <= rate)::INT), 6) AS ecdf, count(past) AS ecdf_n FROM now LEFT JOIN past ON now.entity = past.entity GROUP BY 1, 2""", "rates")
 def q094_ecdf_percentile(t: Tables):
     rates = t.rates()
-    found = W.ecdf(rates.filter("period = 2000").select("entity", "rate"), rates.filter("period < 2000").select("entity", F.col("rate").alias("past")), ["entity"], "rate", "past")
+    last = rates.agg(F.max("period")).first()[0]
+    now, past = rates.filter(F.col("period") == last), rates.filter(F.col("period") < last)
+    found = W.ecdf(now.select("entity", "rate"), past.select("entity", F.col("rate").alias("past")), ["entity"], "rate", "past")
     return _rounded(found, "ecdf")
