@@ -10,6 +10,7 @@ import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -206,24 +207,99 @@ def _within(places: DataFrame, stations: DataFrame, k: int, cell: float, most_mi
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("entity", "station", "miles", "rank")
 
 
-def nearest_analogs(test: DataFrame, train: DataFrame, features: Sequence[str], fold: str, period: str, k: int, chunk_rows: int = 20_000) -> DataFrame:
+#: Training rows of all folds that k-d splits are fitted to, the first by hash; levels of splits at most, and of those that form top cells.
+SPLIT_SAMPLE = 1 << 18
+SPLIT_LEVELS = 14
+TOP_LEVELS = 7
+
+
+def _kd_splits(x: np.ndarray, levels: int) -> tuple[list[int], list[float]]:
+    """Feature and value of each split of a complete tree in heap order, root first: the widest feature at its median."""
+    features, cuts, parts = [], [], [x]
+    for _ in range(levels):
+        below = []
+        for part in parts:
+            feature = int(np.argmax(part.max(axis=0) - part.min(axis=0))) if len(part) else 0
+            cut = float(np.median(part[:, feature])) if len(part) else 0.0
+            features.append(feature)
+            cuts.append(cut)
+            below += [part[part[:, feature] <= cut], part[part[:, feature] > cut]]
+        parts = below
+    return features, cuts
+
+
+def _kd_trees(train: DataFrame, fold: str, cell_rows: int) -> DataFrame:
+    """(fold, levels, features, cuts): a row a fold, whose splits leave about cell_rows training rows (fold, train_id, x) in a cell."""
+    sizes = {r[fold]: r["count"] for r in train.groupBy(fold).count().collect()}
+    most = max(1, min(1 << 16, SPLIT_SAMPLE // max(len(sizes), 1)))
+    first = Window.partitionBy(fold).orderBy("_h", "x")
+    sample = train.select(fold, "x", F.xxhash64("x").alias("_h")).withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= most)
+    points: dict = {}
+    for r in sample.select(fold, "x").collect():
+        points.setdefault(r[fold], []).append(r["x"])
+    rows = []
+    for f, n in sizes.items():
+        levels = min(SPLIT_LEVELS, max(0, math.ceil(math.log2(max(n / cell_rows, 1)))))
+        rows.append((f, levels, *_kd_splits(np.array(points[f]), levels)))
+    kind = train.schema[fold].dataType.simpleString()
+    return train.sparkSession.createDataFrame(rows, f"`{fold}` {kind}, levels int, features array<int>, cuts array<double>")
+
+
+def _in_cells(df: DataFrame, trees: DataFrame, fold: str) -> DataFrame:
+    """df (fold, x) with its cell, and the top cell that holds that, in its fold's tree."""
+    step = lambda at, _: 2 * at + (F.get("x", F.get("features", at - 1)) > F.get("cuts", at - 1)).cast("int")
+    cell = F.aggregate(F.array_repeat(F.lit(0), F.col("levels")), F.lit(1), step)
+    top = F.floor(F.col("cell") / F.pow(F.lit(2.0), F.greatest(F.col("levels") - TOP_LEVELS, F.lit(0)))).cast("int")
+    return df.join(F.broadcast(trees), fold).withColumn("cell", cell).withColumn("top", top).drop("levels", "features", "cuts")  # a row a fold
+
+
+def _to_box(n: int) -> Column:
+    """The distance from x to a box of n sides."""
+    return F.sqrt(sum((F.greatest(F.get("low", i) - F.get("x", i), F.get("x", i) - F.get("high", i), F.lit(0.0)) ** 2 for i in range(n)), F.lit(0.0)))
+
+
+def _analog_pairs(asked: DataFrame, cells: DataFrame, fold: str, n: int) -> DataFrame:
+    """Asked rows (fold, cell, q, x) and the training rows of their cell, with the distance."""
+    square = sum(((F.get("x", i) - F.get("_x", i)) ** 2 for i in range(n)), F.lit(0.0))
+    both = asked.join(cells.withColumnRenamed("x", "_x").drop("top"), [fold, "cell"])
+    return both.withColumn("distance", F.round(F.sqrt(square), 9)).drop("_x")
+
+
+def nearest_analogs(test: DataFrame, train: DataFrame, features: Sequence[str], fold: str, period: str, k: int, cell_rows: int = 256) -> DataFrame:
     """(fold, test_id, train_id, train_period, outcome, distance, rank): each test row's k nearest training rows of its fold.
 
-    Rows are (fold, id, period, features, outcome). Training rows are dealt to chunks of about chunk_rows, at least 8; a test row
-    meets a chunk at a time, keeps that chunk's k nearest, and the best k of those are exact. Ties go to the earliest period, then
-    the id. All test rows of a fold meet all its training rows: for panels, not for billions of rows.
+    Rows are (fold, id, period, features, outcome); those without a feature take no part. Ties go to the earliest period, then the
+    id, so of training rows alike in all features only the first k are needed; test rows alike are asked about once. A k-d tree a
+    fold deals training rows to cells, each with the box around its rows. A test row meets the rows of its own cell, which gives a
+    k-th distance, then those of the cells whose box is no farther: exact, and a row meets few of the others. Boxes are looked
+    through in two steps, those of at most 128 top cells a fold and those inside the near ones.
     """
-    most = train.groupBy(fold).count().agg(F.max("count")).first()[0] or 0
-    chunks = max(8, -(-most // chunk_rows))
-    t = test.select(fold, F.col("id").alias("test_id"), *[F.col(f).alias(f"t_{f}") for f in features]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    r = train.select(fold, F.col("id").alias("train_id"), F.col(period).alias("train_period"), "outcome", *features).withColumn("chunk", F.pmod(F.xxhash64("train_id", "train_period"), F.lit(chunks)).cast("int"))
-    square = sum(((F.col(f"t_{f}") - F.col(f)) ** 2 for f in features), F.lit(0.0))
-    both = t.join(r, [fold, "chunk"]).withColumn("distance", F.round(F.sqrt(square), 9))
-    keep = ["train_id", "train_period", "outcome", "distance"]
-    order = ["distance", "train_period", "train_id"]
-    local = both.withColumn("_r", F.row_number().over(Window.partitionBy(fold, "test_id", "chunk").orderBy(*order))).filter(F.col("_r") <= k)
-    best = local.withColumn("rank", F.row_number().over(Window.partitionBy(fold, "test_id").orderBy(*order))).filter(F.col("rank") <= k)
-    return best.select(fold, "test_id", *keep, "rank")
+    n = len(features)
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    known = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v))
+    tests = test.select(fold, F.col("id").alias("test_id"), x.alias("x")).filter(known)
+    rows = train.select(fold, F.col("id").alias("train_id"), F.col(period).alias("train_period"), "outcome", x.alias("x")).filter(known)
+    alike = Window.partitionBy(fold, "x").orderBy("train_period", "train_id")
+    kept = settled(rows.withColumn("_r", F.row_number().over(alike)).filter(F.col("_r") <= k).drop("_r"))
+    trees = _kd_trees(kept, fold, cell_rows)
+    cells = settled(_in_cells(kept, trees, fold))
+    ends = [F.array(*[f(F.get("x", i)) for i in range(n)]).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
+    boxes = settled(cells.groupBy(fold, "top", "cell").agg(*ends))
+    around = [F.array(*[f(F.get(name, i)) for i in range(n)]).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
+    tops = boxes.groupBy(fold, "top").agg(*around)
+    asked = settled(_in_cells(tests.select(fold, "x").distinct(), trees, fold).withColumn("q", F.monotonically_increasing_id()))
+    best = Window.partitionBy("q").orderBy("distance", "train_period", "train_id")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    keep = ["q", "train_id", "train_period", "outcome", "distance"]
+    own = settled(ranked(_analog_pairs(asked.select(fold, "cell", "q", "x"), cells, fold, n).select(*keep)))
+    reach = asked.withColumnRenamed("cell", "_own").drop("top").join(own.filter(F.col("rank") == k).select("q", F.col("distance").alias("_most")), "q", "left")
+    near = F.col("_most").isNull() | (_to_box(n) <= F.col("_most") * (1 + 1e-9) + 1e-9)  # distances are rounded to 9 places
+    within = reach.join(F.broadcast(tops), fold).filter(near).drop("low", "high")  # 2^TOP_LEVELS a fold at most
+    others = within.join(boxes, [fold, "top"]).filter(near & (F.col("cell") != F.col("_own"))).select(fold, "cell", "q", "x", "_most")
+    more = _analog_pairs(others, cells, fold, n).filter(F.col("_most").isNull() | (F.col("distance") <= F.col("_most"))).select(*keep)
+    found = ranked(own.drop("rank").unionByName(more)).join(asked.select("q", F.col(fold).alias("_f"), F.col("x").alias("_x")), "q")
+    same = (F.col(fold) == F.col("_f")) & (F.col("x") == F.col("_x"))
+    return tests.join(found, same).select(fold, "test_id", *keep[1:], "rank")
 
 
 def prior_rows(df: DataFrame, keys: Sequence[str], period: str, value: str) -> DataFrame:
