@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelwright.operators.storage import shared_root
 from panelwright.plans.base import query
 from panelwright.plans.views import Tables
+from panelwright.sources import keyed as K
 from panelwright.sources import readers as R
 from panelwright.sources import sinks as S
 from panelwright.streaming import streams
@@ -129,8 +130,9 @@ def q015_write_table(t: Tables):
 @query("SELECT entity, period, CASE WHEN period >= 1998 THEN cases + 1 ELSE cases END::BIGINT AS cases FROM panel_supplier", "panel_supplier")
 def q016_upsert_versions(t: Tables):
     root, rows = _folder(t, "versions"), t.panel_supplier().select("entity", "period", "cases")
-    S.write_upsert(rows.filter("period < 2000"), root, ["entity", "period"])
-    return t.spark.read.parquet(S.write_upsert(rows.filter("period >= 1998").withColumn("cases", F.col("cases") + 1), root, ["entity", "period"]))
+    K.write_upsert(rows.filter("period < 2000"), root, ["entity", "period"])
+    K.write_upsert(rows.filter("period >= 1998").withColumn("cases", F.col("cases") + 1), root, ["entity", "period"])
+    return K.read_upserts(t.spark, root)
 
 
 @query("SELECT entity, array_to_string(list_sort(list(DISTINCT period)), ',') AS periods, max(cases) AS max_score FROM panel_gappy GROUP BY 1", "panel_gappy")
@@ -159,7 +161,7 @@ def q122_stream_upsert(t: Tables):
     root = _folder(t, "stream-table")
     rows = _event_stream(t, t.events.select("user_id", "event_id", "value"))
     streams.stream_upsert(rows, root, ["user_id"], "event_id", _folder(t, "stream-state")).awaitTermination()
-    return t.spark.read.parquet(S.current_version(t.spark, root))
+    return K.read_upserts(t.spark, root)
 
 
 @query("""WITH w AS (SELECT event_type, date_trunc('week', ts)::DATE AS week_start, count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT ts::DATE) AS days FROM events GROUP BY 1, 2) SELECT * FROM w""")

@@ -1,15 +1,12 @@
-"""Writers: fixed column order, versioned upserts, nested JSON."""
+"""Writers: fixed column order, nested JSON. Versioned upserts are in `keyed`."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.operators.sets import replace_groups, upsert
-
 
 def write_table(df: DataFrame, path: str, columns: Sequence[str], keys: Sequence[str], fmt: str = "parquet", in_order: bool = False) -> None:
     """Columns in a fixed order; rows sorted within files of a key range, or by key hash if no order over all is asked for."""
@@ -19,47 +16,6 @@ def write_table(df: DataFrame, path: str, columns: Sequence[str], keys: Sequence
     (writer.option("header", True).option("nullValue", "").option("emptyValue", "") if fmt == "csv" else writer).format(fmt).save(path)
 
 
-def _versions(spark: SparkSession, root: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
-
-
-def _pointers(spark: SparkSession, root: str) -> list[str]:
-    """The numbered pointers of root, oldest first."""
-    fs, path = _versions(spark, root)
-    found = fs.globStatus(path(f"{root}/_current-*"))
-    return sorted(status.getPath().getName() for status in found or [])
-
-
-def current_version(spark: SparkSession, root: str) -> str | None:
-    """The folder that root's last pointer names, or None."""
-    pointers = _pointers(spark, root)
-    return f"{root}/{spark.read.text(f'{root}/{pointers[-1]}').first()[0]}" if pointers else None
-
-
-def write_upsert(new: DataFrame, root: str, keys: Sequence[str], replace: str | None = None, order: str | None = None) -> str:
-    """Existing rows of root and new ones, last write wins as in `upsert`, as a new version.
-
-    Versions are named by numbered pointers. One is added, by a rename, when its version is complete; none is ever removed,
-    so after a crash at any step the last complete version still stands. Two writers at once get one number: the second
-    fails. With `replace`, existing rows of every group in new are dropped first.
-    """
-    spark = new.sparkSession
-    pointers = _pointers(spark, root)
-    before = current_version(spark, root)
-    old = spark.read.parquet(before) if before else new.limit(0)
-    rows = replace_groups(old, new, replace, keys, order) if replace else upsert(old, new, keys, order)
-    name = f"v-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{root}/{name}")
-    fs, path = _versions(spark, root)
-    stage = f"{root}/_pointer-{uuid.uuid4().hex}"
-    spark.range(1).select(F.lit(name).alias("value")).coalesce(1).write.text(stage)
-    number = int(pointers[-1].rpartition("-")[2]) + 1 if pointers else 0
-    pointer = path(f"{root}/_current-{number:010d}")
-    if fs.exists(pointer) or not fs.rename(path(stage), pointer):
-        raise RuntimeError(f"{root}: another writer has added version {number}")
-    return f"{root}/{name}"
-
-
 def attach_nested(df: DataFrame, records: DataFrame, key: str, fields: Sequence[str], name: str) -> DataFrame:
     """df with a sorted array of records' fields for each key; an empty array where there are none."""
     nested = records.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))

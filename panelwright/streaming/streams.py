@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from panelwright.operators.forecast import classified
-from panelwright.sources.sinks import write_upsert
+from panelwright.sources.keyed import write_upsert
 
 
 def stream_upsert(stream: DataFrame, root: str, keys: Sequence[str], order: str, checkpoint: str) -> StreamingQuery:
     """Every micro-batch laid over the table at root: of equal keys the row of the largest order, in whichever batch it came.
 
-    A batch that runs again gives the same table. Each batch writes the whole table anew, so batches should be large.
+    A batch that runs again gives the same table. Each batch writes its own rows, and compacts levels of earlier ones that are full.
     """
 
     def write(batch: DataFrame, _: int) -> None:

@@ -15,7 +15,7 @@ from panelwright.operators import quality as Q
 from panelwright.operators import sets as S
 from panelwright.operators import storage
 from panelwright.operators import windows as W
-from panelwright.sources import sinks
+from panelwright.sources import keyed
 from panelwright.streaming import streams
 
 
@@ -26,19 +26,19 @@ def rows_of(df, *columns):
 def test_last_row_of_a_batch_wins_and_unordered_repeats_are_refused(spark, tmp_path):
     root = f"file://{tmp_path}/table"
     batch = spark.createDataFrame([(1, 1, "old"), (1, 2, "new"), (2, 5, "only")], "k int, at int, v string")
-    sinks.write_upsert(batch, root, ["k"], order="at")
-    assert rows_of(spark.read.parquet(sinks.current_version(spark, root)), "k", "v") == [(1, "new"), (2, "only")]
+    keyed.write_upsert(batch, root, ["k"], order="at")
+    assert rows_of(keyed.read_upserts(spark, root), "k", "v") == [(1, "new"), (2, "only")]
     late = spark.createDataFrame([(2, 4, "late"), (1, 2, "same time"), (3, None, "no time")], "k int, at int, v string")
-    sinks.write_upsert(late, root, ["k"], order="at")
-    assert rows_of(spark.read.parquet(sinks.current_version(spark, root)), "k", "v") == [(1, "same time"), (2, "only"), (3, "no time")]
+    keyed.write_upsert(late, root, ["k"], order="at")
+    assert rows_of(keyed.read_upserts(spark, root), "k", "v") == [(1, "same time"), (2, "only"), (3, "no time")]
     with pytest.raises(Exception, match="different rows of key"):
-        sinks.write_upsert(batch, f"{root}2", ["k"])
+        keyed.write_upsert(batch, f"{root}2", ["k"])
     assert rows_of(S.upsert(batch.limit(0), batch.filter("k = 2").unionByName(batch.filter("k = 2")), ["k"]), "k", "v") == [(2, "only")]
 
 
 def test_a_crash_between_steps_leaves_the_last_version(spark, tmp_path, monkeypatch):
     root = f"file://{tmp_path}/table"
-    sinks.write_upsert(spark.createDataFrame([(1, "a")], "k int, v string"), root, ["k"])
+    keyed.write_upsert(spark.createDataFrame([(1, "a")], "k int, v string"), root, ["k"])
 
     class Broken:
         def __init__(self, fs):
@@ -49,14 +49,14 @@ def test_a_crash_between_steps_leaves_the_last_version(spark, tmp_path, monkeypa
                 raise OSError("lost")
             return getattr(self.fs, name)
 
-    whole = sinks._versions
-    monkeypatch.setattr(sinks, "_versions", lambda s, r: (Broken(whole(s, r)[0]), whole(s, r)[1]))
+    whole = keyed._versions
+    monkeypatch.setattr(keyed, "_versions", lambda s, r: (Broken(whole(s, r)[0]), whole(s, r)[1]))
     with pytest.raises(OSError):
-        sinks.write_upsert(spark.createDataFrame([(2, "b")], "k int, v string"), root, ["k"])
-    monkeypatch.setattr(sinks, "_versions", whole)
-    assert rows_of(spark.read.parquet(sinks.current_version(spark, root)), "k", "v") == [(1, "a")]
-    sinks.write_upsert(spark.createDataFrame([(2, "b")], "k int, v string"), root, ["k"])
-    assert rows_of(spark.read.parquet(sinks.current_version(spark, root)), "k", "v") == [(1, "a"), (2, "b")]
+        keyed.write_upsert(spark.createDataFrame([(2, "b")], "k int, v string"), root, ["k"])
+    monkeypatch.setattr(keyed, "_versions", whole)
+    assert rows_of(keyed.read_upserts(spark, root), "k", "v") == [(1, "a")]
+    keyed.write_upsert(spark.createDataFrame([(2, "b")], "k int, v string"), root, ["k"])
+    assert rows_of(keyed.read_upserts(spark, root), "k", "v") == [(1, "a"), (2, "b")]
 
 
 def test_late_rows_of_a_stream_dont_overwrite(spark, tmp_path):
@@ -67,7 +67,7 @@ def test_late_rows_of_a_stream_dont_overwrite(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(df.schema).parquet(source)
         streams.stream_upsert(stream, root, ["k"], "at", state).awaitTermination()
-    assert rows_of(spark.read.parquet(sinks.current_version(spark, root)), "k", "v") == [(1, "newest"), (2, "b")]
+    assert rows_of(keyed.read_upserts(spark, root), "k", "v") == [(1, "newest"), (2, "b")]
 
 
 def test_shares_of_history_keep_repeated_rows(spark):

@@ -15,8 +15,8 @@ from panelwright.operators import quality as Q
 from panelwright.operators import sets as S
 from panelwright.operators import windows as W
 from panelwright.operators.features import MOST_CATEGORIES, categories, design_matrix
+from panelwright.sources import keyed
 from panelwright.sources import readers as R
-from panelwright.sources import sinks
 from panelwright.streaming import streams
 
 
@@ -233,10 +233,10 @@ def test_upserts_are_idempotent_and_swap_versions(spark, tmp_path):
     root = f"file://{tmp_path}/table"
     one = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     two = spark.createDataFrame([(2, "B"), (3, "c")], "k int, v string")
-    sinks.write_upsert(one, root, ["k"])
+    keyed.write_upsert(one, root, ["k"])
     for _ in range(2):
-        sinks.write_upsert(two, root, ["k"])
-    assert values(spark.read.parquet(sinks.current_version(spark, root)), "k", "v") == [(1, "a"), (2, "B"), (3, "c")]
+        keyed.write_upsert(two, root, ["k"])
+    assert values(keyed.read_upserts(spark, root), "k", "v") == [(1, "a"), (2, "B"), (3, "c")]
     assert values(S.replace_groups(one.withColumn("g", F.lit(1)), two.limit(1).withColumn("g", F.lit(1)), "g", ["k"]), "k", "v") == [(2, "B")]
 
 
