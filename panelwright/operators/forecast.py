@@ -1,7 +1,7 @@
 """Forecasts, rolling-origin backtests, intervals, updates and scores.
 
 Closed-form models are windows over all periods at once: every row is its own fold, and only strictly earlier
-periods reach it. Fitted models (ridge, forest) loop over the few test periods.
+periods reach it. Fitted models (ridge, forest) take the statistics of all folds from the same scans.
 """
 
 from __future__ import annotations
@@ -74,40 +74,56 @@ def capacity_share(df: DataFrame, entity: str, group: str, period: str, value: s
     return out.withColumns({"share_forecast": share * F.col("_last"), "shrunk_share_forecast": shrunk * F.col("_last")}).drop("_own", "_past", "_last", "_m")
 
 
-#: Columns up to which a Gramian is one aggregation of sums of products; more are summed as matrices, one a task.
+#: Columns up to which Gramians are one aggregation of sums of products; more are summed as matrices, one a task and period.
 SUMS_OF_PRODUCTS = 40
 
 
-def gram(df: DataFrame, features: Sequence[str], target: str) -> tuple[np.ndarray, np.ndarray]:
-    """The matrix and vector of a least-squares fit with intercept; a null counts as 0. The driver gets p^2 numbers."""
+def grams(df: DataFrame, features: Sequence[str], target: str, period: str | None = None) -> dict:
+    """{period: (matrix, vector)} of least-squares fits with intercept to each period's rows, from one scan; a null counts as 0.
+
+    Without a period all rows are under None. The driver gets p^2 numbers a period.
+    """
     named = {"_one": F.lit(1.0)} | {f"_{i}": F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for i, f in enumerate([*features, target])}
-    rows, n = df.select(*[v.alias(k) for k, v in named.items()]), len(named)
-    full = np.zeros((n, n))
+    at = F.col(period) if period else F.lit(None).cast("int")
+    rows, n = df.select(at.alias("_period"), *[v.alias(k) for k, v in named.items()]), len(named)
+    found, names = {}, list(named)
     if n <= SUMS_OF_PRODUCTS:
-        names = list(named)
-        sums = rows.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i in range(n) for j in range(i, n)]).first()
-        for i in range(n):
-            for j in range(i, n):
-                full[i, j] = full[j, i] = sums[f"s{i}_{j}"] or 0.0
+        sums = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i in range(n) for j in range(i, n)]
+        for row in rows.groupBy("_period").agg(*sums).collect():
+            full = found.setdefault(row["_period"], np.zeros((n, n)))
+            for i in range(n):
+                for j in range(i, n):
+                    full[i, j] = full[j, i] = row[f"s{i}_{j}"] or 0.0
     else:
         import pyarrow as pa
 
+        kind = rows.schema["_period"].dataType
+
         def products(batches):
-            total = np.zeros((n, n))
+            totals: dict = {}
             for batch in batches:
-                x = np.column_stack([column.to_numpy(zero_copy_only=False) for column in batch.columns])
-                total += x.T @ x
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
+                periods = batch.column("_period").to_pylist()
+                x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+                for p in set(periods):
+                    part = x[[q == p for q in periods]]
+                    totals[p] = totals.get(p, 0) + part.T @ part
+            for p, total in totals.items():
+                yield pa.RecordBatch.from_arrays([pa.array([p] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["_period", "i", "row"])
 
-        parts = rows.mapInArrow(products, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "v"))
-        for i, j, v in parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
-            full[i, j] = v
-    return full[:-1, :-1], full[:-1, -1]
+        parts = rows.withColumn("_period", F.col("_period").cast("bigint")).mapInArrow(products, "_period bigint, i int, row array<double>").select("_period", "i", F.posexplode("row").alias("j", "v"))
+        for p, i, j, v in parts.groupBy(F.col("_period").cast(kind), "i", "j").agg(F.sum("v").alias("v")).collect():
+            found.setdefault(p, np.zeros((n, n)))[i, j] = v
+    return {p: (full[:-1, :-1], full[:-1, -1]) for p, full in found.items()}
 
 
-def ridge_fit(df: DataFrame, features: Sequence[str], target: str, alpha: float) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def gram(df: DataFrame, features: Sequence[str], target: str) -> tuple[np.ndarray, np.ndarray]:
+    """The matrix and vector of a least-squares fit with intercept to all rows."""
+    n = len(features) + 1
+    return grams(df, features, target).get(None, (np.zeros((n, n)), np.zeros(n)))
+
+
+def ridge_solution(matrix: np.ndarray, vector: np.ndarray, features: Sequence[str], alpha: float) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """(columns, means, deviations, coefficients with the intercept first) of a standardised ridge fit; constant columns are left out."""
-    matrix, vector = gram(df, features, target)
     n = matrix[0, 0]
     means = matrix[0, 1:] / n
     sds = np.sqrt(np.maximum(np.diag(matrix)[1:] / n - means**2, 0))
@@ -122,6 +138,11 @@ def ridge_fit(df: DataFrame, features: Sequence[str], target: str, alpha: float)
     return names, means, sds, np.linalg.solve(z + penalty, turn.T @ vector[at])
 
 
+def ridge_fit(df: DataFrame, features: Sequence[str], target: str, alpha: float) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The ridge solution of all rows."""
+    return ridge_solution(*gram(df, features, target), features, alpha)
+
+
 def ridge_predict(fit, floor: bool = True) -> Column:
     names, means, sds, beta = fit
     out = F.lit(float(beta[0]))
@@ -131,15 +152,29 @@ def ridge_predict(fit, floor: bool = True) -> Column:
 
 
 def ridge_backtest(df: DataFrame, features: Sequence[str], target: str, period: str, tests: Sequence[int], alpha: float, keys: Sequence[str]) -> DataFrame:
-    """Ridge predictions of each test period from all earlier rows; one small aggregation and one projection a period."""
-    parts = []
+    """(keys, actual, predicted) of rows of each test period by a ridge fit to all rows of earlier periods.
+
+    Gramians of all periods come from one scan; a fold's is their running sum. Coefficients are a row a fold, joined to its rows.
+    A period without earlier rows is left out. A null feature of a test row gives a null prediction, as in ridge_predict, if the
+    fold's fit uses it.
+    """
+    by_period = grams(df, features, target, period)
+    folds = []
     for test in tests:
-        fit = ridge_fit(df.filter(F.col(period) < test), features, target, alpha)
-        parts.append(df.filter(F.col(period) == test).select(*keys, F.col(target).cast("double").alias("actual"), ridge_predict(fit).alias("predicted")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        past = [by_period[p] for p in sorted(p for p in by_period if p is not None and p < test)]
+        if not past:
+            continue
+        names, means, sds, beta = ridge_solution(sum(m for m, _ in past), sum(v for _, v in past), features, alpha)
+        of = {name: (float(m), float(s), float(b)) for name, m, s, b in zip(names, means, sds, beta[1:])}
+        folds.append((test, float(beta[0]), [of.get(f) for f in features]))
+    kind = df.schema[period].dataType.simpleString()
+    fits = df.sparkSession.createDataFrame(folds, f"_fold {kind}, _first double, _terms array<struct<m:double,s:double,b:double>>")
+    out = F.col("_first")
+    for i, f in enumerate(features):
+        term = F.get("_terms", i)
+        out = out + F.when(term.isNull(), 0.0).otherwise((F.col(f).cast("double") - term.m) / term.s * term.b)
+    rows = df.join(F.broadcast(fits), F.col(period) == F.col("_fold"))  # a row a fold
+    return rows.select(*keys, F.col(target).cast("double").alias("actual"), floor0(out).alias("predicted"))
 
 
 def forest_forecast(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, trees: int = 200, least: int = 3, seed: int = 1337, keys: Sequence[str] | None = None) -> DataFrame:

@@ -145,19 +145,49 @@ def asof_week(queries: DataFrame, scores: DataFrame, qid: str, entity: str, day:
 def self_pairs(df: DataFrame, entity: str, key: str, least: int = 1, block: int = 1000) -> DataFrame:
     """(a, b, shared): unordered pairs of entities and how many keys they share, at least `least`.
 
-    The entities of a key are dealt to blocks of about `block`, and every pair of blocks is joined on its own, so that a
-    key which very many entities share is many tasks. Its pairs still grow with the square of its entities
-    (`crowded_keys` reports such keys).
+    An entity's keys are ordered from the rarest on. Two entities that share `least` keys share one of the first n - least + 1
+    of each, so only pairs that meet there are candidates, and their shared keys are counted exactly: a key that very many
+    entities have, being last, makes few candidates. Where that would leave out less than half of all meetings, as with
+    `least` of 1, all keys are counted at once instead. Either way the pairs are the same.
     """
-    pairs = df.select(entity, key).distinct()
-    sizes = pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
-    dealt = pairs.join(sizes, key).withColumn("_i", F.pmod(F.xxhash64(entity), "_blocks"))
-    a = dealt.withColumn("_j", F.explode(F.sequence("_i", F.col("_blocks") - 1))).select(key, "_i", "_j", F.col(entity).alias("a"))
-    b = dealt.withColumn("_j", F.col("_i")).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), "_j"))).select(key, "_i", "_j", F.col(entity).alias("b"))
-    both = a.join(b, [key, "_i", "_j"]).filter("a < b OR (a > b AND _i < _j)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = settled(df.select(F.col(entity).alias("_e"), F.col(key).alias("_k")).distinct())
+    prefixes = settled(key_prefixes(pairs, least)) if least > 1 else pairs
+    if least == 1 or 2 * _meetings(prefixes) > _meetings(pairs):
+        found = _met_pairs(pairs, block).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+        return found.filter(F.col("shared") >= least)
+    candidates = settled(_met_pairs(prefixes, block).distinct())
+    own = candidates.join(pairs.withColumnRenamed("_e", "a"), "a")
+    both = own.join(pairs.withColumnRenamed("_e", "b"), ["b", "_k"])
     return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
 
 
+def key_prefixes(pairs: DataFrame, least: int) -> DataFrame:
+    """The distinct pairs (_e, _k) without the `least` - 1 most frequent keys of each entity, and without entities of fewer keys."""
+    counted = pairs.join(pairs.groupBy("_k").agg(F.count(F.lit(1)).alias("_c")), "_k")
+    place = F.row_number().over(Window.partitionBy("_e").orderBy(F.desc("_c"), F.desc("_k")))
+    return counted.withColumn("_place", place).filter(F.col("_place") >= least).select("_e", "_k")
+
+
+def _meetings(pairs: DataFrame) -> int:
+    """How often two entities meet in a key."""
+    counts = pairs.filter("_k IS NOT NULL").groupBy("_k").agg(F.count(F.lit(1)).cast("decimal(38, 0)").alias("c"))
+    return int(counts.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0)
+
+
+def _met_pairs(pairs: DataFrame, block: int) -> DataFrame:
+    """(a, b) once for each key that two entities of pairs (_e, _k) share.
+
+    The entities of a key are dealt to blocks of about `block`, and every pair of blocks is joined on its own, so that a key of very
+    many entities is many tasks. Its meetings still grow with the square of its entities (`crowded_keys` reports such keys).
+    """
+    sizes = pairs.groupBy("_k").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
+    dealt = pairs.join(sizes, "_k").withColumn("_i", F.pmod(F.xxhash64("_e"), "_blocks"))
+    a = dealt.withColumn("_j", F.explode(F.sequence("_i", F.col("_blocks") - 1))).select("_k", "_i", "_j", F.col("_e").alias("a"))
+    b = dealt.withColumn("_j", F.col("_i")).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), "_j"))).select("_k", "_i", "_j", F.col("_e").alias("b"))
+    met = a.join(b, ["_k", "_i", "_j"]).filter("a < b OR (a > b AND _i < _j)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def crowded_keys(df: DataFrame, entity: str, key: str, most: int) -> DataFrame:
     return df.groupBy(key).agg(F.countDistinct(entity).alias("entities")).filter(F.col("entities") > most)
 
