@@ -257,8 +257,8 @@ def annual_forecast(df: DataFrame, entity: str, group: str, period: str, value:
 
 def residual_intervals(forecasts: DataFrame, residuals: DataFrame, period: str, origin: int, least: int) -> DataFrame:
     """forecasts (model, predicted) with bounds from quantiles of the same model's residuals (actual - predicted) up to the origin."""
-    r = F.col("actual") - F.col("predicted")
-    past = residuals.filter(F.col(period) <= origin).groupBy("model").agg(*[F.percentile(r, F.lit(p)).alias(n) for n, p in PROBABILITIES.items()], F.count(F.lit(1)).alias("n_residuals"))
+    known = residuals.filter(F.col(period) <= origin).select("model", (F.col("actual") - F.col("predicted")).alias("_r"))
+    past = W.quantile_linear(known, ["model"], "_r", PROBABILITIES, "n_residuals")
     joined = forecasts.join(F.broadcast(past.filter(F.col("n_residuals") >= least)), "model")  # a row per model
     bounds = {"lower_95": "q025", "lower_80": "q100", "center": "q500", "upper_80": "q900", "upper_95": "q975"}
     return joined.withColumns({k: floor0(F.col("predicted") + F.col(q)) for k, q in bounds.items()}).drop(*PROBABILITIES)
@@ -327,7 +327,7 @@ def typicality(forecasts: DataFrame, history: DataFrame, entity: str, value: str
     """forecasts, every row, as percentiles of the entity's own history, its quartiles, the distance to their band, and labels."""
     from panelwright.functions.expressions import bucketize
 
-    quartiles = history.groupBy(entity).agg(F.percentile(value, F.lit(0.25)).alias("p25"), F.percentile(value, F.lit(0.75)).alias("p75"))
+    quartiles = W.quantile_linear(history, [entity], value, {"p25": 0.25, "p75": 0.75})
     past = history.select(entity, F.col(value).alias("_h"))
     placed = W.ecdf(forecasts.select(entity, F.col(value).alias("_f")), past, [entity], "_f", "_h", "percentile").withColumnRenamed("percentile_n", "n_history")
     found = placed.join(quartiles, entity, "left").withColumn("percentile", F.col("percentile") * 100)

@@ -7,13 +7,17 @@ several of them share one shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from panelwright.operators.storage import settled
+
+#: Rows of a group that one task may sort.
+LARGE = 1_000_000
 TIERS = ((0.1, "top_decile"), (0.2, "top_quintile"), (0.5, "top_half"))
 
 
@@ -32,16 +36,16 @@ def ceil_share(n: Column, q: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.round(n * q, 9)))
 
 
-def rank_tier(df: DataFrame, groups: Sequence[str], value: str, entity: str, prefix: str = "", tiers=TIERS, rest: str = "lower_half", none_label: str | None = None) -> DataFrame:
+def rank_tier(df: DataFrame, groups: Sequence[str], value: str, entity: str, prefix: str = "", tiers=TIERS, rest: str = "lower_half", none_label: str | None = None, large: int = LARGE) -> DataFrame:
     """df with rank, n_ranked, percentile and tier of value within groups.
 
     Ranks run from the largest value, equal values by entity; null values have none. With none_label, values
     of 0 and less are labelled so. Large groups are ranked as in `numbered`.
     """
     known = F.col(value).isNotNull()
-    placed = numbered(df, groups, value, entity, f"{prefix}rank")
-    n = F.when(known, F.count(value).over(Window.partitionBy(*groups)))
-    out = placed.withColumns({f"{prefix}rank": F.when(known, F.col(f"{prefix}rank")), f"{prefix}n_ranked": n})
+    order = [F.col(value).desc_nulls_last(), F.col(entity).asc()]
+    out = running(df, groups, order, {f"{prefix}rank": F.lit(1)}, {f"{prefix}n_ranked": known.cast("bigint")}, large)
+    out = out.withColumns({f"{prefix}rank": F.when(known, F.col(f"{prefix}rank").cast("int")), f"{prefix}n_ranked": F.when(known, F.col(f"{prefix}n_ranked"))})
     r, n = F.col(f"{prefix}rank"), F.col(f"{prefix}n_ranked")
     percentile = F.when(r.isNull(), None).when(n <= 1, F.lit(1.0)).otherwise((n - r) / (n - 1))
     tier = F.when(r.isNull(), None)
@@ -162,18 +166,32 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= k)
 
 
+def _order_statistics(df: DataFrame, groups: Sequence[str], value: str, places: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """(groups, n, named values): of each group with known values their number and the values at places, from 1, as functions of it.
+
+    Distinct values are counted first; running counts give a value's places, in ranges where a group has very many values.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"))
+    upto = running(counts, groups, [F.col(value).asc()], {"_upto": F.col("_c")}, {"_n": F.col("_c")})
+    first = {name: F.min(F.when(F.col("_upto") >= place(F.col("_n")), F.col(value))).alias(name) for name, place in places.items()}
+    return upto.groupBy(*groups).agg(F.max("_n").alias("n"), *first.values())
+
+
 def quantile_nearest(df: DataFrame, groups: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """Nearest-rank quantiles, the value at max(1, ceil(p n)), from counts of distinct values."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    n = F.sum("c").over(Window.partitionBy(*groups))
-    placed = counts.withColumns({"upto": upto, "n": n})
-    return placed.groupBy(*groups).agg(*[F.min(F.when(F.col("upto") >= ceil_share(F.col("n"), p), F.col(value))).alias(name) for name, p in probabilities.items()])
+    return _order_statistics(df, groups, value, {name: lambda n, p=p: ceil_share(n, p) for name, p in probabilities.items()}).drop("n")
+
 
+def quantile_linear(df: DataFrame, groups: Sequence[str], value: str, probabilities: dict[str, float], count: str | None = None) -> DataFrame:
+    """Quantiles interpolated at (n - 1) p between two order statistics, from counts of distinct values; groups without any have no row.
 
-def quantile_linear(df: DataFrame, groups: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    """Quantiles interpolated at (n - 1) p."""
-    return df.groupBy(*groups).agg(*[F.percentile(value, F.lit(p)).alias(name) for name, p in probabilities.items()])
+    With count, the number of values is kept under that name.
+    """
+    low = lambda p: lambda n: F.floor((n - 1) * p) + 1
+    high = lambda p: lambda n: F.ceil((n - 1) * p) + 1
+    found = _order_statistics(df, groups, value, {f"_{end}_{name}": place(p) for name, p in probabilities.items() for end, place in (("low", low), ("high", high))})
+    between = lambda name, p: F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * ((F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p))
+    return found.select(*groups, *[between(name, p).cast("double").alias(name) for name, p in probabilities.items()], *([F.col("n").alias(count)] if count else []))
 
 
 def ecdf(df: DataFrame, history: DataFrame, keys: Sequence[str], value: str, past: str, name: str = "ecdf") -> DataFrame:
@@ -195,26 +213,42 @@ def ecdf(df: DataFrame, history: DataFrame, keys: Sequence[str], value: str, pas
     return a.join(b, reduce(lambda x, y: x & y, same)).select("a.*", F.when(n > 0, F.col(f"b.{name}")).alias(name), n.alias(f"{name}_n"))
 
 
-def numbered(df: DataFrame, groups: Sequence[str], value: str, entity: str, name: str, large: int = 1_000_000, cuts: int = 256) -> DataFrame:
-    """df with each row's place in its group from the largest value on, nulls last, equal values by entity.
+def _same(keys: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], F.lit(True))
+
+
+def in_ranges(df: DataFrame, groups: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """df, written once, with its range: rows of a smaller range come before those of a larger in the order of groups and then `order`.
+
+    Ranges are cut by the whole order, so that a value which very many rows have is cut too if order goes on behind it.
+    """
+    return settled(df.repartitionByRange(*[F.col(g) for g in groups], *order).withColumn("_range", F.spark_partition_id()))
+
+
+def running(df: DataFrame, groups: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column], totals: Mapping[str, Column] | None = None, large: int = LARGE) -> DataFrame:
+    """df with the sum of each of sums over its group's rows up to this one in order, and of each of totals over the whole group.
 
-    Groups of at most `large` rows are sorted by one task each. If any has more, values are first cut into ranges by
-    approximate quantiles of their group, and a row's place is that in its range plus the rows of the ranges before it: as
-    exact, with a task per range.
+    Groups of at most `large` rows are sorted by one task each. If any has more, all are cut into ranges of their order; a sum is
+    that within the range and the sums of the ranges before it: as exact for whole numbers, with a task a range. order should
+    tell rows of a group apart.
     """
-    order = [F.col(value).desc_nulls_last(), F.col(entity)]
+    totals = totals or {}
     most = df.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
     if most <= large:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
-    shares = [i / cuts for i in range(1, cuts)]
-    edges = df.groupBy(*groups).agg(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), shares, 10_000)).alias("_edges"))
-    same = reduce(lambda x, y: x & y, [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in groups])
-    met = df.alias("a").join(edges.alias("b"), same).select("a.*", "b._edges")
-    cut = F.coalesce(F.size(F.filter("_edges", lambda e: e > F.col(value).cast("double"))), F.lit(0))
-    placed = met.withColumn("_range", F.when(F.col(value).isNull(), F.lit(cuts)).otherwise(cut)).drop("_edges")
-    sizes = placed.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("_before", before).drop("_size")
-    within = placed.withColumn("_place", F.row_number().over(Window.partitionBy(*groups, "_range").orderBy(*order)))
-    both = within.alias("a").join(sizes.alias("b"), same & (F.col("a._range") == F.col("b._range")))
-    return both.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("_place") + F.col("_before")).cast("int").alias(name))
+        w, whole = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*groups)
+        return df.withColumns({n: F.sum(c).over(w) for n, c in sums.items()} | {n: F.sum(c).over(whole) for n, c in totals.items()})
+    dealt = in_ranges(df.withColumns({f"_of_{n}": c for n, c in {**sums, **totals}.items()}), groups, order)
+    parts = dealt.groupBy(*groups, "_range").agg(*[F.sum(f"_of_{n}").alias(f"_of_{n}") for n in {**sums, **totals}])
+    earlier, whole = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*groups)
+    before = {f"_before_{n}": F.coalesce(F.sum(f"_of_{n}").over(earlier), F.lit(0)) for n in sums} | {n: F.sum(f"_of_{n}").over(whole) for n in totals}
+    parts = settled(parts.select(*groups, "_range", *[c.alias(n) for n, c in before.items()]))
+    w = Window.partitionBy(*groups, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = dealt.withColumns({f"_within_{n}": F.sum(f"_of_{n}").over(w) for n in sums})
+    both = within.alias("a").join(parts.alias("b"), _same([*groups, "_range"]))
+    return both.select(*[F.col(f"a.{c}") for c in df.columns], *[(F.col(f"_within_{n}") + F.col(f"_before_{n}")).alias(n) for n in sums], *[F.col(f"b.{n}").alias(n) for n in totals])
+
+
+def numbered(df: DataFrame, groups: Sequence[str], value: str, entity: str, name: str, large: int = LARGE) -> DataFrame:
+    """df with each row's place in its group from the largest value on, nulls last, equal values by entity; see `running`."""
+    placed = running(df, groups, [F.col(value).desc_nulls_last(), F.col(entity).asc()], {name: F.lit(1)}, large=large)
+    return placed.withColumn(name, F.col(name).cast("int"))

@@ -82,7 +82,7 @@ def test_ranks_in_ranges_equal_ranks_in_one_task(spark):
     random_ = random.Random(2)
     rows = [(random_.choice(["x", "y"]), i, random_.choice([None, random_.randint(0, 30) / 2, random_.gauss(0, 5)])) for i in range(600)] + [("z", 1, None)]
     df = spark.createDataFrame(rows, "g string, e int, v double")
-    assert rows_of(W.numbered(df, ["g"], "v", "e", "n", large=10, cuts=16), "g", "e", "n") == rows_of(W.numbered(df, ["g"], "v", "e", "n"), "g", "e", "n")
+    assert rows_of(W.numbered(df, ["g"], "v", "e", "n", large=10), "g", "e", "n") == rows_of(W.numbered(df, ["g"], "v", "e", "n"), "g", "e", "n")
 
 
 def test_nearest_stations_at_high_latitudes_and_the_date_line(spark):
