@@ -7,7 +7,7 @@ leaves the choice to the planner.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -192,51 +192,6 @@ def crowded_keys(df: DataFrame, entity: str, key: str, most: int) -> DataFrame:
     return df.groupBy(key).agg(F.countDistinct(entity).alias("entities")).filter(F.col("entities") > most)
 
 
-def nearest_k(places: DataFrame, stations: DataFrame, k: int, cell: float = 2.0, start_miles: float = 150.0, most_miles: float = HALF_WAY_ROUND) -> DataFrame:
-    """(entity, station, miles, rank): the k nearest stations of each place, ties by station; within most_miles, if it is given.
-
-    places: (entity, lat, lon); stations: (station, s_lat, s_lon). Stations are looked for within start_miles. A place that
-    has k there has its nearest; the others look on within four times the distance, until all have k or the earth is
-    searched. So far-off places cost more, but no place is left with fewer stations than there are.
-    """
-    parts, miles, left = [], min(start_miles, most_miles), places.select("entity", "lat", "lon")
-    while True:
-        found = settled(_within(left, stations, k, max(cell, math.degrees(miles / EARTH_MILES)), miles))
-        if miles >= most_miles:
-            parts.append(found)
-            break
-        full = found.filter(F.col("rank") == k).select("entity")
-        parts.append(found.join(full, "entity", "left_semi"))
-        left = settled(left.join(full, "entity", "left_anti"))
-        if left.isEmpty():
-            break
-        miles = min(4 * miles, most_miles)
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _within(places: DataFrame, stations: DataFrame, k: int, cell: float, most_miles: float) -> DataFrame:
-    """nearest_k within most_miles. A station is copied to the grid cells, of `cell` degrees, that most_miles reaches from it.
-
-    Places meet the stations of their cell, so the join is an equality join. Longitudes, from -180 to 180, are reached as
-    far as the station's latitude asks for, across the date line too, and all of them where a pole is within reach.
-    """
-    angle = most_miles / EARTH_MILES
-    reach_lat = math.degrees(angle) * (1 + 1e-9)
-    lat = F.radians("s_lat")
-    polar = F.abs(lat) + angle >= math.pi / 2 - 1e-9
-    reach_lon = F.when(polar, 360.0).otherwise(F.degrees(F.asin(F.least(math.sin(min(angle, math.pi / 2)) / F.cos(lat), F.lit(1.0)))) * (1 + 1e-9))
-    index = lambda c: F.floor(c / cell)
-    cells = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-    west, east = F.floor(F.lit(-180.0 / cell)), F.floor(F.lit(180.0 / cell))
-    turned = [cells(F.greatest(index(F.col("s_lon") + turn - reach_lon), west), F.least(index(F.col("s_lon") + turn + reach_lon), east)) for turn in (-360.0, 0.0, 360.0)]
-    spread = stations.withColumn("cy", F.explode(F.sequence(index(F.col("s_lat") - reach_lat), index(F.col("s_lat") + reach_lat))))
-    spread = spread.withColumn("cx", F.explode(F.array_distinct(F.concat(*turned))))
-    near = places.withColumns({"cy": index(F.col("lat")), "cx": index(F.col("lon"))}).join(spread, ["cy", "cx"])
-    near = near.withColumn("miles", haversine_miles(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))).filter(F.col("miles") <= most_miles)
-    order = Window.partitionBy("entity").orderBy(F.round("miles", 6), "station")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("entity", "station", "miles", "rank")
-
-
 #: Training rows of all folds that k-d splits are fitted to, the first by hash; levels of splits at most, and of those that form top cells.
 SPLIT_SAMPLE = 1 << 18
 SPLIT_LEVELS = 14
@@ -288,21 +243,68 @@ def _to_box(n: int) -> Column:
     return F.sqrt(sum((F.greatest(F.get("low", i) - F.get("x", i), F.get("x", i) - F.get("high", i), F.lit(0.0)) ** 2 for i in range(n)), F.lit(0.0)))
 
 
-def _analog_pairs(asked: DataFrame, cells: DataFrame, fold: str, n: int) -> DataFrame:
-    """Asked rows (fold, cell, q, x) and the training rows of their cell, with the distance."""
-    square = sum(((F.get("x", i) - F.get("_x", i)) ** 2 for i in range(n)), F.lit(0.0))
-    both = asked.join(cells.withColumnRenamed("x", "_x").drop("top"), [fold, "cell"])
-    return both.withColumn("distance", F.round(F.sqrt(square), 9)).drop("_x")
+def _kd_pairs(asked: DataFrame, cells: DataFrame, group: str, measure: Column) -> DataFrame:
+    """Asked rows (group, cell, q, x, ...) and the rows of their cell, with how far they are."""
+    return asked.join(cells.withColumnRenamed("x", "_x").drop("top"), [group, "cell"]).withColumn("far", measure)
+
+
+def _kd_nearest(asked: DataFrame, rows: DataFrame, group: str, n: int, k: int, measure: Column, order: Sequence[Column], reach: Callable[[Column], Column], cell_rows: int) -> DataFrame:
+    """Of each asked row (group, x, ...) the k rows (group, x, ...) of its group that come first in order, with `far` and `rank`.
+
+    measure gives `far` of a pair, in which a row's own x is _x; it may not fall as the distance between x and _x grows, and reach
+    turns it to a distance that no row which is as near exceeds. A k-d tree a group deals rows to cells, each with the box around
+    its rows. An asked row meets the rows of its own cell, which gives a k-th `far`, then those of the cells whose box is within
+    reach of that: exact, and a row meets few of the others. Boxes are looked through in two steps, those of at most 128 top cells
+    a group and those inside the near ones.
+    """
+    kept = settled(rows)
+    trees = _kd_trees(kept, group, cell_rows)
+    cells = settled(_in_cells(kept, trees, group))
+    ends = lambda low, high: [F.array(*[f(F.get(c, i)) for i in range(n)]).alias(name) for f, c, name in ((F.min, low, "low"), (F.max, high, "high"))]
+    boxes = settled(cells.groupBy(group, "top", "cell").agg(*ends("x", "x")))
+    tops = boxes.groupBy(group, "top").agg(*ends("low", "high"))
+    asked = settled(_in_cells(asked, trees, group).withColumn("q", F.monotonically_increasing_id()))
+    best = Window.partitionBy("q").orderBy(*order)
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    own = settled(ranked(_kd_pairs(asked.drop("top"), cells, group, measure).drop("cell", "x", "_x")))
+    most = own.filter(F.col("rank") == k).select("q", F.col("far").alias("_most"))
+    wide = asked.withColumnRenamed("cell", "_own").drop("top").join(most, "q", "left")
+    near = F.col("_most").isNull() | (_to_box(n) <= reach(F.col("_most")))
+    within = wide.join(F.broadcast(tops), group).filter(near).drop("low", "high")  # 2^TOP_LEVELS a group at most
+    others = within.join(boxes, [group, "top"]).filter(near & (F.col("cell") != F.col("_own"))).drop("low", "high", "_own", "top")
+    more = _kd_pairs(others, cells, group, measure).filter(F.col("_most").isNull() | (F.col("far") <= F.col("_most") + 1e-6)).drop("cell", "x", "_x", "_most")
+    return ranked(own.drop("rank").unionByName(more))
+
+
+def nearest_k(places: DataFrame, stations: DataFrame, k: int, most_miles: float = HALF_WAY_ROUND, cell_rows: int = 256) -> DataFrame:
+    """(entity, station, miles, rank): the k nearest stations of each place, ties by station; within most_miles, if it is given.
+
+    places: (entity, lat, lon); stations: (station, s_lat, s_lon); those without a latitude or longitude take no part. Points are
+    dealt to k-d cells as in `nearest_analogs`, by their place on the unit sphere: straight distances there are in the order of
+    miles, and poles and the date line are places like any other. So each place has a radius of its own, that of its k-th station
+    in its cell, and meets the stations of the cells within it.
+    """
+    def on_sphere(lat: str, lon: str) -> Column:
+        return F.array(F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat)))
+
+    known = lambda df, *c: reduce(lambda u, v: u & v, [F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")) for x in c])
+    spots = places.select("entity", "lat", "lon").filter(known(places, "lat", "lon"))
+    masts = stations.select("station", "s_lat", "s_lon").filter(known(stations, "s_lat", "s_lon"))
+    alike = Window.partitionBy("s_lat", "s_lon").orderBy("station")
+    rows = masts.withColumn("_r", F.row_number().over(alike)).filter(F.col("_r") <= k).select(F.lit(0).alias("_g"), on_sphere("s_lat", "s_lon").alias("x"), "station", "s_lat", "s_lon")
+    asked = spots.select(F.lit(0).alias("_g"), "lat", "lon").distinct().withColumn("x", on_sphere("lat", "lon"))
+    miles = haversine_miles(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))
+    reach = lambda most: 2 * F.sin(F.least(most / (2 * EARTH_MILES), F.lit(math.pi / 2))) + 1e-9
+    found = _kd_nearest(asked, rows, "_g", 3, k, miles, [F.round("far", 6), F.col("station")], reach, max(cell_rows, 4 * k))
+    found = found.filter(F.col("far") <= most_miles).select("lat", "lon", "station", F.col("far").alias("miles"), "rank")
+    return spots.join(found, ["lat", "lon"]).select("entity", "station", "miles", "rank")
 
 
 def nearest_analogs(test: DataFrame, train: DataFrame, features: Sequence[str], fold: str, period: str, k: int, cell_rows: int = 256) -> DataFrame:
     """(fold, test_id, train_id, train_period, outcome, distance, rank): each test row's k nearest training rows of its fold.
 
     Rows are (fold, id, period, features, outcome); those without a feature take no part. Ties go to the earliest period, then the
-    id, so of training rows alike in all features only the first k are needed; test rows alike are asked about once. A k-d tree a
-    fold deals training rows to cells, each with the box around its rows. A test row meets the rows of its own cell, which gives a
-    k-th distance, then those of the cells whose box is no farther: exact, and a row meets few of the others. Boxes are looked
-    through in two steps, those of at most 128 top cells a fold and those inside the near ones.
+    id, so of training rows alike in all features only the first k are needed; test rows alike are asked about once.
     """
     n = len(features)
     x = F.array(*[F.col(f).cast("double") for f in features])
@@ -310,26 +312,14 @@ def nearest_analogs(test: DataFrame, train: DataFrame, features: Sequence[str],
     tests = test.select(fold, F.col("id").alias("test_id"), x.alias("x")).filter(known)
     rows = train.select(fold, F.col("id").alias("train_id"), F.col(period).alias("train_period"), "outcome", x.alias("x")).filter(known)
     alike = Window.partitionBy(fold, "x").orderBy("train_period", "train_id")
-    kept = settled(rows.withColumn("_r", F.row_number().over(alike)).filter(F.col("_r") <= k).drop("_r"))
-    trees = _kd_trees(kept, fold, cell_rows)
-    cells = settled(_in_cells(kept, trees, fold))
-    ends = [F.array(*[f(F.get("x", i)) for i in range(n)]).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
-    boxes = settled(cells.groupBy(fold, "top", "cell").agg(*ends))
-    around = [F.array(*[f(F.get(name, i)) for i in range(n)]).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
-    tops = boxes.groupBy(fold, "top").agg(*around)
-    asked = settled(_in_cells(tests.select(fold, "x").distinct(), trees, fold).withColumn("q", F.monotonically_increasing_id()))
-    best = Window.partitionBy("q").orderBy("distance", "train_period", "train_id")
-    ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    keep = ["q", "train_id", "train_period", "outcome", "distance"]
-    own = settled(ranked(_analog_pairs(asked.select(fold, "cell", "q", "x"), cells, fold, n).select(*keep)))
-    reach = asked.withColumnRenamed("cell", "_own").drop("top").join(own.filter(F.col("rank") == k).select("q", F.col("distance").alias("_most")), "q", "left")
-    near = F.col("_most").isNull() | (_to_box(n) <= F.col("_most") * (1 + 1e-9) + 1e-9)  # distances are rounded to 9 places
-    within = reach.join(F.broadcast(tops), fold).filter(near).drop("low", "high")  # 2^TOP_LEVELS a fold at most
-    others = within.join(boxes, [fold, "top"]).filter(near & (F.col("cell") != F.col("_own"))).select(fold, "cell", "q", "x", "_most")
-    more = _analog_pairs(others, cells, fold, n).filter(F.col("_most").isNull() | (F.col("distance") <= F.col("_most"))).select(*keep)
-    found = ranked(own.drop("rank").unionByName(more)).join(asked.select("q", F.col(fold).alias("_f"), F.col("x").alias("_x")), "q")
-    same = (F.col(fold) == F.col("_f")) & (F.col("x") == F.col("_x"))
-    return tests.join(found, same).select(fold, "test_id", *keep[1:], "rank")
+    rows = rows.withColumn("_r", F.row_number().over(alike)).filter(F.col("_r") <= k).drop("_r")
+    square = sum(((F.get("x", i) - F.get("_x", i)) ** 2 for i in range(n)), F.lit(0.0))
+    asked = tests.select(fold, "x").distinct().withColumn("like", F.col("x"))
+    order = [F.col("far"), F.col("train_period"), F.col("train_id")]
+    reach = lambda most: most * (1 + 1e-9) + 1e-9  # noqa: E731  distances are rounded to 9 places
+    found = _kd_nearest(asked, rows, fold, n, k, F.round(F.sqrt(square), 9), order, reach, cell_rows)
+    found = found.select(F.col(fold).alias("_f"), "like", "train_id", "train_period", "outcome", F.col("far").alias("distance"), "rank")
+    return tests.join(found, (F.col(fold) == F.col("_f")) & (F.col("x") == F.col("like"))).select(fold, "test_id", "train_id", "train_period", "outcome", "distance", "rank")
 
 
 def prior_rows(df: DataFrame, keys: Sequence[str], period: str, value: str) -> DataFrame:

@@ -124,7 +124,7 @@ _MILES = "round(2 * 3958.8 * asin(sqrt(least(1, sin(radians(b.lat - a.lat) / 2)
 SELECT entity, station, round(miles, 4) AS miles, rank::INT AS rank FROM r WHERE rank <= 3""", "points")
 def q043_nearest_k_join(t: Tables):
     stations = t.points().filter("entity % 2 = 1").select(F.col("entity").alias("station"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    found = J.nearest_k(t.points().filter("entity % 2 = 0"), stations, 3, 0.5, 20)
+    found = J.nearest_k(t.points().filter("entity % 2 = 0"), stations, 3)
     return found.withColumn("miles", F.round(R6("miles"), 4))
 
 

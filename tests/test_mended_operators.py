@@ -100,11 +100,11 @@ def test_nearest_stations_at_high_latitudes_and_the_date_line(spark):
     for i, p in enumerate(spots):
         found = sorted((round(miles(p, q), 6), s) for s, q in near.items() if miles(p, q) <= 150)
         want |= {(i, s, r + 1) for r, (_, s) in enumerate(found[:3])}
-    got = J.nearest_k(places, stations, 3, 2.0, 150, 150)
+    got = J.nearest_k(places, stations, 3, 150)
     assert {(r.entity, r.station, r["rank"]) for r in got.collect()} == want and len(want) > 150
     nearest = {(i, s, r + 1) for i, p in enumerate(spots) for r, (_, s) in enumerate(sorted((round(miles(p, q), 6), s) for s, q in near.items())[:3])}
-    assert {(r.entity, r.station, r["rank"]) for r in J.nearest_k(places, stations, 3, 1.0, 40).collect()} == nearest
-    few = J.nearest_k(places, stations.limit(2), 3, 2.0, 1000)
+    assert {(r.entity, r.station, r["rank"]) for r in J.nearest_k(places, stations, 3, cell_rows=5).collect()} == nearest
+    few = J.nearest_k(places, stations.limit(2), 3)
     assert few.count() == 2 * len(spots)
 
 

@@ -200,7 +200,7 @@ def test_nearest_k_equals_brute_force(spark):
     stations = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform([30, -100], [45, -80], (60, 2)))]
     a = spark.createDataFrame(places, "entity int, lat double, lon double")
     b = spark.createDataFrame(stations, "station int, s_lat double, s_lon double")
-    got = {(r.entity, r["rank"]): r.station for r in J.nearest_k(a, b, 2, 1.0, 250).collect()}
+    got = {(r.entity, r["rank"]): r.station for r in J.nearest_k(a, b, 2, 250).collect()}
 
     def miles(p, s):
         x, y = np.radians(s[1] - p[1]) / 2, np.radians(s[2] - p[2]) / 2
