@@ -176,11 +176,21 @@ def q123_stream_calendar_rollup(t: Tables):
     return t.spark.read.schema(weeks.schema).parquet(out).withColumn("total", F.round("total", 4))
 
 
-@query("""SELECT user_id, event_id, round(value - 50, 6) AS residual, CASE WHEN user_id > 100 THEN 'late_data' WHEN value BETWEEN 40 AND 60 THEN 'expected' WHEN value - 50 > 5 THEN 'higher_than_expected' ELSE 'lower_than_expected' END AS interpretation FROM events WHERE user_id % 2 = 0""")
+@query("""WITH w AS (SELECT min(date_trunc('week', ts)) AS a, max(date_trunc('week', ts)) AS b FROM events), f AS (SELECT user_id, unnest(range(a, b + INTERVAL 1 DAY, INTERVAL 7 DAY)) AS week_start FROM (SELECT DISTINCT user_id FROM events), w)
+SELECT f.user_id, week_start::DATE AS week_start, event_id, round(value - 50, 6) AS residual, CASE WHEN value IS NULL THEN 'pending' WHEN f.user_id > 100 THEN 'late_data' WHEN value BETWEEN 40 AND 60 THEN 'expected' WHEN value - 50 > 5 THEN 'higher_than_expected' ELSE 'lower_than_expected' END AS interpretation
+FROM f LEFT JOIN events e ON e.user_id = f.user_id AND e.ts >= week_start AND e.ts < week_start + INTERVAL 7 DAY""")
 def q124_stream_update_audit(t: Tables):
+    """A forecast a user and week against the week's events, both as streams; rows far ahead close every week."""
     state, out = _folder(t, "stream-state"), _folder(t, "stream-out")
-    rows = _event_stream(t, t.events.select("user_id", "event_id", F.col("value").alias("actual")))
-    forecasts = t.events.filter("user_id % 2 = 0").select("user_id").distinct().select("user_id", F.lit(50.0).alias("predicted"), F.lit(40.0).alias("lower_95"), F.lit(60.0).alias("upper_95"))
-    audit = streams.stream_update_audit(rows, forecasts, ["user_id"], F.col("user_id"), F.lit(100), 5.0).select("user_id", "event_id", F.round("residual", 6).alias("residual"), "interpretation")
+    rows = t.events.select("user_id", "event_id", F.col("value").alias("actual"), F.to_timestamp("ts").alias("seen"))
+    ends = rows.agg(F.date_trunc("week", F.min("seen")).alias("a"), F.date_trunc("week", F.max("seen")).alias("b"))  # one row
+    weeks = rows.select("user_id").distinct().crossJoin(F.broadcast(ends)).select("user_id", F.explode(F.expr("sequence(a, b, interval 7 days)")).alias("week_start"))
+    ahead = F.to_timestamp(F.lit("2100-01-01"))
+    closing = t.spark.range(1)
+    made = weeks.unionByName(closing.select(F.lit(-1).cast("bigint").alias("user_id"), ahead.alias("week_start")))
+    forecasts = made.select("user_id", "week_start", F.lit(50.0).alias("predicted"), F.lit(40.0).alias("lower_95"), F.lit(60.0).alias("upper_95"))
+    observed = rows.unionByName(closing.select(F.lit(-2).cast("bigint").alias("user_id"), F.lit(None).cast(rows.schema["event_id"].dataType).alias("event_id"), F.lit(0.0).alias("actual"), ahead.alias("seen")))
+    audit = streams.stream_update_audit(_event_stream(t, observed), _event_stream(t, forecasts), ["user_id"], "week_start", "seen", "7 days", F.col("user_id"), F.lit(100), 5.0)
+    audit = audit.select("user_id", F.to_date("week_start").alias("week_start"), "event_id", F.round("residual", 6).alias("residual"), "interpretation")
     audit.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema(audit.schema).parquet(out)

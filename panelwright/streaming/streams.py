@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,18 @@ def batch_calendar_rollup(rows: DataFrame, entity: str, ts: str, value: str) ->
     return rows.groupBy(entity, start.alias("week_start")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.countDistinct(F.to_date(ts)).alias("days"))
 
 
-def stream_update_audit(observed: DataFrame, forecasts: DataFrame, keys: Sequence[str], as_of: Column, cutoff: Column, near: float) -> DataFrame:
-    """Observations as they arrive, joined to the open forecasts (static) and classified."""
-    return classified(observed.join(forecasts, list(keys)), as_of, cutoff, near)
+def stream_update_audit(observed: DataFrame, forecasts: DataFrame, keys: Sequence[str], issued: str, seen: str, wait: str, as_of: Column, cutoff: Column, near: float, late: str = "2 days") -> DataFrame:
+    """A row for each forecast and observation of its keys from `issued` until `wait` later, classified, as both arrive.
+
+    forecasts: (keys, predicted, lower_95, upper_95, issued); observed: (keys, actual, seen); both are streams. Either may come
+    first: rows of both wait in the state until the watermark, `late` behind the slower stream, has passed all that they could
+    meet. An observation that is revised gives a row each time. A forecast that had none is given out as pending once its time is
+    over; after a restart both streams have to bring rows before Spark knows how far each is. To keep the last reading of each
+    forecast, lay the rows over a keyed table in the order of `seen`.
+    """
+    f = forecasts.withWatermark(issued, late).alias("f")
+    o = observed.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in observed.columns if c not in keys]).withWatermark(seen, late).alias("o")
+    same = reduce(lambda a, b: a & b, [F.col(f"f.{k}") == F.col(f"o._{k}") for k in keys])
+    in_time = (F.col(f"o.{seen}") >= F.col(f"f.{issued}")) & (F.col(f"o.{seen}") < F.col(f"f.{issued}") + F.expr(f"interval {wait}"))
+    both = f.join(o, same & in_time, "left_outer").drop(*[f"_{k}" for k in keys])
+    return classified(both, as_of, cutoff, near)
