@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelwright.operators.storage import settled
+from panelwright.operators.windows import running
 
 
 def mirror(pairs: DataFrame) -> DataFrame:
@@ -57,8 +58,7 @@ def numbered_components(found: DataFrame, nodes: DataFrame, keys: Sequence[str],
     """Components numbered from 1 within keys by (mean attribute, smallest node), with their sizes."""
     rows = found.join(nodes.select(*keys, "node", attribute), [*keys, "node"])
     sums = rows.groupBy(*keys, "component").agg(F.avg(attribute).alias("mean"), F.count(F.lit(1)).alias("members"))
-    order = Window.partitionBy(*keys, F.lit(0)).orderBy(F.round("mean", 6), "component")
-    numbers = sums.withColumn("number", F.row_number().over(order))
+    numbers = running(sums, keys, [F.round("mean", 6).asc(), F.col("component").asc()], {"number": F.lit(1)}).withColumn("number", F.col("number").cast("int"))
     return rows.join(numbers, [*keys, "component"]).select(*keys, "node", "component", "number", "members", "mean")
 
 

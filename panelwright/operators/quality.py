@@ -66,14 +66,15 @@ def provenance_record(df: DataFrame, source_id: str, url: str, command: str, met
     return rows_sha256.select(F.lit(source_id).alias("source_id"), F.lit(url).alias("source_url"), F.lit(command).alias("command"), F.lit(method).alias("method"), at.alias("retrieved_at"), "row_count", "rows_sha256")
 
 
-def rows_checksum(df: DataFrame) -> DataFrame:
-    """(row_count, rows_sha256): the SHA-256 of the sums of the rows' own SHA-256, by 15 hexadecimal digits; repeats count.
+def row_digest(columns: Sequence[str]) -> Column:
+    """The SHA-256 of a row's text: its columns as strings in this order, each after its length, a null as `-`."""
+    text = [F.coalesce(F.concat(F.char_length(F.col(f"`{c}`").cast("string")).cast("string"), F.lit(":"), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in columns]
+    return F.sha2(F.concat_ws(",", *text), 256)
 
-    A row's text is its columns as strings in the order of df, each after its length, a null as `-`.
-    """
-    text = [F.coalesce(F.concat(F.char_length(F.col(f"`{c}`").cast("string")).cast("string"), F.lit(":"), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in df.columns]
-    digest = F.sha2(F.concat_ws(",", *text), 256)
-    parts = [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
+
+def rows_checksum(df: DataFrame) -> DataFrame:
+    """(row_count, rows_sha256): the SHA-256 of the sums of the rows' digests, by 15 hexadecimal digits; repeats count."""
+    parts = [F.conv(F.substring(row_digest(df.columns), 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
     sums = df.agg(F.count(F.lit(1)).alias("row_count"), *[F.coalesce(F.sum(p), F.lit(0)).alias(f"s{i}") for i, p in enumerate(parts)])
     return sums.select("row_count", F.sha2(F.concat_ws(",", *[F.col(f"s{i}").cast("string") for i in range(4)]), 256).alias("rows_sha256"))
 

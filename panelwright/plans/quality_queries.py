@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from panelwright.functions.expressions import slugify
 from panelwright.operators import graph as G
 from panelwright.operators import joins as J
+from panelwright.operators import lineage as L
 from panelwright.operators import quality as Q
 from panelwright.operators import windows as W
-from panelwright.operators.storage import settled
+from panelwright.operators.storage import settled, shared_root
 from panelwright.plans.base import query
 from panelwright.plans.join_queries import _EDGES, edges
 from panelwright.plans.views import Tables
@@ -53,6 +56,17 @@ def q130_provenance_record(t: Tables):
     return Q.provenance_record(rows, "customer", "https://example.org/customer", "load customer", "parquet", F.lit("2000-01-01 00:00:00").cast("timestamp"))
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice >= 300000 THEN 'removed' WHEN o_totalprice <= 20000 THEN 'added' ELSE 'changed' END AS change FROM orders WHERE o_totalprice >= 300000 OR o_totalprice <= 20000 OR o_orderstatus = 'P'""")
+def q130_changed_rows(t: Tables):
+    """Two versions of the orders, compared by their trees of digests."""
+    root = f"{shared_root(t.spark)}/lineage-{uuid.uuid4().hex}"
+    rows = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    L.write_version(rows.filter("o_totalprice > 20000"), f"{root}/old", ["o_orderkey"], 64)
+    later = F.when(F.col("o_orderstatus") == "P", "moved").otherwise(F.col("o_orderpriority"))
+    L.write_version(rows.filter("o_totalprice < 300000").withColumn("o_orderpriority", later), f"{root}/new", ["o_orderkey"], 64)
+    return L.changed_rows(t.spark, f"{root}/old", f"{root}/new", ["o_orderkey"])
+
+
 @query("SELECT s_suppkey, s_name || '1' AS \"left\", s_name AS \"right\" FROM supplier WHERE s_suppkey % 4 = 0")
 def q131_checksum_match(t: Tables):
     a = t.supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 4 == 0, F.concat("s_name", F.lit("1"))).otherwise(F.col("s_name")).alias("c"))
