@@ -4,9 +4,9 @@ For every participant of a conversation the dialogue is rendered with that speak
 others as named users; system turns stay system turns. The loss mask of a rendering is the list of character
 spans of the assistant's contents with their end marks.
 
-The whole dialogue is one rendering. One that is longer than PART_CHARS characters comes in consecutive rows, in
-the order of `part`, so that a conversation that holds a large part of all rows is many bounded groups and not one;
-their renderings joined are the whole one, and a mask counts from its row's beginning.
+The whole dialogue is one rendering, so renderings are as many characters as participants times dialogue, which is what rotation
+asks for; one is a string, of at most 2 GB. A message's place is a running sum over its conversation, and a speaker's spans
+follow from the places of its own messages, so masks take as long as there are messages.
 
 Defined results: a null text is empty; a null role is a speaker of its own, named `_null`; null turns come after all
 others, a null conversation id is a conversation. Messages with one turn number follow each other by role (null first)
@@ -20,13 +20,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from panelwright.operators.windows import running
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
-#: Characters of texts, with MESSAGE_CHARS for each message, after which a new row of a rendering begins.
-PART_CHARS = 1 << 22
-MESSAGE_CHARS = 64
-SYSTEM = "system"
+SYSTEM, ASSISTANT, USER = "system", "assistant", "user name="
 
 
 def _name(role: Column) -> Column:
@@ -35,47 +33,29 @@ def _name(role: Column) -> Column:
 
 
 def _heading(role: Column, perspective: Column) -> Column:
-    other = F.concat(F.lit("user name="), _name(role))
-    return F.when(role == SYSTEM, F.lit(SYSTEM)).when(role.eqNullSafe(perspective), F.lit("assistant")).otherwise(other)
+    other = F.concat(F.lit(USER), _name(role))
+    return F.when(role == SYSTEM, F.lit(SYSTEM)).when(role.eqNullSafe(perspective), F.lit(ASSISTANT)).otherwise(other)
 
 
-def messages(turns: DataFrame, conversation: str, turn: str, role: str, text: str, part_chars: int) -> DataFrame:
-    """(conv, part, msgs): the messages of each part of a conversation, in order."""
+def rotate(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conversation, perspective, n_messages, rendered, mask array<struct<start, end>>), one row per participant."""
     clean = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("<|im_"), F.lit("<| im_"))
-    rows = turns.select(F.col(conversation).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), clean.alias("text"))
-    size = F.char_length("text") + MESSAGE_CHARS
-    order = Window.partitionBy("conv").orderBy(F.col("turn").isNull(), "turn", "role", "text")
-    before = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size
-    message = F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "text")
-    return rows.withColumn("part", F.floor(before / part_chars)).groupBy("conv", "part").agg(F.sort_array(F.collect_list(message)).alias("msgs"))
-
-
-def rotate(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
-    """(conversation, part, perspective, n_messages, rendered, mask array<struct<start, end>>), one row per participant and part.
-
-    Every participant of the whole conversation has a row for each part, also where it says nothing.
-    """
-    parts = messages(turns, conversation, turn, role, text, part_chars)
-    speakers = turns.select(F.col(conversation).alias("who"), F.col(role).alias("perspective")).filter(F.col("perspective").isNull() | (F.col("perspective") != SYSTEM)).distinct()
-    both = parts.join(speakers, parts.conv.eqNullSafe(speakers.who)).drop("who")
+    rows = turns.select(F.col(conversation).alias("conv"), F.col(turn).isNull().alias("late"), F.col(turn).alias("turn"), F.col(role).alias("role"), clean.alias("text"))
+    # Pieces are as long in all renderings but the speaker's own, where `assistant` stands for its name.
+    frame = len(f"{OPEN}\n{CLOSE}\n")
+    named = F.when(F.col("role") == SYSTEM, F.lit(len(SYSTEM))).otherwise(F.char_length(_name(F.col("role"))) + len(USER))
+    sized = rows.withColumn("size", (frame + named + F.char_length("text")).cast("bigint"))
+    placed = running(sized, ["conv"], [F.col(c).asc() for c in ("late", "turn", "role", "text")], {"upto": F.col("size")})
+    own = F.sort_array(F.collect_list(F.struct("upto", "size", F.char_length("text").alias("chars"))))
+    speakers = placed.filter(F.col("role").isNull() | (F.col("role") != SYSTEM)).groupBy(F.col("conv").alias("who"), F.col("role").alias("perspective")).agg(own.alias("own"))
+    shorter = F.char_length(_name(F.col("perspective"))) + len(USER) - len(ASSISTANT)
+    begin = lambda m, i: m.upto - m.size - i * shorter + len(f"{OPEN}{ASSISTANT}\n")
+    mask = F.transform("own", lambda m, i: F.struct(begin(m, i).cast("int").alias("start"), (begin(m, i) + m.chars + len(CLOSE)).cast("int").alias("end")))
+    message = F.struct("late", "turn", "role", "text")
+    dialogues = rows.groupBy("conv").agg(F.sort_array(F.collect_list(message)).alias("msgs"))
+    both = dialogues.join(speakers, dialogues.conv.eqNullSafe(speakers.who))
     pieces = F.transform("msgs", lambda m: F.concat(F.lit(OPEN), _heading(m.role, F.col("perspective")), F.lit("\n"), m.text, F.lit(CLOSE + "\n")))
-    mine = F.transform("msgs", lambda m: m.role.eqNullSafe(F.col("perspective")))
-    both = both.withColumn("pieces", F.arrays_zip(pieces.alias("piece"), mine.alias("mine")))
-    head, tail = len(f"{OPEN}assistant\n"), 1
-    step = lambda acc, p: F.struct(
-        (acc.at + F.char_length(p.piece)).alias("at"),
-        F.when(p.mine, F.array_append(acc.spans, F.struct((acc.at + head).alias("start"), (acc.at + F.char_length(p.piece) - tail).alias("end")))).otherwise(acc.spans).alias("spans"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    both = both.withColumn("walk", F.aggregate("pieces", start, step))
-    return both.select(
-        F.col("conv").alias(conversation),
-        "part",
-        "perspective",
-        F.size("msgs").cast("bigint").alias("n_messages"),
-        F.array_join(F.transform("pieces", lambda p: p.piece), "").alias("rendered"),
-        F.col("walk.spans").alias("mask"),
-    )
+    return both.select(F.col("conv").alias(conversation), "perspective", F.size("msgs").cast("bigint").alias("n_messages"), F.array_join(pieces, "").alias("rendered"), mask.alias("mask"))
 
 
 def rotation_digests(turns: DataFrame, **columns: str) -> DataFrame:
@@ -85,5 +65,5 @@ def rotation_digests(turns: DataFrame, **columns: str) -> DataFrame:
     masked = F.aggregate("mask", F.lit(0).cast("bigint"), lambda n, s: n + s.end - s.start)
     spans = F.array_join(F.transform("mask", lambda s: F.concat(s.start.cast("string"), F.lit("-"), s.end.cast("string"))), ",")
     return found.select(
-        conversation, "part", "perspective", "n_messages", F.char_length("rendered").cast("bigint").alias("n_chars"), masked.alias("masked_chars"), F.sha2("rendered", 256).alias("rendered_sha256"), spans.alias("mask")
+        conversation, "perspective", "n_messages", F.char_length("rendered").cast("bigint").alias("n_chars"), masked.alias("masked_chars"), F.sha2("rendered", 256).alias("rendered_sha256"), spans.alias("mask")
     )

@@ -180,27 +180,24 @@ FROM judged
 OP6_SQL = r"""
 WITH messages AS (
   SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text FROM conversations
-), placed_messages AS (
-  SELECT *, ((sum(length(text) + 64) OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text ROWS UNBOUNDED PRECEDING)
-    - length(text) - 64) // 4194304)::BIGINT AS part FROM messages
 ), speakers AS (
   SELECT DISTINCT conv_id AS who, role AS perspective FROM messages WHERE role IS DISTINCT FROM 'system'
 ), pieces AS (
-  SELECT conv_id, part, turn, role, text, perspective, role IS NOT DISTINCT FROM perspective AS mine,
+  SELECT conv_id, turn, role, text, perspective, role IS NOT DISTINCT FROM perspective AS mine,
     '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role IS NOT DISTINCT FROM perspective THEN 'assistant'
       ELSE 'user name=' || CASE WHEN role IS NULL THEN '_null' WHEN regexp_full_match(role, '[A-Za-z0-9-][A-Za-z0-9_-]*') THEN role
         ELSE '_' || lower(hex(encode(role))) END END || chr(10) || text || '<|im_end|>' || chr(10) AS piece
-  FROM placed_messages JOIN speakers ON conv_id IS NOT DISTINCT FROM who
+  FROM messages JOIN speakers ON conv_id IS NOT DISTINCT FROM who
 ), placed AS (
-  SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, part, perspective ORDER BY turn NULLS LAST, role NULLS FIRST, text ROWS UNBOUNDED PRECEDING) AS upto FROM pieces
+  SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, role NULLS FIRST, text ROWS UNBOUNDED PRECEDING) AS upto FROM pieces
 ), spans AS (
   SELECT *, upto - length(piece) + 22 AS a, upto - 1 AS b FROM placed
 )
-SELECT conv_id, part, perspective, count(*)::BIGINT AS n_messages, sum(length(piece))::BIGINT AS n_chars,
+SELECT conv_id, perspective, count(*)::BIGINT AS n_messages, sum(length(piece))::BIGINT AS n_chars,
   coalesce(sum(b - a) FILTER (WHERE mine), 0)::BIGINT AS masked_chars,
   sha256(string_agg(piece, '' ORDER BY turn NULLS LAST, role NULLS FIRST, text)) AS rendered_sha256,
   coalesce(string_agg(a::BIGINT || '-' || b::BIGINT, ',' ORDER BY turn NULLS LAST, role NULLS FIRST, text, a) FILTER (WHERE mine), '') AS mask
-FROM spans GROUP BY conv_id, part, perspective
+FROM spans GROUP BY conv_id, perspective
 """
 
 OP7_SQL = r"""

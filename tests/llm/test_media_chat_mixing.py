@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import duckdb
@@ -238,7 +239,7 @@ def test_chat_rotation_matches_sql(spark):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, mask long")
     got = same(chat_format.rotation_digests(turns), queries.OP6_SQL, conversations=turns)
     assert len(got) == 2 + 2 + 1
-    shown = chat_format.rotate(turns).filter("conv_id = 1 and part = 0 and perspective = 'bob'").first()
+    shown = chat_format.rotate(turns).filter("conv_id = 1 and perspective = 'bob'").first()
     assert [shown.rendered[s.start : s.end] for s in shown.mask] == ["<| im_end|> é<|im_end|>", "again<|im_end|>"] or len(shown.mask) == 2
     assert "user name=ann" in shown.rendered and "assistant" in shown.rendered and shown.rendered.count("<|im_start|>system") == 1
     assert chat_format.rotation_digests(turns.limit(0)).count() == 0
@@ -262,11 +263,29 @@ def test_whole_dialogues_are_rendered_with_repeats_and_distinct_names(spark):
             others = {h for h in heads if h.startswith("user")}
             assert len(others) == len({r[2] for r in told} - {"system", who})
     assert not whole
-    parts = sorted(chat_format.rotate(turns, part_chars=1000).collect(), key=lambda r: r.part)
-    joined = {}
-    for r in parts:
-        joined[r.conv_id, r.perspective] = joined.get((r.conv_id, r.perspective), "") + r.rendered
-    assert max(r.part for r in parts) > 5 and joined == {(r.conv_id, r.perspective): r.rendered for r in chat_format.rotate(turns).collect()}
+
+
+def test_long_dialogues_are_one_rendering_in_linear_time(spark, monkeypatch):
+    def told(n):
+        return spark.range(n).select(F.lit(7).alias("conv_id"), F.col("id").alias("turn"), F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("role"), F.lit("short one").alias("text"))
+
+    took = {}
+    for n in (2_000, 60_000):
+        began = time.perf_counter()
+        rows = chat_format.rotate(told(n)).collect()
+        took[n] = time.perf_counter() - began
+        assert len(rows) == 2 and {r.n_messages for r in rows} == {n}
+        for r in rows:
+            assert len(r.mask) == n // 2 and all(r.rendered[s.start : s.end] == "short one<|im_end|>" for s in r.mask)
+    assert took[60_000] < took[2_000] + 20
+    small = told(300)
+    want = rows_of_rotation(chat_format.rotate(small))
+    monkeypatch.setattr(chat_format.running, "__defaults__", (None, 50))
+    assert rows_of_rotation(chat_format.rotate(small)) == want
+
+
+def rows_of_rotation(df):
+    return sorted((r.perspective, r.rendered, [tuple(s) for s in r.mask]) for r in df.collect())
 
 
 def mix_docs(spark, n=400, seed=1):
