@@ -1,7 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
-Each round is two shuffles on a node id; rounds are written to the shared folder, so no round
-depends on an executor that may be lost. Nothing is collected but one count a round.
+Rounds are written to the shared folder, so no round depends on an executor that may be lost. So are the least neighbours
+of a step, before edges are joined with them: the join has a plain exchange on each side, and the edges of a hub can be split.
+Nothing is collected but one count a round.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest of the node and its neighbours."""
     both = _both_ways(edges)
-    least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
+    least = stored(both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m")), "components-least")
     return both.filter("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).filter("src <> dst").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of them."""
-    down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    least = down.groupBy("src").agg(F.min("dst").alias("m"))
+    down = stored(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")), "components-down")
+    least = stored(down.groupBy("src").agg(F.min("dst").alias("m")), "components-least")
     ties = down.join(least, "src").filter("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
     return ties.unionByName(least.select("src", F.col("m").alias("dst"))).filter("src <> dst").distinct()
 

@@ -123,7 +123,7 @@ def _grouped(marked: DataFrame, hot: int) -> DataFrame:
     """(fp, first): for each fingerprint the smallest `order` of its component. marked: (fp, order)."""
     nodes = stored(marked.groupBy("fp").agg(F.min("order").alias("least")), "simhash-nodes")
     labels = connected_components(links(nodes.select("fp"), hot))
-    merged = labels.join(nodes, labels.node == nodes.fp).groupBy("component").agg(F.min("least").alias("first"))
+    merged = stored(labels.join(nodes, labels.node == nodes.fp).groupBy("component").agg(F.min("least").alias("first")), "simhash-firsts")
     moved = labels.join(merged, "component").select(F.col("node").alias("fp"), "first")
     # Stored, so that the join with the documents has a plain exchange on each side and one print's copies can be split.
     return stored(nodes.join(moved, "fp", "left").select("fp", F.coalesce("first", "least").alias("first")), "simhash-groups")
