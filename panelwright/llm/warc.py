@@ -55,6 +55,8 @@ FILE_BYTES = 1 << 30
 SPLIT_BYTES = 1 << 26
 #: Bytes of a member that are inflated at a time while its headers are read.
 HEAD_BYTES = 1024
+#: Compressed bytes of a record that are read at a time.
+READ_BYTES = 1 << 14
 _CONTROL = re.compile(r"[\x00-\x1F\x7F]")
 
 
@@ -148,19 +150,24 @@ class _Slice(InputPartition):
 
 
 class _Member:
-    """A gzip member that is inflated as far as it is read. `inflated` counts bytes, for tests."""
+    """A gzip member that is read and inflated as far as it is asked for. `taken` and `inflated` count bytes, for tests."""
 
-    inflated = 0
+    taken = inflated = 0
 
-    def __init__(self, data: bytes):
-        self.inflater, self.rest, self.buffer = zlib.decompressobj(31), data, b""
+    def __init__(self, file: io.BufferedReader, size: int):
+        self.file, self.left = file, size
+        self.inflater, self.rest, self.buffer = zlib.decompressobj(31), b"", b""
 
     def upto(self, size: int) -> bytes:
         """The buffer, with at least size bytes if the member has so many."""
         while len(self.buffer) < size and not self.inflater.eof:
+            if not self.rest:
+                self.rest = self.file.read(min(self.left, READ_BYTES))
+                self.left -= len(self.rest)
+                _Member.taken += len(self.rest)
             part = self.inflater.decompress(self.rest, size - len(self.buffer))
             self.rest = self.inflater.unconsumed_tail
-            if not part and not self.rest:
+            if not part and not self.rest and not self.left:
                 break
             self.buffer += part
             _Member.inflated += len(part)
@@ -213,10 +220,10 @@ def read_slice(part: _Slice, wanted: dict[str, set], payload: str) -> Iterator[t
         offsets = np.frombuffer(side.read(), "<u8").astype(np.int64)
     own = np.flatnonzero((offsets[:-1] >= part.start) & (offsets[:-1] < part.stop))
     with store.open_input_file(path) as source:
-        file = io.BufferedReader(source, 1 << 20)
+        file = io.BufferedReader(source, 1 << 16)
         for at, end in zip(offsets[own].tolist(), offsets[own + 1].tolist()):
             file.seek(at)
-            member = _Member(file.read(end - at))
+            member = _Member(file, end - at)
             head = member.head()
             fields, size = _fields(head[:-4].split(b"\r\n"), part.uri)
             if all(fields[c] in values for c, values in wanted.items()):
@@ -349,7 +356,8 @@ def archive_and_read(pages: DataFrame, key: str = "page_id", html: str = "html",
     digest = F.when(F.col("computed_digest") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged payload of "), "record_id")))
     responses = read(spark, folder, payload="digest").filter("record_type = 'response'").withColumn("payload_digest", digest)
     responses = stored(responses.select(*columns), "warc-responses")
-    lengths = responses.groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    # Stored, so that the join has a plain exchange on each side and the revisits of one digest can be split.
+    lengths = stored(responses.groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes")), "warc-lengths")
     revisits = read(spark, folder, payload="none").filter("record_type = 'revisit'").drop("payload_bytes").join(lengths, "payload_digest")
     records = responses.unionByName(revisits.select(*columns))
     return records.select(page("record_id").alias(key), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))

@@ -168,6 +168,24 @@ def test_warc_payloads_that_are_not_wanted_are_not_inflated(spark):
     assert inflated({}, "none") <= (60, 60 * 1024)
 
 
+def test_warc_payloads_that_are_not_wanted_are_not_read(spark):
+    folder = shared_path(spark, "warc-test")
+    random_ = random.Random(4)
+    frame = spark.createDataFrame([(i, "u", "".join(map(str, random_.choices(range(10), k=200_000)))) for i in range(8)], "page_id long, url string, html string")
+    warc.write(warc.record_types(frame), folder)
+    parts = warc.WarcReader({"path": folder}).partitions()
+
+    def taken(wanted, payload):
+        before = warc._Member.taken
+        rows = [r for p in parts for r in warc.read_slice(p, wanted, payload)]
+        return len(rows), warc._Member.taken - before
+
+    whole = taken({}, "digest")
+    assert whole[0] == 8 and whole[1] > 8 * 80_000
+    assert taken({}, "none") <= (8, 8 * warc.READ_BYTES)
+    assert taken({"record_id": {"urn:page:3"}}, "digest")[1] <= 8 * warc.READ_BYTES + 100_000
+
+
 def test_warc_files_of_others_and_lost_attempts(spark, tmp_path):
     record = warc.record_bytes(7, "u", hashlib.sha1(b"body").hexdigest(), None, b"body")
     revisit = warc.record_bytes(8, None, hashlib.sha1(b"body").hexdigest(), 7, None)
