@@ -1,10 +1,10 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A line's key is the line without white space at its ends, in lower case (A-Z). `LineRuns` keeps how many documents
-hold each key in runs: tables bucketed and sorted by key, each with its settled keys (those already in enough
-documents, which need no more counting) apart from the open ones. Every new batch of documents is merge-anti-joined
-with the settled keys of all runs and adds its own keys as a run of level 0. When a level holds two runs, a merge
-join of both makes one run of the next level. All runs have the same buckets, so neither join shuffles a run.
+hold each key in runs: tables bucketed by key, each bucket one file in the order of keys. Every new batch of documents is
+merge-anti-joined with the settled keys of all runs (those already in enough documents, which need no more counting) and adds
+its own keys as a run of level 0. When a level holds two runs, a merge join of both makes one run of the next level. All runs
+have the same buckets and are read in their order, so neither join shuffles or sorts a run.
 Keys in at least min_documents documents lose all their lines.
 
 Keys are held as two 64-bit hashes with different seeds. All steps are equality joins and sums of pre-aggregated
@@ -18,6 +18,8 @@ An empty table gives an empty table.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +29,7 @@ from panelwright.llm.common import shared_path, stored, unused
 
 #: Batches at least, and documents of a batch from which on there are more.
 BATCHES, BATCH_DOCUMENTS = 4, 50_000_000
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -52,15 +55,33 @@ class LineRuns:
         self.levels: list[str | None] = []  # the run of each level, if it has one
         self.tables: list[str] = []
 
+    @contextmanager
+    def in_order(self) -> Iterator[None]:
+        """Spark takes the order of a bucket that is one file from its table; by default it sorts it again."""
+        before = self.spark.conf.get(ORDERED, "false")
+        self.spark.conf.set(ORDERED, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(ORDERED, before)
+
     def _write(self, counts: DataFrame) -> str:
-        """A run of (a, b, n): one file per bucket and state, in the order of a and b."""
+        """A run of (a, b, n): one file per bucket, as counts is dealt like the buckets, in the order of a and b."""
         name = f"line_run_{uuid.uuid4().hex}"
-        marked = counts.withColumn("settled", F.col("n") >= self.min_documents)
-        writer = marked.write.partitionBy("settled").bucketBy(self.buckets, "a", "b").sortBy("a", "b")
-        writer.option("path", shared_path(self.spark, "line-run")).saveAsTable(name)
         self.tables.append(name)
+        with self.in_order():
+            counts.write.bucketBy(self.buckets, "a", "b").sortBy("a", "b").option("path", shared_path(self.spark, "line-run")).saveAsTable(name)
         return name
 
+    def close(self) -> None:
+        """Takes the runs out of the catalog; their files stay in the shared folder."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables.clear()
+
+    def _settled(self, run: str) -> DataFrame:
+        return self._counts(run).filter(F.col("n") >= self.min_documents).select("a", "b")
+
     def _counts(self, run: str) -> DataFrame:
         return self.spark.table(run).select("a", "b", "n").hint("merge")
 
@@ -72,7 +93,7 @@ class LineRuns:
         """keys: (a, b), one row per document and distinct key of the batch."""
         batch = keys.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
         for run in filter(None, self.levels):
-            batch = batch.join(self.spark.table(run).filter("settled").select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+            batch = batch.join(self._settled(run), ["a", "b"], "left_anti")
         run, level = self._write(batch), 0
         while level < len(self.levels) and self.levels[level]:
             run = self._write(self._merged(self._counts(self.levels[level]), self._counts(run)))
@@ -83,10 +104,8 @@ class LineRuns:
     def frequent(self) -> DataFrame:
         """(a, b) of every key in at least min_documents documents of all batches, stored; each key once."""
         merged = reduce(self._merged, map(self._counts, filter(None, self.levels)))
-        found = stored(merged.filter(F.col("n") >= self.min_documents).select("a", "b"), "line-frequent")
-        for name in self.tables:
-            self.spark.sql(f"DROP TABLE {name}")  # the catalog's entry
-        return found
+        with self.in_order():
+            return stored(merged.filter(F.col("n") >= self.min_documents).select("a", "b"), "line-frequent")
 
 
 def _hashes(text: Column, min_chars: int) -> Column:
@@ -104,9 +123,12 @@ def frequent_line_hashes(docs: DataFrame, text: str, min_documents: int, min_cha
     listed = stored(rows.withColumn("batch", F.pmod("row", F.lit(batches)).cast("int")), "line-keys", ["batch"], compression="zstd")
     runs = LineRuns(docs.sparkSession, min_documents)
     distinct = F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))
-    for i in range(batches):
-        runs.add(listed.filter(F.col("batch") == i).select(F.inline(distinct)))
-    return listed, runs.frequent()
+    try:
+        for i in range(batches):
+            runs.add(listed.filter(F.col("batch") == i).select(F.inline(distinct)))
+        return listed, runs.frequent()
+    finally:
+        runs.close()
 
 
 def _identity(text: Column, row: str = "row", check: str = "check") -> list[Column]:

@@ -181,11 +181,14 @@ def test_line_runs_are_merge_joined_without_shuffling_a_run(spark):
         runs.add(spark.createDataFrame(keys, "a long, b long"))
     assert [bool(r) for r in runs.levels] == [True, True, True]
     batch = spark.createDataFrame([(1, 0)], "a long, b long").groupBy("a", "b").count()
-    settled = spark.table(runs.levels[2]).filter("settled").select("a", "b").hint("merge")
-    for joined, exchanges in ((batch.join(settled, ["a", "b"], "left_anti"), 1), (runs._merged(runs._counts(runs.levels[2]), runs._counts(runs.levels[1])), 0)):
-        plan = joined._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == exchanges, plan
+    sides = ((batch.join(runs._settled(runs.levels[2]), ["a", "b"], "left_anti"), 1), (runs._merged(runs._counts(runs.levels[2]), runs._counts(runs.levels[1])), 0))
+    for joined, of_batch in sides:
+        with runs.in_order():
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == plan.count("Sort [") == of_batch, plan
     assert sorted(r.a for r in runs.frequent().collect()) == sorted(k for k, n in want.items() if n >= 10)
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
 
 
 def test_clashing_names_are_kept(spark):
