@@ -255,11 +255,71 @@ def annual_forecast(df: DataFrame, entity: str, group: str, period: str, value:
     return long.withColumns({"predicted": floor0(F.col("predicted")), "origin": F.lit(target - 1), "update_mode": F.lit("forecast")})
 
 
-def residual_intervals(forecasts: DataFrame, residuals: DataFrame, period: str, origin: int, least: int) -> DataFrame:
-    """forecasts (model, predicted) with bounds from quantiles of the same model's residuals (actual - predicted) up to the origin."""
-    known = residuals.filter(F.col(period) <= origin).select("model", (F.col("actual") - F.col("predicted")).alias("_r"))
-    past = W.quantile_linear(known, ["model"], "_r", PROBABILITIES, "n_residuals")
-    joined = forecasts.join(F.broadcast(past.filter(F.col("n_residuals") >= least)), "model")  # a row per model
+def annual_forecast_models(df: DataFrame, entity: str, group: str, period: str, value: str, cases: str, denom: str, target: int, rows: int = 3, least: int = 2, back: int = 4, strength: float = 5.0, alpha: float = 1.0, k: int = 5, edges: DataFrame | None = None) -> DataFrame:
+    """(entity, group, model, predicted, origin, update_mode): all models side by side for a period that has no values yet.
+
+    Forecast are entities with a row in the period before and at least `least` rows. Baselines, empirical Bayes, the mean of the
+    nearest analogs among all earlier rows, and ridge fits to lagged columns alone, with edges (src, dst) also one that knows the
+    neighbours' mean of the period before. `top4_ensemble` is the mean of prior year, linear blend and both fits, where all are there.
+    """
+    from panelwright.operators.features import design_matrix, moments
+    from panelwright.operators.joins import nearest_analogs, neighbor_summary
+    from panelwright.operators.storage import settled
+
+    last = df.groupBy(entity).agg(F.max(period).alias("_l"), F.max_by(group, period).alias(group)).filter(F.col("_l") == target - 1)
+    known = df.filter(F.col(period) < target).select(entity, group, period, value, cases, denom)
+    blank = last.select(entity, group, *[F.lit(target if c == period else None).cast(df.schema[c].dataType).alias(c) for c in (period, value, cases, denom)])
+    whole = settled(known.unionByName(blank))
+    now = F.col(period) == target
+    keys = [entity, group]
+    base = baselines(whole, entity, group, period, value, rows).filter(now & (F.col("n_history") >= least))
+    eb = empirical_bayes(whole, entity, group, period, value, back, strength).filter(now).select(entity, F.col("eb_group").alias("empirical_bayes"))
+    neighbors = neighbor_summary(whole, edges, entity, period, value, 1) if edges is not None else None
+    matrix, schema = design_matrix(whole, entity, group, period, value, cases, denom, [], [group], rows, neighbors)
+    matrix = settled(matrix)
+    spatial = [f for f in schema.features if "neighbor" in f]
+    safe = [f for f in schema.features if f not in spatial]
+    fit = lambda names, name: ridge_backtest(matrix, names, f"target_{value}", period, [target], alpha, [entity]).select(entity, F.col("predicted").alias(name))
+    lags = [f for f in safe if not f.startswith(f"feature_{group}_")]
+    past = matrix.filter(F.col(period) < target)
+    stats = moments(past, lags)
+    scaled = lambda part: part.select(F.lit(target).alias("fold"), F.col(entity).alias("id"), period, F.col(f"target_{value}").alias("outcome"), *[((F.col(c) - m) / sd).alias(c) for c, (m, sd) in stats.items()])
+    near = weighted_analogs(nearest_analogs(scaled(matrix.filter(now)), scaled(past), lags, "fold", period, k), "fold").select(F.col("test_id").alias(entity), F.col("predicted").alias("analog"))
+    found = base.join(eb, entity, "left").join(near, entity, "left").join(fit(safe, "ridge"), entity, "left")
+    models = [*MODELS, "empirical_bayes", "analog", "ridge"]
+    if spatial:
+        found = found.join(fit(list(schema.features), "ridge_spatial"), entity, "left")
+        found = found.withColumn("top4_ensemble", (floor0(F.col("prior_year")) + floor0(F.col("linear_blend")) + F.col("ridge") + F.col("ridge_spatial")) / 4)
+        models += ["ridge_spatial", "top4_ensemble"]
+    long = found.select(*keys, *[F.col(m).cast("double").alias(m) for m in models]).unpivot(keys, models, "model", "raw").filter("raw IS NOT NULL")
+    return long.select(*keys, "model", floor0(F.col("raw")).alias("predicted"), F.lit(target - 1).alias("origin"), F.lit("forecast").alias("update_mode"))
+
+
+class MixedResiduals(ValueError):
+    """Residuals of one model that were made in more than one way, or too few of them."""
+
+
+def residual_intervals(forecasts: DataFrame, residuals: DataFrame, period: str, origin: int, least: int, aliases: Mapping[str, str] | None = None, branch: Sequence[str] = (), strict: bool = False) -> DataFrame:
+    """forecasts (model, predicted) with bounds from quantiles of residuals (actual - predicted) up to the origin, of the same model
+    or of the one that aliases names for it.
+
+    branch names columns of residuals that say how they were made: a model whose residuals differ in one is refused. With strict a
+    forecast model without `least` residuals is refused too; else its forecasts are left out.
+    """
+    past = residuals.filter(F.col(period) <= origin)
+    if branch:
+        mixed = past.select("model", *branch).distinct().groupBy("model").count().filter("count > 1").limit(5).collect()
+        if mixed:
+            raise MixedResiduals(f"residuals of {sorted(r.model for r in mixed)} differ in {list(branch)}")
+    quantiles = W.quantile_linear(past.select("model", (F.col("actual") - F.col("predicted")).alias("_r")), ["model"], "_r", PROBABILITIES, "n_residuals").filter(F.col("n_residuals") >= least)
+    source = F.coalesce(*[F.when(F.col("model") == a, F.lit(b)) for a, b in (aliases or {}).items()], F.col("model"))
+    asked = forecasts.withColumn("_source", source)
+    bounds_of = F.broadcast(quantiles.withColumnRenamed("model", "_source"))  # a row per model
+    if strict:
+        short = asked.join(bounds_of, "_source", "left_anti").select("model").distinct().limit(5).collect()
+        if short:
+            raise MixedResiduals(f"fewer than {least} residuals up to {origin} for {sorted(r.model for r in short)}")
+    joined = asked.join(bounds_of, "_source").drop("_source")
     bounds = {"lower_95": "q025", "lower_80": "q100", "center": "q500", "upper_80": "q900", "upper_95": "q975"}
     return joined.withColumns({k: floor0(F.col("predicted") + F.col(q)) for k, q in bounds.items()}).drop(*PROBABILITIES)
 
@@ -336,6 +396,24 @@ def typicality(forecasts: DataFrame, history: DataFrame, entity: str, value: str
     return found.withColumns({"severity": bucketize(F.col("percentile"), SEVERITY, "very high"), "distance": outside, "evidence": evidence}).withColumnRenamed("_f", value)
 
 
+def interval_typicality(forecasts: DataFrame, history: DataFrame, entity: str, value: str, lower: str, upper: str, least: int) -> DataFrame:
+    """typicality of forecasts (entity, value, lower, upper) with the percentiles of both bounds and a label of the whole interval.
+
+    Bounds are compared with the same history; the label is one severity, or `a to b` where the bounds' severities differ.
+    """
+    from panelwright.functions.expressions import bucketize
+
+    past = history.select(entity, F.col(value).alias("_h"))
+    found = forecasts.select(entity, value, lower, upper)
+    for bound in (lower, upper):
+        found = W.ecdf(found, past, [entity], bound, "_h", f"{bound}_percentile").drop(f"{bound}_percentile_n")
+        found = found.withColumn(f"{bound}_percentile", F.col(f"{bound}_percentile") * 100)
+    labels = [bucketize(F.col(f"{bound}_percentile"), SEVERITY, "very high") for bound in (lower, upper)]
+    label = F.when(labels[0] == labels[1], labels[0]).when(labels[0].isNotNull() & labels[1].isNotNull(), F.concat(labels[0], F.lit(" to "), labels[1]))
+    own = typicality(forecasts.select(entity, value).distinct(), history, entity, value, least)
+    return found.withColumn("interval_severity", label).join(own, [entity, value], "left")
+
+
 def capacity(forecasts: DataFrame, totals: DataFrame, group: str, value: str) -> DataFrame:
     """Forecast totals per group against totals of complete past periods: percentile, extremes and where the total lies."""
     now = forecasts.groupBy(group).agg(F.sum(value).alias("forecast"))

@@ -188,6 +188,15 @@ def q153_annual_forecast(t: Tables):
     return _future(t).select("entity", "model", R6("predicted").alias("predicted"), "origin", "update_mode")
 
 
+@query()
+def q153_annual_forecast_models(t: Tables):
+    """Nine models of the period after the last one, side by side; ridge and ensemble are beyond SQL, the baselines are those of q153."""
+    rows = settled(t.rates())
+    target = rows.agg(F.max("period")).first()[0] + 1
+    found = M.annual_forecast_models(rows, "entity", "grp", "period", "rate", "cases", "denom", target, edges=settled(edges(t)))
+    return _rounded(found, "predicted").drop("grp")
+
+
 # Regimes and rate models as SQL: g asks for a row of every entity and period from first to last; windows see earlier periods.
 def _sig(first: str, last: str, src: str = "rates") -> str:
     return f"""g AS (SELECT entity, grp, unnest(range({first}, {last} + 1))::INT AS period FROM (SELECT DISTINCT entity, grp FROM {src})),
@@ -376,6 +385,20 @@ def q164_forecast_typicality(t: Tables):
     return _rounded(M.typicality(rows.filter("period = 2001").select("entity", "rate"), rows.filter("period <= 2000"), "entity", "rate", 3), "percentile", "p25", "p75", "distance")
 
 
+_SEVERITIES = ", ".join(f"CASE WHEN {p} < 10 THEN 'very low' WHEN {p} < 25 THEN 'low' WHEN {p} < 75 THEN 'typical' WHEN {p} < 90 THEN 'high' WHEN {p} IS NOT NULL THEN 'very high' END AS {n}" for p, n in (("lp", "ll"), ("up", "ul"), ("p", "severity")))
+
+
+@query(f"""WITH z AS (SELECT max(period) AS z FROM rates), f AS (SELECT entity, rate, round(rate * 0.98, 6) AS lower_80, round(rate * 1.02, 6) AS upper_80 FROM rates, z WHERE period = z), h AS (SELECT entity, rate AS h FROM rates, z WHERE period < z),
+s AS (SELECT f.entity, f.rate, lower_80, upper_80, avg((h <= lower_80)::INT * 100) AS lp, avg((h <= upper_80)::INT * 100) AS up, avg((h <= rate)::INT * 100) AS p, count(h) AS n_history FROM f LEFT JOIN h ON f.entity = h.entity GROUP BY 1, 2, 3, 4), l AS (SELECT *, {_SEVERITIES} FROM s)
+SELECT entity, rate, lower_80, upper_80, round(lp, 6) AS lower_80_percentile, round(up, 6) AS upper_80_percentile, CASE WHEN ll = ul THEN ll ELSE ll || ' to ' || ul END AS interval_severity, severity, n_history FROM l""", "rates")
+def q164_interval_typicality(t: Tables):
+    rows = settled(t.rates())
+    last = rows.agg(F.max("period")).first()[0]
+    f = rows.filter(F.col("period") == last).select("entity", "rate", R6(F.col("rate") * 0.98).alias("lower_80"), R6(F.col("rate") * 1.02).alias("upper_80"))
+    found = M.interval_typicality(f, rows.filter(F.col("period") < last), "entity", "rate", "lower_80", "upper_80", 3)
+    return _rounded(found, "lower_80_percentile", "upper_80_percentile").select("entity", "rate", "lower_80", "upper_80", "lower_80_percentile", "upper_80_percentile", "interval_severity", "severity", "n_history")
+
+
 @query("""WITH n AS (SELECT grp, count(DISTINCT entity) AS m FROM panel_supplier WHERE period <= 2000 GROUP BY 1), c AS (SELECT p.grp, period, sum(cases) AS total FROM panel_supplier p JOIN n ON n.grp = p.grp WHERE period <= 2000 GROUP BY p.grp, period, m HAVING count(DISTINCT entity) = m),
 f AS (SELECT grp, sum(cases)::BIGINT AS forecast FROM panel_supplier WHERE period = 2001 GROUP BY 1), s AS (SELECT f.grp, forecast, count(total) AS n, min(total)::BIGINT AS least, quantile_cont(total, 0.5) AS median, max(total)::BIGINT AS most, avg((total <= forecast)::INT * 100) AS percentile FROM f LEFT JOIN c ON c.grp = f.grp GROUP BY 1, 2)
 SELECT grp, forecast, n, least, median::DOUBLE AS median, most, round(percentile, 6) AS percentile, CASE WHEN n = 0 THEN 'no history' WHEN forecast > most THEN 'above maximum' WHEN forecast < least THEN 'below minimum' ELSE 'within range' END AS place FROM s""", "panel_supplier")
