@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelwright.operators.storage import settled
+from panelwright.operators.storage import settled, ship
 
 #: Rows of a period that the edges of bins are taken from.
 SAMPLE = 2048
@@ -243,6 +243,7 @@ def _splits(parts: DataFrame, forest: Forest) -> DataFrame:
 
 def grow(rows: DataFrame, folds: Sequence[int], features: Sequence[str], trees: int = 200, depth: int = 6, bins: int = 32, least: int = 3, seed: int = 1337) -> Forest:
     """The forest of every fold from the rows (of `prepared`) of earlier periods whose target is known."""
+    ship(rows.sparkSession)
     rows = settled(rows.filter("y IS NOT NULL AND NOT isnan(y)"))
     forest = _empty(rows, folds, features, trees, depth, bins, least, seed)
     for level in range(depth):
@@ -265,6 +266,7 @@ def grow(rows: DataFrame, folds: Sequence[int], features: Sequence[str], trees:
 
 def predict(df: DataFrame, forest: Forest, fold: str, name: str = "predicted") -> DataFrame:
     """df, every row, with the mean of its fold's trees; null for a fold without earlier rows."""
+    ship(df.sparkSession)
     at = {int(f): i for i, f in enumerate(forest.folds)}
     x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in forest.features])
 

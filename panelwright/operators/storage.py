@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +28,13 @@ def settled(df: DataFrame) -> DataFrame:
     path = f"{shared_root(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once, unless their PYTHONPATH or working folder has it already."""
+    root = str(Path(__file__).parents[2])
+    if root in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) or getattr(spark.sparkContext, "_panelwright_sent", False):
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='panelwright-')}/panelwright", "zip", root, "panelwright")
+    spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._panelwright_sent = True
