@@ -75,7 +75,7 @@ def capacity_share(df: DataFrame, entity: str, group: str, period: str, value: s
 
 
 #: Columns up to which Gramians are one aggregation of sums of products; more are summed as matrices, one a task and period.
-SUMS_OF_PRODUCTS = 40
+SUMS_OF_PRODUCTS = 12
 
 
 def grams(df: DataFrame, features: Sequence[str], target: str, period: str | None = None) -> dict:
