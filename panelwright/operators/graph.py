@@ -54,6 +54,43 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], most_rou
     raise RuntimeError(f"components haven't settled after {most_rounds} rounds")
 
 
+def repaired_components(known: DataFrame, known_edges: DataFrame, nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """components(nodes, edges, keys), from the components known (keys, node, component) of known_edges, repaired where edges changed.
+
+    A component that lost a node or an edge falls apart into its nodes; every other one stays whole and is one node named by
+    its label. Rounds run over added edges and edges of fallen components between these, so that their work follows the change.
+    To carry components from one period to the next, give the earlier period's with the period raised by one.
+    Edges may come in either or both directions, with repeats and loops; edges of nodes that aren't in nodes join nothing.
+    """
+    both = _undirected(known_edges, keys).withColumn("side", F.lit(1)).unionByName(_undirected(edges, keys).withColumn("side", F.lit(2)))
+    sides = settled(both.groupBy(*keys, "a", "b").agg(F.bit_or("side").alias("sides")))
+    now = nodes.select(*keys, "node").distinct()
+    ends = sides.filter("sides = 1").select(*keys, F.explode(F.array("a", "b")).alias("node"))
+    lost = ends.unionByName(known.select(*keys, "node").join(now, [*keys, "node"], "left_anti")).distinct()
+    fallen = known.join(lost, [*keys, "node"], "left_semi").select(*keys, "component").distinct().withColumn("fell", F.lit(True))
+    placed = now.join(known.select(*keys, "node", "component"), [*keys, "node"], "left").join(fallen, [*keys, "component"], "left")
+    loose = F.col("component").isNull() | F.col("fell").isNotNull()
+    labels = settled(placed.select(*keys, "node", F.when(loose, F.col("node")).otherwise(F.col("component")).alias("label"), loose.alias("loose")))
+    alone = labels.filter("loose").select(*keys, "node")
+    stayed = sides.filter("sides = 3").select(*keys, "a", "b")
+    touched = sides.filter("sides = 2").select(*keys, "a", "b")
+    for end in ("a", "b"):
+        touched = touched.unionByName(stayed.join(alone.withColumnRenamed("node", end), [*keys, end], "left_semi").select(*keys, "a", "b"))
+    between = touched.join(_labelled(labels, keys, "a", "src"), [*keys, "a"]).join(_labelled(labels, keys, "b", "dst"), [*keys, "b"])
+    between = settled(between.filter("src <> dst").select(*keys, "src", "dst").distinct())
+    meeting = between.select(*keys, F.explode(F.array("src", "dst")).alias("node")).distinct()
+    joined = components(meeting, between, keys).withColumnRenamed("node", "label")
+    return labels.join(joined, [*keys, "label"], "left").select(*keys, "node", F.coalesce("component", "label").alias("component"))
+
+
+def _undirected(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return edges.filter("src <> dst").select(*keys, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+
+
+def _labelled(labels: DataFrame, keys: Sequence[str], end: str, name: str) -> DataFrame:
+    return labels.select(*keys, F.col("node").alias(end), F.col("label").alias(name))
+
+
 def numbered_components(found: DataFrame, nodes: DataFrame, keys: Sequence[str], attribute: str) -> DataFrame:
     """Components numbered from 1 within keys by (mean attribute, smallest node), with their sizes."""
     rows = found.join(nodes.select(*keys, "node", attribute), [*keys, "node"])

@@ -59,16 +59,27 @@ def analog_of_year(df: DataFrame, entity: str, period: str, value: str, horizon:
     return both.groupBy(entity, period).agg(F.min_by("outcome", F.struct(distance, -F.col("_o"))).alias("analog"))
 
 
-def spatial_regimes(df: DataFrame, edges: DataFrame, entity: str, group: str, period: str, value: str, back: int, least: int, limits: Mapping[str, float], first: int, last: int) -> DataFrame:
+def regime_graph(df: DataFrame, edges: DataFrame, entity: str, group: str, period: str, value: str, back: int, least: int, limits: Mapping[str, float], first: int, last: int) -> tuple[DataFrame, DataFrame]:
+    """(period, node, h_mean, h_prior, h_trend) of windows of prior periods, and the edges (period, src, dst) whose ends differ by at most limits."""
+    history = W.history_summary(asked(df, entity, group, period, value, first, last), [entity], period, value, back, least)
+    nodes = settled(history.filter(F.col(period).between(first, last)).select(F.col(period).alias("period"), F.col(entity).alias("node"), "h_mean", "h_prior", "h_trend"))
+    return nodes, settled(G.similar_edges(edges, nodes, ["period"], limits))
+
+
+def spatial_regimes(
+    df: DataFrame, edges: DataFrame, entity: str, group: str, period: str, value: str, back: int, least: int, limits: Mapping[str, float], first: int, last: int, earlier: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """(period, node, signature, regime, members, degree, regime_...): connected neighbours of like histories, from prior periods alone.
 
     A signature is the window's mean, last value and trend (h_mean, h_prior, h_trend); edges (src, dst, both ways) whose ends
     differ by at most limits in each are kept. Regimes are numbered from 1 within a period by (mean of h_mean, smallest node).
+    earlier: components (period, node, component) and edges of an earlier version of these periods, such as that before
+    revised rows, or of the periods before with period raised by one; they are repaired where edges changed.
     """
-    history = W.history_summary(asked(df, entity, group, period, value, first, last), [entity], period, value, back, least)
-    nodes = settled(history.filter(F.col(period).between(first, last)).select(F.col(period).alias("period"), F.col(entity).alias("node"), "h_mean", "h_prior", "h_trend"))
-    near = settled(G.similar_edges(edges, nodes, ["period"], limits))
-    found = G.numbered_components(G.components(nodes.select("period", "node"), near, ["period"]), nodes, ["period"], "h_mean")
+    nodes, near = regime_graph(df, edges, entity, group, period, value, back, least, limits, first, last)
+    members = nodes.select("period", "node")
+    components = G.components(members, near, ["period"]) if earlier is None else G.repaired_components(*earlier, members, near, ["period"])
+    found = G.numbered_components(components, nodes, ["period"], "h_mean")
     degree = near.groupBy("period", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
     rows = found.select("period", "node", F.col("number").alias("regime"), "members").join(nodes, ["period", "node"]).join(degree, ["period", "node"], "left")
     stats = rows.groupBy("period", "regime").agg(F.avg("h_mean").alias("regime_mean"), F.avg("h_prior").alias("regime_prior"), F.min("h_mean").alias("regime_min"), F.max("h_mean").alias("regime_max"), F.stddev_pop("h_mean").alias("regime_sd"))

@@ -124,13 +124,26 @@ def q174_filter_similar_edges(t: Tables):
     return _similar(t)[1]
 
 
-@query(f"""WITH RECURSIVE {_SIMILAR}, reach AS (SELECT period, node, node AS other FROM nodes UNION SELECT r.period, r.node, n.dst FROM reach r JOIN near n ON n.period = r.period AND n.src = r.other)
-SELECT period, node, min(other) AS component FROM reach GROUP BY 1, 2""".replace("WITH RECURSIVE", "WITH RECURSIVE panel_supplier AS (SELECT s_nationkey AS grp, l_suppkey AS entity, year(l_shipdate)::INT AS period, count(*) AS cases, sum(l_quantity) AS denom FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3),"))
+_REACH = f"""WITH RECURSIVE {_SIMILAR}, reach AS (SELECT period, node, node AS other FROM nodes UNION SELECT r.period, r.node, n.dst FROM reach r JOIN near n ON n.period = r.period AND n.src = r.other)
+SELECT period, node, min(other) AS component FROM reach GROUP BY 1, 2""".replace("WITH RECURSIVE", "WITH RECURSIVE panel_supplier AS (SELECT s_nationkey AS grp, l_suppkey AS entity, year(l_shipdate)::INT AS period, count(*) AS cases, sum(l_quantity) AS denom FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3),")
+
+
+@query(_REACH)
 def q175_connected_components(t: Tables):
     nodes, near = _similar(t)
     return G.components(nodes, near, ["period"])
 
 
+@query(_REACH)
+def q175_components_repaired(t: Tables):
+    """The components as they stood before each period's last month of shipments, repaired for the whole period."""
+    earlier = t.lineitem.filter(F.month("l_shipdate") < 12).groupBy(F.col("l_suppkey").alias("node"), F.year("l_shipdate").alias("period")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    earlier = settled(earlier.join(t.supplier.select(F.col("s_suppkey").alias("node")), "node"))
+    before = settled(G.similar_edges(edges(t), earlier, ["period"], {"v": 2}))
+    nodes, near = _similar(t)
+    return G.repaired_components(G.components(earlier, before, ["period"]), before, nodes, near, ["period"])
+
+
 @query()
 def q170_kmeans_1d(t: Tables):
     return G.kmeans_1d(t.panel_supplier().withColumn("v", F.col("cases").cast("double")), "period", "v", 5)
