@@ -21,7 +21,9 @@ import math
 import re
 import uuid
 import zlib
+from array import array
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,25 +58,26 @@ def features(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in PREFIXES if n <= len(word)]]
 
 
-def _bags(text: str) -> list[list[str]]:
-    return [w for w in map(_WORD.findall, _SENTENCE.findall(text.lower())) if w]
+def _bags(text: str) -> Iterator[list[str]]:
+    return filter(None, (_WORD.findall(m[0]) for m in _SENTENCE.finditer(text.lower())))
 
 
 def fit(texts: list[str], labels: list[int], training: Training = Training()) -> tuple[float, dict[str, float]]:
     """(bias, weights) that maximise the likelihood of the labels under the noisy-or, by proximal Adagrad."""
-    bags = [_bags(t) for t in texts]
     seen: Counter = Counter()
-    for bag in bags:
-        seen.update({f for words in bag for w in set(words) for f in features(w)})
-    names = sorted(f for f, n in seen.items() if n >= training.least_documents)
-    number = {f: i for i, f in enumerate(names)}
-    sentence, word, doc, vocabulary = [], [], [], {}
-    for d, bag in enumerate(bags):
-        for words in bag:
-            for w in set(words):
+    vocabulary: dict[str, int] = {}
+    sentence, word, doc = array("i"), array("i"), array("i")  # words are numbered as they are read; no text's words are kept
+    for d, text in enumerate(texts):
+        met: dict[str, None] = {}
+        for words in _bags(text):
+            for w in dict.fromkeys(words):
                 sentence.append(len(doc))
                 word.append(vocabulary.setdefault(w, len(vocabulary)))
+                met[w] = None
             doc.append(d)
+        seen.update({f for w in met for f in features(w)})
+    names = sorted(f for f, n in seen.items() if n >= training.least_documents)
+    number = {f: i for i, f in enumerate(names)}
     if not names or not doc or len(set(labels)) < 2:
         return training.bias, {}
     pairs = [(i, number[f]) for w, i in vocabulary.items() for f in features(w) if f in number]
