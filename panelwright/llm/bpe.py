@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import map_arrow, texts_of
+from panelwright.llm.common import file_bytes, map_arrow, sent_file, texts_of
 from panelwright.llm.pretokenize import coded, unicode_classes
 from panelwright.llm.slices import Pool, SliceCodes
 
@@ -164,20 +164,23 @@ class Codec:
 
 
 @functools.cache
+def codec_of(ranks: bytes) -> Codec:
+    """The codec of a rank file's bytes, built once per worker."""
+    return Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())})
+
+
 def codec(rank_file: str) -> Codec:
-    """The codec of a rank file, read once per worker."""
-    with open(rank_file, "rb") as lines:
-        return Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
+    return codec_of(file_bytes(rank_file))
 
 
 def encode(docs: DataFrame, rank_file: str, text: str = "text", ids: str = "ids", offsets: str = "offsets") -> DataFrame:
     """docs with the ids array<int> of each text and the byte offsets array<long> of its tokens (one more than ids)."""
     kept = [c for c in docs.columns if c not in (ids, offsets)]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
-    classes = unicode_classes()
+    classes, sent = unicode_classes(), sent_file(docs.sparkSession, rank_file)
 
     def rows(batch):
-        coder = codec(rank_file)
+        coder = codec_of(sent.value)
         found = list(coder.encode(texts_of(batch, text), classes))
         columns = [batch.column(c) for c in kept]
         columns += [pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array([coder.offsets(x) for x in found], pa.list_(pa.int64()))]
@@ -191,9 +194,10 @@ def decode(tokens: DataFrame, rank_file: str, ids: str = "ids", text: str = "dec
     """tokens with the text that its ids decode to; a null array gives null, bytes that aren't UTF-8 the replacement character."""
     kept = [c for c in tokens.columns if c != text]
     tokens = tokens.select(*[F.col(f"`{c}`") for c in kept])
+    sent = sent_file(tokens.sparkSession, rank_file)
 
     def rows(batch):
-        coder = codec(rank_file)
+        coder = codec_of(sent.value)
         found = [None if x is None else coder.decode(np.array(x, np.uint32)).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, pa.string())], names=[*kept, text])
 
@@ -203,10 +207,10 @@ def decode(tokens: DataFrame, rank_file: str, ids: str = "ids", text: str = "dec
 
 def round_trip_digests(docs: DataFrame, rank_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text encoded and its ids decoded again: counts and digests of both, for checks of whole corpora."""
-    classes = unicode_classes()
+    classes, sent = unicode_classes(), sent_file(docs.sparkSession, rank_file)
 
     def rows(batch):
-        coder = codec(rank_file)
+        coder = codec_of(sent.value)
         counts, id_digests, byte_digests, sizes = [], [], [], []
         for ids in coder.encode(texts_of(batch, text), classes):
             data = coder.decode(ids)

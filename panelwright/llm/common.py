@@ -16,6 +16,7 @@ from pathlib import Path
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of an Arrow batch at most.
@@ -39,16 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share; one is made only if the session names none and runs on one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
-        context = spark.sparkContext
         if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        current = context.getCheckpointDir()
-        if current is None:
-            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="panelwright-"))
-            current = context.getCheckpointDir()
-        root = current
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="panelwright-"))
+        root = context.getCheckpointDir()
     return root.rstrip("/")
 
 
@@ -82,6 +80,17 @@ def open_shared(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def file_bytes(uri: str) -> bytes:
+    store, path = open_shared(uri)
+    with store.open_input_file(path) as file:
+        return file.read()
+
+
+def sent_file(spark: SparkSession, uri: str) -> Broadcast:
+    """The bytes of a file that the driver can read, for workers that need not: a tokenizer's vocabulary of a few megabytes."""
+    return spark.sparkContext.broadcast(file_bytes(uri))
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the workers, once, unless their PYTHONPATH or working folder has it already."""
     root = str(Path(__file__).parents[2])

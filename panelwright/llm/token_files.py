@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import huffman
-from panelwright.llm.common import map_arrow, open_shared, shared_path, stored, texts_of
+from panelwright.llm.common import map_arrow, open_shared, sent_file, shared_path, stored, texts_of
 from panelwright.llm.pretokenize import coded, unicode_classes
 from panelwright.llm.slices import SliceCodes
 
@@ -60,10 +60,11 @@ class TextEncoder:
     does by default; without it they are ordinary text, as with the library's encode_special_tokens.
     """
 
-    def __init__(self, tokenizer_file: str, classes: bytes | None = None, match_added: bool = True):
+    def __init__(self, tokenizer: str | bytes, classes: bytes | None = None, match_added: bool = True):
+        """tokenizer: a file, or its bytes."""
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer = Tokenizer.from_buffer(tokenizer) if isinstance(tokenizer, bytes) else Tokenizer.from_file(tokenizer)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.classes = classes or unicode_classes()
@@ -92,8 +93,8 @@ class TextEncoder:
 
 
 @functools.cache
-def text_encoder(tokenizer_file: str, classes: bytes, match_added: bool = True) -> TextEncoder:
-    return TextEncoder(tokenizer_file, classes, match_added)
+def text_encoder(tokenizer: bytes, classes: bytes, match_added: bool = True) -> TextEncoder:
+    return TextEncoder(tokenizer, classes, match_added)
 
 
 def _pack_ids(ids: np.ndarray) -> bytes:
@@ -107,10 +108,10 @@ def _unpack_ids(data: bytes, n: int) -> np.ndarray:
 
 def encoded(docs: DataFrame, tokenizer_file: str, end_id: int, key: str = "doc_id", text: str = "text", match_added: bool = True) -> DataFrame:
     """(key, n, packed, tie): each text's ids and end_id, compressed; tie orders documents of equal keys."""
-    classes = unicode_classes()
+    classes, sent = unicode_classes(), sent_file(docs.sparkSession, tokenizer_file)
 
     def rows(batch):
-        coder = text_encoder(tokenizer_file, classes, match_added)
+        coder = text_encoder(sent.value, classes, match_added)
         found = [np.append(x, np.uint32(end_id)) for x in coder.encode(texts_of(batch, text))]
         yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([len(x) for x in found], pa.int64()), pa.array([_pack_ids(x) for x in found], pa.binary())], names=[key, "n", "packed"])
 
