@@ -1,13 +1,15 @@
 """Texts of some millions of characters, alone and beside short ones, through operators that work on whole texts."""
 
+import base64
 import hashlib
 import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from panelwright.llm import bpe, line_dedup, near_copies, quality_rules, simhash, token_files, toxicity
+from panelwright.llm import bpe, line_dedup, media, mixing, near_copies, quality_rules, simhash, token_files, toxicity, warc
 
 WORDS = " ".join(f"w{i % 977}" for i in range(300_000)) + "\n"
 LONG = WORDS + "ab" * 60_000 + "\n" + "é中 " * 50_000
@@ -30,3 +32,20 @@ def test_long_texts_are_whole_texts(spark):
     assert rules[1].n_words == len(LONG.split()) and rules[4].base_failed
     found = {r.doc_id: r.score for r in toxicity.scores(docs, (-4.0, {"w": 9.0})).collect()}
     assert 0.5 < found[1] < 1 and found[4] == 0.0
+
+
+def test_long_texts_are_stored_and_mixed_whole(spark):
+    docs = spark.createDataFrame([(1, LONG, "en", "web-1"), (2, "short text", "en", "web-1"), (3, LONG, "de", "web-2"), (4, None, None, None)], "doc_id long, text string, lang string, source string")
+    data = LONG.encode()
+    kept = {r.doc_id: r for r in media.round_trip_digests(docs).collect()}
+    assert kept[1].n_bytes == len(data) and kept[1].payload_sha256 == hashlib.sha256(media.padded(LONG)).hexdigest()
+    assert kept[1][1:] == kept[3][1:] and kept[4].n_bytes == 0
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://a").alias("url"), F.col("text").alias("html"))
+    read = {r.page_id: r for r in warc.archive_and_read(pages).collect()}
+    assert read[1].payload_bytes == read[3].payload_bytes == len(data)
+    assert read[1].payload_digest == base64.b32encode(hashlib.sha1(data).digest()).decode()
+    assert (read[1].record_type, read[1].refers_to, read[3].record_type) == ("revisit", 3, "response")
+    whole = mixing.Mixture(budget_parts=1, budget_whole=1, max_epochs=1)
+    mixed = {r.doc_id: r.text for r in mixing.mixed_documents(docs, whole, mixing.domain_of_source(F.col("source"))).collect()}
+    assert mixed[1].split() == mixed[3].split() == LONG.split() and mixed[2] == "short text"
+    assert mixing.mixed_documents(docs, mixing.Mixture(budget_parts=1, budget_whole=3, max_epochs=1), mixing.domain_of_source(F.col("source"))).agg(F.sum(F.size(F.split("text", " ")))).first()[0] > 100_000

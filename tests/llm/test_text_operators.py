@@ -200,6 +200,14 @@ def test_clashing_names_are_kept(spark):
     assert near_copies.representatives(docs).columns == docs.columns and near_copies.representatives(docs).count() == 1
 
 
+def test_clashing_names_do_not_reach_the_rules(spark):
+    plain = spark.createDataFrame([(1, " ".join("w%d" % i for i in range(80))), (2, None), (3, "### %% " * 60)], "doc_id long, text string")
+    clash = plain.select("*", *[F.lit("x").alias(c) for c in ("n_words", "kept", "rejected_by", "base_failed", "n_symbols", "words", "lines", "cost")])
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    rows = lambda df: sorted(map(tuple, quality_rules.quality_verdicts(df).select(*names).collect()))
+    assert rows(clash) == rows(plain) and len(rows(clash)) == 3
+
+
 def naive_repeats(words):
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     return len({i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)})
