@@ -1,7 +1,8 @@
 """Corpus pipeline: toxicity, line dedup, near-duplicates, mixing to target weights, encoding.
 
-The near-duplicate stage is operator 8's deletion-variant index and verification on five-word shingle sets of a similarity of
-0.8 or more (`near_copies`); operator 8's own query has another contract. Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes each stage's
+The near-duplicate stage (`near_copies`) takes operator 8's SimHash fingerprints over five-word shingles and its links within two
+bits, then an index of minima for pairs that these can't see; every link is verified on shingle sets (0.8 or more). Operator 8's
+own query has another contract. Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes each stage's
 result to the shared folder and reads it again, so a lost executor costs one stage at most. All stages but
 the last return the columns of documents.
 """

@@ -1,9 +1,10 @@
 """Operator 8 for the similarity of shingle sets: deletion-variant signatures over minima instead of bits.
 
 Two documents link when their sets of `width`-word shingles have a similarity of 0.8 or more; groups are what links
-lead to. Two such documents' SimHash fingerprints differ in some ten of 64 bits, too many for segments of bits. So
-the fingerprint here is SEGMENTS x SYMBOLS minima of the shingles' hashes, each of which two documents share with a
-chance equal to their similarity, and the index is operator 8's: the fingerprint is cut in segments, each segment is
+lead to. Two such documents' SimHash fingerprints may differ in some ten of 64 bits, too many for segments of bits. So
+operator 8 itself (fingerprints of 64 bits over the shingles, its index of deleted bits, its join within two bits) gives the first
+candidates, and for those that it can't see there is a second fingerprint of SEGMENTS x SYMBOLS minima of the shingles' hashes, each of which two documents share with a
+chance equal to their similarity, and the second index is made as operator 8's: the fingerprint is cut in segments, each segment is
 indexed with one symbol deleted, for every symbol; an equality join gives candidates, and every link is verified on
 the whole shingle sets. Of pairs with exactly 0.8 some 2 in 100,000 share no key, of more similar ones fewer; no other
 pair is missed. Documents with one set are one node.
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.common import chunks, map_arrow, stored, texts_of
 from panelwright.llm.components import connected_components
-from panelwright.llm.simhash import one_of_each
+from panelwright.llm.simhash import links as linked_prints
+from panelwright.llm.simhash import majority, one_of_each
 from panelwright.operators.windows import running
 
 SEED = 42
@@ -80,15 +82,15 @@ def _signed(values: np.ndarray) -> int:
 
 
 def _nodes(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, hash, node, n, keys): node stands for the set of shingles, n for its size."""
+    """(key, hash, node, n, fp, keys): node stands for the set of shingles, n for its size, fp for its SimHash fingerprint."""
 
     def rows(batch):
         found = [shingles(t, width) for t in texts_of(batch, text)]
-        out = [pa.array([_signed(x) for x in found], pa.int64()), pa.array(list(map(len, found)), pa.int64()), pa.array(list(map(keys, found)), pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("hash"), *out], names=[key, "hash", "node", "n", "keys"])
+        out = [pa.array([_signed(x) for x in found], pa.int64()), pa.array(list(map(len, found)), pa.int64()), pa.array(np.array([majority(x) for x in found], np.uint64).view(np.int64)), pa.array(list(map(keys, found)), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("hash"), *out], names=[key, "hash", "node", "n", "fp", "keys"])
 
     marked = docs.select(key, text, F.xxhash64(text).alias("hash"))
-    return map_arrow(marked, rows, f"`{key}` {docs.schema[key].dataType.simpleString()}, hash bigint, node bigint, n bigint, keys array<bigint>")
+    return map_arrow(marked, rows, f"`{key}` {docs.schema[key].dataType.simpleString()}, hash bigint, node bigint, n bigint, fp bigint, keys array<bigint>")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -112,17 +114,30 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter((PART + WHOLE) * common >= PART * (F.size("a") + F.size("b"))).select("src", "dst")
 
 
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """(src, dst): candidates of operator 8, a row or two a node: nodes (node, fp) of one fingerprint with the least of them, and that
+    of each fingerprint with that of its least neighbour within two bits. What such pairs leave out has a key of minima in common."""
+    prints = stored(nodes.groupBy("fp").agg(F.min("node").alias("end")), "copies-prints")
+    beside = linked_prints(prints.select("fp")).groupBy(F.col("dst").alias("fp")).agg(F.min("src").alias("near"))
+    ends = prints.withColumnsRenamed({"fp": "near", "end": "near_end"})
+    near = prints.join(beside.hint("merge"), "fp").join(ends.hint("merge"), "near").select(F.col("end").alias("node"), F.col("near_end").alias("end"))
+    pairs = nodes.join(prints.hint("merge"), "fp").select("node", "end").unionByName(near).filter("node <> end")
+    return pairs.select(F.least("node", "end").alias("src"), F.greatest("node", "end").alias("dst")).distinct()
+
+
 def links(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """(src, dst) whose components are those of all candidate pairs that verify.
 
-    nodes: (node, n, keys), each once; texts: (node, text), a text of each or several equal ones.
+    nodes: (node, n, fp, keys), each once; texts: (node, text), a text of each or several equal ones.
     """
     index = nodes.select("node", F.posexplode("keys").alias("place", "value"))
     buckets = index.groupBy("place", "value").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("low"), F.max("node").alias("high")).filter("members > 1")
     shared = stored(index.join(buckets.hint("merge"), ["place", "value"]), "copies-index")
     ends = shared.select("node", F.explode(F.array("low", "high")).alias("end")).filter("node <> end")
-    tried = stored(ends.select(F.least("node", "end").alias("src"), F.greatest("node", "end").alias("dst")).distinct(), "copies-pairs")
-    wanted = texts.join(shared.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    near = print_pairs(nodes.select("node", "fp"))
+    tried = stored(ends.select(F.least("node", "end").alias("src"), F.greatest("node", "end").alias("dst")).unionByName(near).distinct(), "copies-pairs")
+    asked = shared.select("node").unionByName(tried.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
+    wanted = texts.join(asked.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     sets = stored(_sets(wanted, width), "copies-sets")
     first = stored(_verified(tried, sets), "copies-links")
     # The least and greatest node of three members or fewer meet all of them.
@@ -208,11 +223,11 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """The rows of docs, all columns, of which one stays for each group: that of the smallest key, then text hash."""
     marked = stored(_nodes(docs, key, text, width), "copies-documents")
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "hash")
-    nodes = stored(marked.groupBy("node").agg(F.min(order).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "copies-nodes")
+    nodes = stored(marked.groupBy("node").agg(F.min(order).alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "keys")]), "copies-nodes")
     held = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     firsts = nodes.select("node", F.col("least.key").alias("own_key"), F.col("least.hash").alias("own_hash"))
     texts = held.join(firsts.hint("merge"), (F.col("hash") == F.col("own_hash")) & F.col("key").eqNullSafe(F.col("own_key"))).select("node", "text")
-    labels = connected_components(links(nodes.select("node", "n", "keys"), texts, width, hot))
+    labels = connected_components(links(nodes.select("node", "n", "fp", "keys"), texts, width, hot))
     parts = nodes.select("node", "least").join(labels.hint("merge"), "node", "left")
     winners = parts.groupBy(F.coalesce("component", "node").alias("part")).agg(F.min("least").alias("least")).select("least.key", "least.hash")
     return one_of_each(docs, winners, key, text)

@@ -50,8 +50,13 @@ def fingerprint(text: str, width: int = 3) -> int:
     else:
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[a:b], SEED) for a, b in zip(begins[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in more than half of the hashes; 0 of none."""
     counts = np.zeros(64, np.int64)
-    all_hashes = np.array(hashes, ">u8")
+    all_hashes = hashes.astype(">u8")
     for i in range(0, len(all_hashes), 1 << 16):
         part = all_hashes[i : i + (1 << 16)]
         counts += np.unpackbits(part.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)

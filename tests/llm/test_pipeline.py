@@ -113,3 +113,24 @@ def test_a_run_goes_on_after_its_last_complete_stage(spark, tmp_path, monkeypatc
     broken.clear()
     assert corpus_pipeline.run(spark, str(tmp_path), run_id).count() == 30
     assert called == ["toxicity", "line_dedup", "simhash_near_dedup", "mixing", "mixing", "byte_bpe"]
+
+
+def test_near_duplicate_stage_takes_operator_8s_candidates(spark):
+    from pyspark.sql import functions as F
+
+    from panelwright.llm.simhash import majority
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(f"v{i}" for i in range(400))]
+    sets = [near_copies.shingles(t) for t in texts]
+    prints = [majority(s) for s in sets]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 < (prints[0] ^ prints[2]).bit_count()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    marked = near_copies._nodes(docs, "doc_id", "text", near_copies.WIDTH)
+    nodes = {r.doc_id: r.node for r in marked.collect()}
+    pairs = [tuple(r) for r in near_copies.print_pairs(marked.select("node", "fp")).collect()]
+    assert pairs == [tuple(sorted((nodes[0], nodes[1])))]
+    # Without a single key of minima the stage still links what operator 8 finds.
+    bare = marked.withColumn("keys", F.array().cast("array<bigint>")).select("node", "n", "fp", "keys")
+    found = near_copies.links(bare, marked.join(docs, "doc_id").select("node", "text"))
+    assert [tuple(r) for r in found.collect()] == pairs
