@@ -14,7 +14,7 @@ from panelwright.operators import quality as Q
 from panelwright.operators import windows as W
 from panelwright.operators.storage import settled, shared_root
 from panelwright.plans.base import query
-from panelwright.plans.join_queries import _EDGES, edges
+from panelwright.plans.join_queries import _EDGES, edges, half_edges
 from panelwright.plans.views import Tables
 from panelwright.plans.window_queries import R6
 
@@ -108,9 +108,14 @@ _NODES = "nodes AS (SELECT entity AS node, period, cases::DOUBLE AS v FROM panel
 _SIMILAR = f"""{_EDGES}, {_NODES}, near AS (SELECT src, dst, a.period FROM edges JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst AND a.period = b.period WHERE abs(a.v - b.v) <= 2)"""
 
 
-def _similar(t: Tables):
+def _similar(t: Tables, half):
     nodes = t.panel_supplier().select(F.col("entity").alias("node"), "period", F.col("cases").cast("double").alias("v"))
-    return nodes, settled(G.similar_edges(edges(t), nodes, ["period"], {"v": 2}))  # read by every round
+    nodes = settled(nodes)
+    return nodes, settled(G.similar_edges(_ends(half), nodes, ["period"], {"v": 2}))  # each edge once; read by every round
+
+
+def _ends(half):
+    return half.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 @query(f"WITH {_EDGES} SELECT src, dst FROM edges")
@@ -121,7 +126,8 @@ def q173_normalize_edges(t: Tables):
 
 @query(f"WITH {_SIMILAR} SELECT period, src, dst FROM near", "panel_supplier")
 def q174_filter_similar_edges(t: Tables):
-    return _similar(t)[1]
+    near = _similar(t, half_edges(t))[1]
+    return near.unionByName(near.select("period", F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
 _REACH = f"""WITH RECURSIVE {_SIMILAR}, reach AS (SELECT period, node, node AS other FROM nodes UNION SELECT r.period, r.node, n.dst FROM reach r JOIN near n ON n.period = r.period AND n.src = r.other)
@@ -130,8 +136,8 @@ SELECT period, node, min(other) AS component FROM reach GROUP BY 1, 2""".replace
 
 @query(_REACH)
 def q175_connected_components(t: Tables):
-    nodes, near = _similar(t)
-    return G.components(nodes, near, ["period"])
+    nodes, near = _similar(t, half_edges(t))
+    return G.components(nodes, near, ["period"], closed=True)
 
 
 @query(_REACH)
@@ -139,9 +145,10 @@ def q175_components_repaired(t: Tables):
     """The components as they stood before each period's last month of shipments, repaired for the whole period."""
     earlier = t.lineitem.filter(F.month("l_shipdate") < 12).groupBy(F.col("l_suppkey").alias("node"), F.year("l_shipdate").alias("period")).agg(F.count(F.lit(1)).cast("double").alias("v"))
     earlier = settled(earlier.join(t.supplier.select(F.col("s_suppkey").alias("node")), "node"))
-    before = settled(G.similar_edges(edges(t), earlier, ["period"], {"v": 2}))
-    nodes, near = _similar(t)
-    return G.repaired_components(G.components(earlier, before, ["period"]), before, nodes, near, ["period"])
+    half = half_edges(t)
+    before = settled(G.similar_edges(_ends(half), earlier, ["period"], {"v": 2}))
+    nodes, near = _similar(t, half)
+    return G.repaired_components(G.components(earlier, before, ["period"], closed=True), before, nodes, near, ["period"])
 
 
 @query()
