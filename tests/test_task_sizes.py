@@ -70,3 +70,29 @@ def test_rings_are_thinned_once_and_in_many_tasks(spark, monkeypatch):
     thin = G.thin_rings(rows, "ring", 1.5, 3)
     assert plan(thin).count("lambdafunction(CASE WHEN") == 1
     assert thin.rdd.getNumPartitions() >= 10
+
+
+def test_nearest_rows_are_bounded_before_they_are_ranked(spark, monkeypatch):
+    draw = random.Random(5)
+    places = [(i, draw.uniform(30, 40), draw.uniform(-100, -90)) for i in range(400)]
+    stations = [(i, draw.uniform(30, 40), draw.uniform(-100, -90)) for i in range(2000)]
+    ranked, whole = [], J.settled
+
+    def counted(df):
+        out = whole(df)
+        if "rank" in out.columns:
+            ranked.append(out)
+        return out
+
+    pairs, met = [], J._kd_pairs
+    monkeypatch.setattr(J, "_kd_pairs", lambda *args: (pairs.append(met(*args)), pairs[-1])[1])
+    monkeypatch.setattr(J, "settled", counted)
+    monkeypatch.setattr(J, "MEETINGS", 256 * 20)
+    dealt = []
+    monkeypatch.setattr(J, "spread", lambda *args: (dealt.append(spread(*args)), dealt[-1])[1])
+    found = J.nearest_k(spark.createDataFrame(places, "entity int, lat double, lon double"), spark.createDataFrame(stations, "station int, s_lat double, s_lon double"), 3)
+    assert found.count() == 1200
+    assert ranked[0].count() == 1200
+    assert [d.rdd.getNumPartitions() for d in dealt] == [20, 20]  # 400 rows, 20 a task
+    near = pairs[1].filter("_bound IS NULL OR far <= _bound + 1e-6").count()
+    assert 1200 <= near < 400 * 12 and pairs[1].count() > 400 * 100
