@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from panelwright.operators import aggregates as A
+from panelwright.operators import forecast as M
 from panelwright.operators import graph as G
 from panelwright.operators import joins as J
 from panelwright.operators.storage import spread
@@ -96,3 +97,23 @@ def test_nearest_rows_are_bounded_before_they_are_ranked(spark, monkeypatch):
     assert [d.rdd.getNumPartitions() for d in dealt] == [20, 20]  # 400 rows, 20 a task
     near = pairs[1].filter("_bound IS NULL OR far <= _bound + 1e-6").count()
     assert 1200 <= near < 400 * 12 and pairs[1].count() > 400 * 100
+
+
+def test_resamples_are_drawn_in_many_tasks_and_in_order(spark, monkeypatch):
+    rows = [(1, i, r, float(v * i), 0.1 * r) for i in range(1, 41) for r, v in enumerate((10, 20, 30, 40, 55)[: 1 + i % 5], 1)]
+    made = M.weighted_analogs(spark.createDataFrame(rows, "fold int, test_id int, rank int, outcome double, distance double"), "fold")
+    monkeypatch.setattr(M, "DRAWN", 200 * 4)
+    found = {r.test_id: r for r in M.bootstrap_intervals(made, ["fold", "test_id"]).collect()}
+    monkeypatch.setattr(M, "FEW_ITEMS", 0)
+    assert found == {r.test_id: r for r in M.bootstrap_intervals(made, ["fold", "test_id"]).collect()}
+    draws = [(i, j) for i in range(1, 201) for j in range(1, 6)]
+    drawn = spark.createDataFrame(draws, "i int, j int").withColumn("u", F.pmod(F.xxhash64(F.lit(7), F.lit(1), F.lit(9), "i", "j"), F.lit(1 << 30)) / float(1 << 30))
+    uniform, items = {(r.i, r.j): r.u for r in drawn.collect()}, found[9].analogs
+    total = sum(x.w for x in items)
+    pick = lambda u: items[min(sum(sum(y.w for y in items[: q + 1]) / total <= u for q in range(5)), 4)].outcome
+    means = sorted(sum(pick(uniform[i, j]) for j in range(1, 6)) / 5 for i in range(1, 201))
+    assert abs(found[9].lower_95 - (means[4] + (means[5] - means[4]) * 0.975)) < 1e-9
+    dealt = []
+    monkeypatch.setattr(M, "spread", lambda *args: (dealt.append(spread(*args)), dealt[-1])[1])
+    M.bootstrap_intervals(made, ["fold", "test_id"])
+    assert dealt[0].rdd.getNumPartitions() == 10
