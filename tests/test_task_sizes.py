@@ -117,3 +117,20 @@ def test_resamples_are_drawn_in_many_tasks_and_in_order(spark, monkeypatch):
     monkeypatch.setattr(M, "spread", lambda *args: (dealt.append(spread(*args)), dealt[-1])[1])
     M.bootstrap_intervals(made, ["fold", "test_id"])
     assert dealt[0].rdd.getNumPartitions() == 10
+
+
+def test_keys_are_counted_in_tasks_of_bounded_rows(spark, monkeypatch):
+    draw = random.Random(4)
+    held = {e: {0} | {draw.randrange(1, 60) for _ in range(12)} for e in range(80)}
+    df = spark.createDataFrame([(e, k) for e, ks in held.items() for k in ks] * 2, "e int, k int")
+    want = {(a, b): len(held[a] & held[b]) for a, b in itertools.combinations(held, 2)}
+    rows, dealt = sum(map(len, held.values())), []
+    monkeypatch.setattr(J, "HELD", 50)
+    monkeypatch.setattr(J, "spread", lambda *args: (dealt.append((args[1], spread(*args))), dealt[-1][1])[1])
+    for crowd, block in ((1000, 1000), (20, 1000), (20, 12)):
+        monkeypatch.setattr(J, "CROWD", crowd)
+        for least in (1, 4):
+            dealt.clear()
+            assert {(r.a, r.b): r.shared for r in J.self_pairs(df, "e", "k", least, block).collect()} == {p: n for p, n in want.items() if n >= least}
+            sizes = {tuple(keys): out.rdd.getNumPartitions() for keys, out in reversed(dealt)}  # the first of each: prefixes are fewer rows
+            assert sizes["_e", "_k"] >= 2 * rows / 50 and all(n >= rows / 50 for keys, n in sizes.items() if keys in (("_e",), ("_k",)))
