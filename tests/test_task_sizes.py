@@ -10,6 +10,8 @@ from panelwright.operators import forecast as M
 from panelwright.operators import graph as G
 from panelwright.operators import joins as J
 from panelwright.operators.storage import spread
+from panelwright.plans import forecast_queries as Q
+from panelwright.plans.views import Tables
 
 
 def plan(df):
@@ -34,6 +36,25 @@ def test_pairs_are_counted_in_tasks_of_bounded_meetings(spark, monkeypatch):
         assert found.rdd.getNumPartitions() >= met / 100
 
 
+def test_first_keys_are_looked_for_only_where_sizes_allow_it(spark, monkeypatch):
+    draw = random.Random(11)
+    held = {e: {draw.randrange(60) for _ in range(30)} for e in range(80)}
+    df = spark.createDataFrame([(e, k) for e, ks in held.items() for k in ks], "e int, k int")
+    want = {(a, b): len(held[a] & held[b]) for a, b in itertools.combinations(held, 2)}
+    asked, whole = [], J.key_prefixes
+    monkeypatch.setattr(J, "key_prefixes", lambda *args: (asked.append(args), whole(*args))[1])
+    for least, looked in ((2, 0), (25, 1)):  # 80 entities leave out one key each, or 24
+        assert {(r.a, r.b): r.shared for r in J.self_pairs(df, "e", "k", least).collect()} == {p: n for p, n in want.items() if n >= least}
+        assert len(asked) == looked
+
+
+def test_pairs_are_written_once_and_not_again_in_both_directions(spark, monkeypatch):
+    written, whole = [], Q.settled
+    monkeypatch.setattr(Q, "settled", lambda df: (written.append(df.columns), whole(df))[1])
+    Q.q153_annual_forecast_models(Tables(spark, "/root/testdata/sf0.001"))
+    assert written and not any("src" in columns for columns in written)
+
+
 def test_edges_are_shuffled_by_their_ends_alone(spark):
     nodes = spark.createDataFrame([(t, n, float(n * t)) for t in (1, 2, 3) for n in range(6)], "t int, node int, v double")
     edges = spark.createDataFrame(list(itertools.permutations(range(6), 2)), "src int, dst int")
