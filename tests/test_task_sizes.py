@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelwright.operators import aggregates as A
@@ -14,6 +15,14 @@ from panelwright.plans import forecast_queries as Q
 from panelwright.plans.views import Tables
 
 
+@pytest.fixture
+def large(spark):
+    """The plans that large tables get: none of them is broadcast for its size."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -155,3 +164,11 @@ def test_keys_are_counted_in_tasks_of_bounded_rows(spark, monkeypatch):
             assert {(r.a, r.b): r.shared for r in J.self_pairs(df, "e", "k", least, block).collect()} == {p: n for p, n in want.items() if n >= least}
             sizes = {tuple(keys): out.rdd.getNumPartitions() for keys, out in reversed(dealt)}  # the first of each: prefixes are fewer rows
             assert sizes["_e", "_k"] >= 2 * rows / 50 and all(n >= rows / 50 for keys, n in sizes.items() if keys in (("_e",), ("_k",)))
+
+
+def test_edges_are_not_sorted_with_what_their_ends_carry(large):
+    nodes = large.createDataFrame([(t, n, float(n * t)) for t in (1, 2, 3) for n in range(6)], "t int, node int, v double")
+    edges = large.createDataFrame(list(itertools.permutations(range(6), 2)), "src int, dst int")
+    near = G.similar_edges(edges, nodes, ["t"], {"v": 2})
+    assert plan(near).count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan(near)
+    assert {tuple(r) for r in near.collect()} == {(t, a, b) for t in (1, 2, 3) for a, b in itertools.permutations(range(6), 2) if abs(a - b) * t <= 2}
