@@ -172,3 +172,14 @@ def test_edges_are_not_sorted_with_what_their_ends_carry(large):
     near = G.similar_edges(edges, nodes, ["t"], {"v": 2})
     assert plan(near).count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan(near)
     assert {tuple(r) for r in near.collect()} == {(t, a, b) for t in (1, 2, 3) for a, b in itertools.permutations(range(6), 2) if abs(a - b) * t <= 2}
+
+
+def test_edges_are_not_sorted_for_values_of_neighbors(large):
+    values = large.createDataFrame([(e, t, float(e * t)) for e in range(5) for t in (1, 2)], "e int, t int, v double")
+    edges = large.createDataFrame([(a, b) for a, b in itertools.permutations(range(5), 2) if a + b != 4], "src int, dst int")
+    found = J.neighbor_summary(values, edges, "e", "t", "v", 1)
+    assert plan(found).count("ShuffledHashJoin") == 1
+    near = {e: [float(b) for b in range(5) if b != e and e + b != 4] for e in range(5)}
+    assert {(r.e, r.t): (r.neighbor_mean, r.neighbor_max, r.neighbor_n) for r in found.collect()} == {
+        (e, t): (sum(v) / len(v), max(v), len(v)) if t == 2 else (None, None, 0) for e, v in near.items() for t in (1, 2)
+    }
