@@ -10,6 +10,7 @@ from panelwright.operators import aggregates as A
 from panelwright.operators import forecast as M
 from panelwright.operators import graph as G
 from panelwright.operators import joins as J
+from panelwright.operators import panel_models as P
 from panelwright.operators.storage import spread
 from panelwright.plans import forecast_queries as Q
 from panelwright.plans.views import Tables
@@ -183,3 +184,22 @@ def test_edges_are_not_sorted_for_values_of_neighbors(large):
     assert {(r.e, r.t): (r.neighbor_mean, r.neighbor_max, r.neighbor_n) for r in found.collect()} == {
         (e, t): (sum(v) / len(v), max(v), len(v)) if t == 2 else (None, None, 0) for e, v in near.items() for t in (1, 2)
     }
+
+
+def test_edges_are_not_sorted_in_rounds_of_components(large, monkeypatch):
+    edges = large.createDataFrame([(1, i, i + 1) for i in range(20) if i != 9], "t int, src int, dst int")
+    nodes = large.createDataFrame([(1, i) for i in range(21)], "t int, node int")
+    plans, whole = [], G.settled
+    monkeypatch.setattr(G, "settled", lambda df: (plans.append((df.columns, plan(df))), whole(df))[1])
+    for closed in (False, True):
+        assert {(r.node, r.component) for r in G.components(nodes, edges, ["t"], closed=closed).collect()} == {(i, 0 if i < 10 else 10) for i in range(21)}
+    rounds = [p for columns, p in plans if sorted(columns) == ["dst", "src", "t"]]
+    assert len(rounds) >= 3 and all("SortMergeJoin" not in p and p.count("ShuffledHashJoin") == 2 for p in rounds)
+
+
+def test_edges_are_not_sorted_for_the_neighbor_model(large):
+    rows = large.createDataFrame([(e, e % 2, t, float(e + t)) for e in range(4) for t in range(1, 6)], "e int, g int, t int, v double")
+    edges = large.createDataFrame(list(itertools.permutations(range(4), 2)), "src int, dst int")
+    found = P.rate_models(rows, "e", "g", "t", "v", 3, 2, 5.0, edges=edges)
+    assert plan(found).count("ShuffledHashJoin") == 1
+    assert {(r.e, r.t): r.neighbor for r in found.collect()} == {(e, t): sum(b + t - 1 for b in range(4) if b != e) / 3 for e in range(4) for t in range(3, 6)}
